@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import quality
+from plumbline.llm import pii, quality, secrets
 
-_MODULES = (quality,)
+_MODULES = (quality, secrets, pii)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
