@@ -144,27 +144,31 @@ class Encoder:
         whole = self.v.id_of.get(text)
         if whole is not None:
             return [whole]
-        at: list[list[int]] = [[] for _ in range(n)]  # entries by place; shorter ones end, and so come, first
+        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (end, entry) by place; shorter ones end, and so come, first
         for end, (size, i) in self.found.iter(text):
-            at[end + 1 - size].append(i)
-        path, place, dead = [], 0, bytearray(n + 1)
-        nth = [len(here) for here in at]  # how many entries at each place are still to try
+            at[end + 1 - size].append((end + 1, i))
+        known, compatible = self.pairs, self.compatible
+        path, places, dead = [], [], set()
+        place, last = 0, -1
         while place < n:
-            last = path[-1] if path else None
-            while nth[place]:
-                nth[place] -= 1
-                i = at[place][nth[place]]
-                end = place + len(self.v.entries[i])
-                if not dead[end] and (last is None or self.compatible(last, i)):
+            here = at[place]
+            while here:  # an entry tried is gone: places are entered once, and those left backwards are dead
+                end, i = here.pop()
+                if end in dead:
+                    continue
+                ok = True if last < 0 else known.get((last, i))
+                if ok or (ok is None and compatible(last, i)):
                     path.append(i)
-                    place = end
+                    places.append(place)
+                    place, last = end, i
                     break
             else:
                 # nothing fits here after last: last is wrong, and so is ending an entry here
                 if not path:
                     raise ValueError("the vocabulary has no entry for a byte of the text")
-                dead[place] = 1
-                place -= len(self.v.entries[path.pop()])
+                dead.add(place)
+                path.pop()
+                place, last = places.pop(), path[-1] if path else -1
         return path
 
     def ordinary(self, text: str, out: list[int]) -> None:
