@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, langid, mixing, pii, quality, secrets
+from plumbline.llm import bpe, langid, mixing, pii, quality, secrets, warc
 
-_MODULES = (quality, secrets, pii, mixing, bpe, langid)
+_MODULES = (quality, secrets, pii, mixing, bpe, langid, warc)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
