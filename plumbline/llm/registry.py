@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, langid, mixing, ngram_join, pii, quality, secrets, warc
+from plumbline.llm import bpe, langid, mixing, ngram_join, pii, quality, secrets, suffix_dedup, warc
 
-_MODULES = (quality, secrets, pii, mixing, bpe, langid, warc, ngram_join)
+_MODULES = (quality, secrets, pii, mixing, bpe, langid, warc, ngram_join, suffix_dedup)
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in _MODULES for k, s in m.ORACLE_SQL.items()}
