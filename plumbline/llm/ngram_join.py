@@ -193,6 +193,18 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     return some.unionByName(none)
 
 
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """df without near duplicates: of each component the row with the smallest id, of equal ids that with the smallest text hash.
+
+    Rows with a null id, or an empty text, stay. Rows alike in id and text count as one.
+    """
+    groups = join(df, doc_id, text, n, percent).where("doc_id IS NOT NULL AND n_shingles > 0")
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    names = [F.col(f"`{c}`") for c in df.columns]
+    left = df.join(gone, df[doc_id] == gone["__gone"], "left_anti").select(*names)
+    return left
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 

@@ -129,8 +129,14 @@ def score(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) ->
 
 
 def keep(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of df that the rules keep, unchanged."""
-    return score(df, text).where("kept").select("row.*")
+    """The rows of df that the rules keep, unchanged.
+
+    The number beside the verdict changes nothing but the plan: a filter isn't pushed
+    below a projection that numbers rows, which would repeat the measuring in every place
+    where a count is used.
+    """
+    numbered = score(df, text).select("row", "kept", F.monotonically_increasing_id().alias("n"))
+    return numbered.where("kept AND n >= 0").select("row.*")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
