@@ -163,9 +163,11 @@ def test_p_each(kind: pd.Series, xs: pd.Series, df1: pd.Series, df2: pd.Series,
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def normal_sf_each(zs: pd.Series) -> pd.Series:
+def normal_p_each(zs: pd.Series, one_tailed: pd.Series) -> pd.Series:
+    """p-values of arrays of z, two-sided unless one-tailed."""
     z, n = _flat(zs)
-    return _cut(normal_sf(z), n)
+    p = normal_sf(z)
+    return _cut(np.where(np.repeat(one_tailed.to_numpy(bool), n), p, np.minimum(1.0, 2 * p)), n)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

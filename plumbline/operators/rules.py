@@ -209,9 +209,7 @@ def ci_check(d: DataFrame, cfg: Config) -> DataFrame:
     zs = F.flatten(F.flatten(F.transform("bx", lambda m: F.transform("bl", lambda lo: F.transform("bu", lambda hi: z(m, lo, hi))))))
     point = F.abs(F.col("x")[0]) * 2 * F.col("crit") / (F.col("x")[2] - F.col("x")[1])
     d = d.withColumn("zs", F.when(F.col("inside") & (F.col("crit") > 0), F.array_insert(F.array_compact(zs), 1, point)))
-    d = d.withColumn("sf", K.normal_sf_each("zs"))
-    ps = F.transform("sf", lambda q: F.when(e["one_tailed"], q).otherwise(F.least(F.lit(1.0), 2 * q)))
-    d = d.withColumn("ps", ps).withColumn("box", F.slice("ps", 2, 65))
+    d = d.withColumn("ps", K.normal_p_each("zs", e["one_tailed"])).withColumn("box", F.slice("ps", 2, 65))
     d = d.withColumn("p", F.get("ps", F.lit(0))).withColumn("p_min", F.array_min("box")).withColumn("p_max", F.array_max("box"))
     left, right = F.col("x")[0] - F.col("x")[1], F.col("x")[2] - F.col("x")[0]
     d = d.withColumn("skew", F.when(F.least(left, right) > 0, F.greatest(left, right) / F.least(left, right)))
@@ -330,10 +328,10 @@ def combined(p: DataFrame, key: str = "record_key") -> DataFrame:
     inner = F.greatest(F.lit(1e-300), F.least(F.lit(1 - 1e-16), F.col("p")))
     p = p.withColumn("z", K.normal_ppf_udf(1 - F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), inner))))
     d = p.groupBy(key).agg(
-        F.count("*").alias("k"), F.min("ok").alias("ok"), F.min("free").alias("free"), (-2 * F.sum(F.log(inner))).alias("fisher"),
+        F.count("*").alias("size"), F.min("ok").alias("ok"), F.min("free").alias("free"), (-2 * F.sum(F.log(inner))).alias("fisher"),
         (-2 * F.sum(least(F.col("p_high")))).alias("fisher_low"), (-2 * F.sum(least(F.col("p_low")))).alias("fisher_high"), (F.sum("z") / F.sqrt(F.count("*"))).alias("stouffer_z"),
     )
-    df = (2 * F.col("k")).cast("double")
+    df = (2 * F.col("size")).cast("double")
     d = d.withColumns({"fisher_p": K.chi2_sf_udf("fisher", df), "f_low": K.chi2_sf_udf("fisher_high", df), "f_high": K.chi2_sf_udf("fisher_low", df), "tail": K.normal_sf_udf(F.abs("stouffer_z"))})
     two = lambda q: 2 * F.least(q, 1 - q)
     safe = F.when((F.col("f_low") <= 0.5) & (F.col("f_high") >= 0.5), 1.0).otherwise(F.greatest(two(F.col("f_low")), two(F.col("f_high"))))
@@ -346,12 +344,12 @@ def baseline_findings(r: DataFrame, cfg: Config) -> DataFrame:
     p = welch(b).select("record_key", "p", "p_low", "p_high", (F.col("b.variable_type") == "continuous").alias("ok"), free.alias("free"))
     d = r.select("record_key").join(combined(p), "record_key", "left")
     judged = _case(
-        (F.col("k").isNull(), NA, "info", "no baseline comparisons were supplied"), (~F.col("ok"), NA, "info", "a baseline variable is not continuous"),
-        ((F.col("k") > 1) & ~F.col("free"), NA, "info", "the variables are not known to be independent"),
+        (F.col("size").isNull(), NA, "info", "no baseline comparisons were supplied"), (~F.col("ok"), NA, "info", "a baseline variable is not continuous"),
+        ((F.col("size") > 1) & ~F.col("free"), NA, "info", "the variables are not known to be independent"),
         (F.col("safe_p") < cfg.baseline_extreme_p, WARN, "low", "baseline p-values are unusually extreme; a weak signal"),
         last=(PASS, "info", "baseline p-values are not extreme"),
     )
-    return _rows(d, _made("BASELINE-ANOMALY", judged, F.struct("k", "fisher", "fisher_p", "f_low", "f_high", "stouffer_z", "stouffer_p", "extreme_p", "safe_p")))
+    return _rows(d, _made("BASELINE-ANOMALY", judged, F.struct("size", "fisher", "fisher_p", "f_low", "f_high", "stouffer_z", "stouffer_p", "extreme_p", "safe_p")))
 
 
 # -- all of them ----------------------------------------------------------------------------------

@@ -1,6 +1,493 @@
-"""All queries of the audit engine by name, and the SQL that gives the same rows."""
+"""All queries of the audit engine by name, and the SQL that gives the same rows.
+
+Each query builds study-like records from the driver's tables by grouping, and runs an operator of
+the engine on them; the SQL works the same result out in another way.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.config import Config
+from plumbline.functions import canonical, intervals, parsers
+from plumbline.operators import corpus, extract, normalize, rules
+from plumbline.schema import SUBGROUP, SUMMARY, with_defaults
+
+CFG = Config()
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def verdicts(findings: DataFrame, rule: str, key: str = "key", kind: str = "bigint") -> DataFrame:
+    return findings.where(F.col("rule_id") == rule).select(F.col("record_key").cast(kind).alias(key), "seq", "verdict", "severity")
+
+
+# -- integer means --------------------------------------------------------------------------------
+
+
+def order_stats(spark: SparkSession, d: str) -> DataFrame:
+    """(k, n, s, ss): whole quantities of each order; every third order's mean is printed a hundredth too high."""
+    q = F.col("l_quantity").cast("bigint")
+    return t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n"), F.sum(q).alias("s"), F.sum(q * q).alias("ss"))
+
+
+def order_records(spark: SparkSession, d: str, items: int = 1) -> DataFrame:
+    m = F.expr(f"(200 * s + n * {items}) div (2 * n * {items}) + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END")
+    sd = F.when(F.col("n") > 1, F.round(F.sqrt(F.expr("(n * ss - s * s) / (n * (n - 1))")), 2))
+    s = F.struct(F.lit("quantity").alias("name"), (m / 100).alias("mean"), F.col("n").alias("n"), F.lit(2).alias("mean_decimals"), F.lit(items).cast("bigint").alias("items"), sd.alias("sd"), F.lit(2).alias("sd_decimals"), F.lit(True).alias("integer_scale"))
+    return order_stats(spark, d).select(F.col("k").cast("string").alias("record_key"), F.col("n").alias("randomized_n"), F.array(s.cast(SUMMARY)).alias("integer_summaries"))
+
+
+STATS = "s AS (SELECT l_orderkey AS k, count(*)::BIGINT AS n, sum(l_quantity::BIGINT)::BIGINT AS s, sum(l_quantity::BIGINT * l_quantity::BIGINT)::BIGINT AS ss FROM lineitem GROUP BY 1)"
+
+
+def _grim_sql(items: int) -> str:
+    return f"""{STATS},
+m AS (SELECT *, n * {items} AS g, (200 * s + n * {items}) // (2 * n * {items}) + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS m FROM s),
+v AS (SELECT *, CASE WHEN n > 100 THEN 'not_applicable' WHEN abs(200 * (g * m // 100) - 2 * g * m) <= g OR abs(200 * ((g * m + 99) // 100) - 2 * g * m) <= g THEN 'pass' ELSE 'flag' END AS verdict FROM m)"""
+
+
+_SEVERITY = "CASE verdict WHEN 'flag' THEN 'high' ELSE 'info' END AS severity"
+_GRIMMER = f"""{_grim_sql(1)},
+x AS (SELECT k, n, m, verdict AS grim, (n * m * 2 + 100) // 200 AS tot, round(sqrt((n * ss - s * s) / (n * (n - 1))::DOUBLE), 2) AS sd FROM v WHERE n > 1),
+c AS (SELECT *, unnest(range(ceil((n - 1) * greatest(0.0, sd - 0.005) * greatest(0.0, sd - 0.005) + tot * tot / n::DOUBLE - 1e-12)::BIGINT, floor((n - 1) * (sd + 0.005) * (sd + 0.005) + tot * tot / n::DOUBLE + 1e-12)::BIGINT + 1)) AS q FROM x WHERE grim = 'pass'),
+h AS (SELECT k, bool_or(q % 2 = tot % 2 AND q - tot * tot / n::DOUBLE >= -1e-12 AND round(sqrt(greatest(0.0, q - tot * tot / n::DOUBLE) / (n - 1)), 2) = sd) AS hit FROM c GROUP BY k),
+w AS (SELECT v.k, CASE WHEN v.n = 1 THEN 'not_applicable' WHEN v.verdict = 'not_applicable' THEN 'not_applicable' WHEN v.verdict = 'pass' AND coalesce(h.hit, false) THEN 'pass' ELSE 'flag' END AS verdict FROM v LEFT JOIN h USING (k))"""
+
+
+@query(f"WITH {_grim_sql(1)} SELECT k AS key, 0 AS seq, verdict, {_SEVERITY} FROM v")
+def grim_orders(spark, d):  # noqa: ANN001, ANN201
+    return verdicts(rules.summary_findings(with_defaults(order_records(spark, d)), CFG), "GRIM")
+
+
+@query(f"WITH {_grim_sql(3)} SELECT k AS key, 0 AS seq, verdict, {_SEVERITY} FROM v")
+def grim_multi_item(spark, d):  # noqa: ANN001, ANN201
+    return verdicts(rules.summary_findings(with_defaults(order_records(spark, d, 3)), CFG), "GRIM")
+
+
+@query(f"WITH {_GRIMMER} SELECT k AS key, 0 AS seq, verdict, {_SEVERITY} FROM w")
+def grimmer_orders(spark, d):  # noqa: ANN001, ANN201
+    return verdicts(rules.summary_findings(with_defaults(order_records(spark, d)), CFG), "GRIMMER")
+
+
+@query(f"""WITH {STATS}, c AS (SELECT s.*, d.dose, (200 * s + n) // (2 * n) + d.dose AS m FROM s CROSS JOIN (SELECT unnest([0, 1, 2, 5]) AS dose) d WHERE n <= 100)
+SELECT dose, count(*) AS cases, count(*) FILTER (WHERE NOT (abs(200 * (n * m // 100) - 2 * n * m) <= n OR abs(200 * ((n * m + 99) // 100) - 2 * n * m) <= n)) AS detected FROM c GROUP BY dose""")
+def grim_dose_response(spark, d):  # noqa: ANN001, ANN201
+    """Means shifted by so many hundredths: how many of each dose are found out."""
+    doses = F.explode(F.array(*[F.lit(x) for x in (0, 1, 2, 5)])).alias("dose")
+    m = F.expr("((200 * s + n) div (2 * n) + dose) / 100")
+    s = F.struct(m.alias("mean"), F.col("n").alias("n"), F.lit(2).alias("mean_decimals"), F.lit(1).cast("bigint").alias("items"), F.lit(True).alias("integer_scale"))
+    c = rules.grim(order_stats(spark, d).select("*", doses).select("dose", s.alias("s"))).where("grim_reason IS NULL")
+    return c.groupBy("dose").agg(F.count("*").alias("cases"), F.count(F.when(~F.col("grim_ok"), 1)).alias("detected"))
+
+
+# -- counts ---------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), v AS (SELECT k, n, greatest(1, n + k % 3 - 1) AS r, k % 7 = 0 AS other FROM a)
+SELECT k AS key, 0 AS seq, CASE WHEN other THEN 'not_applicable' WHEN n > r THEN 'flag' WHEN n < r THEN 'warn' ELSE 'pass' END AS verdict,
+       CASE WHEN other THEN 'info' WHEN n > r THEN 'high' WHEN n < r THEN 'low' ELSE 'info' END AS severity FROM v""")
+def enrollment_arm_sum(spark, d):  # noqa: ANN001, ANN201
+    arms = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), "o_orderstatus").agg(F.count("*").alias("n"))
+    r = arms.groupBy("k").agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", "n"))).alias("arm_ns"), F.sum("n").alias("n"))
+    r = r.select(F.col("k").cast("string").alias("record_key"), "arm_ns", F.greatest(F.lit(1), F.expr("n + k % 3 - 1")).alias("randomized_n"), (F.col("k") % 7 != 0).alias("arm_counts_comparable_to_randomized_n"))
+    return verdicts(rules.enrollment_findings(with_defaults(r), CFG), "ENROLLMENT-ARM-SUM")
+
+
+def segment_records(spark: SparkSession, d: str) -> DataFrame:
+    """A record a nation: its customers by market segment, the population one off for two nations of three."""
+    seg = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k"), "c_mktsegment").agg(F.count("*").alias("n"))
+    tot = seg.groupBy("k").agg(F.sum("n").alias("people"))
+    pct = F.round(F.lit(100.0) * F.col("n") / F.col("people"), 1) + F.when(F.col("k") % 4 == 0, 0.2).otherwise(0.0)
+    lv = F.struct(F.col("c_mktsegment").alias("name"), F.col("n").alias("n"), F.least(F.lit(100.0), F.round(pct, 1)).alias("percentage"), F.col("people").alias("percentage_denominator"), (F.col("n") % 17).alias("events"))
+    g = seg.join(tot, "k").groupBy("k", "people").agg(F.array_sort(F.collect_list(lv)).alias("levels"))
+    arms = F.lit(None).cast("map<string,bigint>")  # maps have no order: they come in after sorting
+    g = g.withColumn("levels", F.transform("levels", lambda v: F.struct(v["name"].alias("name"), v["n"].alias("n"), arms.alias("arm_ns"), v["percentage"].alias("percentage"), F.lit(1).alias("percentage_decimals"), v["percentage_denominator"].alias("percentage_denominator"), v["events"].alias("events"))))
+    k = F.col("k")
+    s = F.struct(
+        F.lit("segment").alias("variable"), F.greatest(F.lit(1), F.col("people") + k % 3 - 1).alias("population_n"), (k % 5 != 0).alias("mutually_exclusive"), (k % 2 == 0).alias("exhaustive"), F.lit(None).cast("boolean").alias("prespecified"),
+        (k % 2 == 0).alias("effect_claimed"), F.when(k % 3 == 0, True).alias("formal_interaction_test"), F.lit(None).cast("double").alias("interaction_p"), F.when(k % 6 == 0, True).alias("powered_for_interaction"),
+        F.when(k % 4 != 2, F.col("people") / 4 + k % 3 - 1).cast("bigint").alias("main_effect_required_n"), (k % 2 + 1).cast("bigint").alias("estimated_parameters"), F.transform("levels", lambda v: v["n"] / 10).alias("contingency_cells"), F.col("levels").alias("levels"),
+    )
+    return g.select(k.cast("string").alias("record_key"), F.col("people").alias("randomized_n"), F.array(s.cast(SUBGROUP)).alias("subgroups"))
+
+
+_SEG = """WITH seg AS (SELECT c_nationkey AS k, c_mktsegment AS name, count(*) AS n FROM customer GROUP BY 1, 2), tot AS (SELECT k, sum(n)::BIGINT AS people FROM seg GROUP BY 1),
+l AS (SELECT seg.*, people, greatest(1, people + k % 3 - 1) AS target, least(100.0, round(round(100.0 * n / people::DOUBLE, 1) + CASE WHEN k % 4 = 0 THEN 0.2 ELSE 0.0 END, 1)) AS pct FROM seg JOIN tot USING (k)),
+v AS (SELECT k, any_value(people) AS people, any_value(target) AS target, sum(n) AS total, max(n) AS most, bool_or(abs(100.0 * n / people::DOUBLE - pct) > 0.05 + 1e-12) AS wrong, min(n % 17) AS few, min(n / 10.0) AS cell FROM l GROUP BY k)
+"""
+
+
+def _segment_query(name: str, rule: str, sql: str) -> None:
+    def f(spark, d):  # noqa: ANN001, ANN202
+        return verdicts(rules.subgroup_findings(with_defaults(segment_records(spark, d)), CFG), rule, kind="int")
+
+    QUERIES[name], ORACLE_SQL[name] = f, f"{_SEG}, w AS (SELECT k, {sql} AS x FROM v) SELECT k AS key, 0 AS seq, split_part(x, ' ', 1) AS verdict, split_part(x, ' ', 2) AS severity FROM w"
+
+
+_segment_query("subgroup_partition", "SUBGROUP-PARTITION", "CASE WHEN most > target OR (k % 5 <> 0 AND total > target) THEN 'flag high' WHEN k % 5 <> 0 AND k % 2 = 0 AND total < target THEN 'warn medium' ELSE 'pass info' END")
+_segment_query("subgroup_percent", "SUBGROUP-PERCENT", "CASE WHEN wrong THEN 'flag medium' ELSE 'pass info' END")
+_segment_query("interaction_test", "SUBGROUP-INTERACTION-TEST", "CASE WHEN k % 2 <> 0 THEN 'not_applicable info' WHEN k % 3 = 0 THEN 'pass info' ELSE 'warn medium' END")
+_segment_query("interaction_power", "SUBGROUP-INTERACTION-POWER", "CASE WHEN k % 2 <> 0 THEN 'not_applicable info' WHEN k % 6 = 0 THEN 'pass info' WHEN k % 4 = 2 THEN 'not_applicable info' WHEN people < 4 * trunc(people / 4.0 + k % 3 - 1)::BIGINT THEN 'warn medium' ELSE 'pass info' END")
+_segment_query("event_floor", "SUBGROUP-EVENT-FLOOR", "CASE WHEN few < 10 * (k % 2 + 1) THEN 'warn medium' ELSE 'pass info' END")
+_segment_query("expected_cells", "SUBGROUP-EXPECTED-CELL", "CASE WHEN cell < 5 THEN 'warn medium' ELSE 'pass info' END")
+
+
+@query("""WITH s AS (SELECT d.doc_id, d.n_chars, l.quality, l.toxic, l.doc_id IS NOT NULL AS seen FROM documents d LEFT JOIN labels l USING (doc_id)),
+x AS (SELECT *, 1 + 1 + (CASE WHEN seen AND quality IS NOT NULL THEN 1 ELSE 0 END) AS base FROM s),
+w AS (SELECT doc_id, 2 + (CASE WHEN coalesce(quality = 1, false) THEN 1 ELSE 0 END) + (CASE WHEN coalesce(toxic = 1, false) THEN 1 ELSE 0 END) AS present,
+      2 + 7 + (CASE WHEN quality IS NOT NULL THEN 1 ELSE 0 END) AS applicable FROM s)
+SELECT doc_id, round(present / applicable::DOUBLE, 6) AS score, CASE WHEN present = applicable THEN 'pass' ELSE 'warn' END AS verdict FROM w""")
+def completeness_score(spark, d):  # noqa: ANN001, ANN201
+    """Quality as a field that may be unknown, toxic as one that counts as missing where it isn't labelled."""
+    j = t(spark, d, "documents").select("doc_id").join(t(spark, d, "labels"), "doc_id", "left")
+    said = F.create_map(F.lit("primary_outcome"), F.col("quality") == 1, F.lit("harms"), F.coalesce(F.col("toxic") == 1, F.lit(False)))
+    r = j.select(F.col("doc_id").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), F.create_map(F.lit("a"), F.lit(1).cast("bigint")).alias("arm_ns"), said.alias("reporting"))
+    c = with_defaults(r).select(F.col("record_key").cast("bigint").alias("doc_id"), rules.completeness(CFG).alias("c"))
+    return c.select("doc_id", F.round("c.score", 6).alias("score"), F.when(F.size("c.missing") == 0, "pass").otherwise("warn").alias("verdict"))
+
+
+# -- findings and their aggregates ----------------------------------------------------------------
+
+_EIGHT = "('ENROLLMENT-ARM-SUM'), ('SUBGROUP-PARTITION'), ('SUBGROUP-PERCENT'), ('SUBGROUP-INTERACTION-TEST'), ('SUBGROUP-INTERACTION-POWER'), ('SUBGROUP-EVENT-FLOOR'), ('SUBGROUP-EXPECTED-CELL'), ('STATCHECK'), ('BASELINE-ANOMALY')"
+_ALL = f"""WITH {_GRIMMER}, f AS (SELECT k, 'GRIM' AS rule_id, verdict FROM v UNION ALL SELECT k, 'GRIMMER', verdict FROM w
+UNION ALL SELECT k, 'REPORTING-COMPLETENESS', 'warn' FROM v UNION ALL SELECT k, r.rule_id, 'not_applicable' FROM v CROSS JOIN (VALUES {_EIGHT}) r(rule_id))"""
+
+
+@query(f"{_ALL} SELECT rule_id, verdict, count(*) AS findings FROM f GROUP BY 1, 2")
+def findings_rule_verdict(spark, d):  # noqa: ANN001, ANN201
+    """The flagship: every rule on a record per order, counted by rule and verdict."""
+    return corpus.rule_verdicts(rules.findings(order_records(spark, d), CFG))
+
+
+@query(f"{_ALL}, r AS (SELECT k, max(CASE verdict WHEN 'flag' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS x FROM f GROUP BY k) SELECT CASE x WHEN 3 THEN 'flag' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, count(*) AS records FROM r GROUP BY 1")
+def verdict_rollup(spark, d):  # noqa: ANN001, ANN201
+    return corpus.rollup(rules.findings(order_records(spark, d), CFG)).groupBy("verdict").agg(F.count("*").alias("records"))
+
+
+@query(f"{_ALL} SELECT k AS record_key, rule_id, verdict FROM f")
+def study_worst_verdict(spark, d):  # noqa: ANN001, ANN201
+    return corpus.worst_by_rule(rules.findings(order_records(spark, d), CFG)).withColumn("record_key", F.col("record_key").cast("bigint"))
+
+
+@query(f"""{_ALL} SELECT rule_id, count(*) FILTER (WHERE verdict = 'pass') AS passed, count(*) FILTER (WHERE verdict = 'warn') AS warned, count(*) FILTER (WHERE verdict = 'flag') AS flagged,
+count(*) FILTER (WHERE verdict = 'not_applicable') AS not_applicable, 0::BIGINT AS by_source_schema, count(*) FILTER (WHERE verdict = 'not_applicable') AS by_record, count(*) FILTER (WHERE verdict <> 'not_applicable') AS applicable,
+round(count(*) FILTER (WHERE verdict = 'flag') / nullif(count(*) FILTER (WHERE verdict <> 'not_applicable'), 0)::DOUBLE, 9) AS flag_rate FROM f GROUP BY 1""")
+def na_scope(spark, d):  # noqa: ANN001, ANN201
+    return corpus.study_outcomes(rules.findings(order_records(spark, d), CFG)).withColumn("flag_rate", F.round("flag_rate", 9))
+
+
+@query(f"{_ALL}, r AS (SELECT k, max(CASE verdict WHEN 'flag' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS x, count(*) AS n FROM f GROUP BY k) SELECT k AS record_key, CASE x WHEN 3 THEN 'flag' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, n AS checks, 0.0::DOUBLE AS score FROM r")
+def audit_responses(spark, d):  # noqa: ANN001, ANN201
+    """Whole responses, shown by verdict, number of findings and (all but) score."""
+    r = rules.responses(order_records(spark, d), CFG)
+    return r.select(F.col("record_key").cast("bigint").alias("record_key"), F.col("feasibility_verdict").alias("verdict"), F.size("checks").cast("bigint").alias("checks"), (F.col("completeness_score") * 0).alias("score"))
+
+
+# -- p-values -------------------------------------------------------------------------------------
+
+#: One tail of the normal law by Simpson's rule over 400 panels; exact to far below any printed digit for |z| < 8.
+_TAIL = "(SELECT greatest(0.0, 0.5 - sum((CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (i * {z} / 400) * (i * {z} / 400))) * {z} / 1200 / sqrt(2 * pi())) FROM range(401) r(i))"
+_CUST = "c AS (SELECT o_custkey AS k, count(*) AS n, round((sum(round(o_totalprice * 100)::BIGINT) / 100.0::DOUBLE / count(*) - 150000) / 20000 + (o_custkey % 7 - 3) / 2.0::DOUBLE, 2) AS z FROM orders GROUP BY 1)"
+
+
+def customer_z(spark: SparkSession, d: str) -> DataFrame:
+    cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    g = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), cents.alias("c"))
+    return g.select("k", "n", F.round((F.col("c") / 100.0 / F.col("n") - 150000) / 20000 + (F.col("k") % 7 - 3) / 2.0, 2).alias("z"))
+
+
+@query(f"""WITH {_CUST}, b AS (SELECT k, z, (k % 100) / 100.0::DOUBLE AS p, abs(z) AS a FROM c),
+e AS (SELECT *, CASE WHEN a <= 0.005 THEN 0.0 ELSE a - 0.005 END AS lo, a + 0.005 AS hi FROM b),
+i AS (SELECT *, least(1.0, 2 * {_TAIL.format(z="hi")}) AS p_min, least(1.0, 2 * {_TAIL.format(z="lo")}) AS p_max FROM e),
+s AS (SELECT *, greatest(0.0, p - 0.005) AS rl, least(1.0, p + 0.005) AS rh FROM i),
+q AS (SELECT *, p > 0 AND p_max >= rl AND rh >= p_min AS ok, CASE WHEN p_max <= 0.05 THEN 's' WHEN p_min > 0.05 THEN 'n' ELSE 'i' END AS mine, CASE WHEN p = 0 OR rh <= 0.05 THEN 's' WHEN rl > 0.05 THEN 'n' ELSE 'i' END AS theirs FROM s)
+SELECT k AS key, 0 AS seq, CASE WHEN mine <> theirs AND mine <> 'i' AND theirs <> 'i' THEN 'flag' WHEN NOT ok THEN 'warn' ELSE 'pass' END AS verdict,
+CASE WHEN mine <> theirs AND mine <> 'i' AND theirs <> 'i' THEN 'high' WHEN NOT ok THEN 'medium' ELSE 'info' END AS severity FROM q""")
+def statcheck_z(spark, d):  # noqa: ANN001, ANN201
+    """A z per customer against a printed two-digit p-value."""
+    none = F.lit(None).cast("double")
+    s = F.struct(F.lit("z").alias("stat_type"), F.col("z").alias("value"), none.alias("df1"), none.alias("df2"), ((F.col("k") % 100) / 100.0).alias("reported_p"), F.lit("=").alias("p_operator"), F.lit(2).alias("statistic_decimals"), F.lit(2).alias("p_decimals"), F.lit(False).alias("adjusted"), F.lit(False).alias("one_tailed"), F.lit(None).cast("string").alias("source"))
+    r = customer_z(spark, d).select(F.col("k").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), F.array(s).alias("reported_stats"))
+    return verdicts(rules.stat_findings(with_defaults(r), CFG), "STATCHECK")
+
+
+def _tests(kind: str):  # noqa: ANN202
+    def f(spark, d):  # noqa: ANN001, ANN202
+        one = {"r": F.col("z") / 20}.get(kind, F.abs("z") if kind in ("F", "chi2") else F.col("z"))
+        s = F.struct(F.lit(kind).alias("stat_type"), F.round(one, 2).alias("value"), (F.col("n") + 1).cast("double").alias("df1"), (F.col("n") + 5).cast("double").alias("df2"), ((F.col("k") % 100) / 100.0).alias("reported_p"), F.lit("=").alias("p_operator"), F.lit(2).alias("statistic_decimals"), F.lit(2).alias("p_decimals"), F.lit(False).alias("adjusted"), F.lit(False).alias("one_tailed"), F.lit(None).cast("string").alias("source"))
+        r = with_defaults(customer_z(spark, d).select(F.col("k").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), F.array(s).alias("reported_stats")))
+        c = rules.statcheck(r.select("record_key", F.posexplode("reported_stats").alias("seq", "s")), CFG)
+        return c.select(F.col("record_key").cast("bigint").alias("key"), F.round("p", 9).alias("p"), F.round("p_min", 9).alias("p_min"), F.round("p_max", 9).alias("p_max"), "agree.consistent", "agree.decision_error")
+
+    return f
+
+
+for _kind in ("t", "F", "chi2", "r"):
+    QUERIES[f"statcheck_{_kind.lower()}"] = _tests(_kind)
+
+
+def _effects(spark: SparkSession, d: str, scale: str) -> DataFrame:
+    est = F.col("z") if scale == "additive" else F.round(F.exp(F.col("z") / 10), 2)
+    low, high = (F.round(est - 1.2, 2), F.round(est + 1.3, 2)) if scale == "additive" else (F.round(est * 0.8, 2), F.round(est * 1.3, 2))
+    e = F.struct(F.lit("e").alias("name"), est.alias("estimate"), low.alias("ci_lower"), high.alias("ci_upper"), F.lit(95.0).alias("confidence_level"), ((F.col("k") % 100) / 100.0).alias("reported_p"), F.lit("<").alias("p_operator"), *[F.lit(2).alias(x) for x in ("estimate_decimals", "ci_lower_decimals", "ci_upper_decimals", "p_decimals")], F.lit(scale).alias("scale"), F.lit(False).alias("one_tailed"), *[F.lit(None).cast("string").alias(x) for x in ("statistical_method_family", "applicability_tier")], F.lit(None).cast("bigint").alias("analysis_population_n"), F.lit("two_sided").alias("ci_sidedness"), *[F.lit(None).cast("string").alias(x) for x in ("parameter_type", "adjustment_comment")], F.array().cast("array<string>").alias("selected_groups"), F.lit(None).cast("string").alias("source"))
+    r = with_defaults(customer_z(spark, d).select(F.col("k").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), F.array(e).alias("reported_effects")))
+    c = rules.ci_check(r.select("record_key", F.posexplode("reported_effects").alias("seq", "e")), CFG)
+    return c.select(F.col("record_key").cast("bigint").alias("key"), F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {_CUST}, b AS (SELECT k, abs(z) * 2 * 1.959963984540054 / (round(z + 1.3, 2) - round(z - 1.2, 2)) AS q FROM c) SELECT k AS key, round(least(1.0, 2 * {_TAIL.format(z='q')}), 6) AS p FROM b")
+def ci_to_p_additive(spark, d):  # noqa: ANN001, ANN201
+    return _effects(spark, d, "additive")
+
+
+@query(f"WITH {_CUST}, b AS (SELECT k, round(exp(z / 10), 2) AS e FROM c), g AS (SELECT k, abs(ln(e)) * 2 * 1.959963984540054 / (ln(round(e * 1.3, 2)) - ln(round(e * 0.8, 2))) AS q FROM b) SELECT k AS key, round(least(1.0, 2 * {_TAIL.format(z='q')}), 6) AS p FROM g")
+def ci_to_p_ratio(spark, d):  # noqa: ANN001, ANN201
+    return _effects(spark, d, "ratio")
+
+
+def _baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of order priorities by customer nation, with printed means and SDs of the prices in thousands."""
+    o = t(spark, d, "orders").join(t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    g = o.groupBy(F.col("c_nationkey").alias("k"), F.col("o_orderpriority").alias("p")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice") / 1000, 1).alias("m"), F.round(F.stddev_samp("o_totalprice") / 1000, 1).alias("s")).where("n > 1 AND s > 0")
+    a, b = (g.select("k", *[F.col(c).alias(f"{c}_{x}") for c in "pnms"]) for x in "ab")
+    pairs = a.join(b, "k").where("p_a < p_b")
+    c = F.struct(F.concat_ws(" vs ", "p_a", "p_b").alias("name"), F.col("m_a").alias("mean_a"), F.col("s_a").alias("sd_a"), F.col("n_a").alias("n_a"), F.col("m_b").alias("mean_b"), F.col("s_b").alias("sd_b"), F.col("n_b").alias("n_b"), *[F.lit(1).alias(x) for x in ("mean_decimals_a", "sd_decimals_a", "mean_decimals_b", "sd_decimals_b")], F.lit("continuous").alias("variable_type"), (F.col("k") % 2 == 0).alias("independent_from_other_variables"), F.array().cast("array<string>").alias("correlated_with"))
+    return pairs.select("k", c.alias("b"))
+
+
+@query()
+def welch_pairs(spark, d):  # noqa: ANN001, ANN201
+    w = rules.welch(_baselines(spark, d))
+    return w.select("k", "b.name", F.round("p", 9).alias("p"), F.round("p_low", 9).alias("p_low"), F.round("p_high", 9).alias("p_high"))
+
+
+@query()
+def fisher_combine(spark, d):  # noqa: ANN001, ANN201
+    w = rules.welch(_baselines(spark, d)).select("k", "p", "p_low", "p_high", F.lit(True).alias("ok"), F.lit(True).alias("free"))
+    return rules.combined(w, "k").select("k", "size", F.round("fisher", 6).alias("fisher"), F.round("fisher_p", 9).alias("fisher_p"), F.round("stouffer_z", 6).alias("stouffer_z"))
+
+
+@query()
+def baseline_anomaly(spark, d):  # noqa: ANN001, ANN201
+    r = _baselines(spark, d).groupBy("k").agg(F.collect_list("b").alias("baseline_comparisons")).select(F.col("k").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), "baseline_comparisons")
+    return verdicts(rules.baseline_findings(with_defaults(r), CFG), "BASELINE-ANOMALY")
+
+
+# -- intervals and parsers ------------------------------------------------------------------------
+
+_GRID = "g AS (SELECT p.p, o.o, a.a FROM (VALUES (0.0::DOUBLE), (0.049), (0.05), (0.051), (0.3), (1.0)) p(p) CROSS JOIN (VALUES ('='), ('<'), ('<='), ('>'), ('>=')) o(o) CROSS JOIN (VALUES (2), (3)) a(a))"
+
+
+@query(f"""WITH {_GRID}, r AS (SELECT *, CASE WHEN p = 0 THEN 0.0 WHEN o = '=' THEN greatest(0.0, p - 0.5 * 10.0::DOUBLE ** -a) WHEN o IN ('<', '<=') THEN 0.0 ELSE p END AS low,
+CASE WHEN p = 0 THEN 0.0 WHEN o = '=' THEN least(1.0, p + 0.5 * 10.0::DOUBLE ** -a) WHEN o IN ('>', '>=') THEN 1.0 ELSE p END AS high FROM g)
+SELECT p, o AS operator, a AS decimals, round(low, 9) AS low, round(high, 9) AS high, CASE WHEN p = 0 OR high <= 0.05 THEN 'significant' WHEN low > 0.05 OR (low = 0.05 AND o = '>') THEN 'nonsignificant' ELSE 'indeterminate' END AS significance FROM r""")
+def reported_p_interval(spark, d):  # noqa: ANN001, ANN201
+    g = spark.createDataFrame([(p, o, a) for p in (0.0, 0.049, 0.05, 0.051, 0.3, 1.0) for o in ("=", "<", "<=", ">", ">=") for a in (2, 3)], "p double, operator string, decimals int")
+    s = intervals.printed(F.col("p"), F.col("operator"), F.col("decimals"), F.lit(0.05))
+    return g.withColumn("s", s).select("p", "operator", "decimals", F.round("s.low", 9).alias("low"), F.round("s.high", 9).alias("high"), "s.significance")
+
+
+@query("""WITH e AS (SELECT l_linenumber AS a, l_linenumber + l_quantity::INT % 3 AS b, l_quantity::INT % 7 AS c, l_quantity::INT % 7 + 1 AS d, l_tax > 0.04 AS x, l_discount > 0.05 AS y FROM lineitem)
+SELECT a, b, c, d, x, y, count(*) AS n, (b > c OR (b = c AND x AND y)) AND (d > a OR (d = a AND x AND y)) AS meets FROM e GROUP BY ALL""")
+def interval_overlap(spark, d):  # noqa: ANN001, ANN201
+    q = F.col("l_quantity").cast("int")
+    e = t(spark, d, "lineitem").select(F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + q % 3).alias("b"), (q % 7).alias("c"), (q % 7 + 1).alias("d"), (F.col("l_tax") > 0.04).alias("x"), (F.col("l_discount") > 0.05).alias("y"))
+    c = F.col
+    meets = intervals.overlap(c("a"), c("b"), c("c"), c("d"), low_a_closed=c("x"), high_a_closed=c("x"), low_b_closed=c("y"), high_b_closed=c("y"))
+    return e.groupBy("a", "b", "c", "d", "x", "y").agg(F.count("*").alias("n")).withColumn("meets", meets)
+
+
+_PARTS = "r AS (SELECT DISTINCT p_size AS k, (CASE p_size % 6 WHEN 0 THEN '1,' || lpad(p_size::VARCHAR, 3, '0') WHEN 1 THEN p_size || '.50' WHEN 2 THEN p_size || '.0' WHEN 3 THEN 'n/a' WHEN 4 THEN p_size || 'e-3' ELSE p_size::VARCHAR END) AS x FROM part)"
+
+
+def _raw_numbers(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_size")
+    s = k.cast("string")
+    x = F.when(k % 6 == 0, F.concat(F.lit("1,"), F.lpad(s, 3, "0"))).when(k % 6 == 1, F.concat(s, F.lit(".50"))).when(k % 6 == 2, F.concat(s, F.lit(".0"))).when(k % 6 == 3, "n/a").when(k % 6 == 4, F.concat(s, F.lit("e-3"))).otherwise(s)
+    return t(spark, d, "part").select(k.alias("k"), x.alias("x")).distinct()
+
+
+@query(f"""WITH {_PARTS} SELECT k, x, CASE WHEN regexp_full_match(replace(x, ',', ''), '[+-]?[0-9]+') THEN replace(x, ',', '')::BIGINT END AS whole, try_cast(replace(x, ',', '') AS DOUBLE) AS real,
+CASE k % 6 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 4 THEN 3 ELSE 0 END AS decimals FROM r""")
+def parse_numbers(spark, d):  # noqa: ANN001, ANN201
+    x = F.col("x")
+    return _raw_numbers(spark, d).select("k", "x", parsers.integer(x).alias("whole"), parsers.number(x).alias("real"), parsers.decimals(x).alias("decimals"))
+
+
+@query("""WITH r AS (SELECT DISTINCT p_size AS k, CASE p_size % 5 WHEN 0 THEN '< 0.0' || p_size WHEN 1 THEN '0.' || p_size WHEN 2 THEN '>=0.' || p_size || '0' WHEN 3 THEN p_size::VARCHAR ELSE ' <= .05 ' END AS x FROM part),
+s AS (SELECT *, regexp_replace(x, ' ', '', 'g') AS y FROM r), v AS (SELECT *, regexp_extract(y, '^(<=|>=|<|>|=)') AS o, try_cast(regexp_replace(y, '^(<=|>=|<|>|=)', '') AS DOUBLE) AS p FROM s)
+SELECT k, CASE WHEN p BETWEEN 0 AND 1 THEN p END AS p, CASE WHEN p BETWEEN 0 AND 1 THEN CASE WHEN o = '' THEN '=' ELSE o END END AS operator, CASE WHEN p BETWEEN 0 AND 1 THEN length(regexp_extract(y, '\\.([0-9]*)$', 1))::INT END AS decimals FROM v""")
+def parse_p_values(spark, d):  # noqa: ANN001, ANN201
+    k = F.col("p_size")
+    s = k.cast("string")
+    x = F.when(k % 5 == 0, F.concat(F.lit("< 0.0"), s)).when(k % 5 == 1, F.concat(F.lit("0."), s)).when(k % 5 == 2, F.concat(F.lit(">=0."), s, F.lit("0"))).when(k % 5 == 3, s).otherwise(" <= .05 ")
+    return t(spark, d, "part").select(k.alias("k"), x.alias("x")).distinct().withColumn("v", parsers.p_value(F.col("x"))).select("k", "v.p", "v.operator", "v.decimals")
+
+
+_METHODS = ("", "Cox model, stratified", "Log-rank", "ANCOVA", "Mixed model, adjusted", "Wilcoxon rank-sum", "Fisher exact", "t test, 1-sided", "ANOVA", "z test", "Bayesian", "Hazard Ratio", "Odds ratio", "Mean Difference")
+
+
+@query("WITH m AS (SELECT unnest([" + ", ".join(f"'{m}'" for m in _METHODS) + """]) AS method), l AS (SELECT method, lower(method) AS s FROM m),
+f AS (SELECT method, s, CASE WHEN s = '' THEN 'unspecified' WHEN regexp_matches(s, 'cox|log-rank|hazard') THEN 'survival_model' WHEN regexp_matches(s, 'logistic|poisson|regression|ancova|glm|mixed') THEN 'regression_model'
+WHEN regexp_matches(s, 'wilcoxon|mann-whitney|rank-sum|rank sum|nonparam') THEN 'nonparametric' WHEN regexp_matches(s, 'exact|fisher') THEN 'exact_test' WHEN regexp_matches(s, 't test|ttest|anova|mean difference') THEN 'mean_comparison' WHEN contains(s, 'z test') THEN 'z_test' ELSE 'other' END AS family, regexp_matches(s, '(1|one)[- ]sided') AS tail FROM l)
+SELECT method, family, tail, CASE WHEN regexp_matches(s, 'ratio|relative risk|cox proportional hazard') THEN 'ratio' ELSE 'additive' END AS scale,
+CASE WHEN tail OR regexp_matches(s, 'adjust|correct|strat|covariate') OR family IN ('survival_model', 'regression_model', 'nonparametric', 'exact_test', 'other') THEN 'approximate_review' ELSE 'high_confidence' END AS tier FROM f""")
+def method_family(spark, d):  # noqa: ANN001, ANN201
+    m = spark.createDataFrame([(x,) for x in _METHODS], "method string")
+    c = F.col("method")
+    return m.select("method", parsers.method_family(c).alias("family"), parsers.one_sided(c).alias("tail"), parsers.effect_scale(c).alias("scale"), parsers.ci_tier(c, parsers.one_sided(c)).alias("tier"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS a FROM orders GROUP BY 1)
+SELECT k, n AS randomized_n, a AS open_n, n - a AS other_n, 't' AS stat_type, (k % 40) / 10.0::DOUBLE AS value, n::DOUBLE AS df1, 0.04::DOUBLE AS reported_p, 2 AS p_decimals FROM o""")
+def extract_apa(spark, d):  # noqa: ANN001, ANN201
+    """Sentences rendered from the orders of each customer, and read back."""
+    g = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.count(F.when(F.col("o_orderstatus") == "O", 1)).alias("a"))
+    text = F.format_string("We randomized N=%d. Arm open: n=%d; group other: n=%d. t(%d)=%.1f, p=0.04.", "n", "a", F.expr("n - a"), "n", F.expr("(k % 40) / 10.0D"))
+    e = extract.extract(g.select("k", text.alias("text")))
+    s = F.col("reported_stats")[0]
+    return e.select("k", "randomized_n", F.col("arm_ns")["open"].alias("open_n"), F.col("arm_ns")["other"].alias("other_n"), s["stat_type"].alias("stat_type"), s["value"].alias("value"), s["df1"].alias("df1"), s["reported_p"].alias("reported_p"), s["p_decimals"].alias("p_decimals"))
+
+
+# -- corpus aggregates ----------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, max(value) FILTER (WHERE i = ceil(0.05 * n)) AS p05, max(value) FILTER (WHERE i = ceil(0.5 * n)) AS p50, max(value) FILTER (WHERE i = ceil(0.95 * n)) AS p95 FROM r GROUP BY 1""")
+def nearest_rank_percentiles(spark, d):  # noqa: ANN001, ANN201
+    return corpus.nearest_rank(t(spark, d, "events"), "value", (0.05, 0.5, 0.95), ("event_type",))
+
+
+@query("""WITH r AS (SELECT source, n_chars AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT source, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high, max(v) FILTER (WHERE i = ceil(0.5 * n)) AS p50, max(v) FILTER (WHERE i = ceil(0.95 * n)) AS p95, max(v) FILTER (WHERE i = ceil(0.99 * n)) AS p99 FROM r GROUP BY 1""")
+def latency_summary(spark, d):  # noqa: ANN001, ANN201
+    x = t(spark, d, "documents")
+    s = x.groupBy("source").agg(F.count("n_chars").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"))
+    return s.join(corpus.nearest_rank(x, "n_chars", (0.5, 0.95, 0.99), ("source",)), "source")
+
+
+_AGREE = """a AS (SELECT *, (tp + tn) / n::DOUBLE AS raw, (tp + fn) / n::DOUBLE AS pr, (tp + fp) / n::DOUBLE AS pp FROM m), e AS (SELECT *, pr * pp + (1 - pr) * (1 - pp) AS ek, 2 * ((pr + pp) / 2) * (1 - (pr + pp) / 2) AS ea FROM a),
+z AS (SELECT *, CASE WHEN ek < 1 THEN (raw - ek) / (1 - ek) ELSE 1.0 END AS kappa, CASE WHEN ea < 1 THEN (raw - ea) / (1 - ea) ELSE 1.0 END AS ac1 FROM e)"""
+_CELLS = "count(*) AS n, count(*) FILTER (WHERE r AND p) AS tp, count(*) FILTER (WHERE NOT r AND NOT p) AS tn, count(*) FILTER (WHERE NOT r AND p) AS fp, count(*) FILTER (WHERE r AND NOT p) AS fn"
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("ref"), (F.col("toxic") == 0).alias("pred"))
+
+
+@query(f"WITH l AS (SELECT quality = 1 AS r, toxic = 0 AS p FROM labels), m AS (SELECT {_CELLS} FROM l), {_AGREE} SELECT n, tp, tn, fp, fn, round(raw, 9) AS raw, round(kappa, 9) AS kappa, round(ac1, 9) AS ac1 FROM z")
+def agreement_metrics(spark, d):  # noqa: ANN001, ANN201
+    m = corpus.agreement(_pairs(spark, d))
+    return m.select("n", "tp", "tn", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("raw", "kappa", "ac1")])
+
+
+@query(f"""WITH l AS (SELECT quality = 1 AS r, toxic = 0 AS p, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM labels), k AS (SELECT count(*) AS c FROM l),
+w AS (SELECT b.b, ('0x' || substr(sha256('{corpus.BOOTSTRAP_SEED}:' || b.b || ':' || l.idx), 1, 8))::BIGINT % (SELECT c FROM k) AS idx FROM range(200) b(b) CROSS JOIN l),
+m AS (SELECT w.b, {_CELLS} FROM w JOIN l USING (idx) GROUP BY w.b), {_AGREE}, u AS (SELECT b, 'raw' AS metric, raw AS v FROM z UNION ALL SELECT b, 'kappa', kappa FROM z UNION ALL SELECT b, 'ac1', ac1 FROM z),
+o AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS i FROM u) SELECT metric, round(max(v) FILTER (WHERE i = 5), 9) AS low, round(max(v) FILTER (WHERE i = 195), 9) AS high FROM o GROUP BY 1""")
+def bootstrap_ci(spark, d):  # noqa: ANN001, ANN201
+    from pyspark.sql import Window as W
+
+    p = _pairs(spark, d).withColumn("idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("doc_id")).cast("bigint") - 1)
+    return corpus.bootstrap(p, 200).select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query(f"""WITH q AS (SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 25 WHEN 'fr' THEN 15 ELSE 5 END AS quota FROM documents WHERE lang IN ('en', 'fr', 'es')),
+d AS (SELECT doc_id, documents.lang, coalesce(quota, 0) AS quota, sha256('{corpus.QUEUE_SEED}:' || doc_id) AS h FROM documents LEFT JOIN q ON q.lang = documents.lang), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h) AS i FROM d),
+f AS (SELECT doc_id, lang, h, false AS refill FROM r WHERE i <= quota), g AS (SELECT doc_id, lang, h, true AS refill FROM r WHERE i > quota ORDER BY h LIMIT (SELECT greatest(0, 60 - count(*)) FROM f))
+SELECT doc_id, lang, refill FROM f UNION ALL SELECT doc_id, lang, refill FROM g""")
+def stratified_queue(spark, d):  # noqa: ANN001, ANN201
+    """A review queue of 60 documents by language, refilled from what the quotas leave."""
+    quotas = spark.createDataFrame([("en", 25), ("fr", 15), ("es", 5)], "lang string, quota int")
+    return corpus.stratified(t(spark, d, "documents").select("doc_id", "lang"), quotas, ["lang"], "doc_id", 60).select("doc_id", "lang", "refill")
+
+
+@query("""SELECT count(DISTINCT ts::DATE) AS releases, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)::BIGINT AS passed, count(*) AS total, round(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) / count(*)::DOUBLE, 9) AS pass_rate FROM events HAVING count(DISTINCT ts::DATE) >= 5""")
+def release_gate(spark, d):  # noqa: ANN001, ANN201
+    e = t(spark, d, "events").groupBy(F.to_date("ts").alias("release")).agg(F.count(F.when(F.col("event_type") == "purchase", 1)).alias("passed"), F.count("*").alias("total"))
+    return corpus.release_rate(e, 5).withColumn("pass_rate", F.round("pass_rate", 9))
+
+
+@query("""SELECT o_orderkey AS k, o_totalprice AS enrollment, o_orderstatus AS status, l_linenumber AS line, l_quantity AS quantity, l_returnflag AS method FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE o_orderstatus = 'F' AND o_totalprice > 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment ILIKE '%build%')""")
+def registry_semijoin(spark, d):  # noqa: ANN001, ANN201
+    o = t(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 0")
+    who = t(spark, d, "customer").where(F.col("c_mktsegment").ilike("%build%")).select(F.col("c_custkey").alias("o_custkey"))
+    j = o.join(who, "o_custkey", "left_semi").join(t(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("enrollment"), F.col("o_orderstatus").alias("status"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("method"))
+
+
+@query("""WITH n AS (SELECT s_nationkey % 20 AS g, max(s_suppkey) AS line FROM supplier GROUP BY 1), m AS (SELECT g, line, 'reason ' || line AS reason FROM n)
+SELECT c_custkey AS k, reason, reason IS NOT NULL AS matched FROM customer LEFT JOIN m ON c_custkey % 30 = g""")
+def enrich_left_join(spark, d):  # noqa: ANN001, ANN201
+    """Customers with DOIs in several spellings against notices of which the last line of a DOI counts."""
+    g = (F.col("c_custkey") % 30).cast("string")
+    doi = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" https://DOI.org/10.1/"), g)).otherwise(F.concat(F.lit("DOI:10.1/"), g))
+    notices = t(spark, d, "supplier").select(F.col("s_suppkey").alias("line"), F.concat(F.lit("10.1/"), (F.col("s_nationkey") % 20).cast("string")).alias("doi"), F.concat(F.lit("reason "), F.col("s_suppkey").cast("string")).alias("reason"), F.lit("2025-01-01").alias("date"))
+    return corpus.enrich(t(spark, d, "customer").select(F.col("c_custkey").alias("k"), doi.alias("doi")), notices).select("k", "reason", "matched")
+
+
+@query("""WITH p AS (SELECT a.n_regionkey AS k, a.n_nationkey::VARCHAR AS a, b.n_nationkey::VARCHAR AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey::VARCHAR < b.n_nationkey::VARCHAR),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY a, b) AS i, count(*) OVER (PARTITION BY k) AS c FROM p) SELECT k, a, b, greatest(c - 6, 0) AS truncated FROM r WHERE i <= 6""")
+def pairwise_capped(spark, d):  # noqa: ANN001, ANN201
+    """Unordered pairs of a region's nations by key as text, six kept and the others counted."""
+    g = t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list(F.col("n_nationkey").cast("string"))).alias("ns"))
+    pairs = F.flatten(F.transform("ns", lambda a, i: F.transform(F.slice("ns", i + 2, F.size("ns")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return g.withColumn("ps", pairs).select("k", F.explode(F.slice("ps", 1, 6)).alias("p"), F.greatest(F.size("ps") - 6, F.lit(0)).cast("bigint").alias("truncated")).select("k", "p.a", "p.b", "truncated")
+
+
+@query("""WITH s AS (SELECT doc_id, lang, source, n_chars FROM documents), e AS (SELECT unnest(list_filter([CASE WHEN lang <> 'en' THEN 'not_completed' END, CASE WHEN doc_id % 4 = 0 THEN 'not_interventional' END, CASE WHEN doc_id % 6 = 0 THEN 'not_randomized' END, CASE WHEN doc_id % 5 = 0 THEN 'no_posted_results' END,
+CASE WHEN lang = 'en' AND doc_id % 4 <> 0 AND doc_id % 6 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 = 0 THEN 'invalid_enrollment' END], lambda x: x IS NOT NULL)) AS reason FROM s) SELECT reason, count(*) AS studies FROM e GROUP BY 1""")
+def exclusions_by_reason(spark, d):  # noqa: ANN001, ANN201
+    i = F.col("doc_id")
+    body = F.to_json(F.struct(
+        F.struct(
+            F.struct(i.cast("string").alias("nctId")).alias("identificationModule"), F.struct(F.when(F.col("lang") == "en", "COMPLETED").otherwise("UNKNOWN").alias("overallStatus")).alias("statusModule"),
+            F.struct(F.when(i % 4 != 0, "INTERVENTIONAL").otherwise("OBSERVATIONAL").alias("studyType"), F.struct(F.when(i % 7 != 0, "10").otherwise("0").alias("count")).alias("enrollmentInfo"), F.struct(F.when(i % 6 != 0, "RANDOMIZED").alias("allocation")).alias("designInfo")).alias("designModule"),
+        ).alias("protocolSection"), F.struct(F.struct(F.lit("x").alias("description")).alias("adverseEventsModule")).alias("resultsSection"), (i % 5 != 0).alias("hasResults"),
+    ))
+    studies = t(spark, d, "documents").select(F.from_json(body, normalize.STUDY_DDL).alias("s")).select("s.*")
+    return normalize.exclusions(studies)
+
+
+@query("SELECT count(*) AS records, count(DISTINCT o_custkey) AS ids, 0::BIGINT AS missing, 0::BIGINT AS bad_enrollment, count(*) - count(DISTINCT o_custkey) AS duplicates, false AS ok FROM orders")
+def qc_cohort(spark, d):  # noqa: ANN001, ANN201
+    return corpus.cohort_qc(t(spark, d, "orders").select(F.col("o_custkey").alias("study_id"), F.lit(1).alias("randomized_n")), 2000)
+
+
+@query("""WITH c AS (SELECT c_nationkey AS k, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1) SELECT count(*) AS records, count(*) AS with_partitions, 0::BIGINT AS with_summaries, 0::BIGINT AS with_comparisons, 0::BIGINT AS with_analyses, 0::BIGINT AS with_eligible,
+0::BIGINT AS eligible, 0::BIGINT AS processed, 0::BIGINT AS truncated, 0::BIGINT AS high_confidence, 0::BIGINT AS approximate_review, 0::BIGINT AS with_population, true AS invariant_holds FROM c""")
+def hydration_counts(spark, d):  # noqa: ANN001, ANN201
+    return corpus.hydration(with_defaults(segment_records(spark, d)))
+
+
+@query(f"""SELECT o_orderkey AS k, sha256('{{"config_version":"{CFG.version}","model_revision":"{CFG.model_revision}","record":{{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}}}}') AS content,
+'raw-v1:{CFG.version}:{CFG.model_revision}:' || sha256('{{"status": " ' || o_orderstatus || '", "id": ' || o_orderkey || '}}') AS raw FROM orders""")
+def content_hashes(spark, d):  # noqa: ANN001, ANN201
+    """Hashes of records written with blanks and keys in another order."""
+    raw = F.concat(F.lit('{"status": " '), F.col("o_orderstatus"), F.lit('", "id": '), F.col("o_orderkey").cast("string"), F.lit("}"))
+    return t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), canonical.content_hash(raw, CFG.version, CFG.model_revision).alias("content"), canonical.raw_key(raw, CFG.version, CFG.model_revision).alias("raw"))
+
+
+@query("SELECT count(*) AS records, count(*) FILTER (WHERE k % 11 = 0) AS mismatches, round(1 - count(*) FILTER (WHERE k % 11 = 0) / count(*)::DOUBLE, 9) AS agreement FROM (SELECT o_custkey AS k FROM orders GROUP BY 1)")
+def rerun_determinism(spark, d):  # noqa: ANN001, ANN201
+    """Three runs over records, one of which differs on every eleventh."""
+    r = t(spark, d, "orders").select(F.col("o_custkey").alias("record_key")).distinct().select("record_key", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("run"))
+    h = F.sha2(F.concat_ws(":", F.col("record_key").cast("string"), F.when((F.col("record_key") % 11 == 0) & (F.col("run") == 3), "x").otherwise("")), 256)
+    return corpus.rerun_mismatches(r.withColumn("hash", h)).withColumn("agreement", F.round("agreement", 9))
