@@ -35,18 +35,34 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark then deletes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again.
 
     Later steps then start from files that survive a lost executor, not from
-    the lineage before them.
+    the lineage before them; the shuffle files of that lineage go at once.
     """
     spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
+    path, before = new_dir(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a cut that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def free(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()

@@ -89,7 +89,7 @@ class Block:
         self.ends = np.cumsum(self.sizes)
         self.data = data
         n = len(data)
-        self.doc = self.start = self.count = np.empty(0, np.int64)
+        self.doc = self.start = self.count = self.id = np.empty(0, np.int64)
         self.hash = np.empty(0, np.uint64)
         if n < LENGTH:
             return
@@ -121,6 +121,7 @@ class Block:
         good = inside[first]
         self.start, self.count = first[good], count[good]
         self.doc, self.hash = doc[self.start], m[self.start] >> np.uint64(6)
+        self.id = self.ids[self.doc]
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes, sorted, and which of them two documents of the block or more hold."""
@@ -152,9 +153,6 @@ class Block:
             found.setdefault(s, {}).setdefault(self.data[a:z], []).append(k)
         return found
 
-    def least(self, places: list[int]) -> int:
-        return int(self.ids[self.doc[places]].min())
-
 
 def _blocks(b: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
     for block, ids, sizes, data in zip(*[b.column(c) for c in ("block", "ids", "sizes", "data")], strict=True):
@@ -202,17 +200,19 @@ def _piece_batches(hash_shards: int, shards: int):  # noqa: ANN202
         for b in it:
             for (block, x), masks in zip(_blocks(b), b.column("masks"), strict=True):
                 found = x.pieces(x.flagged(hash_shards, _by_shard(masks, "mask")), shards)
-                rows = [(s, block, np.array([x.least(p) for p in d.values()], "<i8").tobytes(), np.array([len(k) for k in d], "<u2").tobytes(), b"".join(d)) for s, d in found.items()]
+                ids = x.id.tolist()
+                least = {s: [ids[p[0]] if len(p) == 1 else min(ids[k] for k in p) for p in d.values()] for s, d in found.items()}
+                rows = [(s, block, np.array(least[s], "<i8").tobytes(), np.array([len(k) for k in d], "<u2").tobytes(), b"".join(d)) for s, d in found.items()]
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["shard", "block", "least", "lengths", "data"])
 
     return run
 
 
-def _ranks(*keys: np.ndarray) -> np.ndarray:
-    """Ranks of the rows of one or two columns."""
-    key = keys[0] if len(keys) == 1 else (keys[0].astype(np.uint64) << np.uint64(32)) | keys[1].astype(np.uint64)
-    return np.unique(key, return_inverse=True)[1].astype(np.uint32)
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + count[0] - 1, then those of the next."""
+    before = np.cumsum(count) - count
+    return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
 class RunLengthIndex:
@@ -232,11 +232,9 @@ class RunLengthIndex:
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         end = np.cumsum(size)
         begin = end - size
-        r = _ranks(np.ndarray((n + 48,), np.dtype(">u8"), text, strides=(1,)).astype(np.uint64))
-        r = _ranks(r[:-8], r[8:])  # 16 bytes
-        r = _ranks(r[:-16], r[16:])  # 32
-        strings = np.concatenate([np.arange(a, z) for a, z in zip(begin.tolist(), (end - LENGTH + 1).tolist(), strict=True)])
-        rank = _ranks(r[strings], r[strings + LENGTH - 32])
+        count = size - LENGTH + 1
+        strings = _ranges(begin, count)
+        rank = self.ranks(text, strings)
         rows = np.argsort(rank, kind="stable")  # the suffix array, ties in text order
         group = rank[rows].astype(np.int64)
         before = np.full(n, self.NONE, np.int16)
@@ -256,6 +254,22 @@ class RunLengthIndex:
         self.entry = rank[np.searchsorted(strings, end - LENGTH)].astype(np.int64)
         self.text, self.begin, self.size = text, begin, size
 
+    @staticmethod
+    def ranks(text: np.ndarray, strings: np.ndarray) -> np.ndarray:
+        """Lexicographic ranks of the strings that start at some places; equal strings are found by hash and sorted once."""
+        words = np.ndarray((len(text) - 7,), np.dtype("<u8"), text, strides=(1,))
+        h = np.zeros(len(strings), np.uint64)
+        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            h = (h ^ words[strings + k]) * _M1
+            h ^= h >> np.uint64(29)
+        _, first, of = np.unique(h, return_index=True, return_inverse=True)
+        distinct = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[strings[first]]
+        # S strings compare as bytes but for zeros at the end, which equal nothing else of full length here
+        order = np.argsort(np.ascontiguousarray(distinct).view(f"S{LENGTH}").ravel(), kind="stable")
+        rank = np.empty(len(first), np.int64)
+        rank[order] = np.arange(len(first))
+        return rank[of]
+
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, documents): per piece the smallest document that holds each of its strings, right to left by run steps."""
         strings = self.size - LENGTH + 1
@@ -291,10 +305,11 @@ def _index(t: pd.DataFrame) -> pd.DataFrame:
     index = RunLengthIndex(names, np.array([seen[p] for p in names], np.int64))
     offsets, least = index.stream()
     number = {p: k for k, p in enumerate(names)}
+    count = np.diff(offsets)
     kept = []
     for shard, block, (pieces, docs) in zip(t["shard"], t["block"], sent, strict=True):
-        parts = [least[offsets[k] : offsets[k + 1]] < d for k, d in zip(map(number.__getitem__, pieces), docs, strict=True)]
-        bits = np.concatenate(parts)
+        k = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        bits = least[_ranges(offsets[k], count[k])] < np.repeat(np.array(docs, np.int64), count[k])
         if bits.any():
             kept.append((shard, block, np.packbits(bits).tobytes()))
     return pd.DataFrame(kept, columns=["shard", "block", "bits"])
@@ -307,19 +322,24 @@ def _marked(x: Block, found: dict[int, dict[bytes, list[int]]], bits: dict[int,
     """Whether each byte of the block is in a string to remove."""
     n = len(x.data)
     strings = np.zeros(n + 1, bool)
+    ids = x.id.tolist()
     for s, pieces in found.items():
-        flags, at = np.unpackbits(np.frombuffer(bits[s], np.uint8)).astype(bool) if s in bits else None, 0
-        for data, places in pieces.items():
-            count = len(data) - LENGTH + 1
-            own = flags[at : at + count] if flags is not None else None
-            at += count
-            least = x.least(places) if len(places) > 1 else None
-            for k in places:
+        places = list(pieces.values())
+        one = np.array([p[0] for p in places], np.int64)
+        count = x.count[one]
+        if s in bits:
+            flags = np.unpackbits(np.frombuffer(bits[s], np.uint8))[: int(count.sum())].astype(bool)
+            strings[_ranges(x.start[one], count)[flags]] = True
+            ends = np.cumsum(count).tolist()
+        for j, p in enumerate(places):
+            if len(p) == 1:
+                continue
+            least = min(ids[k] for k in p)
+            own = flags[ends[j] - count[j] : ends[j]] if s in bits else False
+            strings[x.start[p[0]] : x.start[p[0]] + count[j]] = False
+            for k in p:
                 a = x.start[k]
-                if least is not None and x.ids[x.doc[k]] > least:
-                    strings[a : a + count] = True
-                elif own is not None:
-                    strings[a : a + count] |= own
+                strings[a : a + count[j]] = True if ids[k] > least else own
     upto = np.cumsum(strings)
     covered = upto[:n].copy()
     covered[LENGTH:] -= upto[: max(0, n - LENGTH)]
