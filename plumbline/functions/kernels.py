@@ -163,11 +163,13 @@ def test_p_each(kind: pd.Series, xs: pd.Series, df1: pd.Series, df2: pd.Series,
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
-def normal_p_each(zs: pd.Series, one_tailed: pd.Series) -> pd.Series:
-    """p-values of arrays of z, two-sided unless one-tailed."""
-    z, n = _flat(zs)
-    p = normal_sf(z)
-    return _cut(np.where(np.repeat(one_tailed.to_numpy(bool), n), p, np.minimum(1.0, 2 * p)), n)
+def interval_p_each(ratios: pd.Series, level: pd.Series, one_tailed: pd.Series) -> pd.Series:
+    """p-values of arrays of |estimate| / half-width at a confidence level, two-sided unless one-tailed; null without a finite critical value."""
+    x, n = _flat(ratios)
+    critical = normal_ppf(1 - (1 - level.to_numpy(float) / 100) / 2)
+    p = normal_sf(x * np.repeat(critical, n))
+    out = _cut(np.where(np.repeat(one_tailed.to_numpy(bool), n), p, np.minimum(1.0, 2 * p)), n)
+    return out.where(pd.Series(np.isfinite(critical) & (critical > 0)), None)
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, free, table
+from plumbline.llm.common import cut, discard, free, table
 from plumbline.llm.graph import components
 
 N, PERCENT = 4, 85
@@ -151,6 +151,10 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     kind = flat.select("doc_id").schema
     docs = cut(flat.mapInArrow(_prefix_batches(n, percent), f"doc_id {kind[0].dataType.simpleString()}, th long, n int, node long, prefix array<long>"), "ngram-prefixes")
     posted = cut(index(docs, percent), "ngram-index")
+    first_of_class = F.col("prefix").isNotNull().alias("fresh")
+    narrow = cut(docs.select("doc_id", "th", "n", "node", first_of_class), "ngram-nodes")
+    discard(docs)
+    docs = narrow
     free(spark)
 
     # stars
@@ -161,7 +165,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     stars = cut(stars, "ngram-stars")
 
     # sets of all classes that are indexed and may meet another: one text each
-    chosen = docs.where("prefix IS NOT NULL").join(posted.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("c"))
+    chosen = docs.where("fresh").join(posted.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("c"))
     chosen = chosen.select("node", F.col("c.th").alias("th"), F.col("c.doc_id").alias("c_id"))
     texts = flat.join(chosen, (flat["th"] == chosen["th"]) & flat["doc_id"].eqNullSafe(chosen["c_id"]))
     segments = cut(texts.select("node", "text").mapInArrow(_segment_batches(n), "node long, fragment int, grams array<long>"), "ngram-segments")

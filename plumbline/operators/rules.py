@@ -195,21 +195,20 @@ def ci_check(d: DataFrame, cfg: Config) -> DataFrame:
     scaled = lambda x: F.when(ratio, F.log(F.when(x > 0, x))).otherwise(x)
     d = d.withColumn("x", F.array(*[scaled(e[k]) for k in ("estimate", "ci_lower", "ci_upper")]))
     d = d.withColumn("inside", (F.col("x")[1] <= F.col("x")[0]) & (F.col("x")[0] <= F.col("x")[2]))
-    d = d.withColumn("crit", K.normal_ppf_udf(1 - (1 - e["confidence_level"] / 100) / 2))
-
-    def box(value: str, places: str) -> Column:
-        h = I.pow10(e[places]) / 2
-        raw = F.array(e[value] - h, e[value], e[value] + h)
-        null = F.when(ratio, 1.0).otherwise(0.0)
-        raw = F.when((e[value] - h <= null) & (null <= e[value] + h), F.array_append(raw, null)).otherwise(raw)
-        return F.filter(F.transform(raw, scaled), lambda v: v.isNotNull())
-
-    d = d.withColumns({"bx": box("estimate", "estimate_decimals"), "bl": box("ci_lower", "ci_lower_decimals"), "bu": box("ci_upper", "ci_upper_decimals")})
-    z = lambda m, lo, hi: F.when((lo < hi) & (lo <= m) & (m <= hi), F.abs(m) * 2 * F.col("crit") / (hi - lo))
-    zs = F.flatten(F.flatten(F.transform("bx", lambda m: F.transform("bl", lambda lo: F.transform("bu", lambda hi: z(m, lo, hi))))))
-    point = F.abs(F.col("x")[0]) * 2 * F.col("crit") / (F.col("x")[2] - F.col("x")[1])
-    d = d.withColumn("zs", F.when(F.col("inside") & (F.col("crit") > 0), F.array_insert(F.array_compact(zs), 1, point)))
-    d = d.withColumn("ps", K.normal_p_each("zs", e["one_tailed"])).withColumn("box", F.slice("ps", 2, 65))
+
+    def box(value: str, places: str) -> list[Column]:
+        h, null = I.pow10(e[places]) / 2, F.when(ratio, 1.0).otherwise(0.0)
+        inside = (e[value] - h <= null) & (null <= e[value] + h)
+        return [scaled(e[value]), scaled(e[value] - h), scaled(e[value] + h), scaled(F.when(inside, null))]
+
+    # one lambda over all corners of the rounding boxes: a kernel's input must not nest lambdas
+    corners = itertools.product(box("estimate", "estimate_decimals"), box("ci_lower", "ci_lower_decimals"), box("ci_upper", "ci_upper_decimals"))
+    d = d.withColumn("corners", F.array(*[F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi")) for m, lo, hi in corners]))
+    fits = lambda c: (c["lo"] < c["hi"]) & (c["lo"] <= c["m"]) & (c["m"] <= c["hi"])
+    zs = F.array_compact(F.transform("corners", lambda c: F.when(fits(c), F.abs(c["m"]) * 2 / (c["hi"] - c["lo"]))))
+    point = F.abs(F.col("x")[0]) * 2 / (F.col("x")[2] - F.col("x")[1])
+    d = d.withColumn("zs", F.when(F.col("inside"), F.array_insert(zs, 1, point))).drop("corners")
+    d = d.withColumn("ps", K.interval_p_each("zs", e["confidence_level"], e["one_tailed"])).withColumn("box", F.slice("ps", 2, 65))
     d = d.withColumn("p", F.get("ps", F.lit(0))).withColumn("p_min", F.array_min("box")).withColumn("p_max", F.array_max("box"))
     left, right = F.col("x")[0] - F.col("x")[1], F.col("x")[2] - F.col("x")[0]
     d = d.withColumn("skew", F.when(F.least(left, right) > 0, F.greatest(left, right) / F.least(left, right)))
