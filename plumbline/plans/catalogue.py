@@ -243,8 +243,9 @@ for _kind in ("t", "F", "chi2", "r"):
 
 
 def _effects(spark: SparkSession, d: str, scale: str) -> DataFrame:
-    est = F.col("z") if scale == "additive" else F.round(F.exp(F.col("z") / 10), 2)
-    low, high = (F.round(est - 1.2, 2), F.round(est + 1.3, 2)) if scale == "additive" else (F.round(est * 0.8, 2), F.round(est * 1.3, 2))
+    cents = F.floor(F.exp(F.col("z") / 10) * 100).cast("bigint")
+    est = F.col("z") if scale == "additive" else cents / 100
+    low, high = (F.round(est - 1.2, 2), F.round(est + 1.3, 2)) if scale == "additive" else (F.floor(cents * 8 / 10) / 100, F.floor(cents * 13 / 10) / 100)
     e = F.struct(F.lit("e").alias("name"), est.alias("estimate"), low.alias("ci_lower"), high.alias("ci_upper"), F.lit(95.0).alias("confidence_level"), ((F.col("k") % 100) / 100.0).alias("reported_p"), F.lit("<").alias("p_operator"), *[F.lit(2).alias(x) for x in ("estimate_decimals", "ci_lower_decimals", "ci_upper_decimals", "p_decimals")], F.lit(scale).alias("scale"), F.lit(False).alias("one_tailed"), *[F.lit(None).cast("string").alias(x) for x in ("statistical_method_family", "applicability_tier")], F.lit(None).cast("bigint").alias("analysis_population_n"), F.lit("two_sided").alias("ci_sidedness"), *[F.lit(None).cast("string").alias(x) for x in ("parameter_type", "adjustment_comment")], F.array().cast("array<string>").alias("selected_groups"), F.lit(None).cast("string").alias("source"))
     r = with_defaults(customer_z(spark, d).select(F.col("k").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), F.array(e).alias("reported_effects")))
     c = rules.ci_check(r.select("record_key", F.posexplode("reported_effects").alias("seq", "e")), CFG)
@@ -256,7 +257,7 @@ def ci_to_p_additive(spark, d):  # noqa: ANN001, ANN201
     return _effects(spark, d, "additive")
 
 
-@query(f"WITH {_CUST}, b AS (SELECT k, round(exp(z / 10), 2) AS e FROM c), g AS (SELECT k, abs(ln(e)) * 2 * 1.959963984540054 / (ln(round(e * 1.3, 2)) - ln(round(e * 0.8, 2))) AS q FROM b) SELECT k AS key, round(least(1.0, 2 * {_TAIL.format(z='q')}), 6) AS p FROM g")
+@query(f"WITH {_CUST}, b AS (SELECT k, floor(exp(z / 10) * 100)::BIGINT AS e FROM c), g AS (SELECT k, abs(ln(e / 100)) * 2 * 1.959963984540054 / (ln((e * 13 // 10) / 100) - ln((e * 8 // 10) / 100)) AS q FROM b) SELECT k AS key, round(least(1.0, 2 * {_TAIL.format(z='q')}), 6) AS p FROM g")
 def ci_to_p_ratio(spark, d):  # noqa: ANN001, ANN201
     return _effects(spark, d, "ratio")
 
