@@ -4,16 +4,17 @@ A document's set holds the 64-bit hashes of its distinct word n-grams; the globa
 order of n-grams is the order of these hashes. Equal sets form a class, and
 classes are joined:
 
-1. Candidates. By a link's least overlap, two linked sets share at least k of the first
-   n - a + k n-grams of each (a: the least overlap). Of these prefixes, n-grams that
-   occur in one class only are dropped, and with them every class that has fewer than k
-   left; the others index only the rarest q - k + 1 of their q. A passage that
-   very many documents share is the commonest part of each prefix, so it is
-   indexed only where a document holds little else.
-2. Stars. In each posting list the smallest class is the centre; a class's
+1. Survivors. By a link's least overlap, two linked sets share at least k of the first
+   n - a + k n-grams of each (a: the least overlap). A class with fewer than k of its prefix in
+   other classes has no link.
+2. Index. Of the survivors' whole sets, the s n-grams of a set that another survivor holds are
+   counted. n - s may not exceed what a link can miss, and of the others the rarest are indexed,
+   as many as a link needs to meet in one. A passage that very many documents share is the
+   commonest part of a set, so it is indexed only where a document holds little else.
+3. Stars. In each posting list the class with the largest shared part is the centre; a class's
    candidate is the centre that it meets most often. Linked stars give first components.
-3. The rest. Pairs of one posting list whose classes are not in one component
-   yet; within a component no pair can change the result.
+4. The rest. Pairs of one posting list that lie in different components so far, and whose shared
+   parts allow the overlap; within a component no pair can change the result.
 
 Pairs are verified by vertical partitioning: the global order is cut into
 FRAGMENTS ranges, each set into its segments; a join on (class, fragment) counts
@@ -100,16 +101,17 @@ def _prefix_batches(n: int, percent: int):  # noqa: ANN202
 def _segment_batches(n: int):  # noqa: ANN202
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            nodes, frags, grams = [], [], []
-            for node, t in zip(b.column("node").to_pylist(), _texts(b), strict=True):
+            nodes, sizes, frags, grams = [], [], [], []
+            for node, size, t in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), _texts(b), strict=True):
                 s = shingles(t, n)
                 cuts = np.searchsorted(s >> np.uint64(32), np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 32) // FRAGMENTS))
                 for k, part in enumerate(np.split(s.view(np.int64), cuts)):
                     if len(part):
                         nodes.append(node)
+                        sizes.append(size)
                         frags.append(k)
                         grams.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(frags, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "fragment", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(frags, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "fragment", "grams"])
 
     return run
 
@@ -119,17 +121,30 @@ def _near(percent: int, a: str = "n_a", b: str = "n_b"):  # noqa: ANN202
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def index(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(gram, node, n): of each class that may have links the rarest n-grams of its prefix, enough to meet each link."""
+def survivors(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, n) of the classes that share enough of their prefix with others."""
     postings = docs.where("prefix IS NOT NULL").select("node", "n", F.explode("prefix").alias("gram"))
-    # classes that several batches hold post alike more than once
-    shared = postings.groupBy("gram").agg(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram", "c")
-    smallest = F.expr(f"({percent} * n + 99) div 100")
-    k = F.expr(f"(s - ({percent} * s + 99) div 100) div 2 + 1")
-    met = postings.join(shared, "gram").groupBy("node").agg(F.max("n").alias("n"), F.collect_set(F.struct("c", "gram")).alias("grams"))
-    met = met.withColumn("s", smallest).withColumn("k", k.cast("int")).where(F.size("grams") >= F.col("k"))
-    few = F.slice(F.array_sort("grams"), 1, F.size("grams") - F.col("k") + 1)
-    return met.select("node", "n", F.explode(few).alias("g")).select("g.gram", "node", "n")
+    # batches that hold the same class post it alike
+    shared = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
+    met = postings.select("gram", "node", "n").join(shared, "gram").groupBy("node", "n").agg(F.count_distinct("gram").alias("q"))
+    smallest = f"({percent} * n + 99) div 100"
+    k = F.expr(f"({smallest} - ({percent} * ({smallest}) + 99) div 100) div 2 + 1")
+    return met.where(F.col("q") >= k).select("node", "n")
+
+
+def index(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(gram, node, n, s): of each class its rarest shared n-grams, enough to meet each link; s is how many it shares."""
+    postings = segments.select("node", "n", F.explode("grams").alias("gram"))
+    shared = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("gram", "c")
+    met = postings.join(shared, "gram").groupBy("node", "n").agg(F.collect_set(F.struct("c", "gram")).alias("grams"))
+    room = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - s)").cast("int")
+    few = met.withColumn("s", F.size("grams")).withColumn("room", room).where("room > 0")
+    return few.select("node", "n", "s", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("room"))).alias("g")).select("g.gram", "node", "n", "s")
+
+
+def _fits(percent: int, n_a: str, s_a: str, n_b: str, s_b: str):  # noqa: ANN202
+    """Whether shared parts of these sizes allow the overlap of a link."""
+    return (100 + percent) * F.least(s_a, s_b) >= percent * (F.col(n_a) + F.col(n_b))
 
 
 def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -150,27 +165,29 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     flat = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
     kind = flat.select("doc_id").schema
     docs = cut(flat.mapInArrow(_prefix_batches(n, percent), f"doc_id {kind[0].dataType.simpleString()}, th long, n int, node long, prefix array<long>"), "ngram-prefixes")
-    posted = cut(index(docs, percent), "ngram-index")
-    first_of_class = F.col("prefix").isNotNull().alias("fresh")
-    narrow = cut(docs.select("doc_id", "th", "n", "node", first_of_class), "ngram-nodes")
+    alive = cut(survivors(docs, percent), "ngram-survivors")
+    narrow = cut(docs.select("doc_id", "th", "n", "node", F.col("prefix").isNotNull().alias("fresh")), "ngram-nodes")
     discard(docs)
     docs = narrow
     free(spark)
 
-    # stars
-    centre = posted.groupBy("gram").agg(F.min("node").alias("b"))
-    met = posted.join(centre, "gram").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c"), F.max("n").alias("n_a"))
-    sizes = posted.groupBy(F.col("node").alias("b")).agg(F.max("n").alias("n_b"))
-    stars = met.join(sizes, "b").where(_near(percent)).groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("c", "b")).alias("x")).select("a", "x.*")
-    stars = cut(stars, "ngram-stars")
-
-    # sets of all classes that are indexed and may meet another: one text each
-    chosen = docs.where("fresh").join(posted.select("node").distinct(), "node").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("c"))
-    chosen = chosen.select("node", F.col("c.th").alias("th"), F.col("c.doc_id").alias("c_id"))
+    # the survivors' whole sets, from one text each
+    chosen = docs.where("fresh").join(alive.select("node"), "node").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("c"), F.max("n").alias("n"))
+    chosen = chosen.select("node", "n", F.col("c.th").alias("th"), F.col("c.doc_id").alias("c_id"))
     texts = flat.join(chosen, (flat["th"] == chosen["th"]) & flat["doc_id"].eqNullSafe(chosen["c_id"]))
-    segments = cut(texts.select("node", "text").mapInArrow(_segment_batches(n), "node long, fragment int, grams array<long>"), "ngram-segments")
+    segments = texts.select("node", "n", "text").mapInArrow(_segment_batches(n), "node long, n int, fragment int, grams array<long>")
+    segments = cut(segments, "ngram-segments")
+    posted = cut(index(segments, percent), "ngram-index")
     free(spark)
 
+    # stars
+    best = F.max(F.struct((F.col("s") / F.col("n")).alias("share"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))).alias("x")
+    centre = posted.groupBy("gram").agg(best).select("gram", "x.b", "x.n_b", "x.s_b")
+    pairs = posted.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")).join(centre, "gram")
+    met = pairs.where((F.col("a") != F.col("b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    stars = met.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("c", "b")).alias("x")).select("a", "x.*")
+    stars = cut(stars, "ngram-stars")
+
     def linked(pairs: DataFrame) -> DataFrame:
         both = overlaps(pairs, segments).join(pairs, ["a", "b"])
         return both.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -180,11 +197,14 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     group = components(first)
 
     # the rest: pairs of a posting list that lie in different components so far
-    tagged = cut(posted.join(group, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("g")), "ngram-tagged")
-    open_lists = tagged.groupBy("gram").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("gram")
-    left_over = tagged.join(open_lists, "gram")
-    x, y = (left_over.select("gram", F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("g").alias(f"g_{s}")) for s in "ab")
-    rest = x.join(y, "gram").where((F.col("g_a") < F.col("g_b")) & _near(percent)).select("a", "b", "n_a", "n_b").distinct()
+    tagged = cut(posted.join(group, "node", "left").select("gram", "node", "n", "s", F.coalesce("component", "node").alias("g")), "ngram-tagged")
+    lists = tagged.groupBy("gram").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("gram", "least")
+    # a partner has n-grams enough: at least the list's smallest number, and the share of one's own
+    partner = F.greatest(F.col("least"), F.expr(f"({percent} * n + 99) div 100"))
+    left_over = tagged.join(lists, "gram").where((100 + percent) * F.col("s") >= percent * (F.col("n") + partner))
+    x, y = (left_over.select("gram", *[F.col(c).alias(f"{k}_{i}") for c, k in (("node", "v"), ("n", "n"), ("s", "s"), ("g", "g"))]) for i in "ab")
+    rest = x.join(y, "gram").where((F.col("g_a") < F.col("g_b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b"))
+    rest = rest.select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), "n_a", "n_b").distinct()
     rest = cut(rest, "ngram-rest")
     more = cut(linked(rest), "ngram-links")
     free(spark)
