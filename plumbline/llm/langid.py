@@ -122,7 +122,7 @@ class Model:
     @classmethod
     def fit(cls, counts) -> Model:  # noqa: ANN001
         """counts: a pandas frame of summed count_batches rows."""
-        m = cls(sorted(counts["lang"].unique()))
+        m = cls(sorted(counts["lang"].unique().tolist()))
         prob = None
         for n in range(1, ORDER + 1):
             at_n = counts[counts["n"] == n]
@@ -205,7 +205,8 @@ def fit(df: DataFrame, rows: int = FIT_ROWS) -> Model:
     counted = drawn.where(~calibrating).mapInArrow(count_batches, "lang string, n int, gram long, context long, suffix long, count long")
     sums = counted.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("count").alias("count"))
     commonest = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("count"), "gram"))
-    m = Model.fit(sums.withColumn("r", commonest).where(F.col("r") <= TYPES).drop("r").toPandas())
+    # as an Arrow table: rows of Python objects would take many times the memory on the driver
+    m = Model.fit(sums.withColumn("r", commonest).where(F.col("r") <= TYPES).drop("r").toArrow().to_pandas(categories=["lang"]))
 
     def entropies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
