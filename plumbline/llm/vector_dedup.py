@@ -218,8 +218,9 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", c
     rest = raw.where(F.col("unit").isNull() | (F.size("unit") != width)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return rest
-    drawn = good.select("unit", F.xxhash64("row").alias("h")).orderBy("h").limit(FIT).collect()
-    c = centroids(np.array([r["unit"] for r in drawn]), max(1, min(CENTROIDS, len(drawn), n // SHARD)))
+    drawn = good.select("unit", F.xxhash64("row").alias("h")).orderBy("h").limit(FIT).toArrow()
+    c = centroids(drawn.column("unit").combine_chunks().flatten().to_numpy().reshape(drawn.num_rows, width), max(1, min(CENTROIDS, drawn.num_rows, n // SHARD)))
+    del drawn
     shared = spark.sparkContext.broadcast(c)
 
     def nearest(count: int):  # noqa: ANN202
