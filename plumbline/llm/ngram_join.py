@@ -12,9 +12,12 @@ classes are joined:
    as many as a link needs to meet in one. A passage that very many documents share is the
    commonest part of a set, so it is indexed only where a document holds little else.
 3. Stars. In each posting list the class with the largest shared part is the centre; a class's
-   candidate is the centre that it meets most often. Linked stars give first components.
+   candidate is the centre that it meets most often. The same is done once more with what classes
+   hold beside that centre. Linked stars give first components.
 4. The rest. Pairs of one posting list that lie in different components so far, and whose shared
-   parts allow the overlap; within a component no pair can change the result.
+   parts allow the overlap; within a component no pair can change the result. Two classes of one
+   centre, one of which overlaps too little with it, must share something beside it, so they are
+   only looked for in the lists of n-grams beside the centre.
 
 Pairs are verified by vertical partitioning: the global order is cut into
 FRAGMENTS ranges, each set into its segments; a join on (class, fragment) counts
@@ -147,16 +150,33 @@ def _fits(percent: int, n_a: str, s_a: str, n_b: str, s_b: str):  # noqa: ANN202
     return (100 + percent) * F.least(s_a, s_b) >= percent * (F.col(n_a) + F.col(n_b))
 
 
-def overlaps(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, overlap) of pairs (a, b): partial overlaps fragment by fragment, summed per pair.
+def parts(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(a, b, fragment, part, extra) of pairs (a, b): each fragment's overlap, and a's n-grams that b lacks.
 
     Rows that repeat bring their segments again; each fragment of a pair counts once.
     """
     left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
     right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    parts = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-    each = parts.groupBy("a", "b", "fragment").agg(F.max(F.size(F.array_intersect("grams_a", "grams_b"))).alias("part"))
-    return each.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
+    each = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"], "left")
+    grams_b = F.coalesce("grams_b", F.array().cast("array<bigint>"))
+    each = each.select("a", "b", "fragment", F.size(F.array_intersect("grams_a", grams_b)).alias("part"), F.array_except("grams_a", grams_b).alias("extra"))
+    return each.dropDuplicates(["a", "b", "fragment"])
+
+
+def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """pairs (a, b, n_a, n_b) with the overlap (partial overlaps summed per pair) and whether they link."""
+    sums = parts(pairs, segments).groupBy("a", "b").agg(F.sum("part").alias("overlap"))
+    both = pairs.join(sums, ["a", "b"])
+    return both.withColumn("link", 100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
+
+
+def stars(posted: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): for each class the centre of posting lists that it meets most often."""
+    best = F.max(F.struct((F.col("s") / F.col("n")).alias("share"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))).alias("x")
+    centre = posted.groupBy("gram").agg(best).select("gram", "x.b", "x.n_b", "x.s_b")
+    pairs = posted.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")).join(centre, "gram")
+    met = pairs.where((F.col("a") != F.col("b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
+    return met.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("c", "b")).alias("x")).select("a", "x.*")
 
 
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -180,35 +200,39 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     posted = cut(index(segments, percent), "ngram-index")
     free(spark)
 
-    # stars
-    best = F.max(F.struct((F.col("s") / F.col("n")).alias("share"), F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("s").alias("s_b"))).alias("x")
-    centre = posted.groupBy("gram").agg(best).select("gram", "x.b", "x.n_b", "x.s_b")
-    pairs = posted.select("gram", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("s").alias("s_a")).join(centre, "gram")
-    met = pairs.where((F.col("a") != F.col("b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("c"))
-    stars = met.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("c", "b")).alias("x")).select("a", "x.*")
-    stars = cut(stars, "ngram-stars")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        both = overlaps(pairs, segments).join(pairs, ["a", "b"])
-        return both.where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    first = cut(linked(stars), "ngram-links")
+    # stars, and then stars of what classes hold beside their first centre
+    first = cut(linked(cut(stars(posted, percent), "ngram-stars"), segments, percent), "ngram-links")
+    one = posted.select("node", "n", "s").distinct()
+    hub = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("overlap").alias("o"))
+    extra = parts(first, segments).select(F.col("a").alias("node"), F.explode("extra").alias("gram"))
+    extra = cut(extra.join(one, "node"), "ngram-extras")
+    again = cut(linked(cut(stars(extra, percent), "ngram-stars"), segments, percent), "ngram-links")
     free(spark)
-    group = components(first)
+    edges = [x.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")) for x in (first, again)]
+    group = components(edges[0].unionByName(edges[1]))
 
     # the rest: pairs of a posting list that lie in different components so far
-    tagged = cut(posted.join(group, "node", "left").select("gram", "node", "n", "s", F.coalesce("component", "node").alias("g")), "ngram-tagged")
-    lists = tagged.groupBy("gram").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("least")).where("lo < hi").select("gram", "least")
-    # a partner has n-grams enough: at least the list's smallest number, and the share of one's own
-    partner = F.greatest(F.col("least"), F.expr(f"({percent} * n + 99) div 100"))
-    left_over = tagged.join(lists, "gram").where((100 + percent) * F.col("s") >= percent * (F.col("n") + partner))
-    x, y = (left_over.select("gram", *[F.col(c).alias(f"{k}_{i}") for c, k in (("node", "v"), ("n", "n"), ("s", "s"), ("g", "g"))]) for i in "ab")
-    rest = x.join(y, "gram").where((F.col("g_a") < F.col("g_b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b"))
-    rest = rest.select(F.col("v_a").alias("a"), F.col("v_b").alias("b"), "n_a", "n_b").distinct()
-    rest = cut(rest, "ngram-rest")
-    more = cut(linked(rest), "ngram-links")
+    about = cut(one.join(hub, "node", "left").join(group, "node", "left").select("node", "n", "s", F.coalesce("hub", "node").alias("hub"), F.coalesce("o", "n").alias("o"), F.coalesce("component", "node").alias("g")), "ngram-about")
+
+    def rest(lists: DataFrame, keys: list[str], apart):  # noqa: ANN001, ANN202
+        tagged = lists.select("gram", "node").join(about, "node")
+        open_ = tagged.groupBy(*keys).agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("least")).where("lo < hi").select(*keys, "least")
+        # a partner has n-grams enough: at least the list's smallest number, and the share of one's own
+        partner = F.greatest(F.col("least"), F.expr(f"({percent} * n + 99) div 100"))
+        left = tagged.join(open_, keys).where((100 + percent) * F.col("s") >= percent * (F.col("n") + partner))
+        x, y = (left.select(*keys, *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "s", "g", "o", *({"hub"} - {*keys}))]) for i in "ab")
+        met = x.join(y, keys).where((F.col("g_a") < F.col("g_b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b") & apart)
+        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
+
+    # What two classes of one centre share beside it is missing from the overlap with the centre: if that is too
+    # small for one of them, they need a common n-gram beside the centre, and meet in the lists of those.
+    short = (100 + percent) * F.least("o_a", "o_b") < percent * (F.col("n_a") + F.col("n_b"))
+    some = rest(posted, ["gram"], ~((F.col("hub_a") == F.col("hub_b")) & short))
+    beside = rest(extra, ["gram", "hub"], short)
+    left_over = cut(some.unionByName(beside).distinct(), "ngram-rest")
+    more = cut(linked(left_over, segments, percent).where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-links")
     free(spark)
-    final = components(first.unionByName(more))
+    final = components(edges[0].unionByName(edges[1]).unionByName(more))
 
     ids = docs.where("node IS NOT NULL").join(final, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
