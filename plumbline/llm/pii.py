@@ -94,8 +94,9 @@ def discover(texts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFr
 
     edges: rows (pattern, instance, is_seed, n), each pair once.
     """
-    firm = edges.groupBy("pattern").agg(F.count(F.when(F.col("is_seed"), 1)).alias("seeds"), F.count("*").alias("any"))
-    wanted = firm.where((F.col("seeds") >= MIN_SEEDS) & (F.col("any") > F.col("seeds"))).select("pattern")
+    # What a round discovers can be another pattern's only seeds, so unseen instances count here too.
+    firm = edges.groupBy("pattern").agg(F.count(F.when(~F.col("is_seed"), 1)).alias("unseen"), F.count("*").alias("any"))
+    wanted = firm.where((F.col("any") >= MIN_SEEDS) & (F.col("unseen") > 0)).select("pattern")
     totals = cut(_pattern_totals(texts, wanted), "pii-patterns")
     edges = cut(edges.join(totals, "pattern"), "pii-edges")
     known = edges.where("is_seed").select("instance").distinct().withColumn("score", F.lit(1.0))

@@ -105,6 +105,16 @@ def test_pii_context_discovery(spark):
     assert pii.scan(df.limit(0)).count() == 0
 
 
+def test_pii_patterns_reached_in_the_second_round(spark):
+    """Only what round 1 finds behind 'contact:' stands behind 'badge'; the last badge is found through it."""
+    rows = [(i, f"contact: p{'abcdefghi'[i]}@x.org now{'abcdefghi'[i]}") for i in range(9)]
+    rows += [(10 + i, f"contact: X-1234-9{i} end{'abc'[i]}") for i in range(3)]
+    rows += [(20 + i, f"badge X-1234-9{i % 3} so{'abcdef'[i]}") for i in range(6)] + [(30, "badge Y-77-812 away")]
+    got = {r.doc_id: r.s for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", S.written(F.col("spans")).alias("s")).collect()}
+    assert got[10] == "context:9:18"
+    assert got[30] == "context:6:14"
+
+
 def test_base_sha_is_of_the_written_spans(spark):
     df = spark.createDataFrame([(1, "mail a@b.co now", "s")], "doc_id long, text string, source string")
     row = pii.scan(df).select(F.sha2(S.written(F.col("base")), 256).alias("h")).first()
