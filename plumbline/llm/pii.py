@@ -1,8 +1,9 @@
 """Personal data: base patterns, and identifiers that bootstrapped contexts discover.
 
 The base patterns give the seed entities. The word before and the word after each
-seed are lexical patterns; a pattern's score is the share of all its occurrences
-in the corpus that stand at a known entity. Tokens with digits that no base
+seed are lexical patterns (spans and punctuation end words, in contexts and in
+totals alike); a pattern's score is the share of all its occurrences in the corpus
+that stand at a known entity. Tokens with digits that no base
 pattern covers are the unseen instances; an instance's score joins the scores of
 the high-confidence patterns that it occurs with (noisy or). Instances over the
 threshold become seeds of the next round, and after the last one spans of kind
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import spans as S
-from plumbline.llm.common import cut, table, words
+from plumbline.llm.common import cut, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -35,6 +36,11 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: A token of an unseen identifier: at least six characters, three of them digits.
 TOKEN = r"(?<![A-Za-z0-9@._+/=-])(?=[A-Za-z@._+/=-]{0,40}[0-9])[A-Za-z0-9@._+/=-]{6,}+"
 
+#: Words of context: left of a span punctuation ends a word ("id:"), right of it punctuation is a word of its own.
+PUNCT = r"!-/:-@\[-`{-~"
+BORDERS = {"L": rf"[^\x20\x09-\x0D{PUNCT}]*+[{PUNCT}]++|[^\x20\x09-\x0D{PUNCT}]++", "R": rf"[{PUNCT}]++|[^\x20\x09-\x0D{PUNCT}]++"}
+BLOCKS = f"array<struct<gap:string,start:int,end:int,spans:{S.SPAN}>>"
+
 ROUNDS = 2
 #: A pattern counts from so many different seeds and this share of its occurrences on.
 MIN_SEEDS = 3
@@ -73,26 +79,53 @@ def _word(s: Column) -> Column:
     return F.regexp_replace(F.lower(s), "[0-9]", "0")
 
 
-def _contexts(text: Column, span: Column) -> Column:
-    """The patterns at a span: the word that ends just before it and the one that starts just after."""
-    before = F.substring(text, F.greatest(span["start"] - 40, F.lit(0)) + 1, F.least(span["start"], F.lit(40)))
-    after = F.substring(text, span["end"] + 1, F.lit(40))
-    left = F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1)
-    right = F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1)
-    pats = F.array(F.concat(F.lit("L:"), _word(left)), F.concat(F.lit("R:"), _word(right)))
+def _pieces(text: Column, spans: Column) -> Column:
+    """The text cut at its spans (by start): per block of overlapping spans the gap before it, its text and its spans, then the last gap."""
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(BLOCKS).alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        size = F.size(a["out"])
+        last = F.get(a["out"], size - 1)
+        wider = F.struct(last["gap"].alias("gap"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.concat(last["spans"], F.array(s)).alias("spans"))
+        fresh = F.struct(F.substring(text, a["at"] + 1, s["start"] - a["at"]).alias("gap"), s["start"].alias("start"), s["end"].alias("end"), F.array(s).alias("spans"))
+        out = F.when(s["start"] < a["at"], F.concat(F.slice(a["out"], 1, F.greatest(size - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(a["out"], F.array(fresh)))
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
+
+    def close(a: Column) -> Column:
+        body = lambda x: F.struct(x["gap"].alias("gap"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("body"), x["spans"].alias("spans"))
+        tail = F.struct(F.substring(text, a["at"] + 1, F.length(text)).alias("gap"), F.lit("").alias("body"), F.array().cast(S.SPAN).alias("spans"))
+        return F.concat(F.transform(a["out"], body), F.array(tail))
+
+    return F.aggregate(spans, empty, step, close)
+
+
+def _heard(side: str) -> Column:
+    """All words of a row's pieces as patterns of one side; a block of spans is one word."""
+    find = lambda p: F.regexp_extract_all(_word(p["gap"]), F.lit(BORDERS[side]), F.lit(0))
+    found = F.flatten(F.transform("pieces", lambda p: F.concat(find(p), F.array(_word(p["body"])))))
+    return F.transform(F.filter(found, lambda w: w != ""), lambda w: F.concat(F.lit(f"{side}:"), w))
+
+
+def _contexts(p: Column, i: Column) -> Column:
+    """The patterns at the spans of piece i: of the words that _heard counts the one just before and the one just after."""
+    before, after = F.get("pieces", i - 1), F.get("pieces", i + 1)
+    all_left = F.regexp_extract_all(_word(p["gap"]), F.lit(BORDERS["L"]), F.lit(0))
+    left = F.coalesce(F.get(all_left, F.size(all_left) - 1), _word(before["body"]), F.lit(""))
+    right = F.coalesce(F.get(F.regexp_extract_all(_word(after["gap"]), F.lit(BORDERS["R"]), F.lit(0)), F.lit(0)), _word(after["body"]), F.lit(""))
+    pats = F.array(F.concat(F.lit("L:"), left), F.concat(F.lit("R:"), right))
     return F.filter(pats, lambda p: F.length(p) > 2)
 
 
 def _pattern_totals(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(pattern, total): how often the wanted patterns' words occur in all texts."""
-    heard = texts.select(F.explode(F.transform(words(F.col("text")), _word)).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
-    return wanted.withColumn("word", F.expr("substring(pattern, 3)")).join(heard, "word").select("pattern", "total")
+    heard = texts.select(F.explode(F.concat(_heard("L"), _heard("R"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
+    return wanted.join(heard, "pattern")
 
 
 def discover(texts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(instance, score) of the unseen instances that high-confidence patterns lead to.
 
-    edges: rows (pattern, instance, is_seed, n), each pair once.
+    texts: pieces. edges: rows (pattern, instance, is_seed, n), each pair once.
     """
     # What a round discovers can be another pattern's only seeds, so unseen instances count here too.
     firm = edges.groupBy("pattern").agg(F.count(F.when(~F.col("is_seed"), 1)).alias("unseen"), F.count("*").alias("any"))
@@ -102,12 +135,12 @@ def discover(texts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFr
     known = edges.where("is_seed").select("instance").distinct().withColumn("score", F.lit(1.0))
     for _ in range(rounds):
         scored = edges.join(known.where(F.col("score") >= MIN_INSTANCE_SCORE), "instance").groupBy("pattern").agg(
-            (F.sum(F.col("n") * F.col("score")) / F.first("total")).alias("weight"), F.count("*").alias("seeds")
+            F.round(F.sum(F.col("n") * F.col("score")) / F.first("total"), 9).alias("weight"), F.count("*").alias("seeds")
         ).where((F.col("seeds") >= MIN_SEEDS) & (F.col("weight") >= MIN_PATTERN_SCORE))
         doubt = F.log1p(-F.least(F.col("weight"), F.lit(0.999)))
         found = edges.where("NOT is_seed").join(scored, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(doubt))).alias("score"))
         seeds = edges.where("is_seed").select("instance").distinct().withColumn("score", F.lit(1.0))
-        known = cut(seeds.unionByName(found), "pii-scores")
+        known = cut(seeds.unionByName(found.join(seeds, "instance", "left_anti")), "pii-scores")
     return known.join(edges.where("is_seed").select("instance").distinct(), "instance", "left_anti").where(F.col("score") >= MIN_INSTANCE_SCORE)
 
 
@@ -116,14 +149,16 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     t = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     d = t.select("doc_id", "text", F.sha2("text", 256).alias("hash"), base_spans(F.col("text")).alias("base"), S.find(F.col("text"), TOKEN, "context", 4, lambda m: m.rlike("[0-9].*[0-9].*[0-9]")).alias("wide"))
     d = d.withColumn("wide", S.outside(F.col("wide"), F.col("base")))
-    seen = lambda s, seed: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"), F.lit(seed).alias("is_seed"), _contexts(F.col("text"), s).alias("patterns"))
-    d = d.select("doc_id", "hash", "base", F.concat(F.transform("base", lambda s: seen(s, True)), F.transform("wide", lambda s: seen(s, False))).alias("seen"))
+    d = d.select("doc_id", "hash", "base", _pieces(F.col("text"), S.merged(F.col("base"), F.col("wide"))).alias("pieces"))
     d = cut(d.withColumn("row", F.monotonically_increasing_id()), "pii-spans")
-    each = d.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*", F.sha2(F.lower("s.text"), 256).alias("instance"))
-    edges = each.select("instance", "is_seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(
-        F.max("is_seed").alias("is_seed"), F.count("*").alias("n")
+    # Overlapping spans share the one place of their contexts, so that no pattern has more places than its total.
+    seen = F.transform("pieces", lambda p, i: F.struct(p["spans"].alias("spans"), (F.lit(1.0) / F.greatest(F.size(p["spans"]), F.lit(1))).alias("share"), _contexts(p, i).alias("patterns")))
+    each = d.where(F.size("pieces") > 1).select("row", F.explode(seen).alias("b")).select("row", "b.share", "b.patterns", F.explode("b.spans").alias("s"))
+    each = each.select("row", "share", "patterns", "s.start", "s.end", "s.kind", "s.text", (F.col("s.kind") != "context").alias("is_seed"), F.sha2(F.lower("s.text"), 256).alias("instance"))
+    edges = each.select("instance", "is_seed", "share", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(
+        F.max("is_seed").alias("is_seed"), F.sum("share").alias("n")
     )
-    found = discover(t, edges)
+    found = discover(d.select("pieces"), edges)
     extra = each.where("NOT is_seed").join(found, "instance").groupBy("row").agg(
         F.collect_list(F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"), F.col("kind"), F.col("text"))).alias("extra")
     )

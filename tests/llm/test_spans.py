@@ -115,6 +115,26 @@ def test_pii_patterns_reached_in_the_second_round(spark):
     assert got[30] == "context:6:14"
 
 
+def test_pii_attached_contexts(spark):
+    """'id:' at an address leads to what is written 'id:...'; a comma, though it follows addresses, leads to no date."""
+    rows = [(i, f"see id:p{'abcdefgh'[i]}@x.org, then{'abcdefgh'[i]}") for i in range(8)]
+    rows += [(20, "see id:QX-5512-778 there"), (21, "on 2024-01-05, they"), (22, "a , b")]
+    rows += [(30 + i, "one, two, three, four, five") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.scan(df).select("doc_id", S.written(F.col("spans")).alias("s")).collect()}
+    assert got[0] == "email:7:15" and got[20] == "context:7:18"
+    assert got[21] == got[22] == got[30] == ""
+
+
+def test_pii_pieces_cover_the_text(spark):
+    rows = [(i, t or "") for i, t in enumerate(texts())]
+    d = spark.createDataFrame(rows, "doc_id long, text string").select("text", pii.base_spans(F.col("text")).alias("base"))
+    d = d.select("text", "base", pii._pieces(F.col("text"), F.col("base")).alias("pieces"))
+    for r in d.collect():
+        assert "".join(p.gap + p.body for p in r.pieces) == r.text
+        assert [s for p in r.pieces for s in p.spans] == r.base
+
+
 def test_base_sha_is_of_the_written_spans(spark):
     df = spark.createDataFrame([(1, "mail a@b.co now", "s")], "doc_id long, text string, source string")
     row = pii.scan(df).select(F.sha2(S.written(F.col("base")), 256).alias("h")).first()
