@@ -44,7 +44,7 @@ SHARD, BLOCK = 1000, 2048
 OVERLAP, AUDIT, MIN_RECALL = 2, 128, 0.95
 #: A ball's radius, as a share of the angle of a link; under a half, members all link.
 RADIUS = 0.25
-NEAR, DEGREE, ALPHA, BEAM, WIDEST = 48, 16, 1.2, 24, 64
+NEAR, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
 
 
 def _matrix(column) -> np.ndarray:  # noqa: ANN001
@@ -130,9 +130,25 @@ def _build(t: pd.DataFrame) -> pd.DataFrame:
     return edges.groupby("ball", sort=False)["near"].agg(lambda s: list(dict.fromkeys(s))).reset_index()
 
 
-def search(x: np.ndarray, near: np.ndarray, radius: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, found) places within the limit, radii allowed for. near: neighbours by row, -1 for none."""
+def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x[a] . x[b], pair by pair, in pieces of bounded memory."""
+    parts = [np.einsum("pd,pd->p", x[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)]
+    return np.concatenate([np.empty(0), *parts])
+
+
+def _fan(start: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The neighbours of rows at: (place in at, place in its list, neighbour)."""
+    sizes = start[at + 1] - start[at]
+    of = np.repeat(np.arange(len(at)), sizes)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return of, place, flat[start[at][of] + place]
+
+
+def search(x: np.ndarray, lists: list[list[int]], radius: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, found) places within the limit, radii allowed for. lists: neighbours by row, of any length."""
     n = len(x)
+    start = np.concatenate([[0], np.cumsum([len(a) for a in lists])]).astype(np.int64)
+    flat = np.array([b for a in lists for b in a], np.int64)
     medoid = int((x @ x.mean(0)).argmax())
     reach = np.cos(np.minimum(limit + radius + radius.max(initial=0.0), math.pi))
     pairs_q, pairs_v = [], []
@@ -151,13 +167,12 @@ def search(x: np.ndarray, near: np.ndarray, radius: np.ndarray, limit: float) ->
                 break
             at = beam[live, best[live]]
             done[live, at] = True
-            more = near[at]
-            fresh = (more >= 0) & ~seen[live[:, None], more]
-            seen[np.broadcast_to(live[:, None], more.shape)[fresh], more[fresh]] = True
-            new = np.full((len(q), more.shape[1]), -2.0)
-            new[live] = np.where(fresh, np.einsum("qbd,qd->qb", x[more], x[q[live]]), -2.0)
-            ids = np.zeros(new.shape, np.int64)
-            ids[live] = np.maximum(more, 0)
+            of, place, more = _fan(start, flat, at)
+            fresh = ~seen[live[of], more]
+            of, place, more = live[of[fresh]], place[fresh], more[fresh]
+            seen[of, more] = True
+            new, ids = np.full((len(q), place.max(initial=0) + 1), -2.0), np.zeros((len(q), place.max(initial=0) + 1), np.int64)
+            new[of, place], ids[of, place] = _dots(x, more, q[of]), more
             beam, sims = np.concatenate([beam, ids], 1), np.concatenate([sims, new], 1)
             top = np.argsort(-sims, axis=1, kind="stable")[:, :BEAM]
             beam, sims = np.take_along_axis(beam, top, 1), np.take_along_axis(sims, top, 1)
@@ -166,16 +181,20 @@ def search(x: np.ndarray, near: np.ndarray, radius: np.ndarray, limit: float) ->
         got = np.zeros((len(q), n), bool)
         got[fq, fv] = True
         while len(fq):  # the range, through the neighbours of all that was found in it
-            more = near[fv]
-            a = np.broadcast_to(fq[:, None], more.shape)[more >= 0]
-            b = more[more >= 0]
-            key = np.unique(a * n + b)
-            a, b = key // n, key % n
-            fresh = ~got[a, b]
-            a, b = a[fresh], b[fresh]
-            ok = np.einsum("pd,pd->p", x[q[a]], x[b]) >= reach[q[a]]
-            fq, fv = a[ok], b[ok]
-            got[fq, fv] = True
+            step = np.cumsum(start[fv + 1] - start[fv]) // 2**20
+            next_q, next_v = [], []
+            for k in np.unique(step):
+                part = step == k
+                of, _, b = _fan(start, flat, fv[part])
+                key = np.unique(fq[part][of] * n + b)
+                a, b = key // n, key % n
+                fresh = ~got[a, b]
+                a, b = a[fresh], b[fresh]
+                ok = _dots(x, q[a], b) >= reach[q[a]]
+                got[a[ok], b[ok]] = True
+                next_q.append(a[ok])
+                next_v.append(b[ok])
+            fq, fv = np.concatenate(next_q), np.concatenate(next_v)
         a, b = np.nonzero(got)
         pairs_q.append(q[a])
         pairs_v.append(b)
@@ -186,13 +205,10 @@ def _search(limit: float):  # noqa: ANN202
     def run(t: pd.DataFrame) -> pd.DataFrame:
         ids, x, radius = t["ball"].to_numpy(), _matrix(t["unit"]), t["radius"].to_numpy()
         place = {b: k for k, b in enumerate(ids.tolist())}
-        lists = [[place[b] for b in ([] if a is None else a) if b in place][:WIDEST] for a in t["near"]]
-        near = np.full((len(ids), max([1, *map(len, lists)])), -1, np.int64)
-        for k, a in enumerate(lists):
-            near[k, : len(a)] = a
-        a, b = search(x, near, radius, limit)
-        one = ids[a] < ids[b]
-        return pd.DataFrame({"a": ids[a][one], "b": ids[b][one]}).drop_duplicates()
+        lists = [[place[b] for b in ([] if a is None else a) if b in place] for a in t["near"]]
+        a, b = search(x, lists, radius, limit)
+        two, a, b = a != b, ids[a], ids[b]
+        return pd.DataFrame({"a": np.minimum(a, b)[two], "b": np.maximum(a, b)[two]}).drop_duplicates()
 
     return run
 
@@ -246,7 +262,7 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", c
         homes = leaders.select(F.col("ball").alias("row"), "unit").mapInArrow(nearest(overlap), "row long, shards array<long>").select(F.col("row").alias("ball"), F.explode("shards").alias("shard"))
         placed = cut(homes.join(leaders.select("ball", "unit", "radius"), "ball"), "vector-placed")
         lists = placed.groupBy("shard").applyInPandas(lambda t: _build(t), "ball long, near array<long>")
-        united = cut(lists.groupBy("ball").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "vector-graph")
+        united = cut(lists.groupBy("ball").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "vector-graph")
         found = placed.join(united, "ball", "left").groupBy("shard").applyInPandas(_search(limit), "a long, b long").distinct()
         ends = [leaders.select(F.col("ball").alias(s), F.col("v").alias(f"v_{s}"), F.col("radius").alias(f"r_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab"]
         near = found.join(ends[0], "a").join(ends[1], "b").withColumn("cos", _cosine("v_a", "v_b"))

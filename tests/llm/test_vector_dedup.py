@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from plumbline.llm import vector_dedup as V
 from pyspark.sql import functions as F
 
@@ -58,3 +59,19 @@ def test_all_alike_and_empty(spark):
     assert {tuple(x)[1:3] for x in V.dedup(df).collect()} == {(49, 0)}
     assert V.dedup(df.limit(0)).count() == 0
     assert V.dedup(df.limit(1)).count() == 1
+
+
+def test_links_found_from_either_end_and_through_long_lists(spark):
+    """A hub of 100 neighbours keeps them all, and a link that only the larger id's search reaches stays."""
+    n = 101
+    x = np.eye(n + 1)[:n] * 0.3
+    x[:, n] = 1.0
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    limit = float(np.arccos((x @ x.T).min())) + 1e-6
+    lists = [list(range(1, n))] + [[] for _ in range(n - 1)]
+    shard = lambda near: pd.DataFrame({"ball": np.arange(n), "unit": list(x), "radius": np.zeros(n), "near": near})
+    got = V._search(limit)(shard(lists))
+    assert {(0, k) for k in range(1, n)} <= set(zip(got["a"], got["b"], strict=True))
+    lists = [[] for _ in range(n - 1)] + [list(range(n - 1))]
+    got = V._search(limit)(shard(lists))
+    assert {(k, n - 1) for k in range(n - 1)} <= set(zip(got["a"], got["b"], strict=True))
