@@ -13,8 +13,9 @@
 4. Verification by the cosine in double precision. Two balls whose angle less the radii
    is within the limit link; if the angle plus the radii is, all their members do,
    else members are compared one by one.
-5. Audit. The links of AUDIT vectors, drawn by hash, are compared with brute force over all
-   rows; below MIN_RECALL everything is done again with twice the overlap.
+5. Audit. The links of AUDIT leaders, drawn by hash, are compared with brute force over all
+   rows; while their mean recall is below MIN_RECALL everything is done again with twice the
+   overlap, and after the largest overlap with all pairs of leaders, in blocks.
 
 Bounds: the centroids are fitted on at most FIT vectors and number at most CENTROIDS;
 what is collected is that sample, the audit's vectors and sums.
@@ -26,6 +27,7 @@ each other. A null id is never the smallest. An empty table gives an empty resul
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import cut, free, table
 from plumbline.llm.graph import components
 
+LOG = logging.getLogger(__name__)
 COSINE = 0.95
 FIT, CENTROIDS, ROUNDS = 20_000, 4096, 8
 SHARD, BLOCK = 1000, 2048
@@ -213,6 +216,32 @@ def _search(limit: float):  # noqa: ANN202
     return run
 
 
+def _pairs(limit: float):  # noqa: ANN202
+    """Exact comparison of two blocks of leaders, or of one with itself."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        one, two = t[t["block"] == t["i"]], t[t["block"] == t["j"]]
+        ids, x, y = [one["ball"].to_numpy(), two["ball"].to_numpy()], _matrix(one["unit"]), _matrix(two["unit"])
+        found = [np.empty((0, 2), np.int64)]
+        for i in range(0, len(x) if len(y) else 0, 1024):
+            reach = np.cos(np.minimum(limit + one["radius"].to_numpy()[i : i + 1024, None] + two["radius"].to_numpy(), math.pi))
+            a, b = np.nonzero(x[i : i + 1024] @ y.T >= reach - 1e-12)
+            found.append(np.stack([ids[0][i + a], ids[1][b]], 1))
+        ends = np.sort(np.concatenate(found), axis=1)
+        ends = ends[ends[:, 0] < ends[:, 1]]
+        return pd.DataFrame({"a": ends[:, 0], "b": ends[:, 1]}).drop_duplicates()
+
+    return run
+
+
+def compared(leaders: DataFrame, limit: float) -> DataFrame:
+    """(a, b): all pairs of leaders within the limit, radii allowed for; every pair of blocks is a group."""
+    m = max(1, -(-leaders.count() // BLOCK))
+    k = leaders.select("ball", "unit", "radius", F.pmod(F.xxhash64("ball"), F.lit(m)).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("other"))
+    k = k.select("ball", "unit", "radius", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return k.groupBy("i", "j").applyInPandas(_pairs(limit), "a long, b long").distinct()
+
+
 def _cosine(x: str, y: str):  # noqa: ANN202
     """The cosine of two double arrays, in double precision."""
     dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
@@ -250,7 +279,7 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", c
 
         return run
 
-    links_of, overlap = None, OVERLAP
+    links_of, overlap, exact = None, OVERLAP, False
     sizes = cut(good.select("row", "unit").mapInArrow(nearest(1), "row long, shards array<long>").select("row", F.col("shards")[0].alias("shard")), "vector-shards")
     salts = sizes.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
     blocks = sizes.join(salts, "shard").select("row", "shard", F.pmod(F.xxhash64("row"), F.col("salts")).alias("salt")).join(good.select("row", "unit"), "row")
@@ -259,11 +288,14 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", c
     leaders = cut(balls.join(good.select(F.col("row").alias("ball"), "unit", "v"), "ball"), "vector-leaders")
 
     while True:
-        homes = leaders.select(F.col("ball").alias("row"), "unit").mapInArrow(nearest(overlap), "row long, shards array<long>").select(F.col("row").alias("ball"), F.explode("shards").alias("shard"))
-        placed = cut(homes.join(leaders.select("ball", "unit", "radius"), "ball"), "vector-placed")
-        lists = placed.groupBy("shard").applyInPandas(lambda t: _build(t), "ball long, near array<long>")
-        united = cut(lists.groupBy("ball").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "vector-graph")
-        found = placed.join(united, "ball", "left").groupBy("shard").applyInPandas(_search(limit), "a long, b long").distinct()
+        if exact:
+            found = compared(leaders, limit)
+        else:
+            homes = leaders.select(F.col("ball").alias("row"), "unit").mapInArrow(nearest(overlap), "row long, shards array<long>").select(F.col("row").alias("ball"), F.explode("shards").alias("shard"))
+            placed = cut(homes.join(leaders.select("ball", "unit", "radius"), "ball"), "vector-placed")
+            lists = placed.groupBy("shard").applyInPandas(lambda t: _build(t), "ball long, near array<long>")
+            united = cut(lists.groupBy("ball").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "vector-graph")
+            found = placed.join(united, "ball", "left").groupBy("shard").applyInPandas(_search(limit), "a long, b long").distinct()
         ends = [leaders.select(F.col("ball").alias(s), F.col("v").alias(f"v_{s}"), F.col("radius").alias(f"r_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab"]
         near = found.join(ends[0], "a").join(ends[1], "b").withColumn("cos", _cosine("v_a", "v_b"))
         phi = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "cos")))
@@ -283,8 +315,9 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", c
             "row", "ball", (F.col("size") - 1 + F.coalesce("c", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links")
         )
         links_of = cut(links_of, "vector-links")
-        if overlap >= len(c) or recall(good, links_of, cosine) >= MIN_RECALL:
+        if exact or recall(good, links_of, cosine) >= MIN_RECALL:
             break
+        exact = overlap >= len(c)
         overlap = min(2 * overlap, len(c))
 
     edges = yes.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(checked.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
@@ -297,11 +330,13 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", c
 
 
 def recall(good: DataFrame, links_of: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> float:
-    """The share of the links of some vectors, drawn by hash, that were found; brute force over all rows in blocks.
+    """The mean, over some leaders with links, of the share of their links that was found; brute force over all rows in blocks.
 
-    Half of the queries are drawn from vectors with links found, so that there is something to miss.
+    Leaders are drawn by hash, so that a group of very many near copies counts as its few balls. Half
+    are drawn from those with links found, so that there is something to miss. The share of queries
+    with a missed link is logged.
     """
-    drawn = good.select("row", "v", "unit").join(links_of.select("row", "n_links"), "row").withColumn("h", F.xxhash64("row", F.lit(7)))
+    drawn = good.select("row", "v", "unit").join(links_of.where("row = ball").select("row", "n_links"), "row").withColumn("h", F.xxhash64("row", F.lit(7)))
     picked = drawn.where("n_links > 0").orderBy("h").limit(queries // 2).collect() + drawn.orderBy("h").limit(queries // 2).collect()
     picked = list({r["row"]: r for r in picked}.values())
     q = good.sparkSession.sparkContext.broadcast(np.array([r["unit"] for r in picked]))
@@ -316,8 +351,12 @@ def recall(good: DataFrame, links_of: DataFrame, cosine: float = COSINE, queries
 
     got = good.select("unit").mapInArrow(counts, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     real = {r["k"]: r["n"] - 1 for r in got}
-    want = sum(real.values())
-    return sum(min(r["n_links"], real[k]) for k, r in enumerate(picked)) / want if want else 1.0
+    shares = [min(r["n_links"], real[k]) / real[k] for k, r in enumerate(picked) if real[k] > 0]
+    if not shares:
+        return 1.0
+    mean = sum(shares) / len(shares)
+    LOG.info("recall %.4f over %d leaders, %.4f of them with a missed link", mean, len(shares), sum(x < 1 for x in shares) / len(shares))
+    return mean
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,3 +75,20 @@ def test_links_found_from_either_end_and_through_long_lists(spark):
     lists = [[] for _ in range(n - 1)] + [list(range(n - 1))]
     got = V._search(limit)(shard(lists))
     assert {(k, n - 1) for k in range(n - 1)} <= set(zip(got["a"], got["b"], strict=True))
+
+
+def test_exact_comparison_where_the_search_misses_links(spark, monkeypatch):
+    monkeypatch.setattr(V, "_search", lambda limit: lambda t: pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)}))
+    monkeypatch.setattr(V, "BLOCK", 40)
+    rows = made(5, n=120)
+    got = sorted([tuple(x) for x in V.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()], key=str)
+    assert got == brute(rows)
+
+
+def test_recall_is_not_carried_by_a_hot_group(spark):
+    """All links of 60 copies are found, none of five pairs."""
+    e = np.eye(6).tolist()
+    x = [(i, 0, e[0], 59) for i in range(60)] + [(100 + i, 100 + i, e[1 + i % 5], 0) for i in range(10)]
+    good = spark.createDataFrame([(r, v, v) for r, _, v, _ in x], "row long, v array<double>, unit array<double>")
+    links = spark.createDataFrame([(r, b, n) for r, b, _, n in x], "row long, ball long, n_links long")
+    assert V.recall(good, links) < V.MIN_RECALL
