@@ -3,9 +3,9 @@
 Every text gives base spans (assignments, access keys, long hex runs) and wider
 candidates (long tokens that mix letters and digits). The hash of each
 candidate's value is counted over the whole corpus: in how many repositories
-and for how many owners it occurs. A value that several owners hold is a copied
-example; one that a single owner holds looks live, and such wider candidates
-become spans of kind ``owned``. Built-in functions only; counts are taken level
+and for how many owners it occurs. A value that several owners hold, or very many
+repositories of one owner, is a copied example; others look live, and such wider
+candidates become spans of kind ``owned``. Built-in functions only; counts are taken level
 by level (value, owner, repository), so that a value which fills a third of
 the corpus is summed before it is shuffled.
 
@@ -32,6 +32,8 @@ BASE_KINDS = ("assign", "access", "hex")
 WIDE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}+"
 #: A value that this many owners or more hold is a copied example.
 COPIED_OWNERS = 2
+#: So is one in this many repositories, even of a single owner.
+COPIED_REPOSITORIES = 1000
 
 
 def _assign_ok(m: Column) -> Column:
@@ -72,7 +74,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str =
         "row", "owner", F.col("repository").cast("string").alias("repository"), F.explode(F.concat("base", "wide")).alias("span")
     ).withColumn("hash", F.sha2(value(F.col("span")), 256))
     stats = ownership(each.select("hash", "owner", "repository"))
-    live = F.col("n_owners") < COPIED_OWNERS
+    live = (F.col("n_owners") < COPIED_OWNERS) & (F.col("n_repositories") < COPIED_REPOSITORIES)
     based = F.col("span.kind") != "owned"
     judged = each.join(stats, "hash").groupBy("row").agg(
         F.collect_list(F.when(live & ~based, F.col("span"))).alias("owned"),

@@ -91,6 +91,15 @@ def test_secrets_scan_separates_copied_from_owned(spark):
     assert empty.count() == 0
 
 
+def test_secrets_copied_within_one_owner(spark):
+    """A value in very many repositories of one owner is an example, one in a few of them looks live."""
+    shared, live = "Hn5sX2pLk8Qw3Zt6Rv1J", "q9Zr81LmT0xwPq4Vb7Kd"
+    rows = [(i, f"see {shared}, token={shared}", "a") for i in range(1000)] + [(2000 + i, f"see {live}", "a") for i in range(3)]
+    got = {r.doc_id: r for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("doc_id", S.written(F.col("spans")).alias("s"), "n_live", "n_copied").collect()}
+    assert got[5].s == "assign:26:52" and (got[5].n_live, got[5].n_copied) == (0, 1)
+    assert got[2001].s == "owned:4:24"
+
+
 def test_pii_context_discovery(spark):
     rows = [(i, f"text before contact: user{i}@mail.com end of it") for i in range(8)]
     rows += [(20, "here contact: ID-5512-778 end there"), (21, "plain 77-123-9 words"), (22, None), (22, None), (None, "")]
