@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,26 +20,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or /tmp where it is unset."""
+    """The folder that all machines share: spark.checkpoint.dir. Only a local session may do without one."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
-        found = "/tmp/plumbline-checkpoints"
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/plumbline-{name}-{uuid.uuid4().hex}"
-    jvm, sc = spark._jvm, spark.sparkContext
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
     return path
 
 
 #: Spark then deletes a query's shuffle files when the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK, _WRITERS = threading.Lock(), {"n": 0, "before": "false"}
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Have shuffle files deleted with their query; the setting comes back when the last of several writers ends."""
+    with _LOCK:
+        if not _WRITERS["n"]:
+            _WRITERS["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _WRITERS["n"] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITERS["n"] -= 1
+            if not _WRITERS["n"]:
+                spark.conf.set(CLEANUP, _WRITERS["before"])
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -44,29 +71,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     Later steps then start from files that survive a lost executor, not from
     the lineage before them; the shuffle files of that lineage go at once.
+    The result knows its path, so that ``discard`` can delete it when it is consumed.
     """
     spark = df.sparkSession
-    path, before = new_dir(spark, name), spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    path = new_dir(spark, name)
+    with _cleaning(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a cut that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.cut_path = path
+    return again
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+def discard(*cuts: DataFrame) -> None:
+    """Delete the files of cuts that nothing reads any more."""
+    for df in cuts:
+        p, fs = _path(df.sparkSession, df.cut_path)
+        fs.delete(p, True)
 
 
 def words(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, discard
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = both.join(low, "u").where("v > u AND v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before, e = e, cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
         now = _state(e)
         if now == state:
             break

@@ -1,8 +1,8 @@
 """N-gram Jaccard join with vertical partitioning.
 
 A document's set holds the 64-bit hashes of its distinct word n-grams; the global
-order of n-grams is the order of these hashes. Equal sets form a class, and
-classes are joined:
+order of n-grams is the order of these hashes. Sets of equal 128-bit hashes form a class, and
+classes, named by the row number of their first row, are joined:
 
 1. Survivors. By a link's least overlap, two linked sets share at least k of the first
    n - a + k n-grams of each (a: the least overlap). A class with fewer than k of its prefix in
@@ -17,7 +17,8 @@ classes are joined:
 4. The rest. Pairs of one posting list that lie in different components so far, and whose shared
    parts allow the overlap; within a component no pair can change the result. Two classes of one
    centre, one of which overlaps too little with it, must share something beside it, so they are
-   only looked for in the lists of n-grams beside the centre.
+   only looked for in the lists of n-grams beside the centre. A list of more than LIST classes is
+   dealt by size (linked sets lie in the same or the next band of sizes) and in blocks of LIST.
 
 Pairs are verified by vertical partitioning: the global order is cut into
 FRAGMENTS ranges, each set into its segments; a join on (class, fragment) counts
@@ -38,11 +39,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, discard, free, table
+from plumbline.llm.common import cut, discard, table
 from plumbline.llm.graph import components
 
 N, PERCENT = 4, 85
 FRAGMENTS = 8
+#: Posting lists of more classes are compared by bands of set sizes, in blocks of so many classes.
+LIST = 256
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -84,29 +87,39 @@ def _texts(b: pa.RecordBatch) -> Iterator[bytes | None]:
 
 
 def _prefix_batches(n: int, percent: int):  # noqa: ANN202
+    """Per text: its set's size and 128-bit hash; the prefix with the first of equal sets in a task."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            sizes, nodes, prefixes, seen = [], [], [], set()
+            sizes, high, low, prefixes, seen = [], [], [], [], set()
             for t in _texts(b):
                 s = shingles(t, n)
-                node = xxhash.xxh64_intdigest(s.tobytes(), len(s)) if len(s) else None
+                h = xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None
                 sizes.append(len(s))
-                nodes.append(node)
-                fresh = node is not None and node not in seen
+                high.append(None if h is None else h >> 64)
+                low.append(None if h is None else h & (1 << 64) - 1)
+                fresh = h is not None and h not in seen
                 prefixes.append(s[: slack(len(s), percent) + depth(len(s), percent)].view(np.int64) if fresh else None)
-                seen.add(node)
-            signed = [None if x is None else x - (x >> 63 << 64) for x in nodes]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int32()), pa.array(signed, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "node", "prefix"])
+                seen.add(h)
+            signed = lambda v: pa.array([None if x is None else x - (x >> 63 << 64) for x in v], pa.int64())
+            cols = [b.column("doc_id"), b.column("th"), pa.array(sizes, pa.int32()), signed(high), signed(low), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "th", "n", "high", "low", "prefix"])
 
     return run
 
 
 def _segment_batches(n: int):  # noqa: ANN202
+    """Per class the fragments of its set; rows that repeat a class's text count once a task."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in it:
             nodes, sizes, frags, grams = [], [], [], []
-            for node, size, t in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), _texts(b), strict=True):
-                s = shingles(t, n)
+            for node, size, t in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                s = shingles(t.as_py(), n)
                 cuts = np.searchsorted(s >> np.uint64(32), np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 32) // FRAGMENTS))
                 for k, part in enumerate(np.split(s.view(np.int64), cuts)):
                     if len(part):
@@ -124,12 +137,11 @@ def _near(percent: int, a: str = "n_a", b: str = "n_b"):  # noqa: ANN202
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def survivors(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, n) of the classes that share enough of their prefix with others."""
-    postings = docs.where("prefix IS NOT NULL").select("node", "n", F.explode("prefix").alias("gram"))
-    # batches that hold the same class post it alike
+def survivors(firsts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, n) of the classes that share enough of their prefix with others. firsts: (node, n, prefix), a row a class."""
+    postings = firsts.select("node", "n", F.explode("prefix").alias("gram"))
     shared = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
-    met = postings.select("gram", "node", "n").join(shared, "gram").groupBy("node", "n").agg(F.count_distinct("gram").alias("q"))
+    met = postings.join(shared, "gram").groupBy("node", "n").agg(F.count("*").alias("q"))
     smallest = f"({percent} * n + 99) div 100"
     k = F.expr(f"({smallest} - ({percent} * ({smallest}) + 99) div 100) div 2 + 1")
     return met.where(F.col("q") >= k).select("node", "n")
@@ -179,26 +191,47 @@ def stars(posted: DataFrame, percent: int) -> DataFrame:
     return met.groupBy("a").agg(F.max_by(F.struct("b", "n_a", "n_b"), F.struct("c", "b")).alias("x")).select("a", "x.*")
 
 
+def _pairs_of_lists(lists: DataFrame, about: DataFrame, keys: list[str], apart, percent: int) -> DataFrame:  # noqa: ANN001
+    """(a, b, n_a, n_b): pairs of a posting list in different components, whose shared parts allow a link, and apart."""
+    tagged = lists.select("gram", "node").join(about, "node")
+    open_ = tagged.groupBy(*keys).agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("least"), F.count("*").alias("c")).where("lo < hi")
+    # written, so that the join below is one that Spark can broadcast or split
+    open_ = cut(open_.select(*keys, "least", "c"), "ngram-open")
+    # a partner has n-grams enough: at least the list's smallest number, and the share of one's own
+    partner = F.greatest(F.col("least"), F.expr(f"({percent} * n + 99) div 100"))
+    left = tagged.join(open_, keys).where((100 + percent) * F.col("s") >= percent * (F.col("n") + partner))
+    # blocks of a long list: one side lies in one, the other in all of its band and the bands beside it
+    band, blocks = F.floor(F.log("n") / float(np.log(100 / percent))), F.floor((F.col("c") + LIST - 1) / LIST)
+    one = F.when(F.col("c") > LIST, F.struct(band.alias("band"), F.pmod(F.xxhash64("node"), blocks).alias("block"))).otherwise(F.struct(F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("block")))
+    around = F.flatten(F.transform(F.array(band - 1, band, band + 1), lambda d: F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(d.alias("band"), k.alias("block")))))
+    every = F.when(F.col("c") > LIST, around).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("block"))))
+    named = lambda i: [F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "s", "g", "o", *({"hub"} - {*keys}))]
+    x = left.select(*keys, one.alias("part"), *named("a"))
+    y = left.select(*keys, F.explode(every).alias("part"), *named("b"))
+    met = x.join(y, [*keys, "part"]).where((F.col("g_a") < F.col("g_b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b") & apart)
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
+
+
 def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of df."""
-    spark = df.sparkSession
+    """(doc_id, n_shingles, component_id) per row of df. doc_id may be of any type with an order, a struct for one."""
     flat = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
     kind = flat.select("doc_id").schema
-    docs = cut(flat.mapInArrow(_prefix_batches(n, percent), f"doc_id {kind[0].dataType.simpleString()}, th long, n int, node long, prefix array<long>"), "ngram-prefixes")
-    alive = cut(survivors(docs, percent), "ngram-survivors")
-    narrow = cut(docs.select("doc_id", "th", "n", "node", F.col("prefix").isNotNull().alias("fresh")), "ngram-nodes")
-    discard(docs)
-    docs = narrow
-    free(spark)
-
-    # the survivors' whole sets, from one text each
-    chosen = docs.where("fresh").join(alive.select("node"), "node").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("c"), F.max("n").alias("n"))
-    chosen = chosen.select("node", "n", F.col("c.th").alias("th"), F.col("c.doc_id").alias("c_id"))
-    texts = flat.join(chosen, (flat["th"] == chosen["th"]) & flat["doc_id"].eqNullSafe(chosen["c_id"]))
-    segments = texts.select("node", "n", "text").mapInArrow(_segment_batches(n), "node long, n int, fragment int, grams array<long>")
-    segments = cut(segments, "ngram-segments")
+    sets = flat.mapInArrow(_prefix_batches(n, percent), f"doc_id {kind[0].dataType.simpleString()}, th long, n int, high long, low long, prefix array<long>")
+    sets = cut(sets.withColumn("row", F.monotonically_increasing_id()), "ngram-prefixes")
+    classes = cut(sets.where("prefix IS NOT NULL").groupBy("high", "low").agg(F.min("row").alias("node")), "ngram-classes")
+    firsts = sets.where("prefix IS NOT NULL").select(F.col("row").alias("node"), "n", "prefix").join(classes.select("node"), "node")
+    alive = cut(survivors(firsts, percent), "ngram-survivors")
+    some = sets.where("high IS NOT NULL").select("doc_id", "th", "n", "high", "low", "row").join(classes, ["high", "low"]).select("doc_id", "th", "n", "row", "node")
+    none = sets.where("high IS NULL").select("doc_id", "th", "n", "row", F.lit(None).cast("long").alias("node"))
+    docs = cut(some.unionByName(none), "ngram-nodes")
+    discard(sets, classes)
+
+    # the survivors' whole sets, from the class's first text
+    chosen = docs.where("row = node").join(alive.select("node"), "node").select("node", "n", F.col("th").alias("c_th"), F.col("doc_id").alias("c_id"))
+    texts = flat.join(chosen, (flat["th"] == chosen["c_th"]) & flat["doc_id"].eqNullSafe(chosen["c_id"]))
+    segments = cut(texts.select("node", "n", "text").mapInArrow(_segment_batches(n), "node long, n int, fragment int, grams array<long>"), "ngram-segments")
     posted = cut(index(segments, percent), "ngram-index")
-    free(spark)
+    discard(alive)
 
     # stars, and then stars of what classes hold beside their first centre
     first = cut(linked(cut(stars(posted, percent), "ngram-stars"), segments, percent), "ngram-links")
@@ -207,32 +240,20 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     extra = parts(first, segments).select(F.col("a").alias("node"), F.explode("extra").alias("gram"))
     extra = cut(extra.join(one, "node"), "ngram-extras")
     again = cut(linked(cut(stars(extra, percent), "ngram-stars"), segments, percent), "ngram-links")
-    free(spark)
-    edges = [x.where("link").select(F.col("a").alias("u"), F.col("b").alias("v")) for x in (first, again)]
-    group = components(edges[0].unionByName(edges[1]))
+    edges = first.unionByName(again).where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    group = components(edges)
 
     # the rest: pairs of a posting list that lie in different components so far
     about = cut(one.join(hub, "node", "left").join(group, "node", "left").select("node", "n", "s", F.coalesce("hub", "node").alias("hub"), F.coalesce("o", "n").alias("o"), F.coalesce("component", "node").alias("g")), "ngram-about")
-
-    def rest(lists: DataFrame, keys: list[str], apart):  # noqa: ANN001, ANN202
-        tagged = lists.select("gram", "node").join(about, "node")
-        open_ = tagged.groupBy(*keys).agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("n").alias("least")).where("lo < hi").select(*keys, "least")
-        # a partner has n-grams enough: at least the list's smallest number, and the share of one's own
-        partner = F.greatest(F.col("least"), F.expr(f"({percent} * n + 99) div 100"))
-        left = tagged.join(open_, keys).where((100 + percent) * F.col("s") >= percent * (F.col("n") + partner))
-        x, y = (left.select(*keys, *[F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "s", "g", "o", *({"hub"} - {*keys}))]) for i in "ab")
-        met = x.join(y, keys).where((F.col("g_a") < F.col("g_b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b") & apart)
-        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
-
     # What two classes of one centre share beside it is missing from the overlap with the centre: if that is too
     # small for one of them, they need a common n-gram beside the centre, and meet in the lists of those.
     short = (100 + percent) * F.least("o_a", "o_b") < percent * (F.col("n_a") + F.col("n_b"))
-    some = rest(posted, ["gram"], ~((F.col("hub_a") == F.col("hub_b")) & short))
-    beside = rest(extra, ["gram", "hub"], short)
+    some = _pairs_of_lists(posted, about, ["gram"], ~((F.col("hub_a") == F.col("hub_b")) & short), percent)
+    beside = _pairs_of_lists(extra, about, ["gram", "hub"], short, percent)
     left_over = cut(some.unionByName(beside).distinct(), "ngram-rest")
     more = cut(linked(left_over, segments, percent).where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-links")
-    free(spark)
-    final = components(edges[0].unionByName(edges[1]).unionByName(more))
+    final = components(edges.unionByName(more))
+    discard(segments, posted, extra, about, left_over, first, again, more)
 
     ids = docs.where("node IS NOT NULL").join(final, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
     smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -242,15 +263,17 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """df without near duplicates: of each component the row with the smallest id, of equal ids that with the smallest text hash.
+    """df without near duplicates: one row of each component, that with the smallest id (null last), then text hash.
 
-    Rows with a null id, or an empty text, stay. Rows alike in id and text count as one.
+    Rows are told apart by the row numbers of a written copy, so equal ids neither take each other's texts
+    along nor save them. Of rows alike in id and text one stays. Rows with an empty text all stay.
     """
-    groups = join(df, doc_id, text, n, percent).where("doc_id IS NOT NULL AND n_shingles > 0")
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    names = [F.col(f"`{c}`") for c in df.columns]
-    left = df.join(gone, df[doc_id] == gone["__gone"], "left_anti").select(*names)
-    return left
+    names = df.columns
+    i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    key = F.struct(i.isNull().alias("no_id"), i.alias("id"), F.xxhash64(t).alias("th"), F.monotonically_increasing_id().alias("row"))
+    rows = cut(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("it"), t.alias("text"), key.alias("key")), "ngram-rows")
+    gone = join(rows, "key", "text", n, percent).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id.row").alias("row"))
+    return rows.join(gone, rows["key.row"] == gone["row"], "left_anti").select("it.*")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,4 +281,20 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs that share a shingle, and reachability by a recursive union.
+ORACLE_SQL = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
+    ELSE list_transform(range(1, len(ws) - 2), i -> ws[i:i + 3]) END) AS grams FROM w),
+g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
+  WHERE 100 * both >= 85 * (len(x.grams) + len(y.grams) - both)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.grams)"""
+}

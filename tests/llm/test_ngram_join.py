@@ -86,3 +86,34 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 160)] + [(3, 3), (1, 2), (2, 1)], "u long, v long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1}
+
+
+def test_long_lists_in_blocks(spark, monkeypatch):
+    """One n-gram in all documents of many groups, lists cut into small blocks."""
+    monkeypatch.setattr(ngram_join, "LIST", 4)
+    r = random.Random(12)
+    shared, rows = "one very common passage", []
+    for g in range(12):
+        base = [f"g{g}x{i}" for i in range(r.randint(20, 45))]
+        for _ in range(8):
+            ws = list(base)
+            for _ in range(r.randint(0, 2)):
+                ws[r.randrange(len(ws))] = f"e{r.randrange(10**6)}"
+            rows.append((len(rows), f"{shared} {' '.join(ws)} {shared}"))
+    rows += made(3, 120)[:120]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted([tuple(x) for x in ngram_join.join(df).collect()], key=str) == brute(rows)
+
+
+def test_one_of_each_goes_by_row(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    near, other = t.replace("w30", "x30"), " ".join(f"o{i}" for i in range(40))
+    rows = [(1, t, "a"), (2, t, "b"), (2, other, "c"), (5, other + " z", "d"), (7, None, "e"), (7, "", "f"), (None, t, "g"), (None, "lone " * 9, "h"), (9, near, "i"), (9, near, "j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, th string").repartition(3)
+    got = sorted([tuple(x) for x in ngram_join.one_of_each(df).collect()], key=str)
+    assert got == sorted([rows[0], rows[2], rows[4], rows[5], rows[7]], key=str)
+    alike = [(5, t, "a"), (5, near, "b"), (5, t, "c")]
+    left = ngram_join.one_of_each(spark.createDataFrame(alike, "doc_id long, text string, row string")).collect()
+    assert len(left) == 1
+    assert ngram_join.one_of_each(df.limit(0)).columns == df.columns
