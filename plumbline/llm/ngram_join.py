@@ -290,10 +290,10 @@ s AS (
   SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
     ELSE list_transform(range(1, len(ws) - 2), i -> ws[i:i + 3]) END) AS grams FROM w),
 g AS (SELECT doc_id, unnest(grams) AS gram FROM s),
-o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 link AS (
   SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b
-  WHERE 100 * both >= 85 * (len(x.grams) + len(y.grams) - both)),
+  WHERE 100 * shared >= 85 * (len(x.grams) + len(y.grams) - shared)),
 reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
 SELECT s.doc_id, len(s.grams)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id
 FROM s LEFT JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.grams)"""
