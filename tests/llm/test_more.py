@@ -84,6 +84,33 @@ def test_fit_reaches_what_can_be_reached(seed):
     took = mixing.fit(budget, counts)
     assert all(0 <= took[n] <= counts[n] for n in counts)
     assert abs(sum(n * k for n, k in took.items()) - budget) <= 2 * max(counts)
+    whole = mixing.fit(budget, counts, most=0)
+    assert all(0 <= whole[n] <= counts[n] for n in counts)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fit_is_as_near_as_the_table_allows(seed):
+    """The knapsack against all reachable sums of what proportion leaves."""
+    r = random.Random(100 + seed)
+    counts = {n: r.randint(1, 5) for n in r.sample(range(3, 90), 7)}
+    size = sum(n * c for n, c in counts.items())
+    budget = r.randint(1, size - 1)
+    base = {n: c * budget // size for n, c in counts.items()}
+    sums = {sum(n * k for n, k in base.items())}
+    for n, c in counts.items():
+        sums = {s + n * k for s in sums for k in range(c - base[n] + 1)}
+    took = mixing.fit(budget, counts)
+    assert all(base[n] <= took[n] <= counts[n] for n in counts)
+    assert abs(sum(n * k for n, k in took.items()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_fit_favours_no_length():
+    """3,000 documents of 3,000 lengths, half of the words: every third of the lengths gives about half of its documents."""
+    counts = dict.fromkeys(range(1000, 4000), 1)
+    budget = sum(counts) // 2
+    took = mixing.fit(budget, counts)
+    thirds = [sum(took[n] for n in range(a, a + 1000)) for a in (1000, 2000, 3000)]
+    assert sum(n * k for n, k in took.items()) == budget and all(400 < x < 600 for x in thirds)
 
 
 def test_languages(spark):
