@@ -7,10 +7,13 @@ that one binary search serves all languages. A text gets the language of the
 lowest cross-entropy per character; a language's calibrated bound says when even
 that one is too high (column rejected).
 
-The fit takes at most FIT_ROWS rows a language, those with the smallest hashes of
-their id, and keeps the TYPES commonest n-grams of an order; these bounds
-also bound what is collected and broadcast. Prediction reads every character of
-every text.
+The lowest order is interpolated with the uniform 1 / (V + 1) over the V characters of
+the sample and one for all others, so each model's probabilities sum to one.
+
+The fit takes at most FIT_ROWS rows and FIT_CHARS characters a language, whole rows in
+the order of a hash, with all of their n-grams. Their table is counted before it is
+fetched, and both bounds are halved until it fits MODEL_BYTES; this also bounds
+what is broadcast. Prediction reads every character of every text.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; so
 is every text where no labelled row exists. A null id is not held out. Equal
@@ -29,15 +32,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import table
+from plumbline.llm.common import cut, discard, table
 
 ORDER = 5
-FIT_ROWS = 2000
-TYPES = 200_000
+FIT_ROWS, FIT_CHARS = 2000, 8_000_000
+#: The largest table of the fit: n-grams times languages, 8 bytes each.
+MODEL_BYTES = 1 << 28
 #: A table holds one column a language; more labels than this are refused.
 MAX_LANGS = 500
 #: A fourth of the sampled rows sets the bounds of rejection: their entropies' quantile, and some room.
 CALIBRATE, QUANTILE, ROOM = 4, 0.999, 1.15
+#: A language with fewer rows keeps them all for its model and has no bound.
+CALIBRATE_ROWS = 40
 #: Texts are scored in pieces of so many characters at once.
 PIECE = 1 << 19
 
@@ -116,7 +122,7 @@ class Model:
         self.logp: list[np.ndarray] = []
         self.contexts: list[np.ndarray] = []
         self.backoff: list[np.ndarray] = []
-        self.floor = float(np.log(1e-7))
+        self.floor = 0.0
         self.bound = np.full(len(langs), np.inf)
 
     @classmethod
@@ -130,7 +136,13 @@ class Model:
             gram, context, suffix = (u[k].to_numpy().astype(np.uint64) for k in ("gram", "context", "suffix"))
             contexts = np.unique(context)
             where = find(contexts, context)
-            below = np.full((len(gram), len(m.langs)), 1e-7) if prob is None else prob[find(m.grams[-1], suffix)]
+            if prob is None:
+                below, m.floor = np.full((len(gram), len(m.langs)), 1 / (len(gram) + 1)), -float(np.log(len(gram) + 1))
+            else:
+                of = find(m.grams[-1], suffix)
+                if (of < 0).any():
+                    raise ValueError("an n-gram without its suffix: counts must be whole")
+                below = prob[of]
             share, weight = np.zeros((len(gram), len(m.langs))), np.ones((len(contexts), len(m.langs)))
             for k, lang in enumerate(m.langs):
                 mine = at_n[at_n["lang"] == lang]
@@ -187,26 +199,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def sample(df: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(lang, text, h) of at most so many rows a language, by the smallest hashes; rows alike count once."""
-    d = df.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64(F.col("doc_id").cast("string"), F.lit(11)))
-    ranked = d.select("lang", "h").distinct().withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
-    top = ranked.groupBy("lang").agg(F.max("h").alias("top")).limit(MAX_LANGS + 1).collect()
-    if len(top) > MAX_LANGS:
+def sample(df: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
+    """(lang, text, h, calibrating) of at most so many rows and characters a language, by the smallest hashes; rows alike count once."""
+    d = df.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(11)).alias("h"))
+    size = F.length("text").cast("long")
+    # shorter rows first only where a single text is over the bound; the first row always counts
+    order = W.partitionBy("lang").orderBy(F.col("size") > chars, "h")
+    ranked = d.select("lang", "h", size.alias("size")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    ranked = ranked.withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).where((F.col("upto") <= chars) | (F.col("r") == 1))
+    kept = cut(ranked.select("lang", "h", F.count("*").over(W.partitionBy("lang")).alias("n")), "language-rows")
+    if kept.select("lang").distinct().count() > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    small = df.sparkSession.createDataFrame([tuple(r) for r in top], "lang string, top long")
-    return d.join(F.broadcast(small), "lang").where(F.col("h") <= F.col("top")).dropDuplicates(["lang", "h"]).select("lang", "text", "h")
+    # at most rows times MAX_LANGS pairs of a name and a number
+    drawn = d.join(F.broadcast(kept), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    return drawn.select("lang", "text", "h", ((F.pmod("h", F.lit(CALIBRATE)) == 0) & (F.col("n") >= CALIBRATE_ROWS)).alias("calibrating"))
 
 
-def fit(df: DataFrame, rows: int = FIT_ROWS) -> Model:
+def fit(df: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
     """The model of rows (doc_id, text, lang), bounded as said above."""
-    drawn = sample(df, rows).persist()
-    calibrating = F.pmod(F.col("h"), F.lit(CALIBRATE)) == 0
-    counted = drawn.where(~calibrating).mapInArrow(count_batches, "lang string, n int, gram long, context long, suffix long, count long")
-    sums = counted.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("count").alias("count"))
-    commonest = F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("count"), "gram"))
+    while True:
+        drawn = cut(sample(df, rows, chars), "language-sample")
+        counted = drawn.where("NOT calibrating").mapInArrow(count_batches, "lang string, n int, gram long, context long, suffix long, count long")
+        sums = counted.groupBy("lang", "n", "gram").agg(F.first("context").alias("context"), F.first("suffix").alias("suffix"), F.sum("count").alias("count"))
+        sums = cut(sums, "language-counts")
+        size = sums.agg(F.count_distinct("n", "gram").alias("grams"), F.count_distinct("lang").alias("langs"), F.count("*").alias("rows")).first()
+        # a row of counts takes about as much as six cells
+        if 8 * max(size["grams"] * size["langs"], 6 * size["rows"]) <= MODEL_BYTES or rows <= 1:
+            break
+        rows, chars = rows // 2, chars // 2
+        discard(drawn, sums)
     # as an Arrow table: rows of Python objects would take many times the memory on the driver
-    m = Model.fit(sums.withColumn("r", commonest).where(F.col("r") <= TYPES).drop("r").toArrow().to_pandas(categories=["lang"]))
+    m = Model.fit(sums.toArrow().to_pandas(categories=["lang"]))
 
     def entropies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -214,9 +237,9 @@ def fit(df: DataFrame, rows: int = FIT_ROWS) -> Model:
             got = [(lang, p[2]) for lang, p in got if p[0] == lang]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["lang", "e"])
 
-    for r in drawn.where(calibrating).mapInArrow(entropies, "lang string, e double").groupBy("lang").agg(F.percentile("e", F.lit(QUANTILE)).alias("q")).collect():
+    for r in drawn.where("calibrating").mapInArrow(entropies, "lang string, e double").groupBy("lang").agg(F.percentile("e", F.lit(QUANTILE)).alias("q")).collect():
         m.bound[m.langs.index(r["lang"])] = ROOM * r["q"]
-    drawn.unpersist()
+    discard(drawn, sums)
     return m
 
 

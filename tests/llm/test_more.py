@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -130,6 +131,83 @@ def test_languages(spark):
     assert langid.predict(held, none).first().lang_pred == "und" and langid.predict(d.limit(0), m).count() == 0
 
 
+class PlainKneserNey:
+    """One language's model from dictionaries of strings, by the textbook formulas; vocabulary: the characters of all languages."""
+
+    def __init__(self, texts, vocabulary, order=5):
+        self.v, self.order, self.c = len(vocabulary), order, {}
+        raw = {n: collections.Counter() for n in range(1, order + 1)}
+        for t in texts:
+            padded = " " * order + t
+            for i in range(order + 1, len(padded)):
+                for n in range(1, order + 1):
+                    raw[n][padded[i - n + 1 : i + 1]] += 1
+        for n in range(1, order + 1):
+            self.c[n] = raw[n] if n == order else collections.Counter(g[1:] for g in raw[n + 1])
+        self.d = {}
+        for n, c in self.c.items():
+            ones, twos = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+            self.d[n] = ones / (ones + 2 * twos) if ones and twos else 0.5
+        self.total, self.kinds = collections.Counter(), collections.Counter()
+        for c in self.c.values():
+            for g, x in c.items():
+                self.total[len(g), g[:-1]] += x
+                self.kinds[len(g), g[:-1]] += 1
+
+    def p(self, context, char, n=None):
+        n = self.order if n is None else n
+        if n == 0:
+            return 1 / (self.v + 1)
+        context = context[len(context) - n + 1 :]
+        low = self.p(context[1:], char, n - 1)
+        total = self.total[n, context]
+        if not total:
+            return low
+        return (max(self.c[n][context + char] - self.d[n], 0) + self.d[n] * self.kinds[n, context] * low) / total
+
+
+def test_kneser_ney_against_dictionaries(spark):
+    r = random.Random(8)
+    texts = {"en": ["the cat and the hat"], "fr": ["le chat et le chapeau"], "xx": ["zé"]}
+    for lang, ts in texts.items():
+        ts += [" ".join(r.choice(ts[0].split()) for _ in range(r.randint(1, 9))) for _ in range(20)]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    clean = lambda t: "".join(map(chr, langid.codes(t).tolist()))
+    vocabulary = {c for ts in texts.values() for t in ts for c in clean(t)[1:]}
+    assert m.langs == ["en", "fr", "xx"]
+    plain = [PlainKneserNey([clean(t) for t in texts[lang]], vocabulary) for lang in m.langs]
+    for model in plain:
+        for context in ("    ", "the ", "e ch", "zzzz", "at a"):
+            assert sum(model.p(context, c) for c in vocabulary) + model.p(context, "?") == pytest.approx(1)
+    for t in ["the chat and", "zé zé le", "unknown letters жжж", "a", "cat" * 50]:
+        s = clean(t)
+        padded = "     " + s
+        want = [-sum(math.log(model.p(padded[i + 1 : i + 5], padded[i + 5])) for i in range(1, len(s))) / (len(s) - 1) for model in plain]
+        assert m.entropies(langid.codes(t)) == pytest.approx(want, rel=1e-5)
+    assert [m.predict(t)[0] for t in ("the cat", "le chapeau", "zé")] == ["en", "fr", "xx"]
+
+
+def test_language_of_a_text_beyond_the_piece(spark, monkeypatch):
+    rows = [(i, t, lang) for i, (lang, t) in enumerate([("en", "the cat and the hat"), ("fr", "le chat et le chapeau")] * 5)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long = "the hat and le chat " * 40
+    whole = m.predict(long)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert m.predict(long)[:1] == whole[:1] and m.predict(long)[2] == pytest.approx(whole[2], rel=1e-5)
+
+
+def test_language_sample_is_bounded_and_repeatable(spark, monkeypatch):
+    rows = [(None, f"text number {i} of some", "en") for i in range(30)] + [(1, "x" * 500, "fr"), (1, "court", "fr"), (1, "court", "fr"), (2, None, "fr"), (3, "nul", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit("clash"))
+    got = sorted((x.lang, x.text) for x in langid.sample(df, rows=10, chars=100).collect())
+    again = sorted((x.lang, x.text) for x in langid.sample(df.repartition(5), rows=10, chars=100).collect())
+    assert got == again and [x for x in got if x[0] == "fr"] == [("fr", "court")] and 1 <= sum(x[0] == "en" for x in got) <= 5
+    monkeypatch.setattr(langid, "MODEL_BYTES", 20_000)
+    small = langid.fit(df)
+    assert small.langs == ["en", "fr"] and sum(map(len, small.grams)) * 2 * 8 <= 20_000
+
+
 def test_archives(spark, tmp_path):
     big = "".join(chr(97 + i % 26) for i in range(50_000)) + "é\r\n\r\nWARC/1.1\r\n" * 50
     rows = [(3, "http://a/", big), (1, "u", big), (2, None, "x" * 100), (5, "u", "x" * 100), (6, "u", "small"), (7, "u", "small"), (8, "", None), (9, "u", ""), (None, "u", "x" * 100), (1, "u", big), (4, "a b\r\nX: y", "日本" * 9000)]
