@@ -7,13 +7,14 @@ its smallest hashed SEED-byte part, so equal strings meet where their minimizers
    flagged, in the block itself or where the hashes of all blocks meet.
 2. Around flagged minimizers each block sends the pieces of text whose strings all have
    that minimizer, equal pieces once, with the smallest document that holds them.
-3. Each shard of pieces gets a run-length index: its pieces, ordered from the
-   largest document to the smallest, are sorted by their suffixes' first LENGTH bytes
-   (the order-LENGTH form of the suffix array), the Burrows-Wheeler column of preceding
-   bytes is kept as runs within equal strings, with the place of each run's end as
-   its sample. As ties keep the text's order, a string's last run end samples an
-   occurrence in the smallest document. All pieces then stream through the index from right to
-   left, a run step a byte, and read off which strings an earlier document holds.
+3. Each shard of pieces gets a run-length index: the Burrows-Wheeler transform of its
+   pieces, kept as runs with the suffix array sampled at run heads and ends, and the smallest document
+   of each interval of suffixes that agree in LENGTH bytes. Pieces stream through it from
+   right to left, a run step a byte; where a byte leaves its run, the match goes on from the nearer
+   run's sample, as far as both texts agree. This gives every place's longest match with the
+   indexed text and a suffix that shows it (matching statistics). A string is repeated where that
+   match is LENGTH bytes or more and an earlier document is in its interval. Of pieces with one minimizer
+   the last document's need no index, and the first document's need not be streamed.
 4. Blocks mark those strings, and those of equal pieces in their own later documents,
    and keep the other bytes.
 
@@ -202,9 +203,13 @@ def _piece_batches(hash_shards: int, shards: int):  # noqa: ANN202
                 found = x.pieces(x.flagged(hash_shards, _by_shard(masks, "mask")), shards)
                 ids = x.id.tolist()
                 least = {s: [ids[p[0]] if len(p) == 1 else min(ids[k] for k in p) for p in d.values()] for s, d in found.items()}
-                rows = [(s, block, np.array(least[s], "<i8").tobytes(), np.array([len(k) for k in d], "<u2").tobytes(), b"".join(d)) for s, d in found.items()]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["shard", "block", "least", "lengths", "data"])
+                keys = ((x.hash // np.uint64(shards)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+                rows = [
+                    (s, block, np.array(least[s], "<i8").tobytes(), keys[[p[0] for p in d.values()]].tobytes(), np.array([len(k) for k in d], "<u2").tobytes(), b"".join(d))
+                    for s, d in found.items()
+                ]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["shard", "block", "least", "keys", "lengths", "data"])
 
     return run
 
@@ -215,103 +220,168 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
-class RunLengthIndex:
-    """Runs of the Burrows-Wheeler column of some pieces, with samples at run ends.
+def suffix_array(symbols: np.ndarray, span: int = 28) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix array, ranks by the first span symbols); symbols under 512, span 7 times a power of two.
 
-    group: strings of LENGTH bytes, numbered in lexicographic order. key holds (group,
-    preceding byte) of each kind of run, after where its step to the left leads,
-    sample the document of each group's last run end.
+    Prefix doubling from seven symbols a word; only suffixes not yet told apart are sorted again.
     """
+    n = len(symbols)
+    padded = np.concatenate([symbols, np.zeros(6, symbols.dtype)]).astype(np.uint64)
+    word = padded[:n].copy()
+    for k in range(1, 7):
+        word = (word << np.uint64(9)) | padded[k : k + n]
+    sa = np.argsort(word, kind="stable")
+    word = word[sa]
+    first = np.append(True, word[1:] != word[:-1])
+    rank = np.empty(n, np.int64)
+    starts = np.flatnonzero(first)
+    rank[sa] = np.repeat(starts, np.diff(np.append(starts, n)))
+    open_ = np.flatnonzero(~(first & np.append(first[1:], True)))
+    h, early = 7, None
+    while len(open_):
+        if h == span:
+            early = rank.copy()
+        at = sa[open_]
+        after = at + h
+        key = (rank[at] << 32) | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
+        sa[open_] = at
+        first = np.append(True, key[1:] != key[:-1])
+        starts = np.flatnonzero(first)
+        rank[at] = np.repeat(open_[starts], np.diff(np.append(starts, len(at))))
+        open_ = open_[~(first & np.append(first[1:], True))]
+        h *= 2
+    return sa, rank if early is None else early
+
+
+class RunLengthIndex:
+    """The run-compressed Burrows-Wheeler transform of some pieces, each closed by an end mark.
 
-    NONE = 256
+    Runs are ordered by (byte, first row), so that base, the rows before a run in this order, is where
+    its first row steps to. head and tail sample the suffix array at a run's first and last row.
+    """
 
     def __init__(self, pieces: list[bytes], docs: np.ndarray):
-        """pieces, distinct, with docs in descending order."""
-        text = np.frombuffer(b"".join(pieces) + bytes(64), np.uint8)
-        n = len(text) - 64
+        text = np.frombuffer(b"\0".join([*pieces, bytes(16)]), np.uint8)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        end = np.cumsum(size)
-        begin = end - size
-        count = size - LENGTH + 1
-        strings = _ranges(begin, count)
-        rank = self.ranks(text, strings)
-        rows = np.argsort(rank, kind="stable")  # the suffix array, ties in text order
-        group = rank[rows].astype(np.int64)
-        before = np.full(n, self.NONE, np.int16)
-        before[1:] = text[: n - 1]
-        before[begin] = self.NONE
-        column = before[strings[rows]].astype(np.int64)
-        run_end = np.flatnonzero(np.append((group[1:] != group[:-1]) | (column[1:] != column[:-1]), True))
-        sampled = strings[rows[run_end]]
-        of_group = np.flatnonzero(np.append(group[run_end][1:] != group[run_end][:-1], True))
-        piece = np.searchsorted(end, sampled[of_group], side="right")
-        self.sample = docs[piece]
-        kinds = (group[run_end] << 9) | column[run_end]
-        self.key, first = np.unique(kinds, return_index=True)
-        # a run's preceding byte and string make one string: that of the sampled place before
-        at = np.searchsorted(strings, sampled[first] - 1)
-        self.after = np.where(self.key & 511 == self.NONE, -1, rank[np.minimum(at, len(rank) - 1)].astype(np.int64))
-        self.entry = rank[np.searchsorted(strings, end - LENGTH)].astype(np.int64)
-        self.text, self.begin, self.size = text, begin, size
-
-    @staticmethod
-    def ranks(text: np.ndarray, strings: np.ndarray) -> np.ndarray:
-        """Lexicographic ranks of the strings that start at some places; equal strings are found by hash and sorted once."""
-        words = np.ndarray((len(text) - 7,), np.dtype("<u8"), text, strides=(1,))
-        h = np.zeros(len(strings), np.uint64)
-        for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-            h = (h ^ words[strings + k]) * _M1
-            h ^= h >> np.uint64(29)
-        _, first, of = np.unique(h, return_index=True, return_inverse=True)
-        distinct = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[strings[first]]
-        # S strings compare as bytes but for zeros at the end, which equal nothing else of full length here
-        order = np.argsort(np.ascontiguousarray(distinct).view(f"S{LENGTH}").ravel(), kind="stable")
-        rank = np.empty(len(first), np.int64)
-        rank[order] = np.arange(len(first))
-        return rank[of]
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, documents): per piece the smallest document that holds each of its strings, right to left by run steps."""
-        strings = self.size - LENGTH + 1
-        offsets = np.concatenate(([0], np.cumsum(strings)))
-        out = np.empty(offsets[-1], np.int64)
-        live = np.argsort(-strings, kind="stable")
-        state, left = self.entry[live], strings[live] - 1
+        end = np.cumsum(size + 1) - 1
+        n = int(end[-1]) + 1
+        symbols = text[:n].astype(np.int16) + np.int16(1)
+        symbols[end] = 0
+        self.text = np.ndarray((len(text) - 7,), np.dtype("<u8"), text, strides=(1,))
+        self.room = np.repeat(end, size + 1) - np.arange(n)
+        sa, rank = suffix_array(symbols)
+
+        # intervals of suffixes that agree in LENGTH bytes, with their smallest documents
+        same = np.zeros(n, bool)
+        long = np.flatnonzero((self.room[sa[1:]] >= LENGTH) & (self.room[sa[:-1]] >= LENGTH)) + 1
+        x, y = sa[long], sa[long - 1]
+        # ranks of all places by 28 symbols: two of them cover 50
+        same[long] = (rank[x] == rank[y]) & (rank[x + LENGTH - 28] == rank[y + LENGTH - 28])
+        self.interval = np.flatnonzero(~same)
+        self.least = np.minimum.reduceat(np.repeat(docs, size + 1)[sa], self.interval)
+
+        before = symbols[sa - 1]
+        start = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        length = np.diff(np.append(start, n))
+        order = np.argsort(before[start], kind="stable")
+        self.start, self.length, self.byte = start[order], length[order], before[start][order].astype(np.int64)
+        self.key = (self.byte << 40) | self.start
+        self.base = np.cumsum(self.length) - self.length
+        self.head, self.tail = sa[self.start], sa[self.start + self.length - 1]
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes agree from the places a and b on, at most so many, and up to the end of b's piece."""
+        out = np.minimum(most, self.room[b])
+        todo, k = np.flatnonzero(out > 0), 0
+        while len(todo):
+            x = self.text[a[todo] + k] ^ self.text[b[todo] + k]
+            ended = x != 0
+            low = x[ended]
+            agree = k + (np.log2((low & (~low + np.uint64(1))).astype(np.float64)) // 8).astype(np.int64)
+            out[todo[ended]] = np.minimum(out[todo[ended]], agree)
+            k += 8
+            todo = todo[~ended]
+            todo = todo[out[todo] > k]
+        return out
+
+    def statistics(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(offsets, lengths, rows): of each place of the texts the longest match that starts there, and a row of the index that shows it."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        offsets = np.concatenate(([0], np.cumsum(size)))
+        symbols = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        lengths, rows = np.zeros(offsets[-1], np.int64), np.zeros(offsets[-1], np.int64)
+        live = np.argsort(-size, kind="stable")
+        live = live[size[live] > 0]
+        left, last = size[live] - 1, len(self.key) - 1
+        row, place, match = (np.zeros(len(live), np.int64) for _ in range(3))
+        place += self.head[np.argmin(self.start)]
         while len(live):
-            out[offsets[live] + left] = self.sample[state]
+            c = symbols[offsets[live] + left]
+            j = np.searchsorted(self.key, (c << 40) | row, side="right") - 1
+            above = (j >= 0) & (self.byte[j] == c)
+            inside = above & (row < self.start[j] + self.length[j])
+            to, place, match = self.base[j] + row - self.start[j], place - 1, match + 1
+            out = np.flatnonzero(~inside)
+            if len(out):
+                up, down = j[out], np.minimum(j[out] + 1, last)
+                here, most, has = place[out] + 1, match[out] - 1, above[out]
+                a = np.where(has, self.common(here, self.tail[up], np.where(has, most, 0)), -1)
+                has = (j[out] < last) & (self.byte[down] == c[out])
+                b = np.where(has, self.common(here, self.head[down], np.where(has, most, 0)), -1)
+                upper, best = a >= b, np.maximum(a, b)
+                run = np.where(upper, up, down)
+                none = best < 0
+                to[out] = np.where(none, row[out], self.base[run] + np.where(upper, self.length[run] - 1, 0))
+                place[out] = np.where(none, here, np.where(upper, self.tail[run], self.head[run]) - 1)
+                match[out] = best + 1
+            row = to
+            lengths[offsets[live] + left], rows[offsets[live] + left] = match, row
             more = left > 0
-            live, state, left = live[more], state[more], left[more] - 1
-            if len(live):
-                byte = self.text[self.begin[live] + left].astype(np.int64)
-                state = self.after[np.searchsorted(self.key, (state << 9) | byte)]
-        return offsets, out
+            live, left, row, place, match = live[more], left[more] - 1, row[more], place[more], match[more]
+        return offsets, lengths, rows
+
+    def earliest(self, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The smallest document that holds a match of LENGTH bytes or more, LAST where the match is shorter."""
+        at = np.searchsorted(self.interval, rows, side="right") - 1
+        return np.where(lengths >= LENGTH, self.least[at], LAST)
 
 
 def _index(t: pd.DataFrame) -> pd.DataFrame:
     """Of one shard: per block one bit a string of its pieces, set if a smaller document than the piece's own holds it."""
-    seen: dict[bytes, int] = {}
+    number: dict[bytes, int] = {}
     sent = []
-    for least, lengths, data in zip(t["least"], t["lengths"], t["data"], strict=True):
-        docs, ends, at = np.frombuffer(least, "<i8").tolist(), np.cumsum(np.frombuffer(lengths, "<u2")).tolist(), 0
-        pieces = []
-        for d, z in zip(docs, ends, strict=True):
-            p = data[at:z]
+    for least, keys, lengths, data in zip(t["least"], t["keys"], t["lengths"], t["data"], strict=True):
+        ends, at, k = np.cumsum(np.frombuffer(lengths, "<u2")).tolist(), 0, []
+        for z in ends:
+            k.append(number.setdefault(data[at:z], len(number)))
             at = z
-            pieces.append(p)
-            if seen.get(p, LAST) >= d:
-                seen[p] = d
-        sent.append((pieces, docs))
-    names = sorted(seen, key=seen.__getitem__, reverse=True)
-    index = RunLengthIndex(names, np.array([seen[p] for p in names], np.int64))
-    offsets, least = index.stream()
-    number = {p: k for k, p in enumerate(names)}
-    count = np.diff(offsets)
+        sent.append((np.array(k, np.int64), np.frombuffer(least, "<i8"), np.frombuffer(keys, "<u4")))
+    names, n = list(number), len(number)
+    k, doc, key = (np.concatenate([x[i] for x in sent]) for i in range(3))
+    low, high = np.full(n, LAST), np.full(n, -LAST)
+    np.minimum.at(low, k, doc)
+    np.maximum.at(high, k, doc)
+    kinds, group = np.unique(key, return_inverse=True)
+    first, last, of = np.full(len(kinds), LAST), np.full(len(kinds), -LAST), np.empty(n, np.int64)
+    np.minimum.at(first, group, doc)
+    np.maximum.at(last, group, doc)
+    of[k] = group
+    indexed, streamed = np.flatnonzero(low < last[of]), np.flatnonzero(high > first[of])
     kept = []
-    for shard, block, (pieces, docs) in zip(t["shard"], t["block"], sent, strict=True):
-        k = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        bits = least[_ranges(offsets[k], count[k])] < np.repeat(np.array(docs, np.int64), count[k])
-        if bits.any():
-            kept.append((shard, block, np.packbits(bits).tobytes()))
+    if len(indexed):
+        index = RunLengthIndex([names[i] for i in indexed], low[indexed])
+        offsets, lengths, rows = index.statistics([names[i] for i in streamed])
+        found = index.earliest(lengths, rows)
+        count = np.fromiter(map(len, names), np.int64, n) - LENGTH + 1
+        at = np.cumsum(count) - count
+        best = np.full(int(count.sum()), LAST)
+        best[_ranges(at[streamed], count[streamed])] = found[_ranges(offsets[:-1], count[streamed])]
+        for shard, block, (k, doc, _) in zip(t["shard"], t["block"], sent, strict=True):
+            bits = best[_ranges(at[k], count[k])] < np.repeat(doc, count[k])
+            if bits.any():
+                kept.append((shard, block, np.packbits(bits).tobytes()))
     return pd.DataFrame(kept, columns=["shard", "block", "bits"])
 
 
@@ -385,7 +455,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool
     masks = cut(flags.groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("masks")), "suffix-masks")
 
     known = blocks.join(masks, "block", "left")
-    pieces = known.mapInArrow(_piece_batches(hash_shards, shards), "shard long, block long, least binary, lengths binary, data binary")
+    pieces = known.mapInArrow(_piece_batches(hash_shards, shards), "shard long, block long, least binary, keys binary, lengths binary, data binary")
     found = pieces.groupBy("shard").applyInPandas(_index, "shard long, block long, bits binary")
     bits = cut(found.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("bits")), "suffix-bits")
 
