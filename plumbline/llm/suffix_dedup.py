@@ -344,8 +344,9 @@ class RunLengthIndex:
 
     def earliest(self, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The smallest document that holds a match of LENGTH bytes or more, LAST where the match is shorter."""
-        at = np.searchsorted(self.interval, rows, side="right") - 1
-        return np.where(lengths >= LENGTH, self.least[at], LAST)
+        out, long = np.full(len(rows), LAST), np.flatnonzero(lengths >= LENGTH)
+        out[long] = self.least[np.searchsorted(self.interval, rows[long], side="right") - 1]
+        return out
 
 
 def _index(t: pd.DataFrame) -> pd.DataFrame:
