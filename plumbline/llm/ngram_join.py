@@ -18,7 +18,7 @@ classes, named by the row number of their first row, are joined:
    parts allow the overlap; within a component no pair can change the result. Two classes of one
    centre, one of which overlaps too little with it, must share something beside it, so they are
    only looked for in the lists of n-grams beside the centre. A list of more than LIST classes is
-   dealt by size (linked sets lie in the same or the next band of sizes) and in blocks of LIST.
+   dealt by size: linked sets lie in the same or the next band of sizes.
 
 Pairs are verified by vertical partitioning: the global order is cut into
 FRAGMENTS ranges, each set into its segments; a join on (class, fragment) counts
@@ -44,7 +44,7 @@ from plumbline.llm.graph import components
 
 N, PERCENT = 4, 85
 FRAGMENTS = 8
-#: Posting lists of more classes are compared by bands of set sizes, in blocks of so many classes.
+#: Posting lists of more classes are compared by bands of set sizes.
 LIST = 256
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -200,15 +200,14 @@ def _pairs_of_lists(lists: DataFrame, about: DataFrame, keys: list[str], apart,
     # a partner has n-grams enough: at least the list's smallest number, and the share of one's own
     partner = F.greatest(F.col("least"), F.expr(f"({percent} * n + 99) div 100"))
     left = tagged.join(open_, keys).where((100 + percent) * F.col("s") >= percent * (F.col("n") + partner))
-    # blocks of a long list: one side lies in one, the other in all of its band and the bands beside it
-    band, blocks = F.floor(F.log("n") / float(np.log(100 / percent))), F.floor((F.col("c") + LIST - 1) / LIST)
-    one = F.when(F.col("c") > LIST, F.struct(band.alias("band"), F.pmod(F.xxhash64("node"), blocks).alias("block"))).otherwise(F.struct(F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("block")))
-    around = F.flatten(F.transform(F.array(band - 1, band, band + 1), lambda d: F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda k: F.struct(d.alias("band"), k.alias("block")))))
-    every = F.when(F.col("c") > LIST, around).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("band"), F.lit(0).cast("long").alias("block"))))
+    # in a long list one side lies in its band, the other also in the bands beside its own
+    band = F.floor(F.log("n") / float(np.log(100 / percent)))
+    long, none = F.col("c") > LIST, F.lit(0).cast("long")
+    one, every = F.when(long, band).otherwise(none), F.when(long, F.array(band - 1, band, band + 1)).otherwise(F.array(none))
     named = lambda i: [F.col(c).alias(f"{c}_{i}") for c in ("node", "n", "s", "g", "o", *({"hub"} - {*keys}))]
-    x = left.select(*keys, one.alias("part"), *named("a"))
-    y = left.select(*keys, F.explode(every).alias("part"), *named("b"))
-    met = x.join(y, [*keys, "part"]).where((F.col("g_a") < F.col("g_b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b") & apart)
+    x = left.select(*keys, one.alias("band"), *named("a"))
+    y = left.select(*keys, F.explode(every).alias("band"), *named("b"))
+    met = x.join(y, [*keys, "band"]).where((F.col("g_a") < F.col("g_b")) & _near(percent) & _fits(percent, "n_a", "s_a", "n_b", "s_b") & apart)
     return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
 
 
@@ -256,7 +255,8 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     discard(segments, posted, extra, about, left_over, first, again, more)
 
     ids = docs.where("node IS NOT NULL").join(final, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
-    smallest = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written, so that the join below is one that Spark can broadcast or split
+    smallest = cut(ids.groupBy("component").agg(F.min("doc_id").alias("component_id")), "ngram-smallest")
     some = ids.join(smallest, "component").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = docs.where("node IS NULL").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(none)

@@ -88,8 +88,8 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1}
 
 
-def test_long_lists_in_blocks(spark, monkeypatch):
-    """One n-gram in all documents of many groups, lists cut into small blocks."""
+def test_long_lists_in_bands(spark, monkeypatch):
+    """One n-gram in all documents of many groups, even short lists compared by bands of sizes."""
     monkeypatch.setattr(ngram_join, "LIST", 4)
     r = random.Random(12)
     shared, rows = "one very common passage", []
