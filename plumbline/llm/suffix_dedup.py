@@ -230,7 +230,7 @@ def suffix_array(symbols: np.ndarray, span: int = 28) -> tuple[np.ndarray, np.nd
     word = padded[:n].copy()
     for k in range(1, 7):
         word = (word << np.uint64(9)) | padded[k : k + n]
-    sa = np.argsort(word, kind="stable")
+    sa = np.argsort(word)
     word = word[sa]
     first = np.append(True, word[1:] != word[:-1])
     rank = np.empty(n, np.int64)
@@ -244,7 +244,7 @@ def suffix_array(symbols: np.ndarray, span: int = 28) -> tuple[np.ndarray, np.nd
         at = sa[open_]
         after = at + h
         key = (rank[at] << 32) | np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         at, key = at[order], key[order]
         sa[open_] = at
         first = np.append(True, key[1:] != key[:-1])
@@ -259,7 +259,8 @@ class RunLengthIndex:
     """The run-compressed Burrows-Wheeler transform of some pieces, each closed by an end mark.
 
     Runs are ordered by (byte, first row), so that base, the rows before a run in this order, is where
-    its first row steps to. head and tail sample the suffix array at a run's first and last row.
+    its first row steps to. head and tail sample the suffix array at a run's first and last row. run and
+    interval tell a row's run and interval; only where a byte leaves its run is another one looked for.
     """
 
     def __init__(self, pieces: list[bytes], docs: np.ndarray):
@@ -279,8 +280,8 @@ class RunLengthIndex:
         x, y = sa[long], sa[long - 1]
         # ranks of all places by 28 symbols: two of them cover 50
         same[long] = (rank[x] == rank[y]) & (rank[x + LENGTH - 28] == rank[y + LENGTH - 28])
-        self.interval = np.flatnonzero(~same)
-        self.least = np.minimum.reduceat(np.repeat(docs, size + 1)[sa], self.interval)
+        self.interval = (np.cumsum(~same) - 1).astype(np.int32)
+        self.least = np.minimum.reduceat(np.repeat(docs, size + 1)[sa], np.flatnonzero(~same))
 
         before = symbols[sa - 1]
         start = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
@@ -288,6 +289,9 @@ class RunLengthIndex:
         order = np.argsort(before[start], kind="stable")
         self.start, self.length, self.byte = start[order], length[order], before[start][order].astype(np.int64)
         self.key = (self.byte << 40) | self.start
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        self.run = np.repeat(number, length)
         self.base = np.cumsum(self.length) - self.length
         self.head, self.tail = sa[self.start], sa[self.start + self.length - 1]
 
@@ -319,16 +323,16 @@ class RunLengthIndex:
         place += self.head[np.argmin(self.start)]
         while len(live):
             c = symbols[offsets[live] + left]
-            j = np.searchsorted(self.key, (c << 40) | row, side="right") - 1
-            above = (j >= 0) & (self.byte[j] == c)
-            inside = above & (row < self.start[j] + self.length[j])
+            j = self.run[row]
             to, place, match = self.base[j] + row - self.start[j], place - 1, match + 1
-            out = np.flatnonzero(~inside)
+            out = np.flatnonzero(self.byte[j] != c)
             if len(out):
-                up, down = j[out], np.minimum(j[out] + 1, last)
-                here, most, has = place[out] + 1, match[out] - 1, above[out]
+                up = np.searchsorted(self.key, (c[out] << 40) | row[out], side="right") - 1
+                down = np.minimum(up + 1, last)
+                here, most = place[out] + 1, match[out] - 1
+                has = (up >= 0) & (self.byte[up] == c[out])
                 a = np.where(has, self.common(here, self.tail[up], np.where(has, most, 0)), -1)
-                has = (j[out] < last) & (self.byte[down] == c[out])
+                has = (up < last) & (self.byte[down] == c[out])
                 b = np.where(has, self.common(here, self.head[down], np.where(has, most, 0)), -1)
                 upper, best = a >= b, np.maximum(a, b)
                 run = np.where(upper, up, down)
@@ -345,7 +349,7 @@ class RunLengthIndex:
     def earliest(self, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """The smallest document that holds a match of LENGTH bytes or more, LAST where the match is shorter."""
         out, long = np.full(len(rows), LAST), np.flatnonzero(lengths >= LENGTH)
-        out[long] = self.least[np.searchsorted(self.interval, rows[long], side="right") - 1]
+        out[long] = self.least[self.interval[rows[long]]]
         return out
 
 
