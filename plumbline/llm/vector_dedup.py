@@ -1,28 +1,31 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
-1. Balls. Vectors go to the nearest of some centroids, fitted on a bounded sample, and
+1. Classes and balls. Vectors of equal length are treated together. Equal ones are one point with a
+   weight. Points go to the nearest of some centroids, fitted on a bounded sample, and
    within salted blocks of a centroid to leaders that lie within a small angle of
    them. Members of one ball all link with each other, so that a group of very many near
-   copies becomes a few balls with counts; other vectors are balls of one.
-2. Graph. Leaders go to the shards of their OVERLAP nearest centroids. Each shard links its
+   copies becomes a few balls with weights; other points are balls of one.
+2. Graph. Leaders go to the shards of their OVERLAP nearest centroids; a shard of more than MOST
+   is dealt anew by pivots of its own. Each shard links its
    leaders to near ones, robustly pruned: a candidate is dropped where a kept neighbour is
    nearer to it by the factor ALPHA. The adjacency lists of all shards, with their
    reverses, are united per leader.
-3. Search. In each shard every leader is searched by greedy beam from the shard's medoid
+3. Search. The united graph is searched shard by shard, each with the neighbours of its leaders
+   that lie in other shards: every leader by greedy beam from the medoid
    and from itself, then the range is expanded through all neighbours within it.
 4. Verification by the cosine in double precision. Two balls whose angle less the radii
    is within the limit link; if the angle plus the radii is, all their members do,
-   else members are compared one by one.
+   else their members are compared as two matrices, which gives a count a member.
 5. Audit. The links of AUDIT leaders, drawn by hash, are compared with brute force over all
-   rows; while their mean recall is below MIN_RECALL everything is done again with twice the
-   overlap, and after the largest overlap with all pairs of leaders, in blocks.
+   rows, always; while their mean recall is below MIN_RECALL everything is done again with twice the
+   overlap, and after the largest overlap with all pairs of leaders, in blocks. The figure is logged.
 
 Bounds: the centroids are fitted on at most FIT vectors and number at most CENTROIDS;
-what is collected is that sample, the audit's vectors and sums.
+what is collected is that sample, the audit's vectors and sums, and the different lengths.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components, or are not
-of the commonest length link with nothing. Equal rows are vectors of their own and link with
-each other. A null id is never the smallest. An empty table gives an empty result.
+Defined cases: vectors that are null, zero, or hold null or non-finite components link with
+nothing, and those of different lengths not with each other. Equal rows are vectors of their own and
+link with each other. A null id is never the smallest. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,15 +38,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, table
+from plumbline.llm.common import cut, discard, table
 from plumbline.llm.graph import components
 
 LOG = logging.getLogger(__name__)
 COSINE = 0.95
 FIT, CENTROIDS, ROUNDS = 20_000, 4096, 8
 SHARD, BLOCK = 1000, 2048
+#: A shard of more leaders is dealt anew, so often at most.
+MOST, DEALS = 4096, 4
 OVERLAP, AUDIT, MIN_RECALL = 2, 128, 0.95
 #: A ball's radius, as a share of the angle of a link; under a half, members all link.
 RADIUS = 0.25
@@ -147,16 +153,17 @@ def _fan(start: np.ndarray, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     return of, place, flat[start[at][of] + place]
 
 
-def search(x: np.ndarray, lists: list[list[int]], radius: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, found) places within the limit, radii allowed for. lists: neighbours by row, of any length."""
+def search(x: np.ndarray, lists: list[list[int]], radius: np.ndarray, limit: float, asked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, found) places within the limit, radii allowed for. lists: neighbours by row, of any length; asked: the queries (all)."""
     n = len(x)
+    asked = np.arange(n) if asked is None else asked
     start = np.concatenate([[0], np.cumsum([len(a) for a in lists])]).astype(np.int64)
     flat = np.array([b for a in lists for b in a], np.int64)
     medoid = int((x @ x.mean(0)).argmax())
     reach = np.cos(np.minimum(limit + radius + radius.max(initial=0.0), math.pi))
-    pairs_q, pairs_v = [], []
-    for i in range(0, n, 512):
-        q = np.arange(i, min(n, i + 512))
+    pairs_q, pairs_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i in range(0, len(asked), 512):
+        q = asked[i : i + 512]
         rows = np.arange(len(q))
         seen, done = np.zeros((len(q), n), bool), np.zeros((len(q), n), bool)
         beam = np.stack([np.full(len(q), medoid), q], 1)
@@ -209,7 +216,9 @@ def _search(limit: float):  # noqa: ANN202
         ids, x, radius = t["ball"].to_numpy(), _matrix(t["unit"]), t["radius"].to_numpy()
         place = {b: k for k, b in enumerate(ids.tolist())}
         lists = [[place[b] for b in ([] if a is None else a) if b in place] for a in t["near"]]
-        a, b = search(x, lists, radius, limit)
+        # neighbours from other shards are found, and passed through, but not asked for
+        asked = np.flatnonzero(t["member"].to_numpy(bool)) if "member" in t else None
+        a, b = search(x, lists, radius, limit, asked)
         two, a, b = a != b, ids[a], ids[b]
         return pd.DataFrame({"a": np.minimum(a, b)[two], "b": np.maximum(a, b)[two]}).drop_duplicates()
 
@@ -248,84 +257,154 @@ def _cosine(x: str, y: str):  # noqa: ANN202
     return dot(F.col(x), F.col(y)) / F.sqrt(dot(F.col(x), F.col(x)) * dot(F.col(y), F.col(y)))
 
 
+def _between(limit: float, cosine: float):  # noqa: ANN202
+    """Of two balls: how many vectors of the other each member links with."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        one, two = t[t["first"]], t[~t["first"]]
+        x, y = _matrix(one["v"]), _matrix(two["v"])
+        nx, ny = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", y, y)
+        rows, cols = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+        for i in range(0, len(x), 1024):
+            link = (x[i : i + 1024] @ y.T) / np.sqrt(nx[i : i + 1024, None] * ny) >= cosine
+            rows[i : i + 1024] = link @ two["weight"].to_numpy(np.int64)
+            cols += one["weight"].to_numpy(np.int64)[i : i + 1024] @ link
+        out = pd.DataFrame({"a": t["a"].iloc[0], "b": t["b"].iloc[0], "row": pd.concat([one["row"], two["row"]]), "more": np.concatenate([rows, cols])})
+        return out[out["more"] > 0]
+
+    return run
+
+
+def _nearest(shared, width: int, count: int):  # noqa: ANN001, ANN202
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x = b.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, width)
+            s = x @ shared.value.T
+            top = np.argsort(-s, axis=1, kind="stable")[:, : min(count, s.shape[1])]
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(list(top), pa.list_(pa.int64()))], names=["row", "shards"])
+
+    return run
+
+
+def _by_pivots(key: tuple, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """A block of a shard's leaders at their OVERLAP nearest pivots."""
+    x, p = _matrix(members["unit"]), pivots.sort_values("pivot")
+    if not len(x) or not len(p):
+        return pd.DataFrame({"ball": members["ball"], "shard": members["shard"]})
+    top = np.argsort(-(x @ _matrix(p["unit"]).T), axis=1, kind="stable")[:, :OVERLAP]
+    names = np.array([f"{key[0]}/{k}" for k in p["pivot"]], object)
+    return pd.DataFrame({"ball": np.repeat(members["ball"].to_numpy(), top.shape[1]), "shard": names[top.ravel()]})
+
+
+def small_shards(homes: DataFrame, leaders: DataFrame) -> DataFrame:
+    """homes (ball, shard) with each shard of more than MOST leaders dealt to pivots, one for SHARD leaders, drawn by hash.
+
+    Pivots and members meet in blocks of members. What is still larger after DEALS rounds is dealt by hash.
+    """
+    for deal in range(DEALS + 1):
+        big = homes.groupBy("shard").agg(F.count("*").alias("c")).where(F.col("c") > MOST)
+        big = cut(big.select("shard", F.ceil(F.col("c") / SHARD).alias("k"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "vector-big")
+        if not big.limit(1).count():
+            return homes
+        mine = homes.join(big, "shard").withColumn("block", F.pmod(F.xxhash64("ball"), F.col("blocks")))
+        rest = homes.join(big, "shard", "left_anti").select("ball", "shard")
+        if deal == DEALS:
+            return cut(rest.unionByName(mine.select("ball", F.concat_ws("#", "shard", F.col("block").cast("string")).alias("shard"))), "vector-homes")
+        rank = F.row_number().over(W.partitionBy("shard").orderBy(F.xxhash64("ball", F.lit(deal))))
+        pivots = mine.withColumn("pivot", rank).where("pivot <= k").join(leaders.select("ball", "unit"), "ball")
+        pivots = cut(pivots.select("shard", "pivot", "unit", "blocks"), "vector-pivots")
+        pivots = pivots.select("shard", "pivot", "unit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        members = mine.join(leaders.select("ball", "unit"), "ball").select("ball", "shard", "block", "unit")
+        dealt = members.groupBy("shard", "block").cogroup(pivots.groupBy("shard", "block")).applyInPandas(_by_pivots, "ball long, shard string")
+        homes = cut(rest.unionByName(dealt.distinct()), "vector-homes")
+    return homes
+
+
 def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) per row of df."""
-    spark, limit = df.sparkSession, math.acos(cosine)
     v = F.transform(F.col(f"`{embedding}`"), lambda c: c.cast("double"))
     raw = df.select(F.col(f"`{vec_id}`").alias("vec_id"), v.alias("v"))
     odd = F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
     fine = F.coalesce(F.col("v").isNotNull() & ~odd & (norm > 0) & (norm < float("inf")), F.lit(False))
-    raw = cut(raw.withColumn("unit", F.when(fine, F.transform("v", lambda c: c / norm))).withColumn("row", F.monotonically_increasing_id()), "vectors")
-    lengths = raw.where("unit IS NOT NULL").groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    n, width = (lengths[0]["count"], lengths[0]["d"]) if lengths else (0, 0)
-    good = raw.where(F.col("unit").isNotNull() & (F.size("unit") == width))
-    rest = raw.where(F.col("unit").isNull() | (F.size("unit") != width)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not n:
-        return rest
-    drawn = good.select("unit", F.xxhash64("row").alias("h")).orderBy("h").limit(FIT).toArrow()
+    unit = F.when(fine, F.transform("v", lambda c: c / norm))
+    raw = cut(raw.select("vec_id", "v", unit.alias("unit"), F.coalesce(F.when(fine, F.size("v")), F.lit(0)).alias("d"), F.monotonically_increasing_id().alias("row")), "vectors")
+    # a run a length; a vector alone in its length has no links
+    widths = [(r["d"], r["count"]) for r in raw.where("d > 0").groupBy("d").count().where("count > 1").orderBy("d").collect()]
+    out = raw.where(~F.col("d").isin([d for d, _ in widths])).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for d, n in widths:
+        out = out.unionByName(_of_one_length(raw.where(F.col("d") == d).drop("d"), d, n, cosine))
+    return out
+
+
+def _of_one_length(good: DataFrame, width: int, n: int, cosine: float) -> DataFrame:
+    spark, limit = good.sparkSession, math.acos(cosine)
+    points = cut(good.groupBy("v").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "vector-points")
+    drawn = points.select("unit", F.xxhash64("row").alias("h")).orderBy("h").limit(FIT).toArrow()
     c = centroids(drawn.column("unit").combine_chunks().flatten().to_numpy().reshape(drawn.num_rows, width), max(1, min(CENTROIDS, drawn.num_rows, n // SHARD)))
     del drawn
     shared = spark.sparkContext.broadcast(c)
 
-    def nearest(count: int):  # noqa: ANN202
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                x = np.array(b.column("unit").values).reshape(b.num_rows, width) if b.num_rows else np.empty((0, width))
-                s = x @ shared.value.T
-                k = min(count, s.shape[1])
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(list(top), pa.list_(pa.int64()))], names=["row", "shards"])
-
-        return run
-
-    links_of, overlap, exact = None, OVERLAP, False
-    sizes = cut(good.select("row", "unit").mapInArrow(nearest(1), "row long, shards array<long>").select("row", F.col("shards")[0].alias("shard")), "vector-shards")
+    sizes = cut(points.select("row", "unit").mapInArrow(_nearest(shared, width, 1), "row long, shards array<long>").select("row", F.col("shards")[0].alias("shard")), "vector-shards")
     salts = sizes.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).alias("salts"))
-    blocks = sizes.join(salts, "shard").select("row", "shard", F.pmod(F.xxhash64("row"), F.col("salts")).alias("salt")).join(good.select("row", "unit"), "row")
-    members = cut(blocks.groupBy("shard", "salt").applyInPandas(_balls(limit), "row long, ball long, radius double"), "vector-balls")
-    balls = members.groupBy("ball").agg(F.count("*").alias("size"), F.max("radius").alias("radius"))
-    leaders = cut(balls.join(good.select(F.col("row").alias("ball"), "unit", "v"), "ball"), "vector-leaders")
-
+    blocks = sizes.join(salts, "shard").select("row", "shard", F.pmod(F.xxhash64("row"), F.col("salts")).alias("salt")).join(points.select("row", "unit"), "row")
+    members = blocks.groupBy("shard", "salt").applyInPandas(_balls(limit), "row long, ball long, radius double")
+    members = cut(members.join(points.select("row", "weight"), "row"), "vector-balls")
+    balls = members.groupBy("ball").agg(F.sum("weight").alias("size"), F.count("*").alias("points"), F.max("radius").alias("radius"))
+    leaders = cut(balls.join(points.select(F.col("row").alias("ball"), "unit", "v"), "ball"), "vector-leaders")
+    discard(sizes)
+
+    overlap, exact = OVERLAP, False
     while True:
-        if exact:
-            found = compared(leaders, limit)
-        else:
-            homes = leaders.select(F.col("ball").alias("row"), "unit").mapInArrow(nearest(overlap), "row long, shards array<long>").select(F.col("row").alias("ball"), F.explode("shards").alias("shard"))
-            placed = cut(homes.join(leaders.select("ball", "unit", "radius"), "ball"), "vector-placed")
-            lists = placed.groupBy("shard").applyInPandas(lambda t: _build(t), "ball long, near array<long>")
-            united = cut(lists.groupBy("ball").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "vector-graph")
-            found = placed.join(united, "ball", "left").groupBy("shard").applyInPandas(_search(limit), "a long, b long").distinct()
-        ends = [leaders.select(F.col("ball").alias(s), F.col("v").alias(f"v_{s}"), F.col("radius").alias(f"r_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab"]
+        found = compared(leaders, limit) if exact else _found(leaders, shared, width, overlap, limit)
+        ends = [leaders.select(F.col("ball").alias(s), F.col("v").alias(f"v_{s}"), F.col("radius").alias(f"r_{s}"), F.col("size").alias(f"size_{s}"), F.col("points").alias(f"points_{s}")) for s in "ab"]
         near = found.join(ends[0], "a").join(ends[1], "b").withColumn("cos", _cosine("v_a", "v_b"))
         phi = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), "cos")))
-        single = (F.col("size_a") == 1) & (F.col("size_b") == 1)
+        single = (F.col("points_a") == 1) & (F.col("points_b") == 1)
         slack = F.col("r_a") + F.col("r_b")
         sure = F.when(single, F.col("cos") >= cosine).otherwise(phi + slack <= limit - 1e-9)
         maybe = ~single & ~sure & (phi - slack <= limit + 1e-9)
         near = cut(near.select("a", "b", "size_a", "size_b", sure.alias("sure"), maybe.alias("maybe")).where("sure OR maybe"), "vector-near")
-        of = [members.select(F.col("row").alias(f"row_{s}"), F.col("ball").alias(s)).join(good.select(F.col("row").alias(f"row_{s}"), F.col("v").alias(f"v_{s}")), f"row_{s}") for s in "ab"]
-        checked = near.where("maybe").select("a", "b").join(of[0], "a").join(of[1], "b").where(_cosine("v_a", "v_b") >= cosine)
-        checked = cut(checked.select("a", "b", "row_a", "row_b"), "vector-checked")
+        unsure = near.where("maybe").select("a", "b")
+        side = lambda s: unsure.join(members.select("row", "weight", F.col("ball").alias(s)), s).select("a", "b", "row", "weight", F.lit(s == "a").alias("first"))
+        both = side("a").unionByName(side("b")).join(points.select("row", "v"), "row")
+        checked = cut(both.groupBy("a", "b").applyInPandas(_between(limit, cosine), "a long, b long, row long, more long"), "vector-checked")
         yes = near.where("sure")
         per_ball = yes.select(F.col("a").alias("ball"), F.col("size_b").alias("c")).unionAll(yes.select("b", "size_a")).groupBy("ball").agg(F.sum("c").alias("c"))
-        per_row = checked.select(F.col("row_a").alias("row")).unionAll(checked.select("row_b")).groupBy("row").agg(F.count("*").alias("more"))
+        per_row = checked.groupBy("row").agg(F.sum("more").alias("more"))
         links_of = members.join(balls.select("ball", "size"), "ball").join(per_ball, "ball", "left").join(per_row, "row", "left").select(
             "row", "ball", (F.col("size") - 1 + F.coalesce("c", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n_links")
         )
         links_of = cut(links_of, "vector-links")
         if exact or recall(good, links_of, cosine) >= MIN_RECALL:
             break
+        discard(near, checked, links_of)
         exact = overlap >= len(c)
         overlap = min(2 * overlap, len(c))
 
     edges = yes.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(checked.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct())
     group = components(edges)
-    rows = links_of.join(group.select(F.col("node").alias("ball"), "component"), "ball", "left").select("row", "n_links", F.coalesce("component", "ball").alias("component"))
-    rows = rows.join(good.select("row", "vec_id"), "row")
-    least = rows.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    some = rows.join(least, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    return some.unionByName(rest)
+    at = links_of.join(group.select(F.col("node").alias("ball"), "component"), "ball", "left").select("row", "n_links", F.coalesce("component", "ball").alias("component"))
+    at = cut(at.join(points.select("row", "v"), "row").drop("row"), "vector-at")
+    rows = cut(good.select("v", "vec_id").join(at, "v").drop("v"), "vector-rows")
+    least = cut(rows.groupBy("component").agg(F.min("vec_id").alias("component_id")), "vector-least")
+    discard(points, members, leaders, near, checked, links_of, at)
+    return rows.join(least, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _found(leaders: DataFrame, shared, width: int, overlap: int, limit: float) -> DataFrame:  # noqa: ANN001
+    """(a, b): pairs of leaders that the united graph's search finds within the limit, radii allowed for."""
+    homes = leaders.select(F.col("ball").alias("row"), "unit").mapInArrow(_nearest(shared, width, overlap), "row long, shards array<long>")
+    homes = cut(homes.select(F.col("row").alias("ball"), F.explode(F.col("shards").cast("array<string>")).alias("shard")), "vector-homes")
+    homes = small_shards(homes, leaders)
+    placed = homes.join(leaders.select("ball", "unit", "radius"), "ball")
+    lists = placed.groupBy("shard").applyInPandas(lambda t: _build(t), "ball long, near array<long>")
+    united = cut(lists.groupBy("ball").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "vector-graph")
+    # a shard's leaders, and the neighbours that they have in other shards
+    beside = homes.join(united, "ball").select("shard", F.explode("near").alias("ball")).distinct().join(homes, ["shard", "ball"], "left_anti")
+    nodes = homes.select("shard", "ball", F.lit(True).alias("member")).unionByName(beside.select("shard", "ball", F.lit(False).alias("member")))
+    nodes = nodes.join(leaders.select("ball", "unit", "radius"), "ball").join(united, "ball", "left")
+    return nodes.groupBy("shard").applyInPandas(_search(limit), "a long, b long").distinct()
 
 
 def recall(good: DataFrame, links_of: DataFrame, cosine: float = COSINE, queries: int = AUDIT) -> float:
@@ -363,4 +442,17 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_embedding_near_dedup": op2_embedding_near_dedup}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs by their cosine, and reachability by a recursive union.
+ORACLE_SQL = {
+    "op2_embedding_near_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda c: c::DOUBLE) AS v FROM embeddings),
+ok AS (
+  SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND list_sum(list_transform(v, lambda c: c * c)) > 0),
+link AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON len(x.v) = len(y.v) AND x.vec_id <> y.vec_id
+  WHERE list_inner_product(x.v, y.v) / sqrt(list_inner_product(x.v, x.v) * list_inner_product(y.v, y.v)) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+least_of AS (SELECT a, min(b) AS low FROM reach GROUP BY a), n AS (SELECT a, count(*) AS c FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.c, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id, e.vec_id <= coalesce(low, e.vec_id) AS kept
+FROM e LEFT JOIN least_of l ON l.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pytest
 from plumbline.llm import vector_dedup as V
 from pyspark.sql import functions as F
 
@@ -92,3 +93,38 @@ def test_recall_is_not_carried_by_a_hot_group(spark):
     good = spark.createDataFrame([(r, v, v) for r, _, v, _ in x], "row long, v array<double>, unit array<double>")
     links = spark.createDataFrame([(r, b, n) for r, b, _, n in x], "row long, ball long, n_links long")
     assert V.recall(good, links) < V.MIN_RECALL
+
+
+def test_lengths_are_treated_apart(spark):
+    """Equal vectors of a rarer length link with each other, and with no vector of another length."""
+    rows = [(i, [1.0, 0.0, 0.1 * i]) for i in range(5)] + [(10, [1.0, 0.0]), (11, [2.0, 0.0]), (12, [1.0])]
+    got = {x.vec_id: (x.n_links, x.component_id) for x in V.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got[10] == (1, 10) and got[11] == (1, 10) and got[12] == (0, 12) and got[0][1] == 0
+
+
+def test_large_shards_are_dealt_anew(spark, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 60)
+    monkeypatch.setattr(V, "MOST", 90)
+    monkeypatch.setattr(V, "BLOCK", 64)
+    rows = made(6, n=500)
+    got = sorted([tuple(x) for x in V.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()], key=str)
+    want = brute(rows)
+    assert sum(g[1] for g in got) >= 0.95 * sum(w[1] for w in want) and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+    leaders = spark.createDataFrame([(i, v) for i, v in rows], "ball long, unit array<double>")
+    homes = V.small_shards(leaders.select("ball", F.lit("0").alias("shard")), leaders)
+    assert homes.select("ball").distinct().count() == 500 and homes.groupBy("shard").count().agg(F.max("count")).first()[0] <= 90
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_planted_groups_at_the_tables_sizes(spark, n):
+    """The driver's tables of 500 and 2,000 vectors hold few links or none: groups are planted, and the recall measured."""
+    r = np.random.default_rng(n)
+    x = r.normal(size=(n, 16))
+    for i in range(n // 2, n):
+        x[i] = x[i % (n // 5)] / np.linalg.norm(x[i % (n // 5)]) + 0.05 * r.normal(size=16)
+    rows = [(int(i), [float(c) for c in v]) for i, v in enumerate(x)]
+    got = sorted([tuple(g) for g in V.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()], key=str)
+    want = brute(rows)
+    found, real = sum(g[1] for g in got), sum(w[1] for w in want)
+    print(f"recall {found / real:.4f} of {real} links at {n} vectors")
+    assert real > n and found >= 0.95 * real and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
