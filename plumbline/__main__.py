@@ -4,29 +4,28 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import functions as F
-
 from plumbline import api
+from plumbline.operators import corpus
 from plumbline.sources import files
 
 
-def main() -> int:
+def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="plumbline")
     p.add_argument("command", choices=["audit", "extract", "rerun", "evaluate"])
     p.add_argument("input")
     p.add_argument("--output")
     p.add_argument("--config")
     p.add_argument("--runs", type=int, default=3)
-    a = p.parse_args()
+    p.add_argument("--replicates", type=int, default=corpus.BOOTSTRAP)
+    a = p.parse_args(argv)
     spark, cfg = api.session(), api.load(a.config)
     if a.command == "extract":
         out = files.read_texts(spark, a.input)
     elif a.command == "audit":
         out = api.audit_lines(spark.read.text(a.input), cfg)[0]
     else:
-        good, _ = api.split(files.read_jsonl(spark, a.input))
-        flag = F.get_json_object("raw", "$.metadata.reference_flag").try_cast("boolean")
-        out = api.rerun(good, a.runs, cfg) if a.command == "rerun" else api.evaluate(good.withColumn("reference_flag", flag), cfg)
+        lines = spark.read.text(a.input)
+        out = api.rerun(api.split(api.parsed(lines))[0], a.runs, cfg) if a.command == "rerun" else api.evaluate(api.labelled(lines), cfg, a.replicates)
     if a.output:
         files.write_jsonl(out, a.output)
     else:

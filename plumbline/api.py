@@ -12,7 +12,7 @@ from plumbline.operators import corpus, rules
 from plumbline.operators.extract import extract
 from plumbline.schema import parsed, split, with_defaults
 
-__all__ = ["Config", "audit", "audit_lines", "evaluate", "extract", "load", "parsed", "register", "rerun", "rule_manifest", "split"]
+__all__ = ["Config", "audit", "audit_batch", "audit_lines", "evaluate", "extract", "extract_text", "labelled", "load", "parsed", "register", "rerun", "rule_manifest", "split"]
 
 #: A batch may hold so many records, a line so many bytes, a text so many characters.
 MOST_RECORDS, MOST_BYTES, MOST_CHARS = 500, 5_000_000, 500_000
@@ -30,19 +30,30 @@ def audit(records: DataFrame, cfg: Config | None = None) -> DataFrame:
 def audit_lines(lines: DataFrame, cfg: Config | None = None) -> tuple[DataFrame, DataFrame]:
     """(responses with input_hash, quarantined lines) of JSON lines."""
     cfg = cfg or Config()
-    fits = F.octet_length("value") <= MOST_BYTES
+    fits = F.coalesce(F.octet_length("value") <= MOST_BYTES, F.lit(False))
     good, bad = split(parsed(lines.where(fits)))
     out = audit(good, cfg).join(good.select("record_key", content_hash(F.col("raw"), cfg.version, cfg.model_revision).alias("input_hash")), "record_key")
     large = lines.where(~fits).select(F.col("value").alias("raw"), F.array(F.lit("too_large")).alias("errors"))
     return out, bad.select("raw", "errors").unionByName(large)
 
 
-def evaluate(records: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """Agreement of the flag verdict with the boolean column reference_flag."""
+def labelled(lines: DataFrame) -> DataFrame:
+    """Valid records of JSON lines with reference_flag, which stands in the record or in its metadata."""
+    good, bad = split(parsed(lines, more=("reference_flag",)))
+    if bad.limit(1).count():
+        raise ValueError(f"records that aren't valid: {[r.errors for r in bad.select('errors').limit(3).collect()]}")
+    flag = lambda p: F.get_json_object("raw", p).try_cast("boolean")
+    return good.withColumn("reference_flag", F.coalesce(flag("$.reference_flag"), flag("$.metadata.reference_flag")))
+
+
+def evaluate(records: DataFrame, cfg: Config | None = None, replicates: int = corpus.BOOTSTRAP) -> DataFrame:
+    """Agreement of the flag verdict with the boolean column reference_flag, with 95 % intervals."""
     if records.where(F.col("reference_flag").isNull()).limit(1).count():
         raise ValueError("a record has no reference_flag")
     v = corpus.rollup(rules.findings(records, cfg)).select("record_key", (F.col("verdict") == "flag").alias("pred"))
-    return corpus.agreement(records.select("record_key", F.col("reference_flag").alias("ref")).join(v, "record_key"))
+    pairs = records.select("record_key", F.col("reference_flag").alias("ref")).join(v, "record_key")
+    ends = corpus.bootstrap(corpus.numbered(pairs, "record_key"), replicates).select(F.struct("metric", "low", "high").alias("x"))
+    return corpus.agreement(pairs).crossJoin(ends.agg(F.array_sort(F.collect_list("x")).alias("intervals")))
 
 
 def rerun(records: DataFrame, runs: int = 3, cfg: Config | None = None) -> DataFrame:
@@ -54,5 +65,19 @@ def rerun(records: DataFrame, runs: int = 3, cfg: Config | None = None) -> DataF
     return corpus.rerun_mismatches(out)
 
 
+def audit_batch(records: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """As audit, for one request: more than MOST_RECORDS records are refused."""
+    if records.limit(MOST_RECORDS + 1).count() > MOST_RECORDS:
+        raise ValueError(f"a batch holds at most {MOST_RECORDS} records")
+    return audit(records, cfg)
+
+
+def extract_text(texts: DataFrame) -> DataFrame:
+    """As extract, for requests: texts of more than MOST_CHARS characters are refused."""
+    if texts.where(F.length("text") > MOST_CHARS).limit(1).count():
+        raise ValueError(f"a text holds at most {MOST_CHARS} characters")
+    return extract(texts)
+
+
 def session(name: str = "plumbline") -> SparkSession:
     return SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").getOrCreate()

@@ -14,6 +14,7 @@ FIELDS = (
     "protocol_registration", "data_sharing", "conflicts_of_interest", "patient_public_involvement",
 )
 REPORTING = FIELDS[2:]
+# The settings that change results, and below their defaults.
 SEMANTIC = ("rules_version", "model_revision", "alpha", "interaction_sample_multiplier", "min_events_per_parameter", "min_expected_cell_count", "baseline_extreme_p", "completeness_weights")
 
 
@@ -33,7 +34,7 @@ class Config:
     def __post_init__(self) -> None:
         if not 0 < self.alpha < 1 or not 0 < self.baseline_extreme_p < 1:
             raise ValueError("alpha and baseline_extreme_p lie between 0 and 1")
-        if self.interaction_sample_multiplier < 1 or self.min_events_per_parameter < 1 or self.min_expected_cell_count <= 0:
+        if self.interaction_sample_multiplier <= 0 or self.min_events_per_parameter < 1 or self.min_expected_cell_count <= 0:
             raise ValueError("multiplier, event floor and cell floor must be positive")
         if self.cache_ttl_seconds < 1 or self.cache_max_entries < 1:
             raise ValueError("cache bounds must be positive")
@@ -48,12 +49,23 @@ class Config:
 
 
 def load(path: str | None = None) -> Config:
-    """Settings of a TOML file: of path, else of PLUMBLINE_CONFIG, else the defaults."""
+    """Settings of a TOML file: of path, else of PLUMBLINE_CONFIG, else the defaults.
+
+    Settings stand at the top or in the section engine, weights in completeness.weights; weights left out are 1.
+    """
     path = path or os.environ.get("PLUMBLINE_CONFIG")
     if not path:
         return Config()
     with open(path, "rb") as f:
         given = tomllib.load(f)
+    weights = given.pop("completeness", {})
+    if extra := set(weights) - {"weights"}:
+        raise ValueError(f"unknown completeness settings: {sorted(extra)}")
+    given |= given.pop("engine", {})
+    if "memory_cache_entries" in given:  # the setting's older name
+        given["cache_max_entries"] = given.pop("memory_cache_entries")
+    if weights:
+        given["completeness_weights"] = dict.fromkeys(FIELDS, 1.0) | weights["weights"]
     known = {f.name for f in fields(Config)}
     if extra := set(given) - known:
         raise ValueError(f"unknown settings: {sorted(extra)}")

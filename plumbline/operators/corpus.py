@@ -105,6 +105,18 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("bigint")
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with idx: their places from 0 on in the order of a unique key.
+
+    Keys are dealt by range, each range is numbered by itself, and the counts of the ranges before it are added.
+    """
+    d = rows.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
+    own = F.row_number().over(W.partitionBy("part").orderBy(key)).cast("bigint")
+    sizes = d.groupBy("part").agg(F.count("*").alias("c"))
+    before = sizes.withColumn("before", F.sum("c").over(W.orderBy("part")) - F.col("c")).select("part", "before")
+    return d.withColumn("own", own).join(before, "part").withColumn("idx", F.col("own") + F.col("before") - 1).drop("part", "own", "before")
+
+
 def bootstrap(pairs: DataFrame, replicates: int = BOOTSTRAP, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """95 % intervals of the agreement metrics, from resampled cells.
 
@@ -129,7 +141,7 @@ def stratified(rows: DataFrame, quotas: DataFrame, strata: list[str], key: str,
     bound, which Spark cuts before it shuffles.
     """
     order = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), 256)
-    d = rows.withColumn("h", order).join(F.broadcast(quotas), strata, "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
+    d = rows.withColumn("h", order).join(quotas, strata, "left").withColumn("quota", F.coalesce("quota", F.lit(0)))
     most = quotas.agg(F.max("quota")).first()[0] or 0
     head = d.withColumn("r", F.row_number().over(W.partitionBy(*strata).orderBy("h"))).where(F.col("r") <= most + target)
     first = head.where("r <= quota").withColumn("refill", F.lit(False))
@@ -138,6 +150,45 @@ def stratified(rows: DataFrame, quotas: DataFrame, strata: list[str], key: str,
     return first.unionByName(rest).drop("r", "quota")
 
 
+def review_rows(findings: DataFrame) -> DataFrame:
+    """(record_key, check_family, pipeline_label, n, rationale): per record and reviewed family its worst verdict and what says so."""
+    families = sorted({family for family, _ in QUOTAS})
+    r = rank(F.col("verdict"))
+    worst = findings.where(F.col("rule_id").isin(families)).groupBy("record_key", F.col("rule_id").alias("check_family"), r.alias("r")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("rationale")), " | ").alias("rationale"))
+    top = worst.groupBy("record_key", "check_family").agg(F.max_by(F.struct("r", "n", "rationale"), "r").alias("x"))
+    return top.select("record_key", "check_family", verdict_of(F.col("x.r")).alias("pipeline_label"), "x.n", "x.rationale")
+
+
+def review_queue(findings: DataFrame, target: int = QUEUE_ROWS, seed: int = QUEUE_SEED) -> DataFrame:
+    """review_rows sampled by the eleven quotas and refilled to target, in a seeded order."""
+    rows = review_rows(findings).withColumn("key", F.concat_ws("/", "record_key", "check_family"))
+    quotas = rows.sparkSession.createDataFrame([(*k, q) for k, q in QUOTAS.items()], "check_family string, pipeline_label string, quota int")
+    picked = stratified(rows, quotas, ["check_family", "pipeline_label"], "key", target, seed)
+    return picked.withColumn("place", hash_int(F.lit(f"{seed}:order"), F.col("key"))).orderBy("place", "key").drop("h", "place")
+
+
+def span_scores(rows: DataFrame) -> DataFrame:
+    """(tp, fp, fn, precision, recall, f1) of rows with arrays gold and predicted; each counts as a set."""
+    size = lambda a: F.sum(F.size(a)).cast("bigint")
+    d = rows.agg(size(F.array_intersect("predicted", "gold")).alias("tp"), size(F.array_except("predicted", "gold")).alias("fp"), size(F.array_except("gold", "predicted")).alias("fn"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    d = d.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
+    return d.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+def largest_error(rows: DataFrame, tolerance: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """(n, max_error, failures) of columns got and want; a missing or undefined value fails."""
+    e = F.abs(F.col("got") - F.col("want"))
+    good = F.coalesce(~F.isnan(e) & (e <= tolerance), F.lit(False))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.max(F.when(~F.isnan(e), e)).alias("max_error"), F.count(F.when(~good, 1)).alias("failures"))
+
+
+def miss_schedule(requests: DataFrame, number: str, share: float) -> DataFrame:
+    """requests with miss: such a share of the numbers 0, 1, ..., as evenly spread as whole numbers allow."""
+    steps = lambda k: F.floor(k * F.lit(share) + 1e-9)
+    return requests.withColumn("miss", steps(F.col(number) + 1) > steps(F.col(number)))
+
+
 def rerun_mismatches(runs: DataFrame) -> DataFrame:
     """Of rows (record_key, run, hash): records, and those whose hashes differ between runs."""
     k = runs.groupBy("record_key").agg(F.count_distinct("hash").alias("kinds"))
@@ -160,8 +211,17 @@ def enrich(records: DataFrame, notices: DataFrame) -> DataFrame:
     return records.withColumn("key", normal(F.col("doi"))).join(kept, "key", "left").withColumn("matched", F.col("reason").isNotNull())
 
 
-def cohort_qc(records: DataFrame, expected: int) -> DataFrame:
-    """Counts that a cohort must meet, and whether it does."""
-    d = records.agg(F.count("*").alias("records"), F.count_distinct("study_id").alias("ids"), F.count(F.when(F.col("study_id").isNull(), 1)).alias("missing"), F.count(F.when(F.col("randomized_n") <= 0, 1)).alias("bad_enrollment"))
+def cohort_qc(records: DataFrame, expected: int, manifest: DataFrame | None = None, digest: Column | None = None) -> DataFrame:
+    """Counts that a cohort must meet, and whether it does; with a manifest, also its accepted number and digest."""
+    aggs = [F.count("*").alias("records"), F.count_distinct("study_id").alias("ids"), F.count(F.when(F.col("study_id").isNull(), 1)).alias("missing"), F.count(F.when(F.col("randomized_n").isNull() | (F.col("randomized_n") <= 0), 1)).alias("bad_enrollment")]
+    if manifest is not None:
+        aggs.append(digest.alias("digest"))
+    d = records.agg(*aggs)
     dup = F.col("records") - F.col("missing") - F.col("ids")
-    return d.withColumn("duplicates", dup).withColumn("ok", (F.col("records") == expected) & (F.col("missing") == 0) & (dup == 0) & (F.col("bad_enrollment") == 0))
+    d = d.withColumn("duplicates", dup)
+    ok = (F.col("records") == expected) & (F.col("missing") == 0) & (dup == 0) & (F.col("bad_enrollment") == 0)
+    if manifest is None:
+        return d.withColumn("ok", ok)
+    m = manifest.select(F.col("accepted").alias("m_accepted"), F.col("digest").alias("m_digest"))
+    same = F.coalesce((F.col("records") == F.col("m_accepted")) & (F.col("digest") == F.col("m_digest")), F.lit(False))
+    return d.crossJoin(m).withColumn("manifest_equal", same).withColumn("ok", ok & same).drop("m_accepted", "m_digest", "digest")

@@ -341,14 +341,16 @@ def baseline_findings(r: DataFrame, cfg: Config) -> DataFrame:
     b = r.select("record_key", F.explode("baseline_comparisons").alias("b"))
     free = F.col("b.independent_from_other_variables") & (F.coalesce(F.size("b.correlated_with"), F.lit(0)) <= 0)
     p = welch(b).select("record_key", "p", "p_low", "p_high", (F.col("b.variable_type") == "continuous").alias("ok"), free.alias("free"))
-    d = r.select("record_key").join(combined(p), "record_key", "left")
     judged = _case(
-        (F.col("size").isNull(), NA, "info", "no baseline comparisons were supplied"), (~F.col("ok"), NA, "info", "a baseline variable is not continuous"),
+        (~F.col("ok"), NA, "info", "a baseline variable is not continuous"),
         ((F.col("size") > 1) & ~F.col("free"), NA, "info", "the variables are not known to be independent"),
         (F.col("safe_p") < cfg.baseline_extreme_p, WARN, "low", "baseline p-values are unusually extreme; a weak signal"),
         last=(PASS, "info", "baseline p-values are not extreme"),
     )
-    return _rows(d, _made("BASELINE-ANOMALY", judged, F.struct("size", "fisher", "fisher_p", "f_low", "f_high", "stouffer_z", "stouffer_p", "extreme_p", "safe_p")))
+    shown = F.struct("size", "fisher", "fisher_p", "f_low", "f_high", "stouffer_z", "stouffer_p", "extreme_p", "safe_p")
+    none = _made("BASELINE-ANOMALY", _case(last=(NA, "info", "no baseline comparisons were supplied")), None)
+    # only records that compare anything are grouped; the others keep to their partition
+    return _rows(combined(p), _made("BASELINE-ANOMALY", judged, shown)).unionByName(_rows(r.where(F.size("baseline_comparisons") == 0), none))
 
 
 # -- all of them ----------------------------------------------------------------------------------
@@ -359,16 +361,16 @@ FAMILIES = (completeness_findings, enrollment_findings, subgroup_findings, stat_
 def findings(records: DataFrame, cfg: Config | None = None) -> DataFrame:
     """All findings of records (with record_key), each not-applicable one with its scope in the evidence."""
     cfg = cfg or Config()
+    # the families carry the key along unread: it brings the record's unavailable rules to its findings
+    unavailable = F.from_json(F.get_json_object("metadata", "$.source_schema_unavailable_rules"), "array<string>")
     r = with_defaults(records)
+    r = r.withColumn("record_key", F.struct(F.col("record_key").alias("key"), F.coalesce(unavailable, F.array().cast("array<string>")).alias("rules")))
     out = None
     for family in FAMILIES:
         f = family(r, cfg).select(*FINDING)
         out = f if out is None else out.unionByName(f)
-    unavailable = F.from_json(F.get_json_object("metadata", "$.source_schema_unavailable_rules"), "array<string>")
-    scopes = r.select("record_key", unavailable.alias("rules")).where("rules IS NOT NULL")
-    out = out.join(scopes, "record_key", "left")
-    scope = F.when(F.col("verdict") == NA, F.when(F.coalesce(F.array_contains("rules", F.col("rule_id")), F.lit(False)), "source_schema").otherwise("record"))
-    return out.select(*FINDING, scope.alias("scope"))
+    scope = F.when(F.col("verdict") == NA, F.when(F.array_contains("record_key.rules", F.col("rule_id")), "source_schema").otherwise("record"))
+    return out.select(F.col("record_key.key").alias("record_key"), *FINDING[1:], scope.alias("scope"))
 
 
 def responses(records: DataFrame, cfg: Config | None = None) -> DataFrame:

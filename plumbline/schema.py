@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,36 +117,88 @@ def violations() -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
 
 
-def parsed(lines: DataFrame, line: str = "value") -> DataFrame:
+def _loose(t: T.DataType) -> T.DataType:
+    """The type to read JSON of type t with, so that its scalars stay text and structs keep names that t lacks."""
+    text = T.StringType()
+    if isinstance(t, T.StructType):
+        return T.MapType(text, text)
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_loose(t.elementType))
+    return T.MapType(text, text) if isinstance(t, T.MapType) else text
+
+
+def _scalar(s: Column, t: T.DataType) -> Column:
+    """A scalar's text as type t, or null; whole numbers may be written 20.0."""
+    if isinstance(t, (T.LongType, T.IntegerType)):
+        d = s.try_cast("decimal(38,10)")
+        return F.when(d == F.floor(d), d.try_cast(t))
+    return s if isinstance(t, T.StringType) else s.try_cast(t)
+
+
+def _nested(v: Column, f: T.StructField) -> Column:
+    """A field of a loosely read struct: scalars as they are, arrays and maps read from their JSON."""
+    x = v[f.name]
+    return F.from_json(x, _loose(f.dataType)) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else x
+
+
+def _typed(v: Column, t: T.DataType) -> Column:
+    """A loosely read value as type t."""
+    if isinstance(t, T.StructType):
+        return F.struct(*[_typed(_nested(v, f), f.dataType).alias(f.name) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return F.transform(v, lambda x: _typed(x, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.transform_values(v, lambda _, x: _scalar(x, t.valueType))
+    return _scalar(v, t)
+
+
+def _misread(v: Column, t: T.DataType) -> Column:
+    """Whether a loosely read, non-null value has names that t lacks or scalars that t can't hold, at any depth."""
+    lost = lambda x, kind: x.isNotNull() & _scalar(x, kind).isNull()
+    if isinstance(t, T.StructType):
+        out = F.size(F.array_except(F.map_keys(v), F.array(*[F.lit(n) for n in t.names]))) > 0
+        for f in t.fields:
+            x = _nested(v, f)
+            if isinstance(f.dataType, (T.ArrayType, T.MapType)):
+                out = out | (v[f.name].isNotNull() & (x.isNull() | _misread(x, f.dataType)))
+            elif not isinstance(f.dataType, T.StringType):
+                out = out | lost(x, f.dataType)
+        return F.coalesce(out, F.lit(True))
+    if isinstance(t, T.ArrayType):
+        return F.exists(v, lambda x: x.isNull() | _misread(x, t.elementType))
+    if isinstance(t, T.MapType):
+        return F.exists(F.map_values(v), lambda x: lost(x, t.valueType))
+    return lost(v, t)
+
+
+def parsed(lines: DataFrame, line: str = "value", more: tuple[str, ...] = ()) -> DataFrame:
     """Records of JSON lines, with record_key, the raw line, and errors.
 
-    Numbers may be written as strings, as lax validation allows; names that the
-    schema lacks are errors. record_key is the line's SHA-256 and its number among equal lines.
+    Numbers may be written as strings at any depth, as lax validation allows; names that the
+    schema (and more) lacks are errors at any depth: ``unknown_field`` for the record's own, else the
+    field that they lie in. record_key is the line's SHA-256 and a number of its row, made without a shuffle.
     """
-    text = lines.where(F.trim(F.col(line)) != "").select(F.col(line).alias("raw"))
-    options = {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}
+    text = lines.where(F.trim(F.col(line)) != "").select(F.col(line).alias("raw"), F.monotonically_increasing_id().alias("__row"))
+    fields = record_type().fields
     # metadata is open: it stays as JSON text
-    strings = T.StructType([T.StructField(f.name, T.StringType() if f.name == "metadata" else f.dataType) for f in record_type().fields])
-    d = text.withColumn("r", F.from_json("raw", strings, options))
+    loose = T.StructType([T.StructField(f.name, _loose(f.dataType)) for f in fields])
+    d = text.withColumn("r", F.from_json("raw", loose, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}))
     keys = F.json_object_keys("raw")
-    extra = F.size(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*[F.lit(n) for n in record_type().names]))) > 0
-    d = d.withColumn("broken", keys.isNull()).withColumn("extra", extra)
-    plain = d.select("raw", "broken", "extra", *[_lax(f).alias(f.name) for f in record_type().fields])
-    full = with_defaults(plain).withColumn("__bad", violations())
-    errors = F.concat(F.col("__bad"), F.array_compact(F.array(F.when(F.col("broken"), F.lit("not_json")), F.when(F.col("extra"), F.lit("unknown_field")))))
-    order = F.row_number().over(W.partitionBy("raw").orderBy(F.lit(1)))
-    key = F.concat_ws("-", F.sha2("raw", 256), order.cast("string"))
-    return full.select(key.alias("record_key"), "raw", *record_type().names, errors.alias("errors"))
+    known = F.array(*[F.lit(n) for n in (*record_type().names, *more)])
+    extra = F.size(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), known)) > 0
 
+    def odd(f: T.StructField) -> Column:
+        v = F.col(f"r.{f.name}")
+        given = F.coalesce(F.get_json_object("raw", f"$.{f.name}"), F.lit("null")) != "null"
+        return F.coalesce(F.when(v.isNull(), given).otherwise(_misread(v, f.dataType)), F.lit(True))
 
-def _lax(f: T.StructField) -> Column:
-    """A top-level field; numbers in quotes, or written 20.0, count as numbers."""
-    v = F.col(f"r.{f.name}")
-    if isinstance(f.dataType, T.LongType):
-        s = F.get_json_object("raw", f"$.{f.name}")
-        d = s.try_cast("decimal(38,10)")
-        return F.coalesce(v, F.when(d == F.floor(d), d.try_cast("bigint")))
-    return v
+    bad = F.array_compact(F.array(*[F.when(odd(f), F.lit(f.name)) for f in fields if not isinstance(f.dataType, T.StringType)]))
+    plain = d.select("raw", "__row", keys.isNull().alias("__broken"), extra.alias("__extra"), bad.alias("__odd"), *[_typed(F.col(f"r.{f.name}"), f.dataType).alias(f.name) for f in fields])
+    full = with_defaults(plain).withColumn("__bad", violations())
+    said = F.when(F.col("__broken"), F.col("__bad")).otherwise(F.array_distinct(F.concat("__bad", "__odd")))
+    errors = F.concat(said, F.array_compact(F.array(F.when(F.col("__broken"), F.lit("not_json")), F.when(F.col("__extra"), F.lit("unknown_field")))))
+    key = F.concat_ws("-", F.sha2("raw", 256), F.col("__row").cast("string"))
+    return full.select(key.alias("record_key"), "raw", *record_type().names, errors.alias("errors"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
