@@ -145,8 +145,10 @@ def stratified(rows: DataFrame, quotas: DataFrame, strata: list[str], key: str,
     most = quotas.agg(F.max("quota")).first()[0] or 0
     head = d.withColumn("r", F.row_number().over(W.partitionBy(*strata).orderBy("h"))).where(F.col("r") <= most + target)
     first = head.where("r <= quota").withColumn("refill", F.lit(False))
-    short = target - first.count()
-    rest = head.where("r > quota").orderBy("h").limit(max(0, short)).withColumn("refill", F.lit(True))
+    # the refill's places are worked out among target rows at most, in the same job
+    place = F.row_number().over(W.partitionBy(F.lit(0)).orderBy("h"))
+    rest = head.where("r > quota").orderBy("h").limit(target).withColumn("place", place).crossJoin(first.agg(F.count("*").alias("taken")))
+    rest = rest.where(F.col("place") <= target - F.col("taken")).drop("place", "taken").withColumn("refill", F.lit(True))
     return first.unionByName(rest).drop("r", "quota")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import parsers as P
-from plumbline.schema import BASELINE, EFFECT, SUBGROUP, SUMMARY
+from plumbline.schema import BASELINE, EFFECT, SUBGROUP, SUMMARY, violations, with_defaults
 
 GROUPS = "groups:array<struct<id:string,title:string>>"
 DENOMS = "denoms:array<struct<counts:array<struct<groupId:string,value:string>>>>"
@@ -276,9 +276,56 @@ def normalize(studies: DataFrame) -> DataFrame:
     ).drop("__none")
 
 
+def assertions(study: str = "") -> Column:
+    """What must hold of a study that is written: completed, interventional, randomized, with results. Names of what doesn't."""
+    c = lambda p: F.col(study + p)
+    wanted = {
+        "COMPLETED": c("protocolSection.statusModule.overallStatus") == "COMPLETED", "INTERVENTIONAL": c("protocolSection.designModule.studyType") == "INTERVENTIONAL",
+        "RANDOMIZED": c("protocolSection.designModule.designInfo.allocation") == "RANDOMIZED", "hasResults=true": c("hasResults"),
+    }
+    return F.array_compact(F.array(*[F.when(~F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in wanted.items()]))
+
+
+def backfill(records: DataFrame) -> DataFrame:
+    """Records of an earlier form with the newer fields of their effects, and the counts of effects in their metadata, filled in."""
+    meta = lambda k: F.get_json_object("metadata", f"$.{k}")
+    people = F.from_json(meta("analysis_population_ns"), "array<bigint>")
+    alone = F.when(F.size(people) == 1, F.get(people, F.lit(0)))
+
+    def full(e: Column) -> Column:
+        method, tail = P.method_of_source(e["source"]), F.coalesce(e["one_tailed"], F.lit(False))
+        last = F.element_at(F.split(F.coalesce(e["name"], F.lit("")), ": "), -1)
+        new = {
+            "statistical_method_family": P.method_family(method), "applicability_tier": P.ci_tier(method, tail), "analysis_population_n": alone,
+            "ci_sidedness": F.when(tail, "one_sided").otherwise("two_sided"), "parameter_type": F.nullif(last, F.lit("")),
+            "adjustment_comment": F.when(_any(F.lower(method), P.ADJUSTED_WORDS), method), "selected_groups": F.array().cast("array<string>"),
+        }
+        names = [x.split(":")[0] for x in EFFECT.removeprefix("struct<").removesuffix(">").replace("array<string>", "a").split(",")]
+        return F.struct(*[(F.coalesce(e[n], new[n]) if n in new else e[n]).alias(n) for n in names]).cast(EFFECT)
+
+    d = records.withColumn("reported_effects", F.transform("reported_effects", full))
+    n = F.size("reported_effects")
+    tier = lambda t: F.size(F.filter("reported_effects", lambda e: e["applicability_tier"] == t))
+    whole = lambda k, other: F.coalesce(meta(k).try_cast("bigint"), other)
+    counts = {
+        "ci_p_eligible_analyses_before_cap": whole("ci_p_eligible_analyses_before_cap", whole("ci_p_eligible_analyses", n)), "ci_p_eligible_analyses_processed": n,
+        "ci_p_analyses_truncated": whole("ci_p_analyses_truncated", F.lit(0)), "ci_p_high_confidence_analyses_processed": tier("high_confidence"), "ci_p_approximate_review_analyses_processed": tier("approximate_review"),
+    }
+    # metadata is an open object: its members stay as they are, the counts take the place of older ones
+    kept = F.map_filter(F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,variant>"), lambda k, _: ~k.isin(*counts))
+    new = F.map_from_arrays(F.array(*[F.lit(k) for k in counts]), F.array(*[v.cast("bigint").cast("variant") for v in counts.values()]))
+    return d.withColumn("metadata", F.to_json(F.map_concat(kept, new)))
+
+
 def exclusions(studies: DataFrame) -> DataFrame:
-    """(reason, studies): a study counts for each of its reasons; those that qualify but have no enrollment as invalid_enrollment."""
+    """(reason, studies): a study counts for each of its reasons; those that qualify but have no enrollment as invalid_enrollment,
+
+    and those whose record breaks the schema as schema_validation_error.
+    """
     n = P.integer(F.col("protocolSection.designModule.enrollmentInfo.count"))
     why = qualification_errors()
     why = F.when(F.size(why) == 0, F.when(F.coalesce(n > 0, F.lit(False)), F.array().cast("array<string>")).otherwise(F.array(F.lit("invalid_enrollment")))).otherwise(why)
-    return studies.select(F.explode(why).alias("reason")).groupBy("reason").agg(F.count("*").alias("studies"))
+    counted = studies.select(F.explode(why).alias("reason"))
+    fine = studies.where((F.size(qualification_errors()) == 0) & F.coalesce(n > 0, F.lit(False)))
+    broken = with_defaults(normalize(fine)).where(F.size(violations()) > 0).select(F.lit("schema_validation_error").alias("reason"))
+    return counted.unionByName(broken).groupBy("reason").agg(F.count("*").alias("studies"))

@@ -192,11 +192,11 @@ def na_scope(spark, d):  # noqa: ANN001, ANN201
     return corpus.study_outcomes(rules.findings(order_records(spark, d), CFG)).withColumn("flag_rate", F.round("flag_rate", 9))
 
 
-@query(f"{_ALL}, r AS (SELECT k, max(CASE verdict WHEN 'flag' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS x, count(*) AS n FROM f GROUP BY k) SELECT k AS record_key, CASE x WHEN 3 THEN 'flag' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, n AS checks, 0.0::DOUBLE AS score FROM r")
+@query(f"{_ALL}, r AS (SELECT k, max(CASE verdict WHEN 'flag' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS x, count(*) AS n FROM f GROUP BY k) SELECT k AS record_key, CASE x WHEN 3 THEN 'flag' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, n AS checks, round(1 / 10.0::DOUBLE, 6) AS score FROM r")
 def audit_responses(spark, d):  # noqa: ANN001, ANN201
-    """Whole responses, shown by verdict, number of findings and (all but) score."""
+    """Whole responses by verdict, number of findings and score: of ten applicable fields (no analysis population is told of) an order has its randomized number alone."""
     r = rules.responses(order_records(spark, d), CFG)
-    return r.select(F.col("record_key").cast("bigint").alias("record_key"), F.col("feasibility_verdict").alias("verdict"), F.size("checks").cast("bigint").alias("checks"), (F.col("completeness_score") * 0).alias("score"))
+    return r.select(F.col("record_key").cast("bigint").alias("record_key"), F.col("feasibility_verdict").alias("verdict"), F.size("checks").cast("bigint").alias("checks"), F.col("completeness_score").alias("score"))
 
 
 # -- p-values -------------------------------------------------------------------------------------
@@ -229,11 +229,16 @@ def statcheck_z(spark, d):  # noqa: ANN001, ANN201
 
 def _tests(kind: str):  # noqa: ANN202
     def f(spark, d):  # noqa: ANN001, ANN202
-        one = {"r": F.col("z") / 20}.get(kind, F.abs("z") if kind in ("F", "chi2") else F.col("z"))
+        # a correlation of z / 20 in whole hundredths, rounded away from zero in integers
+        cents = F.round(F.col("z") * 100).cast("bigint")
+        r = F.expr("sign(z) * ((abs(c) + 10) div 20) / 100")
+        one = F.abs("z") if kind in ("F", "chi2") else F.col("r") if kind == "r" else F.col("z")
         s = F.struct(F.lit(kind).alias("stat_type"), F.round(one, 2).alias("value"), (F.col("n") + 1).cast("double").alias("df1"), (F.col("n") + 5).cast("double").alias("df2"), ((F.col("k") % 100) / 100.0).alias("reported_p"), F.lit("=").alias("p_operator"), F.lit(2).alias("statistic_decimals"), F.lit(2).alias("p_decimals"), F.lit(False).alias("adjusted"), F.lit(False).alias("one_tailed"), F.lit(None).cast("string").alias("source"))
-        r = with_defaults(customer_z(spark, d).select(F.col("k").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), F.array(s).alias("reported_stats")))
+        places = 5 if kind == "r" else 6
+        z = customer_z(spark, d).withColumn("c", cents).withColumn("r", r)
+        r = with_defaults(z.select(F.col("k").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), F.array(s).alias("reported_stats")))
         c = rules.statcheck(r.select("record_key", F.posexplode("reported_stats").alias("seq", "s")), CFG)
-        return c.select(F.col("record_key").cast("bigint").alias("key"), F.round("p", 6).alias("p"), F.round("p_min", 6).alias("p_min"), F.round("p_max", 6).alias("p_max"), "agree.consistent", "agree.decision_error")
+        return c.select(F.col("record_key").cast("bigint").alias("key"), F.round("p", places).alias("p"), F.round("p_min", places).alias("p_min"), F.round("p_max", places).alias("p_max"), "agree.consistent", "agree.decision_error")
 
     return f
 
@@ -247,19 +252,24 @@ _T_TAIL = f"(SELECT least(1.0, greatest(0.0, 1 - 2 * sum({_WEIGHT} * (1 + (i * {
 _CHI2_TAIL = f"(SELECT least(1.0, greatest(0.0, 1 - sum({_WEIGHT} * CASE WHEN i = 0 THEN 0.0 ELSE exp((df - 1) * ln(i * sqrt({{z}}) / 2000) - (i * sqrt({{z}}) / 2000) * (i * sqrt({{z}}) / 2000) / 2 + ln(2) * (1 - df / 2) - lgamma(df / 2)) END) * sqrt({{z}}) / 6000)) FROM range(2001) r(i))"
 
 
-def _stat_sql(value: str, near: str, far: str, tail: str, turn: str = "{x}") -> str:
+#: Upper tail of F with df and df + 4 degrees: the beta integral in the angle {z} whose squared sine is (df + 4) / (df + 4 + df * F).
+_F_TAIL = f"(SELECT least(1.0, greatest(0.0, 2 * sum({_WEIGHT} * sin(i * {{z}} / 2000) ** (df + 3) * cos(i * {{z}} / 2000) ** (df - 1)) * {{z}} / 6000 * exp(lgamma(df + 2) - lgamma(df / 2) - lgamma((df + 4) / 2)))) FROM range(2001) r(i))"
+
+
+def _stat_sql(value: str, near: str, far: str, tail: str, turn: str = "{x}", places: int = 6) -> str:
     """near and far are the ends of the rounding box with the largest and the smallest p; turn makes t or chi-square of a value."""
     of = lambda x: tail.format(z=x)
     return f"""WITH {_CUST}, b AS (SELECT k, (n + 1)::DOUBLE AS df, (k % 100) / 100.0::DOUBLE AS rp, round({value}, 2) AS v FROM c),
 e AS (SELECT *, {near} AS near, {far} AS far FROM b), g AS (SELECT *, {turn.format(x="abs(v)")} AS zv, {turn.format(x="near")} AS zn, {turn.format(x="far")} AS zf FROM e),
 i AS (SELECT *, {of("zv")} AS p, {of("zf")} AS p_min, {of("zn")} AS p_max, greatest(0.0, rp - 0.005) AS rl, least(1.0, rp + 0.005) AS rh FROM g),
 q AS (SELECT *, CASE WHEN p_max <= 0.05 THEN 's' WHEN p_min > 0.05 THEN 'n' ELSE 'i' END AS mine, CASE WHEN rp = 0 OR rh <= 0.05 THEN 's' WHEN rl > 0.05 THEN 'n' ELSE 'i' END AS theirs FROM i)
-SELECT k AS key, round(p, 6) AS p, round(p_min, 6) AS p_min, round(p_max, 6) AS p_max, (rp > 0 AND p_max >= rl AND rh >= p_min) AS consistent, (mine <> theirs AND mine <> 'i' AND theirs <> 'i') AS decision_error FROM q"""
+SELECT k AS key, round(p, {places}) AS p, round(p_min, {places}) AS p_min, round(p_max, {places}) AS p_max, (rp > 0 AND p_max >= rl AND rh >= p_min) AS consistent, (mine <> theirs AND mine <> 'i' AND theirs <> 'i') AS decision_error FROM q"""
 
 
 _NEAR, _FAR = "CASE WHEN abs(v) <= 0.005 THEN 0.0 ELSE abs(v) - 0.005 END", "abs(v) + 0.005"
 ORACLE_SQL["statcheck_t"] = _stat_sql("z", _NEAR, _FAR, _T_TAIL)
-ORACLE_SQL["statcheck_r"] = _stat_sql("z / 20", _NEAR, f"least(0.999999999999, {_FAR})", _T_TAIL, "({x} * sqrt(df / (1 - {x} * {x})))")
+ORACLE_SQL["statcheck_r"] = _stat_sql("sign(z) * ((abs(round(z * 100)::BIGINT) + 10) // 20) / 100.0::DOUBLE", _NEAR, f"least(0.999999999999, {_FAR})", _T_TAIL, "({x} * sqrt(df / (1 - {x} * {x})))", 5)
+ORACLE_SQL["statcheck_f"] = _stat_sql("abs(z)", "greatest(0.0, v - 0.005)", "v + 0.005", _F_TAIL, "asin(sqrt((df + 4) / (df + 4 + df * {x})))")
 ORACLE_SQL["statcheck_chi2"] = _stat_sql("abs(z)", "greatest(0.0, v - 0.005)", "v + 0.005", _CHI2_TAIL)
 
 
@@ -293,22 +303,46 @@ def _baselines(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("k", c.alias("b"))
 
 
-@query()
+#: The baselines, their 81 corners of rounding boxes (the printed values first), and p of each.
+_WELCH = f"""WITH g AS (SELECT c_nationkey AS k, o_orderpriority AS p, count(*) AS n, round(avg(o_totalprice) / 1000, 1) AS m, round(stddev_samp(o_totalprice) / 1000, 1) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+h AS (SELECT * FROM g WHERE n > 1 AND s > 0),
+b AS (SELECT a.k, a.p || ' vs ' || b.p AS name, a.m AS ma, a.s AS sa, a.n AS na, b.m AS mb, b.s AS sb, b.n AS nb FROM h a JOIN h b ON a.k = b.k AND a.p < b.p),
+d AS (SELECT unnest([0.0, -0.05, 0.05]::DOUBLE[]) AS d),
+c AS (SELECT k, name, na, nb, ma, mb, d1.d = 0 AND d2.d = 0 AND d3.d = 0 AND d4.d = 0 AS printed, ma + d1.d AS cma, mb + d2.d AS cmb, sa + d3.d AS csa, sb + d4.d AS csb FROM b, d d1, d d2, d d3, d d4),
+v AS (SELECT *, csa * csa / na AS va, csb * csb / nb AS vb FROM c WHERE csa > 0 AND csb > 0),
+t AS (SELECT *, abs(cma - cmb) / sqrt(va + vb) AS t, (va + vb) * (va + vb) / (va * va / (na - 1) + vb * vb / (nb - 1)) AS df FROM v),
+q AS (SELECT *, {_T_TAIL.format(z="t")} AS p FROM t),
+w AS (SELECT k, name, max(p) FILTER (WHERE printed) AS p, min(p) AS p_low, CASE WHEN any_value(ma - 0.05 <= mb + 0.05 AND mb - 0.05 <= ma + 0.05) THEN 1.0 ELSE max(p) END AS p_high FROM q GROUP BY k, name)"""
+#: Quantiles of the normal law by a rational approximation to nine digits; fixed values of P. J. Acklam's published fit.
+_PPF = """CASE WHEN q < 0.02425 THEN (((((-7.784894002430293e-03 * sqrt(-2 * ln(q)) - 3.223964580411365e-01) * sqrt(-2 * ln(q)) - 2.400758277161838) * sqrt(-2 * ln(q)) - 2.549732539343734) * sqrt(-2 * ln(q)) + 4.374664141464968) * sqrt(-2 * ln(q)) + 2.938163982698783)
+ / ((((7.784695709041462e-03 * sqrt(-2 * ln(q)) + 3.224671290700398e-01) * sqrt(-2 * ln(q)) + 2.445134137142996) * sqrt(-2 * ln(q)) + 3.754408661907416) * sqrt(-2 * ln(q)) + 1)
+ELSE (((((-3.969683028665376e+01 * h * h + 2.209460984245205e+02) * h * h - 2.759285104469687e+02) * h * h + 1.383577518672690e+02) * h * h - 3.066479806614716e+01) * h * h + 2.506628277459239) * h
+ / (((((-5.447609879822406e+01 * h * h + 1.615858368580409e+02) * h * h - 1.556989798598866e+02) * h * h + 6.680131188771972e+01) * h * h - 1.328068155288572e+01) * h * h + 1) END"""
+_CHI2_EVEN = "(SELECT sum(exp(i * ln(greatest({x}, 1e-300) / 2) - lgamma(i + 1) - {x} / 2)) FROM range(size) r(i))"
+
+
+@query(f"{_WELCH} SELECT k, name, round(p, 6) AS p, round(p_low, 6) AS p_low, round(p_high, 6) AS p_high FROM w")
 def welch_pairs(spark, d):  # noqa: ANN001, ANN201
     w = rules.welch(_baselines(spark, d))
-    return w.select("k", "b.name", F.round("p", 9).alias("p"), F.round("p_low", 9).alias("p_low"), F.round("p_high", 9).alias("p_high"))
+    return w.select("k", "b.name", F.round("p", 6).alias("p"), F.round("p_low", 6).alias("p_low"), F.round("p_high", 6).alias("p_high"))
 
 
-@query()
+@query(f"""{_WELCH}, z AS (SELECT k, p, CASE WHEN p < 0.5 THEN p ELSE 1 - least(p, 1 - 1e-15::DOUBLE) END AS q, q - 0.5 AS h, CASE WHEN p < 0.5 THEN -1 ELSE 1 END AS side FROM w),
+y AS (SELECT k, p, side * ({_PPF}) AS z FROM z), s AS (SELECT k, count(*) AS size, -2 * sum(ln(p)) AS fisher, sum(z) / sqrt(count(*)) AS z FROM y GROUP BY k)
+SELECT k, size, round(fisher, 4) AS fisher, round({_CHI2_EVEN.format(x="fisher")}, 6) AS fisher_p, round(z, 4) AS stouffer_z FROM s""")
 def fisher_combine(spark, d):  # noqa: ANN001, ANN201
     w = rules.welch(_baselines(spark, d)).select("k", "p", "p_low", "p_high", F.lit(True).alias("ok"), F.lit(True).alias("free"))
-    return rules.combined(w, "k").select("k", "size", F.round("fisher", 6).alias("fisher"), F.round("fisher_p", 9).alias("fisher_p"), F.round("stouffer_z", 6).alias("stouffer_z"))
+    return rules.combined(w, "k").select("k", "size", F.round("fisher", 4).alias("fisher"), F.round("fisher_p", 6).alias("fisher_p"), F.round("stouffer_z", 4).alias("stouffer_z"))
 
 
-@query()
+@query(f"""{_WELCH}, s AS (SELECT k, count(*) AS size, -2 * sum(ln(greatest(1e-300, p_high))) AS low, -2 * sum(ln(greatest(1e-300, p_low))) AS high FROM w GROUP BY k),
+f AS (SELECT k, size, {_CHI2_EVEN.format(x="high")} AS f_low, {_CHI2_EVEN.format(x="low")} AS f_high FROM s),
+x AS (SELECT *, CASE WHEN f_low <= 0.5 AND f_high >= 0.5 THEN 1.0 ELSE greatest(2 * least(f_low, 1 - f_low), 2 * least(f_high, 1 - f_high)) END AS safe FROM f),
+y AS (SELECT k, CASE WHEN size > 1 AND k % 2 <> 0 THEN 'not_applicable' WHEN safe < 0.001 THEN 'warn' ELSE 'pass' END AS verdict FROM x)
+SELECT k AS key, 0 AS seq, verdict, CASE verdict WHEN 'warn' THEN 'low' ELSE 'info' END AS severity FROM y""")
 def baseline_anomaly(spark, d):  # noqa: ANN001, ANN201
     r = _baselines(spark, d).groupBy("k").agg(F.collect_list("b").alias("baseline_comparisons")).select(F.col("k").cast("string").alias("record_key"), F.lit(1).alias("randomized_n"), "baseline_comparisons")
-    return verdicts(rules.baseline_findings(with_defaults(r), CFG), "BASELINE-ANOMALY")
+    return verdicts(rules.baseline_findings(with_defaults(r), CFG), "BASELINE-ANOMALY", kind="int")
 
 
 # -- intervals and parsers ------------------------------------------------------------------------
@@ -420,14 +454,12 @@ def agreement_metrics(spark, d):  # noqa: ANN001, ANN201
 
 
 @query(f"""WITH l AS (SELECT quality = 1 AS r, toxic = 0 AS p, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM labels), k AS (SELECT count(*) AS c FROM l),
-w AS (SELECT b.b, ('0x' || substr(sha256('{corpus.BOOTSTRAP_SEED}:' || b.b || ':' || l.idx), 1, 8))::BIGINT % (SELECT c FROM k) AS idx FROM range(200) b(b) CROSS JOIN l),
+w AS (SELECT b.b, ('0x' || substr(sha256('{corpus.BOOTSTRAP_SEED}:' || b.b || ':' || l.idx), 1, 8))::BIGINT % (SELECT c FROM k) AS idx FROM range({corpus.BOOTSTRAP}) b(b) CROSS JOIN l),
 m AS (SELECT w.b, {_CELLS} FROM w JOIN l USING (idx) GROUP BY w.b), {_AGREE}, u AS (SELECT b, 'raw' AS metric, raw AS v FROM z UNION ALL SELECT b, 'kappa', kappa FROM z UNION ALL SELECT b, 'ac1', ac1 FROM z),
-o AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS i FROM u) SELECT metric, round(max(v) FILTER (WHERE i = 5), 9) AS low, round(max(v) FILTER (WHERE i = 195), 9) AS high FROM o GROUP BY 1""")
+o AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS i FROM u) SELECT metric, round(max(v) FILTER (WHERE i = 50), 9) AS low, round(max(v) FILTER (WHERE i = 1950), 9) AS high FROM o GROUP BY 1""")
 def bootstrap_ci(spark, d):  # noqa: ANN001, ANN201
-    from pyspark.sql import Window as W
-
-    p = _pairs(spark, d).withColumn("idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("doc_id")).cast("bigint") - 1)
-    return corpus.bootstrap(p, 200).select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    p = corpus.numbered(_pairs(spark, d), "doc_id")
+    return corpus.bootstrap(p).select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query(f"""WITH q AS (SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 25 WHEN 'fr' THEN 15 ELSE 5 END AS quota FROM documents WHERE lang IN ('en', 'fr', 'es')),
@@ -513,3 +545,7 @@ def rerun_determinism(spark, d):  # noqa: ANN001, ANN201
     r = t(spark, d, "orders").select(F.col("o_custkey").alias("record_key")).distinct().select("record_key", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("run"))
     h = F.sha2(F.concat_ws(":", F.col("record_key").cast("string"), F.when((F.col("record_key") % 11 == 0) & (F.col("run") == 3), "x").otherwise("")), 256)
     return corpus.rerun_mismatches(r.withColumn("hash", h)).withColumn("agreement", F.round("agreement", 9))
+
+
+# the queries on registry studies, lines and samples add themselves
+from plumbline.plans import catalogue_more  # noqa: E402, F401

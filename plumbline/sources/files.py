@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators import normalize
 from plumbline.operators.extract import extract
 from plumbline.schema import parsed, read_jsonl
 
-__all__ = ["read_jsonl", "read_json", "read_texts", "read_notices", "read_ledger", "write_jsonl", "write_exactly", "write_queue", "manifest"]
+__all__ = ["read_jsonl", "read_json", "read_texts", "read_notices", "read_ledger", "write_jsonl", "write_exactly", "write_queue", "write_report", "digest", "manifest"]
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -67,8 +68,23 @@ def write_queue(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def manifest(studies: DataFrame, records: DataFrame, requested: int) -> DataFrame:
-    """One row about a retrieval: requested, seen, accepted, and a digest that no order of rows changes."""
+def digest(records: DataFrame) -> Column:
+    """An aggregate over records that no order of rows changes: SHA-256 of their count and of the sums of four parts of each row's SHA-256."""
+    h = F.sha2(sorted_json(records), 256)
+    part = lambda k: F.sum(F.conv(F.substring(h, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *[F.coalesce(part(k), F.lit("0")) for k in range(4)]), 256)
+
+
+def manifest(studies: DataFrame, records: DataFrame, requested: int, parameters: dict | None = None) -> DataFrame:
+    """One row about a retrieval: requested, downloaded, accepted, exclusions by reason, request parameters, assertions and a digest."""
     seen = studies.agg(F.count("*").alias("downloaded"))
-    digest = F.sha2(F.sum(F.xxhash64(sorted_json(records)).cast("decimal(38,0)")).cast("string"), 256)
-    return records.agg(F.count("*").alias("accepted"), digest.alias("digest")).crossJoin(seen).withColumn("requested", F.lit(requested))
+    out = normalize.exclusions(studies).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "studies")))).alias("exclusions"))
+    one = records.agg(F.count("*").alias("accepted"), digest(records).alias("digest")).crossJoin(seen).crossJoin(out)
+    given = F.create_map(*[F.lit(str(x)) for kv in sorted((parameters or {}).items()) for x in kv]).cast("map<string,string>")
+    return one.withColumn("requested", F.lit(requested)).withColumn("request_parameters", given).withColumn("assertions", F.array(*[F.lit(x) for x in ("COMPLETED", "INTERVENTIONAL", "RANDOMIZED", "hasResults=true")]))
+
+
+def write_report(row: DataFrame, path: str) -> None:
+    """The only row of a DataFrame as an indented JSON object, by one task."""
+    pretty = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(row.columns)]), {"pretty": "true", "ignoreNullFields": "false"})
+    row.limit(1).select(pretty.alias("value")).coalesce(1).write.mode("overwrite").text(path)
