@@ -86,6 +86,27 @@ def test_quarantine(spark):
     assert schema.parsed(spark.createDataFrame([("{oops",)], "value string")).first().errors == ["randomized_n", "not_json"]
 
 
+def test_strict_and_lax_at_every_depth(spark):
+    """Names that the schema lacks are errors in nested structs too; numbers in quotes are numbers there too."""
+    lines = [
+        '{"randomized_n": "20.0", "reported_stats": [{"stat_type": "t", "value": "2.2", "df1": "28", "reported_p": "0.036"}]}', '{"randomized_n": 5, "integer_summaries": [{"name": "a", "mean": 1, "n": 3, "bogus": 1}]}',
+        '{"randomized_n": 5, "subgroups": [{"variable": "v", "levels": [{"name": "a", "n": "x"}]}]}', '{"randomized_n": 5, "arm_ns": {"a": "7", "b": 8}}', '{"randomized_n": 5, "subgroups": {"variable": "v"}}', '{"randomized_n": 5, "reference_flag": true}',
+    ]
+    d = spark.createDataFrame([(x,) for x in lines], "value string")
+    rows = {r.raw: r for r in schema.parsed(d).collect()}
+    assert [rows[x].errors for x in lines] == [[], ["integer_summaries"], ["levels", "subgroups"], [], ["subgroups"], ["unknown_field"]]
+    assert rows[lines[0]].randomized_n == 20 and (rows[lines[0]].reported_stats[0].value, rows[lines[0]].reported_stats[0].df1) == (2.2, 28.0)
+    assert rows[lines[3]].arm_ns == {"a": 7, "b": 8} and len({r.record_key for r in rows.values()}) == len(lines)
+
+
+def test_evaluate_labelled_lines(spark):
+    """The label may stand in the record or in its metadata; the intervals hold the point."""
+    lines = [json.dumps({"randomized_n": 10, "arm_ns": {"a": 11 if k % 2 else 10}, **({"reference_flag": bool(k % 2)} if k < 4 else {"metadata": {"reference_flag": k == 5}})}) for k in range(6)]
+    r = api.evaluate(api.labelled(spark.createDataFrame([(x,) for x in lines], "value string")), replicates=40).first()
+    assert (r.n, r.tp, r.tn, r.raw, r.kappa) == (6, 3, 3, 1.0, 1.0)
+    assert [(x.metric, x.low, x.high) for x in r.intervals if x.metric == "raw"] == [("raw", 1.0, 1.0)]
+
+
 def test_response(spark):
     good, _ = audited(spark, {"study_id": None, "randomized_n": 10, "arm_ns": {"a": 10}})
     r = rules.responses(good).first()
@@ -94,10 +115,10 @@ def test_response(spark):
 
 
 def test_extraction(spark):
-    d = spark.createDataFrame([("We randomized N=100. Arm control: n=50; group treatment: n=50. t(98)=2.35, p=0.021. χ²(2) = 4.10, p < .05; F(1, 20)=3.2, p=.08",), (None,)], "text string")
+    d = spark.createDataFrame([("Enrolled 120 adults. Arm low dose: n=61; group low dose: n=59; arm sham; n = 60. z(1)=1.96, p=0.050; r(30) = -0.41, p <= .02. chi^2(3)=7.81, p=.050, Q(4)=9.5, p>0.04",), (None,)], "text string")
     r, none = extract.extract(d).collect()
-    assert r.randomized_n == 100 and r.arm_ns == {"control": 50, "treatment": 50}
-    assert [(s.stat_type, s.value, s.df1, s.df2, s.p_operator, s.p_decimals) for s in r.reported_stats] == [("t", 2.35, 98.0, None, "=", 3), ("chi2", 4.1, 2.0, None, "<", 2), ("F", 3.2, 1.0, 20.0, "=", 2)]
+    assert r.randomized_n == 120 and r.arm_ns == {"low dose": 59, "sham": 60}
+    assert [(s.stat_type, s.value, s.df1, s.df2, s.p_operator, s.p_decimals) for s in r.reported_stats] == [("z", 1.96, 1.0, None, "=", 3), ("r", -0.41, 30.0, None, "<=", 2), ("chi2", 7.81, 3.0, None, "=", 3), ("Q", 9.5, 4.0, None, ">", 2)]
     assert none.randomized_n is None and none.reported_stats == []
 
 
@@ -154,6 +175,16 @@ def test_config():
         Config(alpha=2)
 
 
+def test_config_sections(tmp_path):
+    p = tmp_path / "c.toml"
+    p.write_text("[engine]\nalpha = 0.01\ninteraction_sample_multiplier = 0.5\nmemory_cache_entries = 7\n[completeness.weights]\nharms = 2.0\n")
+    c = api.load(str(p))
+    assert (c.alpha, c.interaction_sample_multiplier, c.cache_max_entries, c.completeness_weights["harms"], c.completeness_weights["precision"]) == (0.01, 0.5, 7, 2.0, 1.0)
+    p.write_text("[completeness]\nodd = 1\n")
+    with pytest.raises(ValueError, match="odd"):
+        api.load(str(p))
+
+
 def test_registry_pages():
     pages = [{"studies": [{"i": 1}, {"i": 2}], "nextPageToken": "x"}, {"studies": [{"i": 3}]}]
     asked = []
