@@ -10,7 +10,7 @@ threshold become seeds of the next round, and after the last one spans of kind
 ``context``. Built-in functions only: the pattern-instance graph is a
 table of counted edges, aggregated before it is joined.
 
-Defined cases: a null text counts as empty. Rows that repeat each get their row;
+Defined cases: a null text counts as empty. A null id is an id like others. Rows that repeat each get their row;
 an empty table gives an empty result. Long runs of digits or letters take linear
 time: every pattern starts only where a run starts.
 """
