@@ -21,8 +21,9 @@ classes, named by the row number of their first row, are joined:
    dealt by size: linked sets lie in the same or the next band of sizes.
 
 Pairs are verified by vertical partitioning: the global order is cut into
-FRAGMENTS ranges, each set into its segments; a join on (class, fragment) counts
-the partial overlaps of each fragment by itself, and a sum per pair is the exact overlap.
+FRAGMENTS ranges, each set into its segments. A class's segments lie side by side in one row, so that a
+pair is joined once with each of its classes; the partial overlap of each fragment is counted by itself, and
+their sum is the exact overlap.
 
 Defined cases: a null text counts as empty; an empty set links with nothing. A null id
 is never the smallest. Rows that repeat have equal sets, hence one component. An
@@ -109,25 +110,22 @@ def _prefix_batches(n: int, percent: int):  # noqa: ANN202
 
 
 def _segment_batches(n: int):  # noqa: ANN202
-    """Per class the fragments of its set; rows that repeat a class's text count once a task."""
+    """Per class the fragments of its set, FRAGMENTS arrays; rows that repeat a class's text count once a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
+        edges = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 32) // FRAGMENTS)
         for b in it:
-            nodes, sizes, frags, grams = [], [], [], []
+            nodes, sizes, sets = [], [], []
             for node, size, t in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
                 if node in seen:
                     continue
                 seen.add(node)
                 s = shingles(t.as_py(), n)
-                cuts = np.searchsorted(s >> np.uint64(32), np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 32) // FRAGMENTS))
-                for k, part in enumerate(np.split(s.view(np.int64), cuts)):
-                    if len(part):
-                        nodes.append(node)
-                        sizes.append(size)
-                        frags.append(k)
-                        grams.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(frags, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "fragment", "grams"])
+                nodes.append(node)
+                sizes.append(size)
+                sets.append(np.split(s.view(np.int64), np.searchsorted(s >> np.uint64(32), edges)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.list_(pa.list_(pa.int64())))], names=["node", "n", "fragments"])
 
     return run
 
@@ -149,7 +147,7 @@ def survivors(firsts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def index(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(gram, node, n, s): of each class its rarest shared n-grams, enough to meet each link; s is how many it shares."""
-    postings = segments.select("node", "n", F.explode("grams").alias("gram"))
+    postings = segments.select("node", "n", F.explode(F.flatten("fragments")).alias("gram"))
     shared = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("gram", "c")
     met = postings.join(shared, "gram").groupBy("node", "n").agg(F.collect_set(F.struct("c", "gram")).alias("grams"))
     room = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - s)").cast("int")
@@ -163,23 +161,23 @@ def _fits(percent: int, n_a: str, s_a: str, n_b: str, s_b: str):  # noqa: ANN202
 
 
 def parts(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, fragment, part, extra) of pairs (a, b): each fragment's overlap, and a's n-grams that b lacks.
+    """pairs (a, b, n_a, n_b) with parts, each fragment's overlap, and extra, a's n-grams that b lacks.
 
-    Rows that repeat bring their segments again; each fragment of a pair counts once.
+    Rows that repeat bring their segments again; each pair counts once.
     """
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("grams_a"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("grams_b"))
-    each = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"], "left")
-    grams_b = F.coalesce("grams_b", F.array().cast("array<bigint>"))
-    each = each.select("a", "b", "fragment", F.size(F.array_intersect("grams_a", grams_b)).alias("part"), F.array_except("grams_a", grams_b).alias("extra"))
-    return each.dropDuplicates(["a", "b", "fragment"])
+    left = segments.select(F.col("node").alias("a"), F.col("fragments").alias("f_a"))
+    right = segments.select(F.col("node").alias("b"), F.col("fragments").alias("f_b"))
+    both = pairs.select("a", "b", "n_a", "n_b").join(left, "a").join(right, "b")
+    each = lambda f: F.array(*[f(F.col("f_a")[k], F.col("f_b")[k]) for k in range(FRAGMENTS)])
+    counted = both.select("a", "b", "n_a", "n_b", each(lambda x, y: F.size(F.array_intersect(x, y))).alias("parts"), F.flatten(each(F.array_except)).alias("extra"))
+    return counted.dropDuplicates(["a", "b"])
 
 
 def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b, n_a, n_b) with the overlap (partial overlaps summed per pair) and whether they link."""
-    sums = parts(pairs, segments).groupBy("a", "b").agg(F.sum("part").alias("overlap"))
-    both = pairs.join(sums, ["a", "b"])
-    return both.withColumn("link", 100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
+    """pairs (a, b, n_a, n_b) with the overlap (partial overlaps summed per pair), whether they link, and a's n-grams that b lacks."""
+    overlap = sum((F.col("parts")[k] for k in range(FRAGMENTS)), F.lit(0).cast("long"))
+    sums = parts(pairs, segments).select("a", "b", "n_a", "n_b", overlap.alias("overlap"), "extra")
+    return sums.withColumn("link", 100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
 
 def stars(posted: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +226,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     # the survivors' whole sets, from the class's first text
     chosen = docs.where("row = node").join(alive.select("node"), "node").select("node", "n", F.col("th").alias("c_th"), F.col("doc_id").alias("c_id"))
     texts = flat.join(chosen, (flat["th"] == chosen["c_th"]) & flat["doc_id"].eqNullSafe(chosen["c_id"]))
-    segments = cut(texts.select("node", "n", "text").mapInArrow(_segment_batches(n), "node long, n int, fragment int, grams array<long>"), "ngram-segments")
+    segments = cut(texts.select("node", "n", "text").mapInArrow(_segment_batches(n), "node long, n int, fragments array<array<long>>"), "ngram-segments")
     posted = cut(index(segments, percent), "ngram-index")
     discard(alive)
 
@@ -236,10 +234,10 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     first = cut(linked(cut(stars(posted, percent), "ngram-stars"), segments, percent), "ngram-links")
     one = posted.select("node", "n", "s").distinct()
     hub = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("overlap").alias("o"))
-    extra = parts(first, segments).select(F.col("a").alias("node"), F.explode("extra").alias("gram"))
+    extra = first.select(F.col("a").alias("node"), F.explode("extra").alias("gram"))
     extra = cut(extra.join(one, "node"), "ngram-extras")
-    again = cut(linked(cut(stars(extra, percent), "ngram-stars"), segments, percent), "ngram-links")
-    edges = first.unionByName(again).where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    again = cut(linked(cut(stars(extra, percent), "ngram-stars"), segments, percent).drop("extra"), "ngram-links")
+    edges = first.drop("extra").unionByName(again).where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     group = components(edges)
 
     # the rest: pairs of a posting list that lie in different components so far
