@@ -146,13 +146,19 @@ def survivors(firsts: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def index(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(gram, node, n, s): of each class its rarest shared n-grams, enough to meet each link; s is how many it shares."""
+    """(gram, node, n, s): of each class its rarest shared n-grams, enough to meet each link; s is how many it shares.
+
+    Segments that repeat may count an n-gram of one class as shared: s is then larger, and more is indexed, never less.
+    """
     postings = segments.select("node", "n", F.explode(F.flatten("fragments")).alias("gram"))
-    shared = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("gram", "c")
+    # written, so that the shuffle of all counts is gone before that of the postings
+    shared = cut(postings.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "ngram-shared")
     met = postings.join(shared, "gram").groupBy("node", "n").agg(F.collect_set(F.struct("c", "gram")).alias("grams"))
     room = F.expr(f"n - ({percent} * n + 99) div 100 + 1 - (n - s)").cast("int")
     few = met.withColumn("s", F.size("grams")).withColumn("room", room).where("room > 0")
-    return few.select("node", "n", "s", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("room"))).alias("g")).select("g.gram", "node", "n", "s")
+    posted = cut(few.select("node", "n", "s", F.explode(F.slice(F.array_sort("grams"), F.lit(1), F.col("room"))).alias("g")).select("g.gram", "node", "n", "s"), "ngram-index")
+    discard(shared)
+    return posted
 
 
 def _fits(percent: int, n_a: str, s_a: str, n_b: str, s_b: str):  # noqa: ANN202
@@ -227,7 +233,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     chosen = docs.where("row = node").join(alive.select("node"), "node").select("node", "n", F.col("th").alias("c_th"), F.col("doc_id").alias("c_id"))
     texts = flat.join(chosen, (flat["th"] == chosen["c_th"]) & flat["doc_id"].eqNullSafe(chosen["c_id"]))
     segments = cut(texts.select("node", "n", "text").mapInArrow(_segment_batches(n), "node long, n int, fragments array<array<long>>"), "ngram-segments")
-    posted = cut(index(segments, percent), "ngram-index")
+    posted = index(segments, percent)
     discard(alive)
 
     # stars, and then stars of what classes hold beside their first centre
@@ -269,8 +275,8 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: in
     names = df.columns
     i, t = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     key = F.struct(i.isNull().alias("no_id"), i.alias("id"), F.xxhash64(t).alias("th"), F.monotonically_increasing_id().alias("row"))
-    rows = cut(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("it"), t.alias("text"), key.alias("key")), "ngram-rows")
-    gone = join(rows, "key", "text", n, percent).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id.row").alias("row"))
+    rows = cut(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("it"), key.alias("key")), "ngram-rows")
+    gone = join(rows.select("key", F.col("it")[text].alias("text")), "key", "text", n, percent).where("n_shingles > 0 AND doc_id <> component_id").select(F.col("doc_id.row").alias("row"))
     return rows.join(gone, rows["key.row"] == gone["row"], "left_anti").select("it.*")
 
 
