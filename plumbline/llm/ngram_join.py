@@ -138,11 +138,14 @@ def _near(percent: int, a: str = "n_a", b: str = "n_b"):  # noqa: ANN202
 def survivors(firsts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, n) of the classes that share enough of their prefix with others. firsts: (node, n, prefix), a row a class."""
     postings = firsts.select("node", "n", F.explode("prefix").alias("gram"))
-    shared = postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram")
+    # written, so that the shuffle of all prefixes is gone before that of the join
+    shared = cut(postings.groupBy("gram").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("gram"), "ngram-common")
     met = postings.join(shared, "gram").groupBy("node", "n").agg(F.count("*").alias("q"))
     smallest = f"({percent} * n + 99) div 100"
     k = F.expr(f"({smallest} - ({percent} * ({smallest}) + 99) div 100) div 2 + 1")
-    return met.where(F.col("q") >= k).select("node", "n")
+    alive = cut(met.where(F.col("q") >= k).select("node", "n"), "ngram-survivors")
+    discard(shared)
+    return alive
 
 
 def index(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -223,7 +226,7 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     sets = cut(sets.withColumn("row", F.monotonically_increasing_id()), "ngram-prefixes")
     classes = cut(sets.where("prefix IS NOT NULL").groupBy("high", "low").agg(F.min("row").alias("node")), "ngram-classes")
     firsts = sets.where("prefix IS NOT NULL").select(F.col("row").alias("node"), "n", "prefix").join(classes.select("node"), "node")
-    alive = cut(survivors(firsts, percent), "ngram-survivors")
+    alive = survivors(firsts, percent)
     some = sets.where("high IS NOT NULL").select("doc_id", "th", "n", "high", "low", "row").join(classes, ["high", "low"]).select("doc_id", "th", "n", "row", "node")
     none = sets.where("high IS NULL").select("doc_id", "th", "n", "row", F.lit(None).cast("long").alias("node"))
     docs = cut(some.unionByName(none), "ngram-nodes")
