@@ -32,7 +32,8 @@ def audit_lines(lines: DataFrame, cfg: Config | None = None) -> tuple[DataFrame,
     cfg = cfg or Config()
     fits = F.coalesce(F.octet_length("value") <= MOST_BYTES, F.lit(False))
     good, bad = split(parsed(lines.where(fits)))
-    out = audit(good, cfg).join(good.select("record_key", content_hash(F.col("raw"), cfg.version, cfg.model_revision).alias("input_hash")), "record_key")
+    hashed = good.withColumn("input_hash", content_hash(F.col("raw"), cfg.version, cfg.model_revision))
+    out = rules.responses(hashed, cfg, keep=("input_hash",))
     large = lines.where(~fits).select(F.col("value").alias("raw"), F.array(F.lit("too_large")).alias("errors"))
     return out, bad.select("raw", "errors").unionByName(large)
 
@@ -50,7 +51,7 @@ def evaluate(records: DataFrame, cfg: Config | None = None, replicates: int = co
     """Agreement of the flag verdict with the boolean column reference_flag, with 95 % intervals."""
     if records.where(F.col("reference_flag").isNull()).limit(1).count():
         raise ValueError("a record has no reference_flag")
-    v = corpus.rollup(rules.findings(records, cfg)).select("record_key", (F.col("verdict") == "flag").alias("pred"))
+    v = rules.verdicts(records, cfg).select("record_key", (F.col("verdict") == "flag").alias("pred"))
     pairs = records.select("record_key", F.col("reference_flag").alias("ref")).join(v, "record_key")
     ends = corpus.bootstrap(corpus.numbered(pairs, "record_key"), replicates).select(F.struct("metric", "low", "high").alias("x"))
     return corpus.agreement(pairs).crossJoin(ends.agg(F.array_sort(F.collect_list("x")).alias("intervals")))

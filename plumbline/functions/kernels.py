@@ -7,6 +7,7 @@ Lentz form and a power series; rows that have converged stay as they are.
 
 from __future__ import annotations
 
+import itertools
 import math
 from statistics import NormalDist
 
@@ -154,28 +155,102 @@ def _cut(values: np.ndarray, sizes: np.ndarray) -> pd.Series:
     return pd.Series(np.split(values, np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([], dtype=object)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def test_p_each(kind: pd.Series, xs: pd.Series, df1: pd.Series, df2: pd.Series, one_tailed: pd.Series) -> pd.Series:
-    """p-values of arrays of candidates that share a test."""
-    x, n = _flat(xs)
-    wide = [np.repeat(s.to_numpy(), n) for s in (kind, df1.astype(float), df2.astype(float), one_tailed)]
-    return _cut(test_p(wide[0], x, wide[1], wide[2], wide[3]), n)
+#: Statistics by the number that stands for them in what audit_p is asked, from 1 on.
+TESTS = ("t", "F", "chi2", "Q", "r", "z")
+#: Numbers that an item of each kind brings.
+STAT, EFFECT, COMPARISON = 8, 14, 10
+#: What audit_p says of a record's comparisons together.
+COMBINED = ("size", "fisher", "fisher_p", "f_low", "f_high", "stouffer_z", "stouffer_p", "extreme_p", "safe_p")
+
+
+def _stat_p(a: np.ndarray) -> np.ndarray:
+    """(p, p_min, p_max) of rows (test, df1, df2, one-tailed, value, low, high, zero)."""
+    out = np.full((len(a), 3), np.nan)
+    at = np.flatnonzero(np.isfinite(a[:, 0]))
+    if len(at):
+        code, df1, df2, tail, *x = a[at].T
+        kind, x = np.array(TESTS, object)[code.astype(int) - 1], np.stack(x, 1)
+        n = x.shape[1]
+        p = test_p(np.repeat(kind, n), x.ravel(), np.repeat(df1, n), np.repeat(df2, n), np.repeat(tail == 1, n)).reshape(-1, n)
+        out[at] = np.stack([p[:, 0], np.fmin.reduce(p, 1), np.fmax.reduce(p, 1)], 1)
+    return out
+
+
+def _effect_p(a: np.ndarray) -> np.ndarray:
+    """(p, p_min, p_max) of rows (level, one-tailed, four estimates, four lower and four upper limits); the printed ones first."""
+    level, tail, m, low, high = a[:, 0], a[:, 1] == 1, a[:, 2:6], a[:, 6:10], a[:, 10:14]
+    critical = normal_ppf(1 - (1 - level / 100) / 2)
+    critical = np.where(np.isfinite(critical) & (critical > 0), critical, np.nan)
+    m, low, high = m[:, :, None, None], low[:, None, :, None], high[:, None, None, :]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = np.where((low < high) & (low <= m) & (m <= high), np.abs(m) * 2 / (high - low), np.nan).reshape(len(a), 64)
+        point = np.abs(a[:, 2]) * 2 / (a[:, 10] - a[:, 6])
+        inside = (a[:, 6] <= a[:, 2]) & (a[:, 2] <= a[:, 10])
+    # p falls as z grows
+    zs = np.where(inside[:, None], np.stack([point, np.fmax.reduce(z, 1), np.fmin.reduce(z, 1)], 1), np.nan)
+    p = normal_sf(zs * critical[:, None])
+    return np.where(tail[:, None], p, np.minimum(1.0, 2 * p))
+
+
+def _comparison_p(a: np.ndarray) -> np.ndarray:
+    """(p, p_low, p_high) of Welch's test for rows (means, SDs, half widths of the four, sizes), over the corners of the rounding boxes."""
+    if not len(a):
+        return np.empty((0, 3))
+    steps = np.array(list(itertools.product((0, -1, 1), repeat=4)), float)
+    corner = a[:, None, :4] + steps[None] * a[:, None, 4:8]
+    ma, mb, sa, sb = np.moveaxis(corner, 2, 0)
+    na, nb = a[:, 8:9], a[:, 9:10]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        va, vb = sa * sa / na, sb * sb / nb
+        good = (sa > 0) & (sb > 0)
+        t = np.where(good, np.abs(ma - mb) / np.sqrt(va + vb), np.nan)
+        df = np.where(good, (va + vb) ** 2 / (va * va / (na - 1) + vb * vb / (nb - 1)), np.nan)
+    p = np.full(t.shape, np.nan)
+    ok = np.isfinite(t) & np.isfinite(df)
+    p[ok] = t_two_sided(t[ok], df[ok])
+    touch = (a[:, 0] - a[:, 4] <= a[:, 1] + a[:, 5]) & (a[:, 1] - a[:, 5] <= a[:, 0] + a[:, 4])
+    high = np.fmax.reduce(p, 1)
+    return np.stack([p[:, 0], np.fmin.reduce(p, 1), np.where(touch, np.fmax(high, 1.0), high)], 1)
+
+
+def _combined(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """COMBINED per record, from its comparisons' (p, p_low, p_high); rows: comparisons a record."""
+    out = np.full((len(rows), len(COMBINED)), np.nan)
+    some = np.flatnonzero(rows)
+    if len(some):
+        starts = np.concatenate([[0], np.cumsum(rows[some])[:-1]])
+        total = lambda x: np.add.reduceat(x, starts)
+        n = rows[some].astype(float)
+        inner = np.clip(p[:, 0], 1e-300, 1 - 1e-16)
+        least = lambda x: np.log(np.fmax(1e-300, x))
+        fisher, low, high = -2 * total(np.log(inner)), -2 * total(least(p[:, 2])), -2 * total(least(p[:, 1]))
+        z = total(normal_ppf(1 - np.clip(inner, 1e-15, 1 - 1e-15))) / np.sqrt(n)
+        fisher_p, f_low, f_high = (chi2_sf(x, 2 * n) for x in (fisher, high, low))
+        two = lambda q: 2 * np.minimum(q, 1 - q)
+        safe = np.where((f_low <= 0.5) & (f_high >= 0.5), 1.0, np.maximum(two(f_low), two(f_high)))
+        out[some] = np.stack([n, fisher, fisher_p, f_low, f_high, z, 2 * normal_sf(np.abs(z)), np.minimum(1.0, two(fisher_p)), safe], 1)
+    return out
+
+
+def _flat(lists: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All records' numbers as rows of so many, and the rows a record."""
+    sizes = np.array([0 if x is None else len(x) for x in lists], int)
+    flat = np.concatenate([np.asarray(x, float) for x in lists if x is not None and len(x)]) if sizes.sum() else np.empty(0)
+    return flat.reshape(-1, width), sizes // width
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def interval_p_each(ratios: pd.Series, level: pd.Series, one_tailed: pd.Series) -> pd.Series:
-    """p-values of arrays of |estimate| / half-width at a confidence level, two-sided unless one-tailed; null without a finite critical value."""
-    x, n = _flat(ratios)
-    critical = normal_ppf(1 - (1 - level.to_numpy(float) / 100) / 2)
-    p = normal_sf(x * np.repeat(critical, n))
-    out = _cut(np.where(np.repeat(one_tailed.to_numpy(bool), n), p, np.minimum(1.0, 2 * p)), n)
-    return out.where(pd.Series(np.isfinite(critical) & (critical > 0)), None)
+def _cut(rows: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return [x.ravel() for x in np.split(rows, np.cumsum(sizes)[:-1])] if len(sizes) else []
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def t_two_sided_each(ts: pd.Series, dfs: pd.Series) -> pd.Series:
-    t, n = _flat(ts)
-    return _cut(t_two_sided(t, _flat(dfs)[0]), n)
+@F.pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("stats", "effects", "comparisons", "combined")]))
+def audit_p(stats: pd.Series, effects: pd.Series, comparisons: pd.Series) -> pd.DataFrame:
+    """p-values of all that a record reports: three an item (printed, least, largest), and its comparisons combined; NaN where there is none."""
+    s, n_s = _flat(stats, STAT)
+    e, n_e = _flat(effects, EFFECT)
+    c, n_c = _flat(comparisons, COMPARISON)
+    p = _comparison_p(c)
+    return pd.DataFrame({"stats": _cut(_stat_p(s), n_s), "effects": _cut(_effect_p(e), n_e), "comparisons": _cut(p, n_c), "combined": list(_combined(p, n_c))})
 
 
 @F.pandas_udf(T.DoubleType())

@@ -1,13 +1,13 @@
-"""The audit rules: each family turns records into rows of findings.
+"""The audit rules: each family is an array of findings over a record's own columns.
 
 A finding is (record_key, rule_id, rule_rank, seq, verdict, severity, rationale, evidence,
-guideline_ref). Rules are narrow: records are exploded and projected, never shuffled,
-and only p-values of continuous laws leave the JVM, in Arrow batches.
+guideline_ref). All families stand in one projection, so that records are read and parsed once and never
+shuffled; p-values of continuous laws leave the JVM in one Arrow call a batch for all rules together.
 """
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plumbline.config import FIELDS, Config
 from plumbline.functions import intervals as I
 from plumbline.functions import kernels as K
-from plumbline.schema import with_defaults
+from plumbline.schema import LEVEL, SUBGROUP, SUMMARY, with_defaults
 
 # Rule names and their ranks.
 RANKS = {
@@ -51,10 +51,17 @@ def _made(rule: str, judged: Column, evidence: Column | None, seq: Column | int
     )
 
 
-def _rows(df: DataFrame, *findings: Column) -> DataFrame:
-    if len(findings) == 1:
-        return df.select("record_key", findings[0].alias("f")).select("record_key", "f.*")
-    return df.select("record_key", F.explode(F.array(*findings)).alias("f")).select("record_key", "f.*")
+def _rows(df: DataFrame, findings: Column) -> DataFrame:
+    return df.select("record_key", F.inline(findings))
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _fields(x: Column, *names: str) -> list[Column]:
+    return [x[n].alias(n) for n in names]
 
 
 def _total(xs: Column) -> Column:
@@ -82,47 +89,66 @@ def completeness(cfg: Config) -> Column:
     return F.struct(score.alias("score"), present.alias("present"), applicable.alias("applicable"), missing.alias("missing"))
 
 
-def completeness_findings(r: DataFrame, cfg: Config) -> DataFrame:
-    d = r.select("record_key", completeness(cfg).alias("c"))
-    n = F.size("c.missing")
-    judged = _case((n > 0, WARN, "low", F.concat(n.cast("string"), F.lit(" applicable reporting fields are missing"))), last=(PASS, "info", "all applicable reporting fields are present"))
-    return _rows(d, _made("REPORTING-COMPLETENESS", judged, F.struct("c.present", "c.applicable", "c.missing")))
+def completeness_array(cfg: Config, evidence: bool = True) -> Column:  # noqa: FBT001, FBT002
+    def one(c: Column) -> Column:
+        n = F.size(c["missing"])
+        judged = _case((n > 0, WARN, "low", F.concat(n.cast("string"), F.lit(" applicable reporting fields are missing"))), last=(PASS, "info", "all applicable reporting fields are present"))
+        return _made("REPORTING-COMPLETENESS", judged, F.struct(*_fields(c, "present", "applicable", "missing")) if evidence else None)
 
+    return F.transform(F.array(completeness(cfg)), one)
 
-def enrollment_findings(r: DataFrame, cfg: Config) -> DataFrame:
-    arms, n = _total(F.map_values("arm_ns")), F.col("randomized_n")
+
+def enrollment_array(cfg: Config, evidence: bool = True) -> Column:  # noqa: FBT001, FBT002
+    n = F.col("randomized_n")
     basis = F.get_json_object("metadata", "$.arm_count_basis")
     other = ~F.col("arm_counts_comparable_to_randomized_n") | F.coalesce(basis == "participant_flow_first_period_started", F.lit(False))
-    judged = _case(
-        (F.size(F.map_keys("arm_ns")) == 0, NA, "info", "no arm sizes were reported"),
-        (other, NA, "info", "arm sizes and enrollment count different populations"),
-        (arms > n, FLAG, "high", "arm sizes add up to more than were randomized"),
-        (arms < n, WARN, "low", "arm sizes leave randomized participants out"),
-        last=(PASS, "info", "arm sizes add up to the randomized number"),
-    )
-    return _rows(r, _made("ENROLLMENT-ARM-SUM", judged, F.struct(arms.alias("arm_total"), "randomized_n", "arm_ns", basis.alias("arm_count_basis"))))
+
+    def one(arms: Column) -> Column:
+        judged = _case(
+            (F.size(F.map_keys("arm_ns")) == 0, NA, "info", "no arm sizes were reported"),
+            (other, NA, "info", "arm sizes and enrollment count different populations"),
+            (arms > n, FLAG, "high", "arm sizes add up to more than were randomized"),
+            (arms < n, WARN, "low", "arm sizes leave randomized participants out"),
+            last=(PASS, "info", "arm sizes add up to the randomized number"),
+        )
+        return _made("ENROLLMENT-ARM-SUM", judged, F.struct(arms.alias("arm_total"), "randomized_n", "arm_ns", basis.alias("arm_count_basis")) if evidence else None)
+
+    return F.transform(F.array(_total(F.map_values("arm_ns"))), one)
 
 
 # -- subgroups ------------------------------------------------------------------------------------
 
 
-def subgroup_findings(r: DataFrame, cfg: Config) -> DataFrame:
+def _or_none(items: Column, kind: str) -> Column:
+    """An array's items, or one null where there are none."""
+    return F.when(F.size(items) > 0, items).otherwise(F.array(F.lit(None).cast(kind)))
+
+
+def subgroup_array(cfg: Config, evidence: bool = True) -> Column:  # noqa: FBT001, FBT002
     """Six findings a subgroup, or six that say there is none."""
-    d = r.select("record_key", "randomized_n", "analyzed_n", F.posexplode_outer("subgroups").alias("seq", "s"))
-    d = d.withColumn("target", F.coalesce("s.population_n", "analyzed_n", "randomized_n")).withColumn("levels", F.coalesce("s.levels", F.array().cast(d.schema["s"].dataType["levels"].dataType)))
-    s, target, levels, none = F.col("s"), F.col("target"), F.col("levels"), F.col("s").isNull()
+    return F.flatten(F.transform(_or_none(F.col("subgroups"), SUBGROUP), lambda s, i: _subgroup(s, i, cfg, evidence)))
+
+
+def _subgroup(s: Column, seq: Column, cfg: Config, evidence: bool) -> Column:  # noqa: FBT001
+    levels, none = F.coalesce(s["levels"], F.array().cast(f"array<{LEVEL}>")), s.isNull()
+    target = F.coalesce(s["population_n"], "analyzed_n", "randomized_n")
     absent = (none, NA, "info", "no subgroup analysis was supplied")
-    total = _total(F.transform(levels, lambda v: v["n"]))
-    over = F.filter(levels, lambda v: v["n"] > target)
-    torn = F.filter(levels, lambda v: F.coalesce((F.size(F.map_keys(v["arm_ns"])) > 0) & (_total(F.map_values(v["arm_ns"])) != v["n"]), F.lit(False)))
-    partition = _case(
-        absent,
-        ((F.size(over) > 0) | (F.size(torn) > 0) | (s["mutually_exclusive"] & (total > target)), FLAG, "high", "subgroup counts cannot come from the analysed population"),
-        (s["mutually_exclusive"] & s["exhaustive"] & (total < target), WARN, "medium", "an exhaustive subgroup leaves participants out"),
-        (~s["mutually_exclusive"], PASS, "info", "overlapping levels each fit the analysed population"),
-        last=(PASS, "info", "subgroup counts fit the analysed population"),
-    )
+    var = s["variable"].alias("variable")
+    shown_as = lambda *xs: F.struct(var, *xs) if evidence else None
     names = lambda xs: F.transform(xs, lambda v: v["name"])
+
+    def counts(c: Column) -> Column:
+        partition = _case(
+            absent,
+            ((F.size(c["over"]) > 0) | (F.size(c["torn"]) > 0) | (s["mutually_exclusive"] & (c["total"] > target)), FLAG, "high", "subgroup counts cannot come from the analysed population"),
+            (s["mutually_exclusive"] & s["exhaustive"] & (c["total"] < target), WARN, "medium", "an exhaustive subgroup leaves participants out"),
+            (~s["mutually_exclusive"], PASS, "info", "overlapping levels each fit the analysed population"),
+            last=(PASS, "info", "subgroup counts fit the analysed population"),
+        )
+        return _made("SUBGROUP-PARTITION", partition, shown_as(c["total"].alias("subgroup_total"), target.alias("target_n"), names(c["over"]).alias("over"), names(c["torn"]).alias("arm_mismatches")), seq)
+
+    torn = F.filter(levels, lambda v: F.coalesce((F.size(F.map_keys(v["arm_ns"])) > 0) & (_total(F.map_values(v["arm_ns"])) != v["n"]), F.lit(False)))
+    partition = _let(F.struct(_total(F.transform(levels, lambda v: v["n"])).alias("total"), F.filter(levels, lambda v: v["n"] > target).alias("over"), torn.alias("torn")), counts)
     shown = F.filter(levels, lambda v: v["percentage"].isNotNull())
     implied = lambda v: F.lit(100.0) * v["n"] / F.coalesce(v["percentage_denominator"], target)
     wrong = F.filter(shown, lambda v: F.abs(implied(v) - v["percentage"]) > I.pow10(v["percentage_decimals"]) / 2 + 1e-12)
@@ -145,95 +171,147 @@ def subgroup_findings(r: DataFrame, cfg: Config) -> DataFrame:
     cells = F.coalesce(s["contingency_cells"], F.array().cast("array<double>"))
     low = F.filter(cells, lambda c: c < cfg.min_expected_cell_count)
     cell = _case(absent, (F.size(cells) == 0, NA, "info", "no expected cell counts were supplied"), (F.size(low) > 0, WARN, "medium", "an expected cell is under the floor"), last=(PASS, "info", "expected cells reach the floor"))
-    seq, var = F.coalesce("seq", F.lit(0)), s["variable"].alias("variable")
-    return _rows(
-        d,
-        _made("SUBGROUP-PARTITION", partition, F.struct(var, total.alias("subgroup_total"), target.alias("target_n"), names(over).alias("over"), names(torn).alias("arm_mismatches")), seq),
-        _made("SUBGROUP-PERCENT", percent, F.struct(var, names(wrong).alias("issues")), seq),
-        _made("SUBGROUP-INTERACTION-TEST", test, F.struct(var, s["interaction_p"].alias("interaction_p")), seq),
-        _made("SUBGROUP-INTERACTION-POWER", power, F.struct(var, need.alias("interaction_required_n")), seq),
-        _made("SUBGROUP-EVENT-FLOOR", event, F.struct(var, floor.alias("floor"), names(few).alias("failures")), seq),
-        _made("SUBGROUP-EXPECTED-CELL", cell, F.struct(var, F.array_min(cells).alias("observed_min"), low.alias("low_cells")), seq),
+    return F.array(
+        partition,
+        _made("SUBGROUP-PERCENT", percent, shown_as(names(wrong).alias("issues")), seq),
+        _made("SUBGROUP-INTERACTION-TEST", test, shown_as(s["interaction_p"].alias("interaction_p")), seq),
+        _made("SUBGROUP-INTERACTION-POWER", power, shown_as(need.alias("interaction_required_n")), seq),
+        _made("SUBGROUP-EVENT-FLOOR", event, shown_as(floor.alias("floor"), names(few).alias("failures")), seq),
+        _made("SUBGROUP-EXPECTED-CELL", cell, shown_as(F.array_min(cells).alias("observed_min"), low.alias("low_cells")), seq),
     )
 
 
 # -- p-values -------------------------------------------------------------------------------------
+#
+# What the kernel is asked is flat: K.STAT, K.EFFECT and K.COMPARISON numbers an item. It answers three numbers an item.
 
 
-def statcheck(d: DataFrame, cfg: Config) -> DataFrame:
-    """d with struct column s (a reported statistic): adds p, p_min, p_max and agree."""
-    s, alpha = F.col("s"), F.lit(cfg.alpha)
+def _number(x: Column) -> Column:
+    return x.cast("double")
+
+
+def _answer(p: Column, i: Column) -> Column:
+    """struct(p, p_min, p_max) of item i; what is undefined is null."""
+    at = lambda k: F.nanvl(F.get(p, 3 * i + k), F.lit(None).cast("double"))
+    return F.struct(at(0).alias("p"), at(1).alias("p_min"), at(2).alias("p_max"))
+
+
+def stat_ask(s: Column) -> Column:
     half = I.pow10(s["statistic_decimals"]) / 2
-    kind, v = s["stat_type"], s["value"]
-    edge = F.lit(0.999999999999)
+    kind, v, edge = s["stat_type"], s["value"], F.lit(0.999999999999)
     low = F.when(kind.isin("F", "chi2", "Q"), F.greatest(F.lit(0.0), v - half)).when(kind == "r", F.greatest(-edge, v - half)).otherwise(v - half)
     high = F.when(kind == "r", F.least(edge, v + half)).otherwise(v + half)
     across = kind.isin("t", "z", "r") & (low <= 0) & (high >= 0)
     usable = s["reported_p"].isNotNull() & ~s["adjusted"]
-    values = F.when(usable, F.concat(F.array(v, low, high), F.when(across, F.array(F.lit(0.0))).otherwise(F.array().cast("array<double>"))))
-    d = d.withColumn("values", values).withColumn("ps", K.test_p_each(kind, "values", s["df1"], s["df2"], s["one_tailed"]))
-    d = d.withColumn("p", F.get("ps", F.lit(0))).withColumn("p_min", F.array_min("ps")).withColumn("p_max", F.array_max("ps"))
-    shown = I.printed(s["reported_p"], s["p_operator"], s["p_decimals"], alpha)
-    return d.withColumn("usable", usable).withColumn("agree", I.consistency(F.col("p_min"), F.col("p_max"), shown, alpha))
+    code = F.array_position(F.array(*[F.lit(k) for k in K.TESTS]), kind)
+    return F.array(*map(_number, (F.when(usable, code), s["df1"], s["df2"], s["one_tailed"], v, low, high, F.when(across, 0.0))))
 
 
-def stat_findings(r: DataFrame, cfg: Config) -> DataFrame:
-    d = statcheck(r.select("record_key", F.posexplode("reported_stats").alias("seq", "s")), cfg)
-    judged = _case(
-        (F.col("s.reported_p").isNull(), NA, "info", "no p-value was reported"), (F.col("s.adjusted"), NA, "info", "the p-value is adjusted"),
-        (F.col("agree.decision_error"), FLAG, "high", "reported and recomputed p-values differ on significance"),
-        (~F.col("agree.consistent"), WARN, "medium", "the reported p-value is outside what rounding allows"), last=(PASS, "info", "the reported p-value fits the statistic"),
-    )
-    e = F.struct(F.lit("test_statistic").alias("method_family"), F.col("seq").alias("index"), "s.stat_type", "s.value", "s.reported_p", F.col("p").alias("recomputed_p"), F.array("p_min", "p_max").alias("recomputed_interval"))
-    return _rows(d, _made("STATCHECK", judged, e, F.col("seq")))
+def effect_scaled(e: Column, x: Column) -> Column:
+    return F.when(e["scale"] == "ratio", F.log(F.when(x > 0, x))).otherwise(x)
+
+
+def effect_ask(e: Column) -> Column:
+    """Level, tails, and of estimate and limits the printed value, its rounding box, and the null value where the box holds it."""
+    null = F.when(e["scale"] == "ratio", 1.0).otherwise(0.0)
+
+    def box(value: str) -> list[Column]:
+        v, h = e[value], I.pow10(e[f"{value}_decimals"]) / 2
+        return [effect_scaled(e, x) for x in (v, v - h, v + h, F.when((v - h <= null) & (null <= v + h), null))]
+
+    return F.array(*map(_number, (e["confidence_level"], e["one_tailed"], *box("estimate"), *box("ci_lower"), *box("ci_upper"))))
+
+
+def comparison_ask(b: Column) -> Column:
+    half = [I.pow10(b[f"{v}_decimals_{g}"]) / 2 for v in ("mean", "sd") for g in ("a", "b")]
+    return F.array(*map(_number, (b["mean_a"], b["mean_b"], b["sd_a"], b["sd_b"], *half, b["n_a"], b["n_b"])))
+
+
+def with_p(r: DataFrame) -> DataFrame:
+    """Records with column p: what the kernel says of their statistics, effects and comparisons."""
+    asks = [F.flatten(F.transform(c, f)) for c, f in (("reported_stats", stat_ask), ("reported_effects", effect_ask), ("baseline_comparisons", comparison_ask))]
+    return r.withColumn("p", K.audit_p(*asks))
+
+
+def _alone(ask: Column, place: int) -> Column:
+    """The kernel's answer to one item of one kind."""
+    none = F.array().cast("array<double>")
+    return K.audit_p(*[ask if k == place else none for k in range(3)])
+
+
+def stat_judged(s: Column, a: Column, cfg: Config) -> Column:
+    """struct(consistent, decision_error, significance) of a statistic and its answer."""
+    alpha = F.lit(cfg.alpha)
+    return I.consistency(a["p_min"], a["p_max"], I.printed(s["reported_p"], s["p_operator"], s["p_decimals"], alpha), alpha)
+
+
+def statcheck(d: DataFrame, cfg: Config) -> DataFrame:
+    """d with struct column s (a reported statistic): adds p, p_min, p_max and agree."""
+    d = d.withColumn("a", _alone(stat_ask(F.col("s")), 0)).withColumn("a", _answer(F.col("a.stats"), F.lit(0)))
+    return d.select("*", "a.*").withColumn("agree", stat_judged(F.col("s"), F.col("a"), cfg)).drop("a")
+
+
+def stat_array(cfg: Config, evidence: bool = True) -> Column:  # noqa: FBT001, FBT002
+    def one(x: Column) -> Column:
+        s, a, agree = x["s"], x["a"], x["agree"]
+        judged = _case(
+            (s["reported_p"].isNull(), NA, "info", "no p-value was reported"), (s["adjusted"], NA, "info", "the p-value is adjusted"),
+            (agree["decision_error"], FLAG, "high", "reported and recomputed p-values differ on significance"),
+            (~agree["consistent"], WARN, "medium", "the reported p-value is outside what rounding allows"), last=(PASS, "info", "the reported p-value fits the statistic"),
+        )
+        e = F.struct(F.lit("test_statistic").alias("method_family"), x["i"].alias("index"), *_fields(s, "stat_type", "value", "reported_p"), a["p"].alias("recomputed_p"), F.array(a["p_min"], a["p_max"]).alias("recomputed_interval"))
+        return _made("STATCHECK", judged, e if evidence else None, x["i"])
+
+    asked = F.transform("reported_stats", lambda s, i: F.struct(s.alias("s"), i.alias("i"), _answer(F.col("p.stats"), i).alias("a")))
+    return F.transform(F.transform(asked, lambda x: F.struct(*_fields(x, "s", "i", "a"), stat_judged(x["s"], x["a"], cfg).alias("agree"))), one)
+
+
+def effect_inside(e: Column) -> Column:
+    """Whether the interval holds the estimate."""
+    m, low, high = (effect_scaled(e, e[k]) for k in ("estimate", "ci_lower", "ci_upper"))
+    return (low <= m) & (m <= high)
+
+
+def effect_skew(e: Column) -> Column:
+    m, low, high = (effect_scaled(e, e[k]) for k in ("estimate", "ci_lower", "ci_upper"))
+    left, right = m - low, high - m
+    return F.when(F.least(left, right) > 0, F.greatest(left, right) / F.least(left, right))
 
 
 def ci_check(d: DataFrame, cfg: Config) -> DataFrame:
     """d with struct column e (a reported effect): adds inside, p, p_min, p_max, skew and agree."""
-    e, alpha = F.col("e"), F.lit(cfg.alpha)
-    ratio = e["scale"] == "ratio"
-    scaled = lambda x: F.when(ratio, F.log(F.when(x > 0, x))).otherwise(x)
-    d = d.withColumn("x", F.array(*[scaled(e[k]) for k in ("estimate", "ci_lower", "ci_upper")]))
-    d = d.withColumn("inside", (F.col("x")[1] <= F.col("x")[0]) & (F.col("x")[0] <= F.col("x")[2]))
-
-    def box(value: str, places: str) -> list[Column]:
-        h, null = I.pow10(e[places]) / 2, F.when(ratio, 1.0).otherwise(0.0)
-        inside = (e[value] - h <= null) & (null <= e[value] + h)
-        return [scaled(e[value]), scaled(e[value] - h), scaled(e[value] + h), scaled(F.when(inside, null))]
-
-    # one lambda over all corners of the rounding boxes: a kernel's input must not nest lambdas
-    corners = itertools.product(box("estimate", "estimate_decimals"), box("ci_lower", "ci_lower_decimals"), box("ci_upper", "ci_upper_decimals"))
-    d = d.withColumn("corners", F.array(*[F.struct(m.alias("m"), lo.alias("lo"), hi.alias("hi")) for m, lo, hi in corners]))
-    fits = lambda c: (c["lo"] < c["hi"]) & (c["lo"] <= c["m"]) & (c["m"] <= c["hi"])
-    zs = F.array_compact(F.transform("corners", lambda c: F.when(fits(c), F.abs(c["m"]) * 2 / (c["hi"] - c["lo"]))))
-    point = F.abs(F.col("x")[0]) * 2 / (F.col("x")[2] - F.col("x")[1])
-    d = d.withColumn("zs", F.when(F.col("inside"), F.array_insert(zs, 1, point))).drop("corners")
-    d = d.withColumn("ps", K.interval_p_each("zs", e["confidence_level"], e["one_tailed"])).withColumn("box", F.slice("ps", 2, 65))
-    d = d.withColumn("p", F.get("ps", F.lit(0))).withColumn("p_min", F.array_min("box")).withColumn("p_max", F.array_max("box"))
-    left, right = F.col("x")[0] - F.col("x")[1], F.col("x")[2] - F.col("x")[0]
-    d = d.withColumn("skew", F.when(F.least(left, right) > 0, F.greatest(left, right) / F.least(left, right)))
-    shown = I.printed(e["reported_p"], e["p_operator"], e["p_decimals"], alpha)
-    return d.withColumn("agree", I.consistency(F.col("p_min"), F.col("p_max"), shown, alpha))
-
-
-def effect_findings(r: DataFrame, cfg: Config) -> DataFrame:
-    d = ci_check(r.select("record_key", F.size("reported_stats").alias("before"), F.posexplode("reported_effects").alias("seq", "e")), cfg)
-    judged = _case(
-        (~F.col("inside"), NA, "info", "the confidence interval does not hold the estimate"), (F.col("p_min").isNull(), NA, "info", "no interval fits the printed precision"),
-        (F.col("agree.decision_error"), WARN, "medium", "interval and p-value differ on significance; check model, adjustment and tails"),
-        (~F.col("agree.consistent"), WARN, "medium", "the p-value is outside what the interval allows"), last=(PASS, "info", "the p-value fits the interval"),
-    )
-    e = F.struct(
-        F.lit("ci_to_p").alias("method_family"), F.col("seq").alias("index"), "e.name", "e.estimate", "e.reported_p", "e.applicability_tier",
-        F.col("p").alias("recomputed_p"), F.array("p_min", "p_max").alias("recomputed_interval"), F.col("skew").alias("ci_symmetry_ratio"),
-    )
-    return _rows(d, _made("STATCHECK", judged, e, F.col("before") + F.col("seq"), "Altman & Bland 2011"))
+    e = F.col("e")
+    d = d.withColumn("a", _alone(effect_ask(e), 1)).withColumn("a", _answer(F.col("a.effects"), F.lit(0)))
+    d = d.select("*", "a.*").withColumn("agree", stat_judged(e, F.col("a"), cfg)).drop("a")
+    return d.withColumn("inside", effect_inside(e)).withColumn("skew", effect_skew(e))
+
+
+def effect_array(cfg: Config, evidence: bool = True) -> Column:  # noqa: FBT001, FBT002
+    def one(x: Column) -> Column:
+        e, a, agree = x["e"], x["a"], x["agree"]
+        judged = _case(
+            (~effect_inside(e), NA, "info", "the confidence interval does not hold the estimate"), (a["p_min"].isNull(), NA, "info", "no interval fits the printed precision"),
+            (agree["decision_error"], WARN, "medium", "interval and p-value differ on significance; check model, adjustment and tails"),
+            (~agree["consistent"], WARN, "medium", "the p-value is outside what the interval allows"), last=(PASS, "info", "the p-value fits the interval"),
+        )
+        shown = F.struct(
+            F.lit("ci_to_p").alias("method_family"), x["i"].alias("index"), *_fields(e, "name", "estimate", "reported_p", "applicability_tier"),
+            a["p"].alias("recomputed_p"), F.array(a["p_min"], a["p_max"]).alias("recomputed_interval"), effect_skew(e).alias("ci_symmetry_ratio"),
+        )
+        return _made("STATCHECK", judged, shown if evidence else None, F.size("reported_stats") + x["i"], "Altman & Bland 2011")
+
+    asked = F.transform("reported_effects", lambda e, i: F.struct(e.alias("e"), i.alias("i"), _answer(F.col("p.effects"), i).alias("a")))
+    return F.transform(F.transform(asked, lambda x: F.struct(*_fields(x, "e", "i", "a"), stat_judged(x["e"], x["a"], cfg).alias("agree"))), one)
+
+
+def no_stat_array(cfg: Config, evidence: bool = True) -> Column:  # noqa: FBT001, FBT002
+    def one(n: Column) -> Column:
+        judged = _case((n > 0, NA, "info", "the registry's analyses give no statistic to recompute"), last=(NA, "info", "no statistics were reported"))
+        return _made("STATCHECK", judged, F.struct(n.alias("registry_analyses")) if evidence else None)
 
-
-def no_stat_findings(r: DataFrame, cfg: Config) -> DataFrame:
     n = F.coalesce(F.get_json_object("metadata", "$.reported_analyses_count").try_cast("int"), F.lit(0))
-    judged = _case((n > 0, NA, "info", "the registry's analyses give no statistic to recompute"), last=(NA, "info", "no statistics were reported"))
-    return _rows(r.where((F.size("reported_stats") == 0) & (F.size("reported_effects") == 0)), _made("STATCHECK", judged, F.struct(n.alias("registry_analyses"))))
+    none = (F.size("reported_stats") == 0) & (F.size("reported_effects") == 0)
+    return F.transform(F.when(none, F.array(n)).otherwise(F.array().cast("array<int>")), one)
 
 
 # -- integer means --------------------------------------------------------------------------------
@@ -244,148 +322,176 @@ def _power(d: Column) -> Column:
     return F.element_at(F.array(*[F.lit(10**k).cast("decimal(11,0)") for k in range(11)]), d + 1)
 
 
-def grim(d: DataFrame) -> DataFrame:
-    """d with struct column s (a summary): adds grim_reason (null if it applies) and grim_ok, in exact decimals.
+def grim_of(s: Column) -> Column:
+    """struct(reason (null if GRIM applies), ok) of a summary, in exact decimals.
 
     A mean is feasible if some integer total next to mean * granule has it as its rounded mean; ties round either way.
     """
-    s = F.col("s")
     tens, g = _power(s["mean_decimals"]), (s["n"] * s["items"]).cast("decimal(18,0)")
     mean = s["mean"].cast("decimal(28,10)")
     shown = F.round((mean * tens).cast("decimal(38,10)"), 0).cast("decimal(26,0)")
     raw = (mean * g).cast("decimal(38,10)")
     fits = lambda total: F.abs((2 * total.cast("decimal(20,0)") * tens).cast("decimal(38,0)") - (2 * g * shown.cast("decimal(18,0)")).cast("decimal(38,0)")) <= g
     why = F.when(~s["integer_scale"], "the scale is not of integers").when(s["n"] > tens, "there are more values than the decimals can tell apart")
-    return d.withColumn("grim_reason", why).withColumn("grim_ok", fits(F.floor(raw)) | fits(F.ceil(raw)))
+    return F.struct(why.alias("reason"), (fits(F.floor(raw)) | fits(F.ceil(raw))).alias("ok"))
 
 
-def grimmer(d: DataFrame) -> DataFrame:
-    """After grim: adds grimmer_reason and grimmer_ok.
+def grim(d: DataFrame) -> DataFrame:
+    """d with struct column s (a summary): adds grim_reason and grim_ok."""
+    return d.withColumn("g", grim_of(F.col("s"))).select("*", F.col("g.reason").alias("grim_reason"), F.col("g.ok").alias("grim_ok")).drop("g")
+
+
+def grimmer_of(s: Column, g: Column) -> Column:
+    """struct(reason, ok) of a summary and what GRIM says of it.
 
     Among the integer sums of squares that the rounded SD allows, those with the parity of the
     sum must give back the SD. Inside the window all do, so that the three nearest to
     either end and one in the middle decide.
     """
-    s = F.col("s")
     n, tens = s["n"].cast("double"), _power(s["sd_decimals"])
     total = F.round((s["mean"].cast("decimal(28,10)") * s["n"].cast("decimal(10,0)")).cast("decimal(38,10)"), 0).cast("bigint")
-    m = total / n
     half = I.pow10(s["sd_decimals"]) / 2
     square = lambda x: x * x
-    low = F.ceil((n - 1) * square(F.greatest(F.lit(0.0), s["sd"] - half)) + n * square(m) - 1e-12)
-    high = F.floor((n - 1) * square(s["sd"] + half) + n * square(m) + 1e-12)
-    odd = F.pmod(total, F.lit(2))
-    first = low + F.pmod(low - odd, F.lit(2))
-    final = high - F.pmod(high - odd, F.lit(2))
-    middle = first + 2 * F.floor((final - first) / 4)
-    tries = F.array_distinct(F.array(first, first + 2, first + 4, middle, final - 4, final - 2, final))
     goal = F.floor(s["sd"].cast("decimal(25,12)") * tens + F.lit("0.5").cast("decimal(2,1)"))
 
-    def good(ss: Column) -> Column:
-        spread = ss - n * square(m)
-        sd = F.sqrt(F.greatest(F.lit(0.0), spread) / (n - 1))
-        return (ss >= first) & (ss <= final) & (spread >= -1e-12) & (F.floor(sd.cast("decimal(25,12)") * tens + F.lit("0.5").cast("decimal(2,1)")) == goal)
+    def window(total: Column) -> Column:
+        m = total / n
+        low = F.ceil((n - 1) * square(F.greatest(F.lit(0.0), s["sd"] - half)) + n * square(m) - 1e-12)
+        high = F.floor((n - 1) * square(s["sd"] + half) + n * square(m) + 1e-12)
+        odd = F.pmod(total, F.lit(2))
+        return F.struct(m.alias("m"), (low + F.pmod(low - odd, F.lit(2))).alias("first"), (high - F.pmod(high - odd, F.lit(2))).alias("last"), goal.alias("goal"))
+
+    def decided(w: Column) -> Column:
+        first, last = w["first"], w["last"]
+        middle = first + 2 * F.floor((last - first) / 4)
+
+        def good(ss: Column) -> Column:
+            spread = ss - n * square(w["m"])
+            sd = F.sqrt(F.greatest(F.lit(0.0), spread) / (n - 1))
+            return (ss >= first) & (ss <= last) & (spread >= -1e-12) & (F.floor(sd.cast("decimal(25,12)") * tens + F.lit("0.5").cast("decimal(2,1)")) == w["goal"])
+
+        return F.exists(F.array(first, first + 2, first + 4, middle, last - 4, last - 2, last), good)
 
     why = (
         F.when(s["sd"].isNull(), "no standard deviation was supplied").when(s["items"] != 1, "the geometry of scales of several items is unknown")
-        .when(F.col("grim_reason").isNotNull(), F.col("grim_reason")).when(F.col("grim_ok") & (s["n"] == 1), "one value has no spread")
+        .when(g["reason"].isNotNull(), g["reason"]).when(g["ok"] & (s["n"] == 1), "one value has no spread")
     )
-    ok = F.when(why.isNull() & F.col("grim_ok"), F.exists(tries, good)).when(why.isNull(), F.lit(False))
-    return d.withColumn("grimmer_reason", why).withColumn("grimmer_ok", ok)
+    ok = F.when(why.isNull() & g["ok"], _let(_let(total, window), decided)).when(why.isNull(), F.lit(False))
+    return F.struct(why.alias("reason"), ok.alias("ok"))
 
 
-def summary_findings(r: DataFrame, cfg: Config) -> DataFrame:
-    d = grimmer(grim(r.select("record_key", F.posexplode_outer("integer_summaries").alias("seq", "s"))))
-    none = (F.col("s").isNull(), NA, "info", "no integer summaries were supplied")
-    one = _case(none, (F.col("grim_reason").isNotNull(), NA, "info", F.col("grim_reason")), (F.col("grim_ok"), PASS, "info", "the mean fits integer data"), last=(FLAG, "high", "no integer data has this mean"))
-    two = _case(none, (F.col("grimmer_reason").isNotNull(), NA, "info", F.col("grimmer_reason")), (F.col("grimmer_ok"), PASS, "info", "the SD fits integer data"), last=(FLAG, "high", "no integer data has this mean and SD"))
-    e, seq = F.struct(F.col("seq").alias("index"), "s.name", "s.mean", "s.n", "s.sd"), F.coalesce("seq", F.lit(0))
-    return _rows(d, _made("GRIM", one, e, seq), _made("GRIMMER", two, e, seq))
+def summary_array(cfg: Config, evidence: bool = True) -> Column:  # noqa: FBT001, FBT002
+    def two(x: Column) -> Column:
+        s, g, h = x["s"], x["g"], x["h"]
+        none = (s.isNull(), NA, "info", "no integer summaries were supplied")
+        one = _case(none, (g["reason"].isNotNull(), NA, "info", g["reason"]), (g["ok"], PASS, "info", "the mean fits integer data"), last=(FLAG, "high", "no integer data has this mean"))
+        more = _case(none, (h["reason"].isNotNull(), NA, "info", h["reason"]), (h["ok"], PASS, "info", "the SD fits integer data"), last=(FLAG, "high", "no integer data has this mean and SD"))
+        e = F.struct(F.when(s.isNotNull(), x["i"]).alias("index"), *_fields(s, "name", "mean", "n", "sd")) if evidence else None
+        return F.array(_made("GRIM", one, e, x["i"]), _made("GRIMMER", more, e, x["i"]))
+
+    items = F.transform(_or_none(F.col("integer_summaries"), SUMMARY), lambda s, i: F.struct(s.alias("s"), i.alias("i"), grim_of(s).alias("g")))
+    return F.flatten(F.transform(F.transform(items, lambda x: F.struct(*_fields(x, "s", "i", "g"), grimmer_of(x["s"], x["g"]).alias("h"))), two))
 
 
 # -- baselines ------------------------------------------------------------------------------------
 
 
 def welch(d: DataFrame) -> DataFrame:
-    """d with struct column b (a comparison): adds p, p_low and p_high over the rounding boxes, in one kernel call."""
-    b = F.col("b")
-    box = lambda v, k: [b[v] + s * I.pow10(b[k]) / 2 for s in (0, -1, 1)]
-    corners = F.array(*[F.struct(*[x.alias(n) for x, n in zip(c, ("ma", "mb", "sa", "sb"), strict=True)]) for c in itertools.product(box("mean_a", "mean_decimals_a"), box("mean_b", "mean_decimals_b"), box("sd_a", "sd_decimals_a"), box("sd_b", "sd_decimals_b"))])
-    d = d.withColumn("corners", F.filter(corners, lambda c: (c["sa"] > 0) & (c["sb"] > 0)))
-    va, vb = lambda c: c["sa"] * c["sa"] / b["n_a"], lambda c: c["sb"] * c["sb"] / b["n_b"]
-    ts = F.transform("corners", lambda c: F.abs(c["ma"] - c["mb"]) / F.sqrt(va(c) + vb(c)))
-    dfs = F.transform("corners", lambda c: (va(c) + vb(c)) * (va(c) + vb(c)) / (va(c) * va(c) / (b["n_a"] - 1) + vb(c) * vb(c) / (b["n_b"] - 1)))
-    d = d.withColumn("ps", K.t_two_sided_each(ts, dfs)).drop("corners")
-    ha, hb = I.pow10(b["mean_decimals_a"]) / 2, I.pow10(b["mean_decimals_b"]) / 2
-    touch = (b["mean_a"] - ha <= b["mean_b"] + hb) & (b["mean_b"] - hb <= b["mean_a"] + ha)
-    return d.withColumn("p", F.get("ps", F.lit(0))).withColumn("p_low", F.array_min("ps")).withColumn("p_high", F.when(touch, F.greatest(F.lit(1.0), F.array_max("ps"))).otherwise(F.array_max("ps"))).drop("ps")
-
-
-def combined(p: DataFrame, key: str = "record_key") -> DataFrame:
-    """Fisher's and Stouffer's combinations per record of rows (key, p, p_low, p_high, ok, free)."""
-    least = lambda x: F.log(F.greatest(F.lit(1e-300), x))
-    inner = F.greatest(F.lit(1e-300), F.least(F.lit(1 - 1e-16), F.col("p")))
-    p = p.withColumn("z", K.normal_ppf_udf(1 - F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), inner))))
-    d = p.groupBy(key).agg(
-        F.count("*").alias("size"), F.min("ok").alias("ok"), F.min("free").alias("free"), (-2 * F.sum(F.log(inner))).alias("fisher"),
-        (-2 * F.sum(least(F.col("p_high")))).alias("fisher_low"), (-2 * F.sum(least(F.col("p_low")))).alias("fisher_high"), (F.sum("z") / F.sqrt(F.count("*"))).alias("stouffer_z"),
-    )
-    df = (2 * F.col("size")).cast("double")
-    d = d.withColumns({"fisher_p": K.chi2_sf_udf("fisher", df), "f_low": K.chi2_sf_udf("fisher_high", df), "f_high": K.chi2_sf_udf("fisher_low", df), "tail": K.normal_sf_udf(F.abs("stouffer_z"))})
-    two = lambda q: 2 * F.least(q, 1 - q)
-    safe = F.when((F.col("f_low") <= 0.5) & (F.col("f_high") >= 0.5), 1.0).otherwise(F.greatest(two(F.col("f_low")), two(F.col("f_high"))))
-    return d.withColumn("stouffer_p", 2 * F.col("tail")).withColumn("extreme_p", F.least(F.lit(1.0), two(F.col("fisher_p")))).withColumn("safe_p", safe).drop("tail")
+    """d with struct column b (a comparison): adds p, p_low and p_high over the rounding boxes."""
+    d = d.withColumn("a", _alone(comparison_ask(F.col("b")), 2)).withColumn("a", _answer(F.col("a.comparisons"), F.lit(0)))
+    return d.select("*", F.col("a.p").alias("p"), F.col("a.p_min").alias("p_low"), F.col("a.p_max").alias("p_high")).drop("a")
 
 
-def baseline_findings(r: DataFrame, cfg: Config) -> DataFrame:
-    b = r.select("record_key", F.explode("baseline_comparisons").alias("b"))
-    free = F.col("b.independent_from_other_variables") & (F.coalesce(F.size("b.correlated_with"), F.lit(0)) <= 0)
-    p = welch(b).select("record_key", "p", "p_low", "p_high", (F.col("b.variable_type") == "continuous").alias("ok"), free.alias("free"))
-    judged = _case(
-        (~F.col("ok"), NA, "info", "a baseline variable is not continuous"),
-        ((F.col("size") > 1) & ~F.col("free"), NA, "info", "the variables are not known to be independent"),
-        (F.col("safe_p") < cfg.baseline_extreme_p, WARN, "low", "baseline p-values are unusually extreme; a weak signal"),
-        last=(PASS, "info", "baseline p-values are not extreme"),
-    )
-    shown = F.struct("size", "fisher", "fisher_p", "f_low", "f_high", "stouffer_z", "stouffer_p", "extreme_p", "safe_p")
-    none = _made("BASELINE-ANOMALY", _case(last=(NA, "info", "no baseline comparisons were supplied")), None)
-    # only records that compare anything are grouped; the others keep to their partition
-    return _rows(combined(p), _made("BASELINE-ANOMALY", judged, shown)).unionByName(_rows(r.where(F.size("baseline_comparisons") == 0), none))
+def combined(p: Column) -> Column:
+    """The kernel's combination of a record's comparisons by its names (K.COMBINED), Fisher's and Stouffer's; null without comparisons."""
+    at = lambda k: F.nanvl(F.get(p, F.lit(k)), F.lit(None).cast("double"))
+    return F.struct(*[(at(k).cast("bigint") if n == "size" else at(k)).alias(n) for k, n in enumerate(K.COMBINED)])
+
+
+def baseline_array(cfg: Config, evidence: bool = True) -> Column:  # noqa: FBT001, FBT002
+    b = F.col("baseline_comparisons")
+    free = lambda x: x["independent_from_other_variables"] & (F.coalesce(F.size(x["correlated_with"]), F.lit(0)) <= 0)
+
+    def one(c: Column) -> Column:
+        judged = _case(
+            (F.size(b) == 0, NA, "info", "no baseline comparisons were supplied"),
+            (F.exists(b, lambda x: x["variable_type"] != "continuous"), NA, "info", "a baseline variable is not continuous"),
+            ((F.size(b) > 1) & F.exists(b, lambda x: ~free(x)), NA, "info", "the variables are not known to be independent"),
+            (c["safe_p"] < cfg.baseline_extreme_p, WARN, "low", "baseline p-values are unusually extreme; a weak signal"),
+            last=(PASS, "info", "baseline p-values are not extreme"),
+        )
+        made = lambda e: _made("BASELINE-ANOMALY", judged, e)
+        return F.when(F.size(b) > 0, made(c)).otherwise(made(None)) if evidence else made(None)
+
+    return F.transform(F.array(combined(F.col("p.combined"))), one)
 
 
 # -- all of them ----------------------------------------------------------------------------------
 
-FAMILIES = (completeness_findings, enrollment_findings, subgroup_findings, stat_findings, effect_findings, no_stat_findings, summary_findings, baseline_findings)
+FAMILIES = (completeness_array, enrollment_array, subgroup_array, stat_array, effect_array, no_stat_array, summary_array, baseline_array)
 
 
-def findings(records: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """All findings of records (with record_key), each not-applicable one with its scope in the evidence."""
-    cfg = cfg or Config()
-    # the families carry the key along unread: it brings the record's unavailable rules to its findings
-    unavailable = F.from_json(F.get_json_object("metadata", "$.source_schema_unavailable_rules"), "array<string>")
-    r = with_defaults(records)
-    r = r.withColumn("record_key", F.struct(F.col("record_key").alias("key"), F.coalesce(unavailable, F.array().cast("array<string>")).alias("rules")))
-    out = None
-    for family in FAMILIES:
-        f = family(r, cfg).select(*FINDING)
-        out = f if out is None else out.unionByName(f)
-    scope = F.when(F.col("verdict") == NA, F.when(F.array_contains("record_key.rules", F.col("rule_id")), "source_schema").otherwise("record"))
-    return out.select(F.col("record_key.key").alias("record_key"), *FINDING[1:], scope.alias("scope"))
+def completeness_findings(r: DataFrame, cfg: Config) -> DataFrame:
+    return _rows(r, completeness_array(cfg))
+
+
+def enrollment_findings(r: DataFrame, cfg: Config) -> DataFrame:
+    return _rows(r, enrollment_array(cfg))
+
+
+def subgroup_findings(r: DataFrame, cfg: Config) -> DataFrame:
+    return _rows(r, subgroup_array(cfg))
+
+
+def stat_findings(r: DataFrame, cfg: Config) -> DataFrame:
+    return _rows(with_p(r), stat_array(cfg))
+
+
+def summary_findings(r: DataFrame, cfg: Config) -> DataFrame:
+    return _rows(r, summary_array(cfg))
+
+
+def baseline_findings(r: DataFrame, cfg: Config) -> DataFrame:
+    return _rows(with_p(r), baseline_array(cfg))
+
+
+def _judged(records: DataFrame, cfg: Config, evidence: bool) -> DataFrame:  # noqa: FBT001
+    """records, defaults filled in, with ``checks``: all findings in order of rule and place, each with its scope."""
+    r = with_p(with_defaults(records))
+    unavailable = F.coalesce(F.from_json(F.get_json_object("metadata", "$.source_schema_unavailable_rules"), "array<string>"), F.array().cast("array<string>"))
+    made = F.concat(*[f(cfg, evidence) for f in FAMILIES])
+    order = ("rule_rank", "seq", "rule_id", "verdict", "severity", "rationale", "evidence", "guideline_ref")
+    scope = lambda f, rules: F.when(f["verdict"] == NA, F.when(F.array_contains(rules, f["rule_id"]), "source_schema").otherwise("record"))
+    r = r.withColumn("rules", unavailable).withColumn("checks", made)
+    return r.withColumn("checks", F.transform("checks", lambda f: F.struct(*_fields(f, *order), scope(f, F.col("rules")).alias("scope")))).drop("rules", "p")
+
+
+def findings(records: DataFrame, cfg: Config | None = None, *, evidence: bool = True) -> DataFrame:
+    """All findings of records (with record_key), each not-applicable one with its scope.
+
+    evidence=False leaves the evidence empty ("{}"), for aggregates that don't look at it.
+    """
+    return _judged(records, cfg or Config(), evidence).select("record_key", F.inline("checks")).select("record_key", *FINDING[1:], "scope")
+
+
+def verdict_of_record(checks: Column) -> Column:
+    """flag, else warn, else pass."""
+    has = lambda v: F.exists(checks, lambda f: f["verdict"] == v)
+    return F.when(has(FLAG), FLAG).when(has(WARN), WARN).otherwise(PASS)
+
+
+def verdicts(records: DataFrame, cfg: Config | None = None) -> DataFrame:
+    """(record_key, verdict) per record, without a shuffle."""
+    return _judged(records, cfg or Config(), evidence=False).select("record_key", verdict_of_record(F.col("checks")).alias("verdict"))
 
 
-def responses(records: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """One row a record: verdict, completeness score and its findings in order."""
+def responses(records: DataFrame, cfg: Config | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row a record: verdict, completeness score and its findings in order, without a shuffle. keep: columns to carry along."""
     cfg = cfg or Config()
-    f = findings(records, cfg)
-    names = [c for c in f.columns if c != "record_key"]
-    row = F.struct(F.col("rule_rank"), F.col("seq"), *[F.col(c) for c in names if c not in ("rule_rank", "seq")])
-    worst = F.max(F.when(F.col("verdict") == FLAG, 2).when(F.col("verdict") == WARN, 1).otherwise(0))
-    g = f.groupBy("record_key").agg(F.array_sort(F.collect_list(row)).alias("checks"), worst.alias("worst"))
-    verdict = F.element_at(F.array(F.lit(PASS), F.lit(WARN), F.lit(FLAG)), F.col("worst") + 1)
-    r = with_defaults(records).select("record_key", "study_id", F.round(completeness(cfg)["score"], 6).alias("completeness_score"))
-    return r.join(g, "record_key").select(
-        "record_key", "study_id", "completeness_score", verdict.alias("feasibility_verdict"), "checks", F.lit(cfg.version).alias("config_version"),
-        F.lit(cfg.rules_version).alias("rules_version"), F.lit(DISCLAIMER).alias("disclaimer"),
+    r = _judged(records, cfg, evidence=True).withColumn("checks", F.array_sort("checks"))
+    return r.select(
+        "record_key", "study_id", F.round(completeness(cfg)["score"], 6).alias("completeness_score"), verdict_of_record(F.col("checks")).alias("feasibility_verdict"), "checks",
+        F.lit(cfg.version).alias("config_version"), F.lit(cfg.rules_version).alias("rules_version"), F.lit(DISCLAIMER).alias("disclaimer"), *keep,
     )
 
 

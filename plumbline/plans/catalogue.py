@@ -172,24 +172,24 @@ UNION ALL SELECT k, 'REPORTING-COMPLETENESS', 'warn' FROM v UNION ALL SELECT k,
 @query(f"{_ALL} SELECT rule_id, verdict, count(*) AS findings FROM f GROUP BY 1, 2")
 def findings_rule_verdict(spark, d):  # noqa: ANN001, ANN201
     """The flagship: every rule on a record per order, counted by rule and verdict."""
-    return corpus.rule_verdicts(rules.findings(order_records(spark, d), CFG))
+    return corpus.rule_verdicts(rules.findings(order_records(spark, d), CFG, evidence=False))
 
 
 @query(f"{_ALL}, r AS (SELECT k, max(CASE verdict WHEN 'flag' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS x FROM f GROUP BY k) SELECT CASE x WHEN 3 THEN 'flag' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, count(*) AS records FROM r GROUP BY 1")
 def verdict_rollup(spark, d):  # noqa: ANN001, ANN201
-    return corpus.rollup(rules.findings(order_records(spark, d), CFG)).groupBy("verdict").agg(F.count("*").alias("records"))
+    return rules.verdicts(order_records(spark, d), CFG).groupBy("verdict").agg(F.count("*").alias("records"))
 
 
 @query(f"{_ALL} SELECT k AS record_key, rule_id, verdict FROM f")
 def study_worst_verdict(spark, d):  # noqa: ANN001, ANN201
-    return corpus.worst_by_rule(rules.findings(order_records(spark, d), CFG)).withColumn("record_key", F.col("record_key").cast("bigint"))
+    return corpus.worst_by_rule(rules.findings(order_records(spark, d), CFG, evidence=False)).withColumn("record_key", F.col("record_key").cast("bigint"))
 
 
 @query(f"""{_ALL} SELECT rule_id, count(*) FILTER (WHERE verdict = 'pass') AS passed, count(*) FILTER (WHERE verdict = 'warn') AS warned, count(*) FILTER (WHERE verdict = 'flag') AS flagged,
 count(*) FILTER (WHERE verdict = 'not_applicable') AS not_applicable, 0::BIGINT AS by_source_schema, count(*) FILTER (WHERE verdict = 'not_applicable') AS by_record, count(*) FILTER (WHERE verdict <> 'not_applicable') AS applicable,
 round(count(*) FILTER (WHERE verdict = 'flag') / nullif(count(*) FILTER (WHERE verdict <> 'not_applicable'), 0)::DOUBLE, 9) AS flag_rate FROM f GROUP BY 1""")
 def na_scope(spark, d):  # noqa: ANN001, ANN201
-    return corpus.study_outcomes(rules.findings(order_records(spark, d), CFG)).withColumn("flag_rate", F.round("flag_rate", 9))
+    return corpus.study_outcomes(rules.findings(order_records(spark, d), CFG, evidence=False)).withColumn("flag_rate", F.round("flag_rate", 9))
 
 
 @query(f"{_ALL}, r AS (SELECT k, max(CASE verdict WHEN 'flag' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS x, count(*) AS n FROM f GROUP BY k) SELECT k AS record_key, CASE x WHEN 3 THEN 'flag' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, n AS checks, round(1 / 10.0::DOUBLE, 6) AS score FROM r")
@@ -331,8 +331,9 @@ def welch_pairs(spark, d):  # noqa: ANN001, ANN201
 y AS (SELECT k, p, side * ({_PPF}) AS z FROM z), s AS (SELECT k, count(*) AS size, -2 * sum(ln(p)) AS fisher, sum(z) / sqrt(count(*)) AS z FROM y GROUP BY k)
 SELECT k, size, round(fisher, 4) AS fisher, round({_CHI2_EVEN.format(x="fisher")}, 6) AS fisher_p, round(z, 4) AS stouffer_z FROM s""")
 def fisher_combine(spark, d):  # noqa: ANN001, ANN201
-    w = rules.welch(_baselines(spark, d)).select("k", "p", "p_low", "p_high", F.lit(True).alias("ok"), F.lit(True).alias("free"))
-    return rules.combined(w, "k").select("k", "size", F.round("fisher", 4).alias("fisher"), F.round("fisher_p", 6).alias("fisher_p"), F.round("stouffer_z", 4).alias("stouffer_z"))
+    r = _baselines(spark, d).groupBy("k").agg(F.collect_list("b").alias("baseline_comparisons")).select("k", F.lit(1).alias("randomized_n"), "baseline_comparisons")
+    c = rules.with_p(with_defaults(r)).select("k", rules.combined(F.col("p.combined")).alias("c")).select("k", "c.*")
+    return c.select("k", "size", F.round("fisher", 4).alias("fisher"), F.round("fisher_p", 6).alias("fisher_p"), F.round("stouffer_z", 4).alias("stouffer_z"))
 
 
 @query(f"""{_WELCH}, s AS (SELECT k, count(*) AS size, -2 * sum(ln(greatest(1e-300, p_high))) AS low, -2 * sum(ln(greatest(1e-300, p_low))) AS high FROM w GROUP BY k),
