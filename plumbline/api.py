@@ -53,7 +53,7 @@ def evaluate(records: DataFrame, cfg: Config | None = None, replicates: int = co
         raise ValueError("a record has no reference_flag")
     v = rules.verdicts(records, cfg).select("record_key", (F.col("verdict") == "flag").alias("pred"))
     pairs = records.select("record_key", F.col("reference_flag").alias("ref")).join(v, "record_key")
-    ends = corpus.bootstrap(corpus.numbered(pairs, "record_key"), replicates).select(F.struct("metric", "low", "high").alias("x"))
+    ends = corpus.bootstrap(pairs, "record_key", replicates).select(F.struct("metric", "low", "high").alias("x"))
     return corpus.agreement(pairs).crossJoin(ends.agg(F.array_sort(F.collect_list("x")).alias("intervals")))
 
 

@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +23,10 @@ QUOTAS = {
 }
 QUEUE_ROWS, QUEUE_SEED = 200, 20250903
 BOOTSTRAP, BOOTSTRAP_SEED = 2000, 20250314
+#: Bounds of the buckets that a selection counts first.
+EDGES = 1000
+#: Rows whose cells one broadcast holds, at two bits a row.
+CELLS = 1 << 30
 
 
 def rank(verdict: Column) -> Column:
@@ -35,6 +47,15 @@ def rule_verdicts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id", "verdict").agg(F.count("*").alias("findings"))
 
 
+def verdict_cube(findings: DataFrame) -> DataFrame:
+    """(level, rule_id, verdict, scope, findings): counts overall, by rule, by rule and verdict, and by rule and scope, in one pass and one exchange."""
+    rule, verdict, scope = F.col("rule_id"), F.col("verdict"), F.col("scope")
+    d = findings.groupingSets([[], [rule], [rule, verdict], [rule, scope]], rule, verdict, scope).agg(F.grouping_id().alias("g"), F.count("*").alias("findings"))
+    # a bit of grouping_id says that its column is summed over, the rule's first
+    level = F.when(F.col("g") == 7, "all").when(F.col("g") == 3, "rule").when(F.col("g") == 1, "verdict").otherwise("scope")
+    return d.select(level.alias("level"), "rule_id", "verdict", "scope", "findings").where("level <> 'scope' OR scope IS NOT NULL")
+
+
 def worst_by_rule(findings: DataFrame) -> DataFrame:
     """(record_key, rule_id, verdict): a record's worst verdict of each rule."""
     return findings.groupBy("record_key", "rule_id").agg(F.max(rank(F.col("verdict"))).alias("r")).select("record_key", "rule_id", verdict_of(F.col("r")).alias("verdict"))
@@ -75,17 +96,45 @@ def hydration(records: DataFrame) -> DataFrame:
     return d.withColumn("invariant_holds", F.col("processed") + F.col("truncated") == F.col("eligible"))
 
 
+def _buckets(rows: DataFrame) -> DataFrame:
+    """rows (v, ...) with the range bucket of v: about EDGES buckets of equal numbers of rows, by approximate quantiles of all."""
+    at = [k / EDGES for k in range(1, EDGES)]
+    edges = rows.agg(F.percentile_approx(F.col("v").cast("double"), at, 10 * EDGES).alias("e")).first()["e"] or [0.0]
+    splits = [-float("inf"), *sorted({e for e in edges if np.isfinite(e)} or {0.0}), float("inf")]
+    d = Bucketizer(splits=splits, inputCol="__v", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("__v", F.col("v").cast("double")))
+    return d.withColumn("bucket", F.col("bucket").cast("int")).drop("__v")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: tuple[str, ...]) -> Column:
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
 def nearest_rank(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """Nearest-rank percentiles: the value at place ceil(share * n), no interpolation.
+    """Nearest-rank percentiles of a number: the value at place ceil(share * n), no interpolation.
 
-    Values are counted first, so that places come from running sums over distinct values.
+    A first look counts range buckets, a second one only the values of the buckets that hold a place. A bucket has
+    about a thousandth of all rows (a value that fills more has one of its own), so no task sorts a whole column or a whole group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    d = counts.withColumn("upto", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
-    at = lambda s: F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(F.lit(s) * F.col("n"))))
-    aggs = [F.min(F.when(F.col("upto") >= at(s), F.col("v"))).alias(f"p{round(100 * s):02d}") for s in shares]
-    return d.groupBy(*by).agg(*aggs) if by else d.agg(*aggs)
+    rows = _buckets(df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v")))
+    counted = rows.groupBy(*by, "bucket").agg(F.count("*").alias("c"))
+    # at most EDGES + 1 entries a group
+    groups = counted.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bucket", "c"))).alias("bs"), F.sum("c").alias("n"))
+    place = lambda s: F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(F.lit(s) * F.col("n")))).cast("bigint")
+    names = [f"p{round(100 * s):02d}" for s in shares]
+    wanted = groups.select(*by, "bs", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), place(s).alias("place")) for k, s in zip(names, shares, strict=True)])).alias("w"))
+    start = F.struct(F.lit(0).cast("bigint").alias("before"), F.lit(None).cast("int").alias("bucket"))
+
+    def step(a: Column, x: Column) -> Column:
+        here = a["bucket"].isNull() & (a["before"] + x["c"] >= F.col("w.place"))
+        return F.struct((a["before"] + F.when(a["bucket"].isNull() & ~here, x["c"]).otherwise(0)).alias("before"), F.when(here, x["bucket"]).otherwise(a["bucket"]).alias("bucket"))
+
+    found = wanted.select(*by, F.col("w.name").alias("name"), F.col("w.place").alias("place"), F.aggregate("bs", start, step).alias("x"))
+    found = found.select(*by, "name", "x.bucket", (F.col("place") - F.col("x.before")).alias("rest"))
+    keys = (*by, "bucket")
+    near = rows.join(found, _same(rows, found, keys), "left_semi").groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    upto = near.withColumn("upto", F.sum("c").over(W.partitionBy(*keys).orderBy("v")))
+    hit = upto.join(found, _same(upto, found, keys)).where("upto >= rest").select(*[upto[k] for k in by], "name", "v")
+    return hit.groupBy(*by).agg(*[F.min(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in names])
 
 
 def agreement(pairs: DataFrame, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
@@ -94,7 +143,12 @@ def agreement(pairs: DataFrame, by: tuple[str, ...] = (), weight: str | None = N
     s = lambda c: F.sum(F.when(c, w).otherwise(0)).cast("bigint")
     r, p = F.col("ref"), F.col("pred")
     aggs = [s(r & p).alias("tp"), s(~r & ~p).alias("tn"), s(~r & p).alias("fp"), s(r & ~p).alias("fn")]
-    d = (pairs.groupBy(*by) if by else pairs).agg(*aggs).withColumn("n", F.expr("tp + tn + fp + fn"))
+    return scored((pairs.groupBy(*by) if by else pairs).agg(*aggs), by)
+
+
+def scored(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Confusion counts (tp, tn, fp, fn) with their agreement metrics."""
+    d = cells.withColumn("n", F.expr("tp + tn + fp + fn"))
     d = d.where("n > 0").withColumn("raw", F.expr("(tp + tn) / n")).withColumn("pr", F.expr("(tp + fn) / n")).withColumn("pp", F.expr("(tp + fp) / n"))
     d = d.withColumn("ek", F.expr("pr * pp + (1 - pr) * (1 - pp)")).withColumn("mp", F.expr("(pr + pp) / 2")).withColumn("ea", F.expr("2 * mp * (1 - mp)"))
     return d.select(*by, "n", "tp", "tn", "fp", "fn", "raw", F.expr("CASE WHEN ek < 1 THEN (raw - ek) / (1 - ek) ELSE 1.0D END").alias("kappa"), F.expr("CASE WHEN ea < 1 THEN (raw - ea) / (1 - ea) ELSE 1.0D END").alias("ac1"))
@@ -105,28 +159,54 @@ def hash_int(*parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *[p.cast("string") for p in parts]), 256), 1, 8), 16, 10).cast("bigint")
 
 
-def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows with idx: their places from 0 on in the order of a unique key.
+def _packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows as (part, n, cells): two bits a row, ref and pred."""
+    for k, b in enumerate(it):
+        ref, pred = (b.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("ref", "pred"))
+        bits = np.packbits(np.stack([ref, pred], 1).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([k], pa.int32()), pa.array([len(ref)]), pa.array([bits.tobytes()])], names=["part", "batch", "n", "cells"])
 
-    Keys are dealt by range, each range is numbered by itself, and the counts of the ranges before it are added.
-    """
-    d = rows.repartitionByRange(F.col(key)).withColumn("part", F.spark_partition_id())
-    own = F.row_number().over(W.partitionBy("part").orderBy(key)).cast("bigint")
-    sizes = d.groupBy("part").agg(F.count("*").alias("c"))
-    before = sizes.withColumn("before", F.sum("c").over(W.orderBy("part")) - F.col("c")).select("part", "before")
-    return d.withColumn("own", own).join(before, "part").withColumn("idx", F.col("own") + F.col("before") - 1).drop("part", "own", "before")
+
+def _resampled(cells: bytes, first: int, size: int, n: int, seed: int):  # noqa: ANN202
+    """Per replicate the cells of its draws among rows first .. first + size - 1 of n."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = np.unpackbits(np.frombuffer(cells, np.uint8))[: 2 * size].reshape(-1, 2)
+        code = (2 * code[:, 0] + code[:, 1]).astype(np.int64)
+        for b in it:
+            counts = []
+            for r in b.column("b").to_pylist():
+                total = np.zeros(4, np.int64)
+                for at in range(0, n, 1 << 16):
+                    row = np.array([int.from_bytes(hashlib.sha256(b"%d:%d:%d" % (seed, r, j)).digest()[:4]) for j in range(at, min(n, at + (1 << 16)))]) % n - first
+                    total += np.bincount(code[row[(row >= 0) & (row < size)]], minlength=4)
+                counts.append(total)
+            m = np.array(counts).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column("b"), *[pa.array(m[:, k]) for k in (3, 0, 1, 2)]], names=["b", "tp", "tn", "fp", "fn"])
+
+    return run
 
 
-def bootstrap(pairs: DataFrame, replicates: int = BOOTSTRAP, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+def bootstrap(pairs: DataFrame, key: str = "idx", replicates: int = BOOTSTRAP, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """95 % intervals of the agreement metrics, from resampled cells.
 
-    pairs: ref, pred, and idx from 0 on. Draw j of replicate b takes row hash(seed, b, j) mod n. Rows matter
-    only by their cell, so that each replicate sums the cells of its draws.
+    pairs: ref, pred and a unique key. Draw j of replicate b takes the row at place hash(seed, b, j) mod n in the order of the key. Rows matter
+    only by their cell, so all rows are two bits each, which every replicate's task reads; draws are counted where they are
+    made. CELLS rows at a time are sent to the tasks (256 MB), as a rule all of them.
     """
-    n = pairs.count()
-    draws = pairs.sparkSession.range(replicates).select(F.col("id").alias("b")).crossJoin(pairs.select(F.col("idx").alias("j")))
-    picked = draws.withColumn("idx", hash_int(F.lit(seed), F.col("b"), F.col("j")) % n).join(pairs.select("idx", "ref", "pred"), "idx")
-    m = agreement(picked, by=("b",))
+    spark = pairs.sparkSession
+    got = pairs.select(key, "ref", "pred").sort(key).select("ref", "pred").mapInArrow(_packed, "part int, batch int, n long, cells binary").toArrow().sort_by([("part", "ascending"), ("batch", "ascending")])
+    sizes = got["n"].to_pylist()
+    n = sum(sizes)
+    bits = np.concatenate([np.unpackbits(np.frombuffer(c, np.uint8))[: 2 * k] for c, k in zip(got["cells"].to_pylist(), sizes, strict=True)]) if n else np.empty(0, np.uint8)
+    runs, out = spark.range(replicates).select(F.col("id").alias("b")), None
+    for first in range(0, n, CELLS):
+        size = min(CELLS, n - first)
+        own = runs.mapInArrow(_resampled(np.packbits(bits[2 * first : 2 * (first + size)]).tobytes(), first, size, n, seed), "b long, tp long, tn long, fp long, fn long")
+        out = own if out is None else out.unionByName(own)
+    out = spark.createDataFrame([], "b long, tp long, tn long, fp long, fn long") if out is None else out
+    cells = ("tp", "tn", "fp", "fn")
+    m = scored(out.groupBy("b").agg(*[F.sum(c).alias(c) for c in cells]), ("b",))
     names = ("raw", "kappa", "ac1")
     long = m.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("v")) for k in names])).alias("x")).select("x.*")
     r = long.withColumn("place", F.row_number().over(W.partitionBy("metric").orderBy("v")) - 1)

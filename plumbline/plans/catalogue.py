@@ -175,6 +175,13 @@ def findings_rule_verdict(spark, d):  # noqa: ANN001, ANN201
     return corpus.rule_verdicts(rules.findings(order_records(spark, d), CFG, evidence=False))
 
 
+@query(f"""{_ALL} SELECT CASE WHEN grouping(rule_id) = 1 THEN 'all' WHEN grouping(verdict) = 0 THEN 'verdict' WHEN grouping(scope) = 0 THEN 'scope' ELSE 'rule' END AS level, rule_id, verdict, scope, count(*) AS findings
+FROM (SELECT *, CASE WHEN verdict = 'not_applicable' THEN 'record' END AS scope FROM f) GROUP BY GROUPING SETS ((), (rule_id), (rule_id, verdict), (rule_id, scope)) HAVING grouping(scope) = 1 OR scope IS NOT NULL""")
+def verdict_cube(spark, d):  # noqa: ANN001, ANN201
+    """Counts at four levels at once."""
+    return corpus.verdict_cube(rules.findings(order_records(spark, d), CFG, evidence=False))
+
+
 @query(f"{_ALL}, r AS (SELECT k, max(CASE verdict WHEN 'flag' THEN 3 WHEN 'warn' THEN 2 ELSE 1 END) AS x FROM f GROUP BY k) SELECT CASE x WHEN 3 THEN 'flag' WHEN 2 THEN 'warn' ELSE 'pass' END AS verdict, count(*) AS records FROM r GROUP BY 1")
 def verdict_rollup(spark, d):  # noqa: ANN001, ANN201
     return rules.verdicts(order_records(spark, d), CFG).groupBy("verdict").agg(F.count("*").alias("records"))
@@ -431,6 +438,13 @@ def nearest_rank_percentiles(spark, d):  # noqa: ANN001, ANN201
     return corpus.nearest_rank(t(spark, d, "events"), "value", (0.05, 0.5, 0.95), ("event_type",))
 
 
+@query("""WITH r AS (SELECT l_extendedprice AS v, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS n FROM lineitem)
+SELECT max(v) FILTER (WHERE i = 1) AS p00, max(v) FILTER (WHERE i = ceil(0.01 * n)) AS p01, max(v) FILTER (WHERE i = ceil(0.5 * n)) AS p50, max(v) FILTER (WHERE i = ceil(0.99 * n)) AS p99, max(v) FILTER (WHERE i = n) AS p100 FROM r""")
+def price_percentiles(spark, d):  # noqa: ANN001, ANN201
+    """Percentiles of a whole column, without groups."""
+    return corpus.nearest_rank(t(spark, d, "lineitem"), "l_extendedprice", (0.0, 0.01, 0.5, 0.99, 1.0))
+
+
 @query("""WITH r AS (SELECT source, n_chars AS v, row_number() OVER (PARTITION BY source ORDER BY n_chars) AS i, count(*) OVER (PARTITION BY source) AS n FROM documents)
 SELECT source, count(*) AS n, round(avg(v), 6) AS mean, min(v) AS low, max(v) AS high, max(v) FILTER (WHERE i = ceil(0.5 * n)) AS p50, max(v) FILTER (WHERE i = ceil(0.95 * n)) AS p95, max(v) FILTER (WHERE i = ceil(0.99 * n)) AS p99 FROM r GROUP BY 1""")
 def latency_summary(spark, d):  # noqa: ANN001, ANN201
@@ -459,8 +473,7 @@ w AS (SELECT b.b, ('0x' || substr(sha256('{corpus.BOOTSTRAP_SEED}:' || b.b || ':
 m AS (SELECT w.b, {_CELLS} FROM w JOIN l USING (idx) GROUP BY w.b), {_AGREE}, u AS (SELECT b, 'raw' AS metric, raw AS v FROM z UNION ALL SELECT b, 'kappa', kappa FROM z UNION ALL SELECT b, 'ac1', ac1 FROM z),
 o AS (SELECT metric, v, row_number() OVER (PARTITION BY metric ORDER BY v) - 1 AS i FROM u) SELECT metric, round(max(v) FILTER (WHERE i = 50), 9) AS low, round(max(v) FILTER (WHERE i = 1950), 9) AS high FROM o GROUP BY 1""")
 def bootstrap_ci(spark, d):  # noqa: ANN001, ANN201
-    p = corpus.numbered(_pairs(spark, d), "doc_id")
-    return corpus.bootstrap(p).select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+    return corpus.bootstrap(_pairs(spark, d), "doc_id").select("metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
 
 
 @query(f"""WITH q AS (SELECT DISTINCT lang, CASE lang WHEN 'en' THEN 25 WHEN 'fr' THEN 15 ELSE 5 END AS quota FROM documents WHERE lang IN ('en', 'fr', 'es')),

@@ -10,7 +10,7 @@ from plumbline.functions import parsers
 from plumbline.operators import corpus, doses, normalize, rules
 from plumbline.plans import catalogue as C
 from plumbline.plans.catalogue import query, t
-from plumbline.schema import LEVEL, SUBGROUP, parsed, with_defaults
+from plumbline.schema import LEVEL, SUBGROUP, SUMMARY, parsed, with_defaults
 from plumbline.sources import files
 
 # -- registry studies -----------------------------------------------------------------------------
@@ -160,18 +160,20 @@ _P_OF = C._T_TAIL.format(z="x")
 @query(f"""WITH d AS (SELECT * FROM (VALUES ('count_+1'), ('count_+2'), ('count_+5')) v(dose)), r AS (SELECT * FROM (VALUES ('ENROLLMENT-ARM-SUM'), ('SUBGROUP-PARTITION')) v(rule_id)), c AS (SELECT least(50, count(DISTINCT c_nationkey)) AS n FROM customer),
 s AS (SELECT dose, p, 28.0::DOUBLE AS df FROM (VALUES ('p_+0.001', 0.037::DOUBLE), ('p_+0.010', 0.046), ('p_+0.050', 0.086)) v(dose, p)), b AS (SELECT dose, p, df, unnest([2.195, 2.205]::DOUBLE[]) AS x FROM s), q AS (SELECT dose, p, {_P_OF} AS q FROM b),
 a AS (SELECT dose, p, min(q) AS lo, max(q) AS hi FROM q GROUP BY 1, 2), v AS (SELECT dose, CASE WHEN hi <= 0.05 AND p - 0.0005 > 0.05 THEN 'flag' WHEN NOT (hi >= p - 0.0005 AND p + 0.0005 >= lo) THEN 'warn' ELSE 'pass' END AS verdict FROM a),
-g AS (SELECT dose, u, i, 10 + i % 81 AS n, (3 * (10 + i % 81) + (7 * i) % (10 + i % 81)) AS tot FROM (VALUES ('mean_+1_unit', 1), ('mean_+2_units', 2), ('mean_+5_units', 5)) w(dose, u), (SELECT unnest(range(0, (SELECT n FROM c)))::BIGINT AS i) z),
-m AS (SELECT *, round(round(tot / n::DOUBLE, 2) * 100)::BIGINT + u AS m FROM g), h AS (SELECT dose, abs(200 * (n * m // 100) - 2 * n * m) <= n OR abs(200 * ((n * m + 99) // 100) - 2 * n * m) <= n AS ok FROM m)
+g AS (SELECT c_nationkey AS k, count(*) AS n, sum(c_custkey % 11)::BIGINT AS tot FROM customer GROUP BY 1 HAVING count(*) <= 1000 ORDER BY k LIMIT 50),
+m AS (SELECT dose, n, (2000 * tot + n) // (2 * n) + u AS m FROM (VALUES ('mean_+1_unit', 1), ('mean_+2_units', 2), ('mean_+5_units', 5)) w(dose, u), g), h AS (SELECT dose, abs(2000 * (n * m // 1000) - 2 * n * m) <= n OR abs(2000 * ((n * m + 999) // 1000) - 2 * n * m) <= n AS ok FROM m)
 SELECT rule_id, dose, n AS cases, n AS detected, n AS hard_flags, 0::BIGINT AS clean_nonpass FROM r, d, c
 UNION ALL SELECT 'STATCHECK', dose, n, CASE WHEN verdict <> 'pass' THEN n ELSE 0 END, CASE WHEN verdict = 'flag' THEN n ELSE 0 END, 0 FROM v, c
 UNION ALL SELECT 'GRIM', dose, count(*), count(*) FILTER (WHERE NOT ok), count(*) FILTER (WHERE NOT ok), 0 FROM h GROUP BY dose""")
 def dose_response(spark, d):  # noqa: ANN001, ANN201
     """Four rules at three doses on the first carriers: found, hard flags, and clean records that don't pass."""
-    seg = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k"), "c_mktsegment").agg(F.count("*").alias("n"))
+    seg = t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k"), "c_mktsegment").agg(F.count("*").alias("n"), F.sum(F.col("c_custkey") % 11).alias("points"))
     level = F.struct(F.col("c_mktsegment").alias("name"), "n")
-    r = seg.groupBy("k").agg(F.sum("n").alias("randomized_n"), F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "n"))).alias("arm_ns"), F.array_sort(F.collect_list(level)).alias("levels"))
+    r = seg.groupBy("k").agg(F.sum("n").alias("randomized_n"), F.sum("points").alias("points"), F.map_from_entries(F.collect_list(F.struct("c_mktsegment", "n"))).alias("arm_ns"), F.array_sort(F.collect_list(level)).alias("levels"))
     one = F.struct(F.lit("segment").alias("variable"), F.col("randomized_n").alias("population_n"), F.transform("levels", lambda v: F.from_json(F.to_json(v), LEVEL)).alias("levels"))
-    r = r.select(F.format_string("%03d", "k").alias("record_key"), "randomized_n", "arm_ns", F.array(F.from_json(F.to_json(one), SUBGROUP)).alias("subgroups"))
+    mean = F.expr("(2000 * points + randomized_n) div (2 * randomized_n)") / 1000
+    scale = F.struct(F.lit("points").alias("name"), mean.alias("mean"), F.col("randomized_n").alias("n"), F.lit(3).alias("mean_decimals"))
+    r = r.select(F.format_string("%03d", "k").alias("record_key"), "randomized_n", "arm_ns", F.array(F.from_json(F.to_json(one), SUBGROUP)).alias("subgroups"), F.array(F.from_json(F.to_json(scale), SUMMARY)).alias("integer_summaries"))
     return doses.response(doses.cases(with_defaults(r))).drop("detection_rate", "hard_flag_rate")
 
 
