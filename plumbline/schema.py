@@ -117,16 +117,6 @@ def violations() -> Column:
     return F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
 
 
-def _loose(t: T.DataType) -> T.DataType:
-    """The type to read JSON of type t with, so that its scalars stay text and structs keep names that t lacks."""
-    text = T.StringType()
-    if isinstance(t, T.StructType):
-        return T.MapType(text, text)
-    if isinstance(t, T.ArrayType):
-        return T.ArrayType(_loose(t.elementType))
-    return T.MapType(text, text) if isinstance(t, T.MapType) else text
-
-
 def _scalar(s: Column, t: T.DataType) -> Column:
     """A scalar's text as type t, or null; whole numbers may be written 20.0."""
     if isinstance(t, (T.LongType, T.IntegerType)):
@@ -135,40 +125,58 @@ def _scalar(s: Column, t: T.DataType) -> Column:
     return s if isinstance(t, T.StringType) else s.try_cast(t)
 
 
-def _nested(v: Column, f: T.StructField) -> Column:
-    """A field of a loosely read struct: scalars as they are, arrays and maps read from their JSON."""
-    x = v[f.name]
-    return F.from_json(x, _loose(f.dataType)) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else x
+def _shape(t: T.DataType) -> str:
+    """What a value of type t is taken out of a variant as: scalars as text, so that numbers may stand in quotes."""
+    return "array<variant>" if isinstance(t, T.ArrayType) else "map<string,string>" if isinstance(t, T.MapType) else "string"
+
+
+def _part(v: Column, f: T.StructField) -> Column:
+    """A field of a variant object, or null where it is missing, JSON null or of another shape."""
+    return F.try_variant_get(v, f"$.{f.name}", _shape(f.dataType))
 
 
-def _typed(v: Column, t: T.DataType) -> Column:
-    """A loosely read value as type t."""
-    if isinstance(t, T.StructType):
-        return F.struct(*[_typed(_nested(v, f), f.dataType).alias(f.name) for f in t.fields])
-    if isinstance(t, T.ArrayType):
-        return F.transform(v, lambda x: _typed(x, t.elementType))
+def _given(v: Column, f: T.StructField) -> Column:
+    """Whether an object has a field that is not JSON null."""
+    x = F.try_variant_get(v, f"$.{f.name}", "variant")
+    return x.isNotNull() & ~F.is_variant_null(x)
+
+
+def _typed(v: Column, f: T.StructField) -> Column:
+    """A field of a variant object as its type."""
+    x, t = _part(v, f), f.dataType
     if isinstance(t, T.MapType):
-        return F.transform_values(v, lambda _, x: _scalar(x, t.valueType))
-    return _scalar(v, t)
-
-
-def _misread(v: Column, t: T.DataType) -> Column:
-    """Whether a loosely read, non-null value has names that t lacks or scalars that t can't hold, at any depth."""
-    lost = lambda x, kind: x.isNotNull() & _scalar(x, kind).isNull()
-    if isinstance(t, T.StructType):
-        out = F.size(F.array_except(F.map_keys(v), F.array(*[F.lit(n) for n in t.names]))) > 0
-        for f in t.fields:
-            x = _nested(v, f)
-            if isinstance(f.dataType, (T.ArrayType, T.MapType)):
-                out = out | (v[f.name].isNotNull() & (x.isNull() | _misread(x, f.dataType)))
-            elif not isinstance(f.dataType, T.StringType):
-                out = out | lost(x, f.dataType)
-        return F.coalesce(out, F.lit(True))
-    if isinstance(t, T.ArrayType):
-        return F.exists(v, lambda x: x.isNull() | _misread(x, t.elementType))
+        return F.transform_values(x, lambda _, y: _scalar(y, t.valueType))
+    if not isinstance(t, T.ArrayType):
+        return _scalar(x, t)
+    if isinstance(t.elementType, T.StructType):
+        return F.transform(x, lambda y: F.struct(*[_typed(y, g).alias(g.name) for g in t.elementType.fields]))
+    return F.transform(x, lambda y: _scalar(F.try_variant_get(y, "$", "string"), t.elementType))
+
+
+def _names_other_than(v: Column, names: list[str]) -> Column:
+    """Whether a variant is no object or has other names."""
+    keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+    return F.coalesce(F.size(F.array_except(keys, F.array(*[F.lit(n) for n in names]))) > 0, F.lit(True))
+
+
+def _misread(v: Column, f: T.StructField) -> Column:
+    """Whether a field has names that its type lacks or values that it can't hold, at any depth."""
+    x, t = _part(v, f), f.dataType
+    lost = lambda y, kind: F.lit(False) if isinstance(kind, T.StringType) else y.isNotNull() & _scalar(y, kind).isNull()
     if isinstance(t, T.MapType):
-        return F.exists(F.map_values(v), lambda x: lost(x, t.valueType))
-    return lost(v, t)
+        inner = F.exists(F.map_values(x), lambda y: lost(y, t.valueType))
+    elif isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
+        fields = t.elementType.fields
+        inner = F.exists(x, lambda y: F.coalesce(functools.reduce(lambda a, g: a | _misread(y, g), fields, _names_other_than(y, t.elementType.names)), F.lit(True)))
+    elif isinstance(t, T.ArrayType):
+        inner = F.exists(x, lambda y: F.coalesce(F.is_variant_null(y), F.lit(True)) | lost(F.try_variant_get(y, "$", "string"), t.elementType))
+    else:
+        return F.coalesce(lost(x, t), F.lit(False))
+    return _given(v, f) & F.coalesce(x.isNull() | inner, F.lit(True))
+
+
+#: Numbers that JSON lacks and lenient writers use; they are put in quotes before the line is parsed.
+_ODD_NUMBER = r"([:,\[]\s*)(-?(?:NaN|Infinity))(?=\s*[,}\]])"
 
 
 def parsed(lines: DataFrame, line: str = "value", more: tuple[str, ...] = ()) -> DataFrame:
@@ -176,25 +184,23 @@ def parsed(lines: DataFrame, line: str = "value", more: tuple[str, ...] = ()) ->
 
     Numbers may be written as strings at any depth, as lax validation allows; names that the
     schema (and more) lacks are errors at any depth: ``unknown_field`` for the record's own, else the
-    field that they lie in. record_key is the line's SHA-256 and a number of its row, made without a shuffle.
+    field that they lie in. A line is parsed once, to a variant, and all checks walk that; one in which an object
+    repeats a name is ``not_json``. record_key is the line's SHA-256 and a number of its row, made without a shuffle.
     """
     text = lines.where(F.trim(F.col(line)) != "").select(F.col(line).alias("raw"), F.monotonically_increasing_id().alias("__row"))
     fields = record_type().fields
-    # metadata is open: it stays as JSON text
-    loose = T.StructType([T.StructField(f.name, _loose(f.dataType)) for f in fields])
-    d = text.withColumn("r", F.from_json("raw", loose, {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}))
-    keys = F.json_object_keys("raw")
+    plain = F.when(F.col("raw").rlike(_ODD_NUMBER), F.regexp_replace("raw", _ODD_NUMBER, '$1"$2"')).otherwise(F.col("raw"))
+    d = text.withColumn("v", F.try_parse_json(plain))
+    v = F.col("v")
+    d = d.withColumn("__keys", F.map_keys(F.try_variant_get(v, "$", "map<string,variant>")))
     known = F.array(*[F.lit(n) for n in (*record_type().names, *more)])
-    extra = F.size(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), known)) > 0
-
-    def odd(f: T.StructField) -> Column:
-        v = F.col(f"r.{f.name}")
-        given = F.coalesce(F.get_json_object("raw", f"$.{f.name}"), F.lit("null")) != "null"
-        return F.coalesce(F.when(v.isNull(), given).otherwise(_misread(v, f.dataType)), F.lit(True))
-
-    bad = F.array_compact(F.array(*[F.when(odd(f), F.lit(f.name)) for f in fields if not isinstance(f.dataType, T.StringType)]))
-    plain = d.select("raw", "__row", keys.isNull().alias("__broken"), extra.alias("__extra"), bad.alias("__odd"), *[_typed(F.col(f"r.{f.name}"), f.dataType).alias(f.name) for f in fields])
-    full = with_defaults(plain).withColumn("__bad", violations())
+    extra = F.coalesce(F.size(F.array_except("__keys", known)) > 0, F.lit(False))
+    broken = F.col("__keys").isNull()
+    bad = F.array_compact(F.array(*[F.when(_misread(v, f), F.lit(f.name)) for f in fields if not isinstance(f.dataType, T.StringType)]))
+    # metadata is open: it stays as JSON text
+    typed = [F.to_json(F.try_variant_get(v, "$.metadata", "variant")).alias(f.name) if f.name == "metadata" else _typed(v, f).alias(f.name) for f in fields]
+    d = d.select("raw", "__row", broken.alias("__broken"), extra.alias("__extra"), bad.alias("__odd"), *typed)
+    full = with_defaults(d).withColumn("__bad", violations())
     said = F.when(F.col("__broken"), F.col("__bad")).otherwise(F.array_distinct(F.concat("__bad", "__odd")))
     errors = F.concat(said, F.array_compact(F.array(F.when(F.col("__broken"), F.lit("not_json")), F.when(F.col("__extra"), F.lit("unknown_field")))))
     key = F.concat_ws("-", F.sha2("raw", 256), F.col("__row").cast("string"))
