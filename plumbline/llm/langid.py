@@ -40,6 +40,8 @@ FIT_ROWS, FIT_CHARS = 2000, 8_000_000
 MODEL_BYTES = 1 << 28
 #: A table holds one column a language; more labels than this are refused.
 MAX_LANGS = 500
+#: Rows that are ranked for each one wanted, about.
+DRAWN = 4
 #: A fourth of the sampled rows sets the bounds of rejection: their entropies' quantile, and some room.
 CALIBRATE, QUANTILE, ROOM = 4, 0.999, 1.15
 #: A language with fewer rows keeps them all for its model and has no bound.
@@ -200,18 +202,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(df: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> DataFrame:
-    """(lang, text, h, calibrating) of at most so many rows and characters a language, by the smallest hashes; rows alike count once."""
-    d = df.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(11)).alias("h"))
-    size = F.length("text").cast("long")
+    """(lang, text, h, calibrating) of at most so many rows and characters a language, by the smallest hashes; rows alike count once.
+
+    Only rows under a language's bound on the hash are ranked: a few times as many as wanted, so no task sorts a whole language.
+    Where they turn out too few (rows alike, long texts), the bound rises. Of more than MAX_LANGS languages the most frequent are learned.
+    """
+    d = df.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), F.col("text"), F.lit(11)).alias("h"), F.length("text").cast("long").alias("size"))
+    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
+    shares = {lang: min(1.0, DRAWN * rows / n) for lang, n in counts.items()}
+    while True:
+        bounds = d.sparkSession.createDataFrame([(lang, int(-(2**63) + x * 2**64) if x < 1 else 2**63 - 1) for lang, x in shares.items()], "lang string, bound long")
+        near = cut(d.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "text", "h", "size").dropDuplicates(["lang", "h"]), "language-near")
+        have = {r["lang"]: r["n"] for r in near.where(F.col("size") <= chars).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        few = [lang for lang, x in shares.items() if x < 1 and have.get(lang, 0) < rows]
+        if not few:
+            break
+        shares |= {lang: min(1.0, 8 * shares[lang]) for lang in few}
+        discard(near)
     # shorter rows first only where a single text is over the bound; the first row always counts
     order = W.partitionBy("lang").orderBy(F.col("size") > chars, "h")
-    ranked = d.select("lang", "h", size.alias("size")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    ranked = near.select("lang", "h", "size").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
     ranked = ranked.withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))).where((F.col("upto") <= chars) | (F.col("r") == 1))
     kept = cut(ranked.select("lang", "h", F.count("*").over(W.partitionBy("lang")).alias("n")), "language-rows")
-    if kept.select("lang").distinct().count() > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     # at most rows times MAX_LANGS pairs of a name and a number
-    drawn = d.join(F.broadcast(kept), ["lang", "h"]).dropDuplicates(["lang", "h"])
+    drawn = near.join(F.broadcast(kept), ["lang", "h"])
     return drawn.select("lang", "text", "h", ((F.pmod("h", F.lit(CALIBRATE)) == 0) & (F.col("n") >= CALIBRATE_ROWS)).alias("calibrating"))
 
 

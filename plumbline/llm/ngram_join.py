@@ -21,9 +21,8 @@ classes, named by the row number of their first row, are joined:
    dealt by size: linked sets lie in the same or the next band of sizes.
 
 Pairs are verified by vertical partitioning: the global order is cut into
-FRAGMENTS ranges, each set into its segments. A class's segments lie side by side in one row, so that a
-pair is joined once with each of its classes; the partial overlap of each fragment is counted by itself, and
-their sum is the exact overlap.
+FRAGMENTS ranges, each set into its segments, a row each. A pair meets its classes' segments fragment by fragment, no
+task sees a whole set; partial overlaps are counted apart, and their sum per pair is the exact overlap.
 
 Defined cases: a null text counts as empty; an empty set links with nothing. A null id
 is never the smallest. Rows that repeat have equal sets, hence one component. An
@@ -44,7 +43,7 @@ from plumbline.llm.common import cut, discard, table
 from plumbline.llm.graph import components
 
 N, PERCENT = 4, 85
-FRAGMENTS = 8
+FRAGMENTS = 4
 #: Posting lists of more classes are compared by bands of set sizes.
 LIST = 256
 
@@ -110,22 +109,23 @@ def _prefix_batches(n: int, percent: int):  # noqa: ANN202
 
 
 def _segment_batches(n: int):  # noqa: ANN202
-    """Per class the fragments of its set, FRAGMENTS arrays; rows that repeat a class's text count once a task."""
+    """Per class the segments of its set, a row for each fragment; rows that repeat a class's text count once a task."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         edges = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 32) // FRAGMENTS)
         for b in it:
-            nodes, sizes, sets = [], [], []
+            nodes, sizes, grams = [], [], []
             for node, size, t in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
                 if node in seen:
                     continue
                 seen.add(node)
                 s = shingles(t.as_py(), n)
-                nodes.append(node)
-                sizes.append(size)
-                sets.append(np.split(s.view(np.int64), np.searchsorted(s >> np.uint64(32), edges)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sets, pa.list_(pa.list_(pa.int64())))], names=["node", "n", "fragments"])
+                nodes += [node] * FRAGMENTS
+                sizes += [size] * FRAGMENTS
+                grams += np.split(s.view(np.int64), np.searchsorted(s >> np.uint64(32), edges))
+            fragments = list(range(FRAGMENTS)) * (len(nodes) // FRAGMENTS)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(fragments, pa.int32()), pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "fragment", "grams"])
 
     return run
 
@@ -153,7 +153,7 @@ def index(segments: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Segments that repeat may count an n-gram of one class as shared: s is then larger, and more is indexed, never less.
     """
-    postings = segments.select("node", "n", F.explode(F.flatten("fragments")).alias("gram"))
+    postings = segments.select("node", "n", F.explode("grams").alias("gram"))
     # written, so that the shuffle of all counts is gone before that of the postings
     shared = cut(postings.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1"), "ngram-shared")
     met = postings.join(shared, "gram").groupBy("node", "n").agg(F.collect_set(F.struct("c", "gram")).alias("grams"))
@@ -170,22 +170,21 @@ def _fits(percent: int, n_a: str, s_a: str, n_b: str, s_b: str):  # noqa: ANN202
 
 
 def parts(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """pairs (a, b, n_a, n_b) with parts, each fragment's overlap, and extra, a's n-grams that b lacks.
+    """pairs (a, b, n_a, n_b) by fragment, with the fragment's overlap and extra, a's n-grams there that b lacks.
 
-    Rows that repeat bring their segments again; each pair counts once.
+    Rows that repeat bring their segments again; each fragment of a pair counts once.
     """
-    left = segments.select(F.col("node").alias("a"), F.col("fragments").alias("f_a"))
-    right = segments.select(F.col("node").alias("b"), F.col("fragments").alias("f_b"))
-    both = pairs.select("a", "b", "n_a", "n_b").join(left, "a").join(right, "b")
-    each = lambda f: F.array(*[f(F.col("f_a")[k], F.col("f_b")[k]) for k in range(FRAGMENTS)])
-    counted = both.select("a", "b", "n_a", "n_b", each(lambda x, y: F.size(F.array_intersect(x, y))).alias("parts"), F.flatten(each(F.array_except)).alias("extra"))
-    return counted.dropDuplicates(["a", "b"])
-
-
-def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b, n_a, n_b) with the overlap (partial overlaps summed per pair), whether they link, and a's n-grams that b lacks."""
-    overlap = sum((F.col("parts")[k] for k in range(FRAGMENTS)), F.lit(0).cast("long"))
-    sums = parts(pairs, segments).select("a", "b", "n_a", "n_b", overlap.alias("overlap"), "extra")
+    left = segments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("g_a"))
+    right = segments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("g_b"))
+    each = pairs.select("a", "b", "n_a", "n_b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
+    both = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
+    counted = both.select("a", "b", "n_a", "n_b", "fragment", F.size(F.array_intersect("g_a", "g_b")).alias("part"), F.array_except("g_a", "g_b").alias("extra"))
+    return counted.dropDuplicates(["a", "b", "fragment"])
+
+
+def linked(parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b, overlap, link) of pairs by fragment: partial overlaps summed per pair, and whether it links."""
+    sums = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("overlap"))
     return sums.withColumn("link", 100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap")))
 
 
@@ -235,18 +234,19 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     # the survivors' whole sets, from the class's first text
     chosen = docs.where("row = node").join(alive.select("node"), "node").select("node", "n", F.col("th").alias("c_th"), F.col("doc_id").alias("c_id"))
     texts = flat.join(chosen, (flat["th"] == chosen["c_th"]) & flat["doc_id"].eqNullSafe(chosen["c_id"]))
-    segments = cut(texts.select("node", "n", "text").mapInArrow(_segment_batches(n), "node long, n int, fragments array<array<long>>"), "ngram-segments")
+    segments = cut(texts.select("node", "n", "text").mapInArrow(_segment_batches(n), "node long, n int, fragment int, grams array<long>"), "ngram-segments")
     posted = index(segments, percent)
     discard(alive)
 
     # stars, and then stars of what classes hold beside their first centre
-    first = cut(linked(cut(stars(posted, percent), "ngram-stars"), segments, percent), "ngram-links")
+    met = cut(parts(cut(stars(posted, percent), "ngram-stars"), segments), "ngram-parts")
+    first = cut(linked(met, percent), "ngram-links")
     one = posted.select("node", "n", "s").distinct()
     hub = first.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("overlap").alias("o"))
-    extra = first.select(F.col("a").alias("node"), F.explode("extra").alias("gram"))
+    extra = met.select(F.col("a").alias("node"), F.explode("extra").alias("gram"))
     extra = cut(extra.join(one, "node"), "ngram-extras")
-    again = cut(linked(cut(stars(extra, percent), "ngram-stars"), segments, percent).drop("extra"), "ngram-links")
-    edges = first.drop("extra").unionByName(again).where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    again = cut(linked(parts(cut(stars(extra, percent), "ngram-stars"), segments).drop("extra"), percent), "ngram-links")
+    edges = first.unionByName(again).where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
     group = components(edges)
 
     # the rest: pairs of a posting list that lie in different components so far
@@ -257,9 +257,9 @@ def join(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N,
     some = _pairs_of_lists(posted, about, ["gram"], ~((F.col("hub_a") == F.col("hub_b")) & short), percent)
     beside = _pairs_of_lists(extra, about, ["gram", "hub"], short, percent)
     left_over = cut(some.unionByName(beside).distinct(), "ngram-rest")
-    more = cut(linked(left_over, segments, percent).where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-links")
+    more = cut(linked(parts(left_over, segments).drop("extra"), percent).where("link").select(F.col("a").alias("u"), F.col("b").alias("v")), "ngram-links")
     final = components(edges.unionByName(more))
-    discard(segments, posted, extra, about, left_over, first, again, more)
+    discard(segments, posted, extra, about, left_over, met, first, again, more)
 
     ids = docs.where("node IS NOT NULL").join(final, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("component"))
     # written, so that the join below is one that Spark can broadcast or split

@@ -39,7 +39,6 @@ TOKEN = r"(?<![A-Za-z0-9@._+/=-])(?=[A-Za-z@._+/=-]{0,40}[0-9])[A-Za-z0-9@._+/=-
 #: Words of context: left of a span punctuation ends a word ("id:"), right of it punctuation is a word of its own.
 PUNCT = r"!-/:-@\[-`{-~"
 BORDERS = {"L": rf"[^\x20\x09-\x0D{PUNCT}]*+[{PUNCT}]++|[^\x20\x09-\x0D{PUNCT}]++", "R": rf"[{PUNCT}]++|[^\x20\x09-\x0D{PUNCT}]++"}
-BLOCKS = f"array<struct<gap:string,start:int,end:int,spans:{S.SPAN}>>"
 
 ROUNDS = 2
 #: A pattern counts from so many different seeds and this share of its occurrences on.
@@ -79,24 +78,7 @@ def _word(s: Column) -> Column:
     return F.regexp_replace(F.lower(s), "[0-9]", "0")
 
 
-def _pieces(text: Column, spans: Column) -> Column:
-    """The text cut at its spans (by start): per block of overlapping spans the gap before it, its text and its spans, then the last gap."""
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(BLOCKS).alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        size = F.size(a["out"])
-        last = F.get(a["out"], size - 1)
-        wider = F.struct(last["gap"].alias("gap"), last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), F.concat(last["spans"], F.array(s)).alias("spans"))
-        fresh = F.struct(F.substring(text, a["at"] + 1, s["start"] - a["at"]).alias("gap"), s["start"].alias("start"), s["end"].alias("end"), F.array(s).alias("spans"))
-        out = F.when(s["start"] < a["at"], F.concat(F.slice(a["out"], 1, F.greatest(size - 1, F.lit(0))), F.array(wider))).otherwise(F.concat(a["out"], F.array(fresh)))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), out.alias("out"))
-
-    def close(a: Column) -> Column:
-        body = lambda x: F.struct(x["gap"].alias("gap"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("body"), x["spans"].alias("spans"))
-        tail = F.struct(F.substring(text, a["at"] + 1, F.length(text)).alias("gap"), F.lit("").alias("body"), F.array().cast(S.SPAN).alias("spans"))
-        return F.concat(F.transform(a["out"], body), F.array(tail))
-
-    return F.aggregate(spans, empty, step, close)
+_pieces = S.pieces
 
 
 def _heard(side: str) -> Column:
@@ -149,7 +131,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     t = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     d = t.select("doc_id", "text", F.sha2("text", 256).alias("hash"), base_spans(F.col("text")).alias("base"), S.find(F.col("text"), TOKEN, "context", 4, lambda m: m.rlike("[0-9].*[0-9].*[0-9]")).alias("wide"))
     d = d.withColumn("wide", S.outside(F.col("wide"), F.col("base")))
-    d = d.select("doc_id", "hash", "base", _pieces(F.col("text"), S.merged(F.col("base"), F.col("wide"))).alias("pieces"))
+    d = d.select("doc_id", "hash", "base", S.pieces(F.col("text"), S.merged(F.col("base"), F.col("wide"))).alias("pieces"))
     d = cut(d.withColumn("row", F.monotonically_increasing_id()), "pii-spans")
     # Overlapping spans share the one place of their contexts, so that no pattern has more places than its total.
     seen = F.transform("pieces", lambda p, i: F.struct(p["spans"].alias("spans"), (F.lit(1.0) / F.greatest(F.size(p["spans"]), F.lit(1))).alias("share"), _contexts(p, i).alias("patterns")))
@@ -167,17 +149,8 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans become one."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        more = F.concat(a["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], more).otherwise(a["out"]).alias("out"))
-
-    parts = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(
-        F.get(F.transform(F.array(parts), lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), "")), F.lit(0))
-    )
+    kind = lambda p: F.when(F.size(p["spans"]) > 0, F.concat(F.lit("["), F.upper(F.get(p["spans"], F.lit(0))["kind"]), F.lit("]"))).otherwise("")
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(S.pieces(text, spans), lambda p: F.concat(p["gap"], kind(p))), ""))
 
 
 def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
