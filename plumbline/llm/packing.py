@@ -24,6 +24,7 @@ repeat are documents of their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from plumbline.llm.common import cut, table, take_columns
 LENGTH = 2048
 END_ID = 1
 #: A task keeps the ids of so many words at most, none longer than so many bytes.
-WORDS, WORD_BYTES = 400_000, 64
+WORDS, WORD_BYTES = 1_000_000, 64
 #: Steps of the simplex method; columns that one pricing may add.
 PIVOTS, PORTION = 4000, 200
 #: How far prices are drawn towards the lengths; the next if nothing is found.
@@ -286,8 +287,22 @@ class Plan:
 # ------------------------------------------------------------------ ids
 
 
+#: A word of Latin letters, each one code point in normal form, and ASCII punctuation after it: two pre-tokens at most, whatever stands around them.
+_SIMPLE = re.compile(r"([a-zA-Z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones for themselves, the others from code point 256 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Words:
-    """Ids of texts as little-endian 32-bit bytes, by a bounded store of words."""
+    """Ids of texts as little-endian 32-bit bytes, by a bounded store of words.
+
+    Simple words go straight to the tokenizer's merges, in lower case; all others through the whole tokenizer.
+    """
 
     def __init__(self, text: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
@@ -296,22 +311,42 @@ class Words:
         self.tokenizer = Tokenizer.from_str(text)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.end, self.known = np.uint32(end_id).astype("<u4").tobytes(), {}
 
+    def _merged(self, word: bytes) -> bytes:
+        """Ids of one pre-token."""
+        if (got := self.known.get(word)) is None:
+            got = self.known[word] = np.array([x.id for x in self.model.tokenize(word.decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        return got
+
+    def _learn(self, words: set[bytes]) -> None:
+        others = []
+        for w in words:
+            if (m := _SIMPLE.fullmatch(w.decode())) and b"<|" not in w:
+                got = self._merged(m[1].lower().encode())
+                self.known[w] = got + self._merged(m[2].encode()) if m[2] else got
+            else:
+                others.append(w)
+        if others:
+            coded = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(others, coded, strict=True))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for t in texts:
             ws = (t or "").encode().split()  # bytes part at ASCII white space only
-            fresh = list({w for w in ws if w not in self.known})
-            if fresh:
-                if len(self.known) + len(fresh) > WORDS:
-                    self.known, fresh = {}, list(set(ws))
-                coded = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(fresh, coded, strict=True))
-            out.append(b"".join(map(self.known.__getitem__, ws)) + self.end)
-            for w in fresh:
-                if len(w) > WORD_BYTES:
-                    del self.known[w]
+            ids = list(map(self.known.get, ws))
+            if None in ids:
+                fresh = {w for w, i in zip(ws, ids, strict=True) if i is None}
+                if len(self.known) + 2 * len(fresh) > WORDS:
+                    self.known, fresh = {}, set(ws)
+                self._learn(fresh)
+                ids = list(map(self.known.__getitem__, ws))
+                for w in fresh:
+                    if len(w) > WORD_BYTES:
+                        del self.known[w]
+            out.append(b"".join(ids) + self.end)
         return out
 
 

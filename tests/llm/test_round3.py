@@ -153,6 +153,17 @@ def check_packing(rows, got, length=2048):
     return padding, cuts
 
 
+def test_words_alone_have_the_ids_that_they_have_in_their_text():
+    """Every Latin letter and ASCII sign, letters with marks, and strings of special tokens."""
+    r = random.Random(6)
+    store = packing.Words(packing.vocabulary_text(), 1)
+    letters = [chr(c) for c in (*range(33, 127), *range(0xA0, 0x180), 0x300, 0x308, 0x30A, 0x30C, 0x331, 0x1F0, 0x3A3, 0x130, 0x2028, 0x3000, 0x1F600, 0x1C)]
+    texts = ["".join(r.choice(letters if r.random() < 0.5 else letters[32:94]) + r.choice(["", "", "", " ", "\n"]) for _ in range(60)) for _ in range(300)]
+    texts += [f"{a}{c} {c.upper()}{a}." for c in letters for a in ("j\u030c", "T\u0308", "it's", "WE'LL,", "<|endoftext|>", "<|ENDOFTEXT|>")]
+    for t, ids in zip(texts, store.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoded(t), repr(t)
+
+
 def test_packing(spark):
     r = random.Random(8)
     odd = [None, "", " ", "a\x1cb", "<|endoftext|> a<|startoftext|>b", "ÉÀ ΣΑΣ é ́x ﬁ İ", "a b c\x85d", "x" * 9000, "don't WE'LL 3.14", "語" * 50]
