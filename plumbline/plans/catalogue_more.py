@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import kernels as K
 from plumbline.functions import parsers
-from plumbline.operators import corpus, doses, normalize, rules
+from plumbline.operators import corpus, doses, incremental, normalize, rules
 from plumbline.plans import catalogue as C
 from plumbline.plans.catalogue import query, t
 from plumbline.schema import LEVEL, SUBGROUP, SUMMARY, parsed, with_defaults
@@ -205,3 +205,23 @@ def largest_kernel_error(spark, d):  # noqa: ANN001, ANN201
 @query("SELECT event_id, floor((event_id + 1) * 0.3::DOUBLE + 1e-9) > floor(event_id * 0.3::DOUBLE + 1e-9) AS miss FROM events")
 def miss_schedule(spark, d):  # noqa: ANN001, ANN201
     return corpus.miss_schedule(t(spark, d, "events").select("event_id"), "event_id", 0.3)
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (WHERE c_custkey % 10 <> 0) AS known, count(*) FILTER (WHERE c_custkey % 10 = 0) AS audited FROM customer)
+SELECT CASE WHEN c_custkey % 3 = 2 THEN 'flag' ELSE 'warn' END AS verdict, count(*) AS lines, any_value(known) AS known, any_value(audited) AS audited FROM customer, n GROUP BY 1""")
+def incremental_audit(spark, d):  # noqa: ANN001, ANN201
+    """A second run over all lines, nine tenths of which a first run has stored: only the others are audited."""
+    n = F.col("c_nationkey") + 1
+    line = F.format_string('{"study_id":"%d","randomized_n":%d,"arm_ns":{"a":%d}}', "c_custkey", n, n + F.col("c_custkey") % 3 - 1)
+    lines, store, cfg = t(spark, d, "customer").select("c_custkey", line.alias("value")), files.scratch(spark, "responses"), C.CFG
+    incremental.audit_new(lines.where("c_custkey % 10 <> 0").select("value"), store, cfg)
+    known = incremental.stored(spark, store, cfg).count()
+    out = incremental.audit_new(lines.select("value"), store, cfg)
+    audited = incremental.stored(spark, store, cfg).count() - known
+    return out.groupBy(F.col("feasibility_verdict").alias("verdict")).agg(F.count("*").alias("lines")).withColumns({"known": F.lit(known).cast("bigint"), "audited": F.lit(audited).cast("bigint")})
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 500")
+def accepted_first(spark, d):  # noqa: ANN001, ANN201
+    """The first 500 accepted orders by date."""
+    return incremental.accept_first(t(spark, d, "orders").where("o_orderstatus = 'O'"), ["o_orderdate", "o_orderkey"], 500).select("o_orderkey", "o_custkey", "o_totalprice")

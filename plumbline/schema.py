@@ -187,7 +187,9 @@ def parsed(lines: DataFrame, line: str = "value", more: tuple[str, ...] = ()) ->
     field that they lie in. A line is parsed once, to a variant, and all checks walk that; one in which an object
     repeats a name is ``not_json``. record_key is the line's SHA-256 and a number of its row, made without a shuffle.
     """
-    text = lines.where(F.trim(F.col(line)) != "").select(F.col(line).alias("raw"), F.monotonically_increasing_id().alias("__row"))
+    # a stream has no row numbers: there lines that repeat share their key
+    number = F.lit(0).cast("bigint") if lines.isStreaming else F.monotonically_increasing_id()
+    text = lines.where(F.trim(F.col(line)) != "").select(F.col(line).alias("raw"), number.alias("__row"))
     fields = record_type().fields
     plain = F.when(F.col("raw").rlike(_ODD_NUMBER), F.regexp_replace("raw", _ODD_NUMBER, '$1"$2"')).otherwise(F.col("raw"))
     d = text.withColumn("v", F.try_parse_json(plain))

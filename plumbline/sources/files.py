@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +13,60 @@ from plumbline.operators import normalize
 from plumbline.operators.extract import extract
 from plumbline.schema import parsed, read_jsonl
 
-__all__ = ["read_jsonl", "read_json", "read_texts", "read_notices", "read_ledger", "write_jsonl", "write_exactly", "write_queue", "write_report", "digest", "manifest"]
+__all__ = ["read_jsonl", "read_json", "read_texts", "read_notices", "read_ledger", "write_jsonl", "write_exactly", "write_queue", "write_report", "digest", "manifest", "publish", "read_stdin", "written", "append", "exists"]
+
+
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder (spark.checkpoint.dir); it goes when the driver ends."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not top:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="plumbline-")
+        sc.setCheckpointDir(top)
+    p, fs = _fs(spark, f"{top.rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}")
+    fs.deleteOnExit(p)
+    return p.toString()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: later steps start from files that survive lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append(df: DataFrame, path: str) -> None:
+    """df as a batch folder of its own below path; readers see it whole or not at all."""
+    spark, name = df.sparkSession, uuid.uuid4().hex
+    part, fs = _fs(spark, f"{path}/_partial-{name}")
+    try:
+        df.write.parquet(part.toString())
+        final, _ = _fs(spark, f"{path}/batch-{name}")
+        if not fs.rename(part, final):
+            raise RuntimeError(f"{path} could not be extended")
+    finally:
+        fs.delete(part, True)
+
+
+def read_stdin(spark: SparkSession) -> DataFrame:
+    """What comes in on standard input, as JSON lines: one object or an array over several lines, or an object a line."""
+    text = sys.stdin.read()
+    lines = [x for x in text.splitlines() if x.strip()]
+    whole = text.lstrip().startswith("[") or not all(x.strip().startswith("{") and x.strip().endswith("}") for x in lines)
+    rows = spark.createDataFrame([(x,) for x in ([text] if whole else lines)], "value string")
+    return rows.select(F.explode(F.when(F.trim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))).alias("value"))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -64,6 +121,26 @@ def write_exactly(df: DataFrame, path: str, rows: int) -> None:
         fs.delete(part, True)
 
 
+def publish(df: DataFrame, about: DataFrame, path: str, rows: int) -> None:
+    """Data (JSON lines) to path and its manifest to path.manifest, both or neither: with another number of rows, or on any failure, the old ones stay."""
+    spark = df.sparkSession
+    paths = [_fs(spark, x)[0] for x in (path + ".partial", path, path + ".manifest.partial", path + ".manifest")]
+    fs = _fs(spark, path)[1]
+    try:
+        write_jsonl(df, path + ".partial")
+        got = spark.read.text(path + ".partial").count()
+        if got != rows:
+            raise RuntimeError(f"{got} rows, not {rows}")
+        write_report(about, path + ".manifest.partial")
+        for part, final in (paths[:2], paths[2:]):
+            fs.delete(final, True)
+            if not fs.rename(part, final):
+                raise RuntimeError(f"{final.toString()} could not be replaced")
+    finally:
+        fs.delete(paths[0], True)
+        fs.delete(paths[2], True)
+
+
 def write_queue(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
