@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, mixing, ngram_join, pii, quality
 from plumbline.llm.common import cut, table
 
-#: No SQL gives these rows: tests compare the stages with brute-force versions.
+#: No SQL gives these rows: tests hold the operators against brute force and the stages against planted rows.
 ORACLE_SQL = None
 
 
