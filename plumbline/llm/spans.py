@@ -29,12 +29,23 @@ def _before(xs: Column, zero: int, f: Callable[[Column, Column], Column]) -> Col
     return F.transform(F.slice(F.split(text, ","), F.lit(1), F.size(xs)), lambda s: s.cast("int"))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def running(xs: Column, zero: int, f: Callable[[Column, Column], Column]) -> Column:
     """As _before, block by block and then within each block. f: associative, with zero as its neutral element."""
-    n = F.size(xs)
-    blocks = F.when(n > BLOCK, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(xs, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array(xs))
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(zero), f))
-    return F.flatten(F.zip_with(blocks, _before(totals, zero, f), lambda b, at: F.transform(_before(b, zero, f), lambda v: f(at, v))))
+
+    def blocks(v: Column) -> Column:
+        n = F.size(v)
+        return F.when(n > BLOCK, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(F.array(v))
+
+    def joined(bs: Column) -> Column:
+        totals = F.transform(bs, lambda b: F.aggregate(b, F.lit(zero), f))
+        return F.flatten(F.zip_with(bs, _before(totals, zero, f), lambda b, at: F.transform(_before(b, zero, f), lambda v: f(at, v))))
+
+    return _let(_let(xs, blocks), joined)
 
 
 def find(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Column], Column] | None = None, guard: Column | None = None) -> Column:
@@ -47,13 +58,12 @@ def find(text: Column, pattern: str, kind: str, rank: int, keep: Callable[[Colum
         lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")),
     )
     matches = F.filter(pairs, lambda x: x["m"].isNotNull())
-    starts = running(F.transform(matches, lambda x: x["g"] + x["n"]), 0, lambda a, b: a + b)
 
     def span(x: Column, at: Column) -> Column:
         start = at + x["g"]
         return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["n"]).alias("end"), F.lit(kind).alias("kind"), x["m"].alias("text"))
 
-    found = F.zip_with(matches, starts, span)
+    found = _let(matches, lambda ms: F.zip_with(ms, running(F.transform(ms, lambda x: x["g"] + x["n"]), 0, lambda a, b: a + b), span))
     found = F.filter(found, lambda s: keep(s["text"])) if keep else found
     seen = text.rlike(pattern) if guard is None else guard & text.rlike(pattern)
     return F.when(seen, found).otherwise(F.array().cast(SPAN))
@@ -79,10 +89,9 @@ def outside(spans: Column, others: Column) -> Column:
     none = F.lit(None).cast(SPAN[6:-1])
     mine = F.transform(spans, lambda s: F.struct(s["end"].alias("at"), F.lit(0).alias("other"), F.lit(0).alias("end"), s.alias("span")))
     theirs = F.transform(others, lambda o: F.struct(o["start"].alias("at"), F.lit(1).alias("other"), o["end"].alias("end"), none.alias("span")))
-    events = F.array_sort(F.concat(mine, theirs))
-    # the furthest end of the others before each event
-    reach = running(F.transform(events, lambda e: e["end"]), 0, lambda a, b: F.greatest(a, b))
-    free = F.filter(F.zip_with(events, reach, lambda e, r: F.struct(e["span"].alias("span"), r.alias("reach"))), lambda x: x["span"].isNotNull() & (x["reach"] <= x["span"]["start"]))
+    # beside each event the furthest end of the others before it
+    reach = lambda es: F.zip_with(es, running(F.transform(es, lambda e: e["end"]), 0, lambda a, b: F.greatest(a, b)), lambda e, r: F.struct(e["span"].alias("span"), r.alias("reach")))
+    free = F.filter(_let(F.array_sort(F.concat(mine, theirs)), reach), lambda x: x["span"].isNotNull() & (x["reach"] <= x["span"]["start"]))
     return F.when((F.size(spans) == 0) | (F.size(others) == 0), spans).otherwise(F.transform(free, lambda x: x["span"]))
 
 
@@ -95,6 +104,10 @@ def _part(chunks: Column, at: Column, n: Column) -> Column:
 
 def pieces(text: Column, spans: Column) -> Column:
     """The text cut at its spans (by start): per block of overlapping spans the gap before it, its text and its spans, then the last gap."""
+    return _let(spans, lambda own: _pieces(text, own))
+
+
+def _pieces(text: Column, spans: Column) -> Column:
     size = F.length(text)
     chunks = F.transform(F.sequence(F.lit(0), F.floor(size / CHUNK).cast("int")), lambda k: F.substring(text, k * CHUNK + 1, F.lit(CHUNK)))
     top = running(F.transform(spans, lambda s: s["end"]), 0, lambda a, b: F.greatest(a, b))
@@ -115,8 +128,3 @@ def pieces(text: Column, spans: Column) -> Column:
         return _let(cut, gaps)
 
     return _let(F.struct(heads.alias("heads"), spans.alias("spans"), chunks.alias("chunks")), made)
-
-
-def _let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))

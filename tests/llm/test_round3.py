@@ -261,3 +261,24 @@ def test_products_are_exact_to_double_double():
         for j in range(i, 3):
             exact = sum(Fraction(a) * Fraction(b) for a, b in zip(rows[:, i].tolist(), rows[:, j].tolist(), strict=True))
             assert abs(Fraction(p.high[i, j]) + Fraction(p.low[i, j]) - exact) < Fraction(1, 10**10)
+
+
+# ------------------------------------------------------------------ spans of long texts
+
+
+def test_spans_of_a_long_text_take_about_linear_time(spark):
+    """40,000 spans in one text; a quadratic walk would take many minutes."""
+    import re
+    import time
+
+    from plumbline.llm import pii, spans
+
+    text = " ".join(f"mail a{i}@b.org or id X{i:07d} now" for i in range(20_000))
+    t = F.col("text")
+    d = spark.createDataFrame([(text,)], "text string").select("text", pii.base_spans(t).alias("base"), spans.find(t, pii.TOKEN, "context", 4).alias("wide"))
+    d = d.select("text", spans.merged(F.col("base"), spans.outside(F.col("wide"), F.col("base"))).alias("all"))
+    began = time.time()
+    r = d.select(spans.written(F.col("all")).alias("all"), F.size(spans.pieces(t, F.col("all"))).alias("n"), pii.redacted(t, F.col("all")).alias("out")).first()
+    assert time.time() - began < 60
+    want = [f"email:{m.start()}:{m.end()}" if "@" in m[0] else f"context:{m.start()}:{m.end()}" for m in re.finditer(r"a\d+@b\.org|X\d{7}", text)]
+    assert r.all == ",".join(want) and r.n == 40_001 and r.out == re.sub(r"X\d{7}", "[CONTEXT]", re.sub(r"a\d+@b\.org", "[EMAIL]", text))
