@@ -6,8 +6,8 @@ totals alike); a pattern's score is the share of all its occurrences in the corp
 that stand at a known entity. Tokens with digits that no base
 pattern covers are the unseen instances; an instance's score joins the scores of
 the high-confidence patterns that it occurs with (noisy or). Instances over the
-threshold become seeds of the next round, and after the last one spans of kind
-``context``. Built-in functions only: the pattern-instance graph is a
+threshold become seeds of the next round; when a round changes no score, or after
+``ROUNDS``, they are spans of kind ``context``. Built-in functions only: the pattern-instance graph is a
 table of counted edges, aggregated before it is joined.
 
 Defined cases: a null text counts as empty. A null id is an id like others. Rows that repeat each get their row;
@@ -40,7 +40,8 @@ TOKEN = r"(?<![A-Za-z0-9@._+/=-])(?=[A-Za-z@._+/=-]{0,40}[0-9])[A-Za-z0-9@._+/=-
 PUNCT = r"!-/:-@\[-`{-~"
 BORDERS = {"L": rf"[^\x20\x09-\x0D{PUNCT}]*+[{PUNCT}]++|[^\x20\x09-\x0D{PUNCT}]++", "R": rf"[{PUNCT}]++|[^\x20\x09-\x0D{PUNCT}]++"}
 
-ROUNDS = 2
+#: Rounds end when scores no longer change (to six digits), at the latest after so many.
+ROUNDS = 8
 #: A pattern counts from so many different seeds and this share of its occurrences on.
 MIN_SEEDS = 3
 MIN_PATTERN_SCORE = 0.3
@@ -115,6 +116,7 @@ def discover(texts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFr
     totals = cut(_pattern_totals(texts, wanted), "pii-patterns")
     edges = cut(edges.join(totals, "pattern"), "pii-edges")
     known = edges.where("is_seed").select("instance").distinct().withColumn("score", F.lit(1.0))
+    before = (0, 0.0)
     for _ in range(rounds):
         scored = edges.join(known.where(F.col("score") >= MIN_INSTANCE_SCORE), "instance").groupBy("pattern").agg(
             F.round(F.sum(F.col("n") * F.col("score")) / F.first("total"), 9).alias("weight"), F.count("*").alias("seeds")
@@ -122,8 +124,12 @@ def discover(texts: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFr
         doubt = F.log1p(-F.least(F.col("weight"), F.lit(0.999)))
         found = edges.where("NOT is_seed").join(scored, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(doubt))).alias("score"))
         seeds = edges.where("is_seed").select("instance").distinct().withColumn("score", F.lit(1.0))
-        known = cut(seeds.unionByName(found.join(seeds, "instance", "left_anti")), "pii-scores")
-    return known.join(edges.where("is_seed").select("instance").distinct(), "instance", "left_anti").where(F.col("score") >= MIN_INSTANCE_SCORE)
+        fresh = cut(found.join(seeds, "instance", "left_anti").where(F.col("score") >= MIN_INSTANCE_SCORE), "pii-scores")
+        now = tuple(fresh.agg(F.count("*"), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 6)).first())
+        if now == before:
+            break
+        before, known = now, seeds.unionByName(fresh)
+    return fresh
 
 
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,9 +3,10 @@
 Every text gives base spans (assignments, access keys, long hex runs) and wider
 candidates (long tokens that mix letters and digits). The hash of each
 candidate's value is counted over the whole corpus: in how many repositories
-and for how many owners it occurs. A value that several owners hold, or very many
-repositories of one owner, is a copied example; others look live, and such wider
-candidates become spans of kind ``owned``. Built-in functions only; counts are taken level
+and for how many owners it occurs. A value that a share of all owners hold (two at
+least, ten are always enough), or very many repositories of one owner, is a copied
+example; others look live, and such wider candidates become spans of kind
+``owned``. Built-in functions only; counts are taken level
 by level (value, owner, repository), so that a value which fills a third of
 the corpus is summed before it is shuffled.
 
@@ -16,6 +17,8 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +31,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 BASE_KINDS = ("assign", "access", "hex")
 
-#: A wider candidate: a whole token of 20 characters or more with both letters and digits.
+#: A wider candidate: a whole token of 20 characters or more.
 WIDE = r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{20,}+"
-#: A value that this many owners or more hold is a copied example.
-COPIED_OWNERS = 2
+#: One part of it has 12 characters and goes from digits to letters and back; paths, addresses and model numbers have none such.
+RANDOM = r"(?<![A-Za-z0-9+])(?=[A-Za-z+]*+[0-9]++[A-Za-z+]++[0-9])[A-Za-z0-9+]{12}"
+#: A value that this share of all owners hold is a copied example, within these bounds on their number.
+COPIED_SHARE = 0.01
+COPIED_OWNERS = (2, 10)
 #: So is one in this many repositories, even of a single owner.
 COPIED_REPOSITORIES = 1000
 
@@ -41,7 +47,7 @@ def _assign_ok(m: Column) -> Column:
 
 
 def _wide_ok(m: Column) -> Column:
-    return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(r"^[A-Za-z]+[.=-]*[0-9]{0,3}$")
+    return m.rlike(RANDOM)
 
 
 def base_spans(text: Column) -> Column:
@@ -65,6 +71,12 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return two.groupBy("hash").agg(F.sum("n_repositories").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
+def copied_owners(n: int) -> int:
+    """From how many of n owners on a value is a copied example."""
+    least, most = COPIED_OWNERS
+    return max(least, min(most, math.ceil(n * COPIED_SHARE)))
+
+
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """Per row: doc_id, base spans, all spans, and how many base values look live or copied."""
     d = df.select(*[F.col(f"`{c}`").alias(n) for n, c in (("doc_id", doc_id), ("owner", owner), ("repository", repository))], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -74,7 +86,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str =
         "row", "owner", F.col("repository").cast("string").alias("repository"), F.explode(F.concat("base", "wide")).alias("span")
     ).withColumn("hash", F.sha2(value(F.col("span")), 256))
     stats = ownership(each.select("hash", "owner", "repository"))
-    live = (F.col("n_owners") < COPIED_OWNERS) & (F.col("n_repositories") < COPIED_REPOSITORIES)
+    live = (F.col("n_owners") < copied_owners(d.select("owner").distinct().count())) & (F.col("n_repositories") < COPIED_REPOSITORIES)
     based = F.col("span.kind") != "owned"
     judged = each.join(stats, "hash").groupBy("row").agg(
         F.collect_list(F.when(live & ~based, F.col("span"))).alias("owned"),

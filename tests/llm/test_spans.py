@@ -148,3 +148,71 @@ def test_base_sha_is_of_the_written_spans(spark):
     df = spark.createDataFrame([(1, "mail a@b.co now", "s")], "doc_id long, text string, source string")
     row = pii.scan(df).select(F.sha2(S.written(F.col("base")), 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"email:5:11").hexdigest()
+
+
+def test_ownership_against_counting(spark):
+    """Live and copied values as counting repositories and owners by hand tells them, null owners among them."""
+    rng = random.Random(11)
+    values = ["".join(rng.choice("abcdefghjkmnpqrstuvwxyz23456789ABCDEFG") for _ in range(9)) + f"x{i}y{i}z7" for i in range(30)]
+    rows = []
+    for i in range(200):
+        held = [values[min(int(rng.expovariate(0.12)), 29)] for _ in range(rng.randrange(3))]
+        rows.append((i, rng.choice([None, "a", "b", "c"]) if i % 5 else f"only{i}", " then ".join(f"token={v}" for v in held) or None))
+    rows += rows[:3]  # repeated rows
+    owners, repositories = {}, {}
+    for i, o, x in rows:
+        for v in re.findall("token=([^ ]+)", x or ""):
+            owners.setdefault(v, set()).add(o)
+            repositories.setdefault(v, set()).add((o, i))
+    bound = secrets.copied_owners(len({o for _, o, _ in rows}))
+    live = {v for v in owners if len(owners[v]) < bound and len(repositories[v]) < secrets.COPIED_REPOSITORIES}
+    assert live and len(live) < len(owners)
+    want = sorted((i, sum(v in live for v in vs), sum(v not in live for v in vs)) for i, _, x in rows for vs in [re.findall("token=([^ ]+)", x or "")])
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert sorted(tuple(r) for r in secrets.scan(df).select("doc_id", "n_live", "n_copied").collect()) == want
+
+
+def test_owner_bound_and_wide_candidates(spark):
+    assert [secrets.copied_owners(n) for n in (0, 1, 200, 201, 700, 10**6)] == [2, 2, 2, 3, 7, 10]
+    wide = {"zQ8fLw02TTm4kYp19sXa": True, "/usr/lib/python3.13/site-packages/x": False, "RTX4090TI-12GB-OC-2024": False, "www.example.com/a/2024/05/page.html": False, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0": True}
+    df = spark.createDataFrame([(i, f"see {w} there") for i, w in enumerate(wide)], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in df.select("doc_id", F.size(S.find(F.col("text"), secrets.WIDE, "owned", 3, secrets._wide_ok)).alias("n")).collect()}
+    assert [bool(got[i]) for i in range(len(wide))] == list(wide.values())
+
+
+def test_pattern_graph_against_loops(spark):
+    """Scores of discovered instances as plain loops over the edges give them, more than two hops deep."""
+    rng = random.Random(5)
+    edges, hop = {}, 4
+    for k in range(hop):  # pattern k knows three instances of layer k and three of the next
+        for j in range(3):
+            edges[(f"L:p{'abcd'[k]}", f"i{k}.{j}")] = (k == 0, 2.0)
+            edges[(f"L:p{'abcd'[k]}", f"i{k + 1}.{j}")] = (False, 1.0)
+    for _ in range(150):
+        i = rng.randrange(40)
+        edges[(f"R:q{'abcdefghijkl'[rng.randrange(12)]}", f"r{i}")] = (i % 3 == 0, float(rng.randrange(1, 5)))
+    count = {}
+    for (p, _), (_, n) in edges.items():
+        count[p] = count.get(p, 0) + n
+    words = {p: int(c) + (rng.randrange(1, 4) if p.startswith("R") else 0) for p, c in count.items()}
+    text = " ".join(" ".join([p[2:]] * n) for p, n in words.items())
+    texts = spark.createDataFrame([(text,)], "t string").select(F.array(F.struct(F.col("t").alias("gap"), F.lit("").alias("body"), F.array().cast(S.SPAN).alias("spans"))).alias("pieces"))
+    table = spark.createDataFrame([(p, i, s, n) for (p, i), (s, n) in edges.items()], "pattern string, instance string, is_seed boolean, n double")
+    got = {r.instance: round(r.score, 6) for r in pii.discover(texts, table).collect()}
+
+    known = {i: 1.0 for (_, i), (s, _) in edges.items() if s}
+    seeds = set(known)
+    for _ in range(pii.ROUNDS):
+        weight = {}
+        for p in {p for p, _ in edges}:
+            own = [(n, known[i]) for (q, i), (_, n) in edges.items() if q == p and i in known]
+            if len(own) >= pii.MIN_SEEDS and sum(n * s for n, s in own) / words[p] >= pii.MIN_PATTERN_SCORE:
+                weight[p] = min(sum(n * s for n, s in own) / words[p], 0.999)
+        doubt = {}
+        for (p, i), _ in edges.items():
+            if p in weight and i not in seeds:
+                doubt[i] = doubt.get(i, 1.0) * (1 - weight[p])
+        known = {i: 1.0 for i in seeds} | {i: 1 - x for i, x in doubt.items() if 1 - x >= pii.MIN_INSTANCE_SCORE}
+    want = {i: round(s, 6) for i, s in known.items() if i not in seeds}
+    assert got == want
+    assert "i3.0" in got  # the third hop
