@@ -355,16 +355,21 @@ def baseline_anomaly(spark, d):  # noqa: ANN001, ANN201
 
 # -- intervals and parsers ------------------------------------------------------------------------
 
-_GRID = "g AS (SELECT p.p, o.o, a.a FROM (VALUES (0.0::DOUBLE), (0.049), (0.05), (0.051), (0.3), (1.0)) p(p) CROSS JOIN (VALUES ('='), ('<'), ('<='), ('>'), ('>=')) o(o) CROSS JOIN (VALUES (2), (3)) a(a))"
+_GRID = """l AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN l_tax::DOUBLE WHEN 1 THEN l_quantity::DOUBLE / 50 ELSE 0.045::DOUBLE + l_tax::DOUBLE / 10 END AS p, ['=', '<', '<=', '>', '>='][l_partkey % 5 + 1] AS o, l_suppkey % 2 + 2 AS a FROM lineitem),
+g AS (SELECT p, o, a, count(*) AS lines FROM l GROUP BY ALL)"""
 
 
 @query(f"""WITH {_GRID}, r AS (SELECT *, CASE WHEN p = 0 THEN 0.0 WHEN o = '=' THEN greatest(0.0, p - 0.5 * 10.0::DOUBLE ** -a) WHEN o IN ('<', '<=') THEN 0.0 ELSE p END AS low,
 CASE WHEN p = 0 THEN 0.0 WHEN o = '=' THEN least(1.0, p + 0.5 * 10.0::DOUBLE ** -a) WHEN o IN ('>', '>=') THEN 1.0 ELSE p END AS high FROM g)
-SELECT p, o AS operator, a AS decimals, round(low, 9) AS low, round(high, 9) AS high, CASE WHEN p = 0 OR high <= 0.05 THEN 'significant' WHEN low > 0.05 OR (low = 0.05 AND o = '>') THEN 'nonsignificant' ELSE 'indeterminate' END AS significance FROM r""")
+SELECT round(p, 9) AS p, o AS operator, a::INT AS decimals, lines, round(low, 9) AS low, round(high, 9) AS high, CASE WHEN p = 0 OR high <= 0.05 THEN 'significant' WHEN low > 0.05 OR (low = 0.05 AND o = '>') THEN 'nonsignificant' ELSE 'indeterminate' END AS significance FROM r""")
 def reported_p_interval(spark, d):  # noqa: ANN001, ANN201
-    g = spark.createDataFrame([(p, o, a) for p in (0.0, 0.049, 0.05, 0.051, 0.3, 1.0) for o in ("=", "<", "<=", ">", ">=") for a in (2, 3)], "p double, operator string, decimals int")
+    """Printed p-values drawn from the lines' taxes and quantities, about the bound of significance."""
+    tax, i = F.col("l_tax").cast("double"), F.col("l_linenumber") % 3
+    p = F.when(i == 0, tax).when(i == 1, F.col("l_quantity").cast("double") / 50).otherwise(F.lit(0.045) + tax / 10)
+    operator = F.get(F.array(*[F.lit(o) for o in ("=", "<", "<=", ">", ">=")]), (F.col("l_partkey") % 5).cast("int"))
+    g = t(spark, d, "lineitem").groupBy(p.alias("p"), operator.alias("operator"), (F.col("l_suppkey") % 2 + 2).cast("int").alias("decimals")).agg(F.count("*").alias("lines"))
     s = intervals.printed(F.col("p"), F.col("operator"), F.col("decimals"), F.lit(0.05))
-    return g.withColumn("s", s).select("p", "operator", "decimals", F.round("s.low", 9).alias("low"), F.round("s.high", 9).alias("high"), "s.significance")
+    return g.withColumn("s", s).select(F.round("p", 9).alias("p"), "operator", "decimals", "lines", F.round("s.low", 9).alias("low"), F.round("s.high", 9).alias("high"), "s.significance")
 
 
 @query("""WITH e AS (SELECT l_linenumber AS a, l_linenumber + l_quantity::INT % 3 AS b, l_quantity::INT % 7 AS c, l_quantity::INT % 7 + 1 AS d, l_tax > 0.04 AS x, l_discount > 0.05 AS y FROM lineitem)
@@ -407,15 +412,17 @@ def parse_p_values(spark, d):  # noqa: ANN001, ANN201
 _METHODS = ("", "Cox model, stratified", "Log-rank", "ANCOVA", "Mixed model, adjusted", "Wilcoxon rank-sum", "Fisher exact", "t test, 1-sided", "ANOVA", "z test", "Bayesian", "Hazard Ratio", "Odds ratio", "Mean Difference")
 
 
-@query("WITH m AS (SELECT unnest([" + ", ".join(f"'{m}'" for m in _METHODS) + """]) AS method), l AS (SELECT method, lower(method) AS s FROM m),
-f AS (SELECT method, s, CASE WHEN s = '' THEN 'unspecified' WHEN regexp_matches(s, 'cox|log-rank|hazard') THEN 'survival_model' WHEN regexp_matches(s, 'logistic|poisson|regression|ancova|glm|mixed') THEN 'regression_model'
+@query("WITH m AS (SELECT [" + ", ".join(f"'{m}'" for m in _METHODS) + """][o_custkey % 14 + 1] AS method, count(*) AS orders FROM orders GROUP BY 1), l AS (SELECT method, orders, lower(method) AS s FROM m),
+f AS (SELECT method, orders, s, CASE WHEN s = '' THEN 'unspecified' WHEN regexp_matches(s, 'cox|log-rank|hazard') THEN 'survival_model' WHEN regexp_matches(s, 'logistic|poisson|regression|ancova|glm|mixed') THEN 'regression_model'
 WHEN regexp_matches(s, 'wilcoxon|mann-whitney|rank-sum|rank sum|nonparam') THEN 'nonparametric' WHEN regexp_matches(s, 'exact|fisher') THEN 'exact_test' WHEN regexp_matches(s, 't test|ttest|anova|mean difference') THEN 'mean_comparison' WHEN contains(s, 'z test') THEN 'z_test' ELSE 'other' END AS family, regexp_matches(s, '(1|one)[- ]sided') AS tail FROM l)
-SELECT method, family, tail, CASE WHEN regexp_matches(s, 'ratio|relative risk|cox proportional hazard') THEN 'ratio' ELSE 'additive' END AS scale,
+SELECT method, orders, family, tail, CASE WHEN regexp_matches(s, 'ratio|relative risk|cox proportional hazard') THEN 'ratio' ELSE 'additive' END AS scale,
 CASE WHEN tail OR regexp_matches(s, 'adjust|correct|strat|covariate') OR family IN ('survival_model', 'regression_model', 'nonparametric', 'exact_test', 'other') THEN 'approximate_review' ELSE 'high_confidence' END AS tier FROM f""")
 def method_family(spark, d):  # noqa: ANN001, ANN201
-    m = spark.createDataFrame([(x,) for x in _METHODS], "method string")
+    """Wordings of methods, one to each order by its customer."""
+    wording = F.get(F.array(*[F.lit(x) for x in _METHODS]), (F.col("o_custkey") % len(_METHODS)).cast("int"))
+    m = t(spark, d, "orders").groupBy(wording.alias("method")).agg(F.count("*").alias("orders"))
     c = F.col("method")
-    return m.select("method", parsers.method_family(c).alias("family"), parsers.one_sided(c).alias("tail"), parsers.effect_scale(c).alias("scale"), parsers.ci_tier(c, parsers.one_sided(c)).alias("tier"))
+    return m.select("method", "orders", parsers.method_family(c).alias("family"), parsers.one_sided(c).alias("tail"), parsers.effect_scale(c).alias("scale"), parsers.ci_tier(c, parsers.one_sided(c)).alias("tier"))
 
 
 @query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END)::BIGINT AS a FROM orders GROUP BY 1)
@@ -534,9 +541,11 @@ def exclusions_by_reason(spark, d):  # noqa: ANN001, ANN201
     return normalize.exclusions(studies)
 
 
-@query("SELECT count(*) AS records, count(DISTINCT o_custkey) AS ids, 0::BIGINT AS missing, 0::BIGINT AS bad_enrollment, count(*) - count(DISTINCT o_custkey) AS duplicates, false AS ok FROM orders")
+@query("""WITH s AS (SELECT CASE WHEN o_orderkey % 50 <> 0 THEN o_custkey END AS id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 7 END AS n FROM orders)
+SELECT count(*) AS records, count(DISTINCT id) AS ids, count(*) FILTER (WHERE id IS NULL) AS missing, count(*) FILTER (WHERE n IS NULL OR n <= 0) AS bad_enrollment, count(id) - count(DISTINCT id) AS duplicates, false AS ok FROM s""")
 def qc_cohort(spark, d):  # noqa: ANN001, ANN201
-    return corpus.cohort_qc(t(spark, d, "orders").select(F.col("o_custkey").alias("study_id"), F.lit(1).alias("randomized_n")), 2000)
+    k = F.col("o_orderkey")
+    return corpus.cohort_qc(t(spark, d, "orders").select(F.when(k % 50 != 0, F.col("o_custkey")).alias("study_id"), F.when(k % 11 != 0, k % 7).alias("randomized_n")), 2000)
 
 
 @query("""WITH c AS (SELECT c_nationkey AS k, count(DISTINCT c_mktsegment) AS n FROM customer GROUP BY 1) SELECT count(*) AS records, count(*) AS with_partitions, 0::BIGINT AS with_summaries, 0::BIGINT AS with_comparisons, 0::BIGINT AS with_analyses, 0::BIGINT AS with_eligible,
