@@ -21,7 +21,9 @@
    overlap, and after the largest overlap with all pairs of leaders, in blocks. The figure is logged.
 
 Bounds: the centroids are fitted on at most FIT vectors and number at most CENTROIDS;
-what is collected is that sample, the audit's vectors and sums, and the different lengths.
+what is collected is that sample, the audit's vectors and sums, and the lengths of more than RARE
+vectors (at most one in RARE rows). The commonest length and those go through steps 1 to 5, a run each;
+all rarer lengths are compared exactly in one job, a group a length.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components link with
 nothing, and those of different lengths not with each other. Equal rows are vectors of their own and
@@ -51,6 +53,8 @@ SHARD, BLOCK = 1000, 2048
 #: A shard of more leaders is dealt anew, so often at most.
 MOST, DEALS = 4096, 4
 OVERLAP, AUDIT, MIN_RECALL = 2, 128, 0.95
+#: A length of no more vectors, unless it is the commonest, is compared exactly in one group.
+RARE = 1024
 #: A ball's radius, as a share of the angle of a link; under a half, members all link.
 RADIUS = 0.25
 NEAR, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 24
@@ -329,14 +333,44 @@ def dedup(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", c
     fine = F.coalesce(F.col("v").isNotNull() & ~odd & (norm > 0) & (norm < float("inf")), F.lit(False))
     unit = F.when(fine, F.transform("v", lambda c: c / norm))
     raw = cut(raw.select("vec_id", "v", unit.alias("unit"), F.coalesce(F.when(fine, F.size("v")), F.lit(0)).alias("d"), F.monotonically_increasing_id().alias("row")), "vectors")
-    # a run a length; a vector alone in its length has no links
-    widths = [(r["d"], r["count"]) for r in raw.where("d > 0").groupBy("d").count().where("count > 1").orderBy("d").collect()]
-    out = raw.where(~F.col("d").isin([d for d, _ in widths])).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    for d, n in widths:
+    lengths = cut(raw.where("d > 0").groupBy("d").agg(F.count("*").alias("n")), "vector-lengths")
+    # a run for the commonest length and for each of more than RARE vectors; the others in one job
+    common = {r["d"]: r["n"] for r in lengths.orderBy(F.desc("n"), "d").limit(1).collect() + lengths.where(F.col("n") > RARE).collect()}
+    rare = lengths.where((F.col("n") <= RARE) & ~F.col("d").isin(list(common))).select("d")
+    out = raw.where("d = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    out = out.unionByName(_of_rare_lengths(raw.join(rare, "d"), cosine))
+    for d, n in sorted(common.items()):
         out = out.unionByName(_of_one_length(raw.where(F.col("d") == d).drop("d"), d, n, cosine))
     return out
 
 
+def _links_within(cosine: float):  # noqa: ANN202
+    """Of all vectors of one length: each one's links and the smallest row that it reaches."""
+
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        t = t.sort_values("row")
+        x, row = _matrix(t["v"]), t["row"].to_numpy()
+        norm = np.einsum("nd,nd->n", x, x)
+        link = (x @ x.T) / np.sqrt(norm[:, None] * norm) >= cosine
+        np.fill_diagonal(link, True)
+        at, before = np.arange(len(x)), None
+        while before is None or (at != before).any():
+            before = at
+            at = np.where(link, at, len(x)).min(1)
+            at = at[at]
+        return pd.DataFrame({"row": row, "n_links": link.sum(1) - 1, "component": row[at]})
+
+    return run
+
+
+def _of_rare_lengths(good: DataFrame, cosine: float) -> DataFrame:
+    """The result for lengths of at most RARE vectors each, however many lengths there are: a group a length, compared exactly."""
+    found = good.select("d", "row", "v").groupBy("d").applyInPandas(_links_within(cosine), "row long, n_links long, component long")
+    rows = cut(good.select("row", "vec_id").join(found, "row"), "vector-rare")
+    least = rows.groupBy("component").agg(F.min("vec_id").alias("component_id"))
+    return rows.join(least, "component").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def _of_one_length(good: DataFrame, width: int, n: int, cosine: float) -> DataFrame:
     spark, limit = good.sparkSession, math.acos(cosine)
     points = cut(good.groupBy("v").agg(F.min("row").alias("row"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "vector-points")

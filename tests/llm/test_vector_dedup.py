@@ -102,6 +102,33 @@ def test_lengths_are_treated_apart(spark):
     assert got[10] == (1, 10) and got[11] == (1, 10) and got[12] == (0, 12) and got[0][1] == 0
 
 
+def test_many_rare_lengths_take_one_job(spark, monkeypatch):
+    """Chains, copies, null ids and lone vectors in 60 lengths against all pairs; only lengths of more than RARE have a run."""
+    monkeypatch.setattr(V, "RARE", 40)
+    runs, one = [], V._of_one_length
+    monkeypatch.setattr(V, "_of_one_length", lambda good, d, n, cosine: runs.append(d) or one(good, d, n, cosine))
+    r, rows, want = np.random.default_rng(9), [], []
+    for d in range(1, 61):
+        n = {16: 120, 24: 60}.get(d, int(r.integers(1, 30)))
+        x = r.normal(size=(n, d))
+        for i in range(1, n):
+            if i % 3:
+                x[i] = x[i - 1] * r.uniform(0.5, 2) + r.choice([0.0, 0.1]) * r.normal(size=d) / np.sqrt(d)
+        mine = [(None if d == 7 and i == 1 else d * 1000 + int(i), [float(c) for c in v]) for i, v in enumerate(x)]
+        rows += mine
+        link = np.array([[np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b)) >= 0.95 for b in x] for a in x])
+        for i, (vec, _) in enumerate(mine):
+            seen, todo = {i}, [i]
+            while todo:
+                todo = [k for k in np.flatnonzero(link[todo].any(0)).tolist() if k not in seen]
+                seen |= set(todo)
+            low = min((mine[k][0] for k in seen if mine[k][0] is not None), default=None)
+            want.append((vec, int(link[i].sum()) - 1, low, vec == low))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted([tuple(x) for x in V.dedup(df).collect()], key=str)
+    assert runs == [16, 24] and got == sorted(want, key=str)
+
+
 def test_large_shards_are_dealt_anew(spark, monkeypatch):
     monkeypatch.setattr(V, "SHARD", 60)
     monkeypatch.setattr(V, "MOST", 90)
