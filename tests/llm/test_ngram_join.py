@@ -16,8 +16,8 @@ def shingle_set(text, n=4):
     return frozenset([tuple(ws)] if len(ws) < n else [tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)])
 
 
-def brute(rows):
-    sets = [shingle_set(t) for _, t in rows]
+def brute(rows, n=4, share=85):
+    sets = [shingle_set(t, n) for _, t in rows]
     root = list(range(len(rows)))
 
     def top(i):
@@ -27,7 +27,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j]):
                 root[top(i)] = top(j)
     low = {}
     for i, (d, _) in enumerate(rows):
@@ -106,6 +106,16 @@ def test_long_lists_in_bands(spark, monkeypatch):
     assert sorted([tuple(x) for x in ngram_join.join(df).collect()], key=str) == brute(rows)
 
 
+def test_one_of_each_against_all_pairs(spark):
+    """The pipeline's stage, five words and 0.8: of each group by all pairs the smallest id stays, and texts without words stay."""
+    rows = made(7, n=260) + [(None, "a lone text of its own here"), (900, None), (901, ""), (902, " \n"), (903, "A b"), (904, "a B"), (905, "a b c")]
+    rows.append((None, rows[11][1]))
+    low = brute(rows, n=5, share=80)
+    want = sorted((d for d, _, least in low if d == least), key=str)
+    got = sorted((x.doc_id for x in ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=str)
+    assert len(want) < 200 and got == want
+
+
 def test_one_of_each_goes_by_row(spark):
     t = " ".join(f"w{i}" for i in range(60))
     near, other = t.replace("w30", "x30"), " ".join(f"o{i}" for i in range(40))
