@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SIGNIFICANT, NOT_SIGNIFICANT, UNSURE = "significant", "nonsignificant", "indeterminate"
+#: Ends of recomputed p-values as close as this are one number: far over the kernels' rounding, far under any printed digit.
+SLACK = 1e-12
 
 
 def pow10(decimals: Column) -> Column:
@@ -13,11 +15,13 @@ def pow10(decimals: Column) -> Column:
     return F.pow(F.lit(10.0), -decimals.cast("double"))
 
 
-def overlap(low_a, high_a, low_b, high_b, *, low_a_closed=True, high_a_closed=True, low_b_closed=True, high_b_closed=True) -> Column:  # noqa: ANN001
-    """Whether two intervals share a point; ends that only touch must both be closed."""
+def overlap(low_a, high_a, low_b, high_b, *, low_a_closed=True, high_a_closed=True, low_b_closed=True, high_b_closed=True, slack: float | None = None) -> Column:  # noqa: ANN001
+    """Whether two intervals share a point; ends that only touch (differ by slack at most) must both be closed."""
+    over = lambda x, y: x > y if slack is None else x - y > slack
+    touch = lambda x, y: x == y if slack is None else F.abs(x - y) <= slack
     both = lambda x, y: (x if isinstance(x, Column) else F.lit(x)) & (y if isinstance(y, Column) else F.lit(y))
-    left = (high_a > low_b) | ((high_a == low_b) & both(high_a_closed, low_b_closed))
-    right = (high_b > low_a) | ((high_b == low_a) & both(high_b_closed, low_a_closed))
+    left = over(high_a, low_b) | (touch(high_a, low_b) & both(high_a_closed, low_b_closed))
+    right = over(high_b, low_a) | (touch(high_b, low_a) & both(high_b_closed, low_a_closed))
     return left & right
 
 
@@ -46,8 +50,8 @@ def printed(p: Column, operator: Column, decimals: Column, alpha: Column) -> Col
 
 
 def consistency(p_min: Column, p_max: Column, shown: Column, alpha: Column) -> Column:
-    """struct(consistent, decision_error) of recomputed bounds against a printed p-value."""
-    meets = overlap(p_min, p_max, shown["low"], shown["high"], low_b_closed=shown["low_closed"], high_b_closed=shown["high_closed"])
-    mine = significance(p_min, p_max, alpha)
+    """struct(consistent, decision_error) of recomputed bounds against a printed p-value; neither hangs on the last bits of a recomputed bound."""
+    meets = overlap(p_min, p_max, shown["low"], shown["high"], low_b_closed=shown["low_closed"], high_b_closed=shown["high_closed"], slack=SLACK)
+    mine = significance(p_min, p_max, alpha + SLACK)
     error = (mine != UNSURE) & (shown["significance"] != UNSURE) & (mine != shown["significance"])
     return F.struct((meets & ~shown["zero"]).alias("consistent"), error.alias("decision_error"), mine.alias("significance"))
