@@ -82,7 +82,9 @@ def with_defaults(df: DataFrame) -> DataFrame:
     cols = []
     for f in record_type().fields:
         v = F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)
-        if isinstance(f.dataType, T.ArrayType):
+        if isinstance(f.dataType, T.ArrayType) and f.name not in df.columns:
+            v = F.array().cast(f.dataType)  # a constant, by which rules without input are constants too
+        elif isinstance(f.dataType, T.ArrayType):
             v = F.coalesce(_each(v, f), F.array().cast(f.dataType))
         elif isinstance(f.dataType, T.MapType):
             v = F.coalesce(v, F.create_map().cast(f.dataType))
