@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,12 +42,16 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import cut, table
 
-LENGTH, SEED = 50, 16
+LENGTH, SEED, LONG = 50, 16, 32
 WINDOW = LENGTH - SEED + 1
 BLOCK_BYTES = 1 << 20
-#: Blocks whose hashes, and whose pieces, meet in one shard on average.
-BLOCKS_A_HASH_SHARD, BLOCKS_A_PIECE_SHARD = 12, 3
+#: Blocks whose hashes, and whose pieces, meet in one shard on average. A block sends a row to each shard: fewer blocks a shard are more rows a block.
+BLOCKS_A_HASH_SHARD, BLOCKS_A_PIECE_SHARD = 64, 24
+#: Bytes of pieces that one index takes; it always takes all pieces of a minimizer.
+INDEX_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
+#: Strings whose minimizers are looked for at a time.
+STRETCH = 1 << 14
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -81,6 +86,35 @@ def _block_batches(most: int):  # noqa: ANN202
     return run
 
 
+def _minima(data: bytes, seed: int = SEED) -> np.ndarray:
+    """Of each LENGTH-byte string the smallest hash of its seed-byte parts (SEED or LONG), its place's low six bits below it; in stretches that stay in a core's cache."""
+    b = np.frombuffer(data, np.uint8)
+    eight = np.ndarray((len(b) - 7,), np.dtype("<u8"), b, strides=(1,))
+    out, window = np.empty(len(b) - LENGTH + 1, np.uint64), LENGTH - seed + 1
+    for a in range(0, len(out), STRETCH):
+        n = min(STRETCH, len(out) - a) + window - 1
+        h = _mixed(eight[a : a + n + seed - SEED], eight[a + 8 : a + 8 + n + seed - SEED])
+        if seed > SEED:
+            h = _mixed(h[:-SEED], h[SEED:])
+        h &= ~np.uint64(63)
+        h |= np.arange(a, a + n, dtype=np.uint64) & np.uint64(63)
+        width = 1
+        while 2 * width <= window:
+            h = np.minimum(h[: len(h) - width], h[width:])
+            width *= 2
+        np.minimum(h[: len(h) - (window - width)], h[window - width :], out=out[a : a + n - window + 1])
+    return out
+
+
+def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    h = x * _M1
+    h ^= y * _M2
+    h ^= h >> np.uint64(32)
+    h *= _M1
+    h ^= h >> np.uint64(29)
+    return h
+
+
 class Block:
     """A block's documents and the pieces of their strings that share a minimizer."""
 
@@ -94,41 +128,26 @@ class Block:
         self.hash = np.empty(0, np.uint64)
         if n < LENGTH:
             return
-        b = np.frombuffer(data, np.uint8)
-        eight = np.ndarray((n - 7,), np.dtype("<u8"), b, strides=(1,))
-        h = (eight[: n - SEED + 1] * _M1) ^ (eight[SEED - 8 : n - SEED + 1 + SEED - 8] * _M2)
-        h ^= h >> np.uint64(32)
-        h *= _M1
-        h ^= h >> np.uint64(29)
-        h &= ~np.uint64(63)
-        h |= np.arange(len(h), dtype=np.uint64) & np.uint64(63)
-        m, width = h, 1
-        while 2 * width <= WINDOW:
-            m = np.minimum(m[: len(m) - width], m[width:])
-            width *= 2
-        if width < WINDOW:
-            m = np.minimum(m[: len(m) - (WINDOW - width)], m[WINDOW - width :])
-        # strings are named by their first byte's place; none crosses the end of a document
-        places = np.arange(len(m), dtype=np.int64)
-        doc = np.searchsorted(self.ends, places, side="right")
-        inside = places + LENGTH <= self.ends[doc]
-        at = places + (((m & np.uint64(63)).astype(np.int64) - places) & 63)
+        m = _minima(data)
         new = np.ones(len(m), bool)
-        new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])
-        new |= ~inside
+        # the low six bits tell places of one hash apart that one window reaches
+        np.not_equal(m[1:], m[:-1], out=new[1:])
+        # strings are named by their first byte's place; none crosses the end of a document
+        edges = np.concatenate([self.ends - self.sizes, self.ends - LENGTH + 1])
+        new[edges[(edges >= 0) & (edges < len(m))]] = True
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(m)))
-        # a run that starts inside a document ends with it, as the places after are all new
-        good = inside[first]
-        self.start, self.count = first[good], count[good]
-        self.doc, self.hash = doc[self.start], m[self.start] >> np.uint64(6)
+        doc = np.searchsorted(self.ends, first, side="right")
+        good = first + LENGTH <= self.ends[doc]
+        self.start, self.count, self.doc = first[good], count[good], doc[good]
+        self.hash = m[self.start] >> np.uint64(6)
         self.id = self.ids[self.doc]
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct hashes, sorted, and which of them two documents of the block or more hold."""
         if not len(self.hash):
             return self.hash, np.empty(0, bool)
-        order = np.argsort(self.hash, kind="stable")
+        order = np.argsort(self.hash)
         h, ids = self.hash[order], self.ids[self.doc[order]]
         first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         return h[first], np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
@@ -139,20 +158,46 @@ class Block:
         if not len(h):
             return np.empty(0, bool)
         shard = (h % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(shard, minlength=shards)))).tolist()
         for s, mask in masks.items():
-            mine = np.flatnonzero(shard == s)
+            mine = order[bounds[s] : bounds[s + 1]]
             flags[mine] |= np.unpackbits(np.frombuffer(mask, np.uint8))[: len(mine)].astype(bool)
         return flags[np.searchsorted(h, self.hash)]
 
-    def pieces(self, flagged: np.ndarray, shards: int) -> dict[int, dict[bytes, list[int]]]:
-        """Per shard the distinct flagged pieces in order, each with its places among all pieces."""
-        found: dict[int, dict[bytes, list[int]]] = {}
+    def pieces(self, flagged: np.ndarray, shards: int) -> Pieces:
+        """The flagged pieces by shard, equal ones told."""
         which = np.flatnonzero(flagged)
-        shard = (self.hash[which] % np.uint64(shards)).tolist()
-        start, stop = self.start[which].tolist(), (self.start[which] + self.count[which] + LENGTH - 1).tolist()
-        for k, s, a, z in zip(which.tolist(), shard, start, stop, strict=True):
-            found.setdefault(s, {}).setdefault(self.data[a:z], []).append(k)
-        return found
+        shard = (self.hash[which] % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        which, shard = which[order], shard[order]
+        # only pieces of one minimizer can be equal
+        number = np.arange(len(which))
+        _, at, times = np.unique(self.hash[which], return_inverse=True, return_counts=True)
+        again = np.flatnonzero(times[at] > 1)
+        start, seen = self.start[which[again]], {}
+        for j, a, z in zip(again.tolist(), start.tolist(), (start + self.count[which[again]] + LENGTH - 1).tolist(), strict=True):
+            number[j] = seen.setdefault(self.data[a:z], j)
+        one = np.flatnonzero(number == np.arange(len(which)))
+        number = np.searchsorted(one, number)
+        least = np.full(len(one), LAST)
+        np.minimum.at(least, number, self.id[which])
+        shard, first = np.unique(shard[one], return_index=True)
+        return Pieces(which, number, which[one], least, shard.tolist(), np.append(first, len(one)).tolist())
+
+
+class Pieces(NamedTuple):
+    """A block's flagged pieces and the distinct ones among them; both in the order of their shards."""
+
+    places: np.ndarray
+    #: Of each piece the distinct one that it equals.
+    number: np.ndarray
+    #: Of each distinct piece a place, and the smallest document that holds it.
+    one: np.ndarray
+    least: np.ndarray
+    #: The shards, and where the distinct pieces of each begin; last, where they end.
+    shards: list
+    bounds: list
 
 
 def _blocks(b: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
@@ -200,14 +245,12 @@ def _piece_batches(hash_shards: int, shards: int):  # noqa: ANN202
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for (block, x), masks in zip(_blocks(b), b.column("masks"), strict=True):
-                found = x.pieces(x.flagged(hash_shards, _by_shard(masks, "mask")), shards)
-                ids = x.id.tolist()
-                least = {s: [ids[p[0]] if len(p) == 1 else min(ids[k] for k in p) for p in d.values()] for s, d in found.items()}
-                keys = ((x.hash // np.uint64(shards)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-                rows = [
-                    (s, block, np.array(least[s], "<i8").tobytes(), keys[[p[0] for p in d.values()]].tobytes(), np.array([len(k) for k in d], "<u2").tobytes(), b"".join(d))
-                    for s, d in found.items()
-                ]
+                p = x.pieces(x.flagged(hash_shards, _by_shard(masks, "mask")), shards)
+                keys = ((x.hash[p.one] // np.uint64(shards)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+                size = x.count[p.one] + LENGTH - 1
+                data, upto = np.frombuffer(x.data, np.uint8)[_ranges(x.start[p.one], size)], np.concatenate(([0], np.cumsum(size)))
+                least, lengths = p.least.astype("<i8"), size.astype("<u2")
+                rows = [(s, block, least[a:z].tobytes(), keys[a:z].tobytes(), lengths[a:z].tobytes(), data[upto[a] : upto[z]].tobytes()) for s, a, z in zip(p.shards, p.bounds, p.bounds[1:])]  # noqa: B905
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["shard", "block", "least", "keys", "lengths", "data"])
 
@@ -353,6 +396,80 @@ class RunLengthIndex:
         return out
 
 
+def _parts(of: np.ndarray, size: np.ndarray) -> list[slice]:
+    """Stretches of about INDEX_BYTES that keep neighbours of one group together."""
+    if not len(of):
+        return []
+    part = ((np.cumsum(size) - size) // INDEX_BYTES)[np.searchsorted(of, of)]
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(of)]
+    return [slice(a, z) for a, z in zip(bounds, bounds[1:])]  # noqa: B905
+
+
+def _span(kind: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the smallest and the largest document of its kind."""
+    n = int(kind.max(initial=-1)) + 1
+    first, last = np.full(n, LAST), np.full(n, -LAST)
+    np.minimum.at(first, kind, low)
+    np.maximum.at(last, kind, high)
+    return first[kind], last[kind]
+
+
+def _holders(names: list[bytes], low: np.ndarray, high: np.ndarray, kind: np.ndarray, pare: bool = True) -> np.ndarray:  # noqa: FBT001, FBT002
+    """Of each string of distinct pieces the smallest document that holds it, LAST where no two do; low and high are the documents of a piece, equal strings are in pieces of one kind.
+
+    Pieces are cut down to strings whose LONG-byte minimizers are in two documents; parts that then are equal are one.
+    """
+    count = np.fromiter(map(len, names), np.int64, len(names)) - LENGTH + 1
+    at = np.cumsum(count) - count
+    # no other piece has the strings of a kind's only piece
+    alone = np.bincount(kind, minlength=1)[kind] == 1
+    best = np.repeat(np.where(alone, low, LAST), count)
+    first, last = _span(kind, low, high)
+    use = np.flatnonzero(~alone & (first < last))
+    use = use[np.argsort(kind[use], kind="stable")]
+    if pare and len(use):
+        piece, start, many = _shared([names[i] for i in use], count[use], low[use], high[use])
+        number: dict[bytes, int] = {}
+        k = np.array([number.setdefault(names[i][a : a + m + LENGTH - 1], len(number)) for i, a, m in zip(use[piece].tolist(), start.tolist(), many.tolist(), strict=True)], np.int64)
+        least, most, of = np.full(len(number), LAST), np.full(len(number), -LAST), np.empty(len(number), np.int64)
+        np.minimum.at(least, k, low[use[piece]])
+        np.maximum.at(most, k, high[use[piece]])
+        of[k] = kind[use[piece]]
+        size = np.fromiter(map(len, number), np.int64, len(number)) - LENGTH + 1
+        found = _holders(list(number), least, most, of, pare=False)
+        best[_ranges(at[use[piece]] + start, many)] = found[_ranges((np.cumsum(size) - size)[k], many)]
+        return best
+    for part in _parts(kind[use], count[use] + LENGTH):
+        part = use[part]
+        indexed, streamed = part[low[part] < last[part]], part[high[part] > first[part]]
+        index = RunLengthIndex([names[i] for i in indexed], low[indexed])
+        offsets, lengths, rows = index.statistics([names[i] for i in streamed])
+        best[_ranges(at[streamed], count[streamed])] = index.earliest(lengths, rows)[_ranges(offsets[:-1], count[streamed])]
+    return best
+
+
+def _shared(names: list[bytes], count: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first string, strings) of the stretches of strings whose LONG-byte minimizers two documents hold."""
+    m = _minima(b"".join(names), LONG)
+    begin = np.cumsum(count + LENGTH - 1) - (count + LENGTH - 1)
+    new = np.ones(len(m), bool)
+    np.not_equal(m[1:], m[:-1], out=new[1:])
+    new[begin] = True
+    end = begin + count
+    new[end[:-1]] = True
+    at = np.flatnonzero(new)
+    piece = np.searchsorted(begin, at, side="right") - 1
+    many = np.diff(np.append(at, len(m)))
+    good = at < end[piece]
+    at, piece, many = at[good], piece[good], many[good]
+    first, last = _span(np.unique(m[at] >> np.uint64(6), return_inverse=True)[1], low[piece], high[piece])
+    two = np.flatnonzero(first < last)
+    at, piece, many = at[two], piece[two], many[two]
+    joined = np.append(False, (at[1:] == at[:-1] + many[:-1]) & (piece[1:] == piece[:-1]))
+    head = np.flatnonzero(~joined[: len(at)])
+    return piece[head], (at - begin[piece])[head], np.add.reduceat(many, head) if len(head) else many
+
+
 def _index(t: pd.DataFrame) -> pd.DataFrame:
     """Of one shard: per block one bit a string of its pieces, set if a smaller document than the piece's own holds it."""
     number: dict[bytes, int] = {}
@@ -368,53 +485,35 @@ def _index(t: pd.DataFrame) -> pd.DataFrame:
     low, high = np.full(n, LAST), np.full(n, -LAST)
     np.minimum.at(low, k, doc)
     np.maximum.at(high, k, doc)
-    kinds, group = np.unique(key, return_inverse=True)
-    first, last, of = np.full(len(kinds), LAST), np.full(len(kinds), -LAST), np.empty(n, np.int64)
-    np.minimum.at(first, group, doc)
-    np.maximum.at(last, group, doc)
-    of[k] = group
-    indexed, streamed = np.flatnonzero(low < last[of]), np.flatnonzero(high > first[of])
+    of = np.empty(n, np.int64)
+    of[k] = np.unique(key, return_inverse=True)[1]
+    best = _holders(names, low, high, of)
+    count = np.fromiter(map(len, names), np.int64, n) - LENGTH + 1
+    at = np.cumsum(count) - count
     kept = []
-    if len(indexed):
-        index = RunLengthIndex([names[i] for i in indexed], low[indexed])
-        offsets, lengths, rows = index.statistics([names[i] for i in streamed])
-        found = index.earliest(lengths, rows)
-        count = np.fromiter(map(len, names), np.int64, n) - LENGTH + 1
-        at = np.cumsum(count) - count
-        best = np.full(int(count.sum()), LAST)
-        best[_ranges(at[streamed], count[streamed])] = found[_ranges(offsets[:-1], count[streamed])]
-        for shard, block, (k, doc, _) in zip(t["shard"], t["block"], sent, strict=True):
-            bits = best[_ranges(at[k], count[k])] < np.repeat(doc, count[k])
-            if bits.any():
-                kept.append((shard, block, np.packbits(bits).tobytes()))
+    for shard, block, (k, doc, _) in zip(t["shard"], t["block"], sent, strict=True):
+        bits = best[_ranges(at[k], count[k])] < np.repeat(doc, count[k])
+        if bits.any():
+            kept.append((shard, block, np.packbits(bits).tobytes()))
     return pd.DataFrame(kept, columns=["shard", "block", "bits"])
 
 
 # -- 4: marks -------------------------------------------------------------------------------------
 
 
-def _marked(x: Block, found: dict[int, dict[bytes, list[int]]], bits: dict[int, bytes]) -> np.ndarray:
+def _marked(x: Block, p: Pieces, bits: dict[int, bytes]) -> np.ndarray:
     """Whether each byte of the block is in a string to remove."""
     n = len(x.data)
-    strings = np.zeros(n + 1, bool)
-    ids = x.id.tolist()
-    for s, pieces in found.items():
-        places = list(pieces.values())
-        one = np.array([p[0] for p in places], np.int64)
-        count = x.count[one]
+    count = x.count[p.one]
+    at = np.concatenate(([0], np.cumsum(count)))
+    own = np.zeros(at[-1], bool)
+    for s, a, z in zip(p.shards, at[p.bounds[:-1]].tolist(), at[p.bounds[1:]].tolist(), strict=True):
         if s in bits:
-            flags = np.unpackbits(np.frombuffer(bits[s], np.uint8))[: int(count.sum())].astype(bool)
-            strings[_ranges(x.start[one], count)[flags]] = True
-            ends = np.cumsum(count).tolist()
-        for j, p in enumerate(places):
-            if len(p) == 1:
-                continue
-            least = min(ids[k] for k in p)
-            own = flags[ends[j] - count[j] : ends[j]] if s in bits else False
-            strings[x.start[p[0]] : x.start[p[0]] + count[j]] = False
-            for k in p:
-                a = x.start[k]
-                strings[a : a + count[j]] = True if ids[k] > least else own
+            own[a:z] = np.unpackbits(np.frombuffer(bits[s], np.uint8))[: z - a]
+    count = x.count[p.places]
+    gone = own[_ranges(at[p.number], count)] | np.repeat(x.id[p.places] > p.least[p.number], count)
+    strings = np.zeros(n + 1, bool)
+    strings[_ranges(x.start[p.places], count)[gone]] = True
     upto = np.cumsum(strings)
     covered = upto[:n].copy()
     covered[LENGTH:] -= upto[: max(0, n - LENGTH)]
@@ -428,8 +527,7 @@ def _mark_batches(hash_shards: int, shards: int, texts: bool):  # noqa: ANN202
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             for (_, x), masks, bits in zip(_blocks(b), b.column("masks"), b.column("bits"), strict=True):
-                found = x.pieces(x.flagged(hash_shards, _by_shard(masks, "mask")), shards)
-                gone = _marked(x, found, _by_shard(bits, "bits"))
+                gone = _marked(x, x.pieces(x.flagged(hash_shards, _by_shard(masks, "mask")), shards), _by_shard(bits, "bits"))
                 raw, rows, kept_texts = np.frombuffer(x.data, np.uint8), [], []
                 for i, a, z in zip(x.ids.tolist(), (x.ends - x.sizes).tolist(), x.ends.tolist(), strict=True):
                     g = gone[a:z]
@@ -447,25 +545,30 @@ def _mark_batches(hash_shards: int, shards: int, texts: bool):  # noqa: ANN202
     return run
 
 
+def shards(blocks: int) -> tuple[int, int]:
+    """(shards of hashes, shards of pieces) of so many blocks."""
+    return max(16, blocks // BLOCKS_A_HASH_SHARD), max(64, blocks // BLOCKS_A_PIECE_SHARD)
+
+
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of df; texts adds the kept bytes."""
     spark = df.sparkSession
     flat = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     blocks = cut(flat.mapInArrow(_block_batches(block_bytes), "block long, ids array<long>, sizes array<long>, data binary"), "suffix-blocks")
     n = blocks.select("block").count()
-    hash_shards, shards = max(16, n // BLOCKS_A_HASH_SHARD), max(16, n // BLOCKS_A_PIECE_SHARD)
+    hash_shards, piece_shards = shards(n)
 
     sent = blocks.mapInArrow(_hash_batches(hash_shards), "shard long, block long, hashes binary")
     flags = sent.groupBy("shard").applyInPandas(_flag, "shard long, block long, mask binary")
     masks = cut(flags.groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("masks")), "suffix-masks")
 
     known = blocks.join(masks, "block", "left")
-    pieces = known.mapInArrow(_piece_batches(hash_shards, shards), "shard long, block long, least binary, keys binary, lengths binary, data binary")
+    pieces = known.mapInArrow(_piece_batches(hash_shards, piece_shards), "shard long, block long, least binary, keys binary, lengths binary, data binary")
     found = pieces.groupBy("shard").applyInPandas(_index, "shard long, block long, bits binary")
     bits = cut(found.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("bits")), "suffix-bits")
 
     ready = blocks.join(masks.join(bits, "block", "left"), "block", "left")
-    return ready.mapInArrow(_mark_batches(hash_shards, shards, texts), OUT + ", kept binary" * texts)
+    return ready.mapInArrow(_mark_batches(hash_shards, piece_shards, texts), OUT + ", kept binary" * texts)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
