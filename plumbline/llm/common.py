@@ -66,17 +66,18 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(CLEANUP, _WRITERS["before"])
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, rows_a_group: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it again.
 
     Later steps then start from files that survive a lost executor, not from
     the lineage before them; the shuffle files of that lineage go at once.
     The result knows its path, so that ``discard`` can delete it when it is consumed.
+    Readers hold a row group's values at once, up to 4,096 rows: wide rows want few rows a group.
     """
     spark = df.sparkSession
     path = new_dir(spark, name)
     with _cleaning(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**({"parquet.block.row.count.limit": rows_a_group} if rows_a_group else {})).parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.cut_path = path
     return again

@@ -14,7 +14,9 @@ its smallest hashed SEED-byte part, so equal strings meet where their minimizers
    run's sample, as far as both texts agree. This gives every place's longest match with the
    indexed text and a suffix that shows it (matching statistics). A string is repeated where that
    match is LENGTH bytes or more and an earlier document is in its interval. Of pieces with one minimizer
-   the last document's need no index, and the first document's need not be streamed.
+   the last document's need no index, and the first document's need not be streamed; a minimizer's only
+   piece needs neither, as equal pieces are one. Other pieces are first cut down to strings whose LONG-byte
+   minimizers two documents hold. A shard makes an index for every INDEX_BYTES of its pieces.
 4. Blocks mark those strings, and those of equal pieces in their own later documents,
    and keep the other bytes.
 
@@ -46,7 +48,9 @@ LENGTH, SEED, LONG = 50, 16, 32
 WINDOW = LENGTH - SEED + 1
 BLOCK_BYTES = 1 << 20
 #: Blocks whose hashes, and whose pieces, meet in one shard on average. A block sends a row to each shard: fewer blocks a shard are more rows a block.
-BLOCKS_A_HASH_SHARD, BLOCKS_A_PIECE_SHARD = 64, 24
+BLOCKS_A_HASH_SHARD, BLOCKS_A_PIECE_SHARD = 64, 12
+#: Blocks in a row group of their files, all of which a reader holds at once.
+BLOCKS_A_GROUP = 8
 #: Bytes of pieces that one index takes; it always takes all pieces of a minimizer.
 INDEX_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
@@ -554,18 +558,18 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: bool
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per row of df; texts adds the kept bytes."""
     spark = df.sparkSession
     flat = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    blocks = cut(flat.mapInArrow(_block_batches(block_bytes), "block long, ids array<long>, sizes array<long>, data binary"), "suffix-blocks")
+    blocks = cut(flat.mapInArrow(_block_batches(block_bytes), "block long, ids array<long>, sizes array<long>, data binary"), "suffix-blocks", rows_a_group=BLOCKS_A_GROUP)
     n = blocks.select("block").count()
     hash_shards, piece_shards = shards(n)
 
     sent = blocks.mapInArrow(_hash_batches(hash_shards), "shard long, block long, hashes binary")
     flags = sent.groupBy("shard").applyInPandas(_flag, "shard long, block long, mask binary")
-    masks = cut(flags.groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("masks")), "suffix-masks")
+    masks = cut(flags.groupBy("block").agg(F.collect_list(F.struct("shard", "mask")).alias("masks")), "suffix-masks", rows_a_group=16 * BLOCKS_A_GROUP)
 
     known = blocks.join(masks, "block", "left")
     pieces = known.mapInArrow(_piece_batches(hash_shards, piece_shards), "shard long, block long, least binary, keys binary, lengths binary, data binary")
     found = pieces.groupBy("shard").applyInPandas(_index, "shard long, block long, bits binary")
-    bits = cut(found.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("bits")), "suffix-bits")
+    bits = cut(found.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("bits")), "suffix-bits", rows_a_group=16 * BLOCKS_A_GROUP)
 
     ready = blocks.join(masks.join(bits, "block", "left"), "block", "left")
     return ready.mapInArrow(_mark_batches(hash_shards, piece_shards, texts), OUT + ", kept binary" * texts)

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from plumbline.llm import suffix_dedup as S
 from test_suffix_dedup import brute
@@ -105,5 +106,24 @@ def test_rows_that_blocks_send():
     """A row a block and shard: twelve times the blocks of 0.5 GB may not send 144 times its rows of a few pieces."""
     n = 10_000
     hash_shards, shards = S.shards(n)
-    assert n * shards <= 5_000_000
+    assert n * shards <= 10_000_000
     assert n * hash_shards <= 2_000_000
+
+
+def test_blocks_are_read_a_few_at_a_time(spark, monkeypatch):
+    """A reader holds a row group of blocks, 1 MB each, at once: with all of a file's it ran out of memory on 5 GB."""
+    groups, cut = [], S.cut
+
+    def noted(df, name, **kw):
+        out = cut(df, name, **kw)
+        if name == "suffix-blocks":
+            for f in out.inputFiles():
+                m = pq.ParquetFile(f.removeprefix("file://")).metadata
+                groups.extend(m.row_group(k).num_rows for k in range(m.num_row_groups))
+        return out
+
+    monkeypatch.setattr(S, "cut", noted)
+    rows = spark.range(60, numPartitions=1).selectExpr("id AS doc_id", "repeat(md5(string(id)), 20) AS text")
+    assert S.dedup(rows, block_bytes=700).count() == 60
+    assert sum(groups) == 60
+    assert max(groups) <= 8
